@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: White space of the word rule, as a Java and as a DuckDB regular expression class body.
 SPACE = r"\x20\x09-\x0D"
@@ -28,3 +29,9 @@ def word_count(text: Column) -> Column:
 def crc_mod(key: Column, modulus: int) -> Column:
     """crc32 of the key's decimal text modulo ``modulus``; a null key counts as the text ``null``."""
     return F.crc32(F.coalesce(key.cast("string"), F.lit("null"))) % F.lit(modulus)
+
+
+def wider(schema: StructType, **columns: str) -> StructType:
+    """A copy of ``schema`` with further nullable columns, name=type."""
+    ddl = ", ".join(f"{name} {kind}" for name, kind in columns.items())
+    return StructType([*schema.fields, *StructType.fromDDL(ddl).fields])
