@@ -29,7 +29,7 @@ from brindle.staging import bounded_batches
 #: Bounds of the fit: labelled rows, and terms.
 FIT_ROWS, TERMS = 8192, 4000
 #: A term's least number of toxic documents, least weight, and the lengths of beginnings of words.
-SUPPORT, WEIGHT, STEMS = 6, 2.5, (4, 5, 6, 7)
+SUPPORT, WEIGHT, STEMS = 6, 2.5, range(4, 11)
 
 # Letters that look like Latin ones, and digits and signs written for letters.
 HOMOGLYPHS = {
@@ -71,7 +71,7 @@ def fold(text: str | None) -> str:
 def terms_of(folded: str) -> set[str]:
     """The terms that a folded text has: its words between spaces, and their beginnings after a space."""
     found = set(folded.split())
-    return {f" {w[:n]}" for w in found for n in STEMS if len(w) > n} | {f" {w} " for w in found if len(w) > 2}
+    return {f" {w[:n]}" for w in found for n in STEMS if len(w) >= n} | {f" {w} " for w in found if len(w) > 2}
 
 
 def _labelled(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str) -> DataFrame:
@@ -114,13 +114,21 @@ def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _choose(rows: list) -> dict[str, float]:
-    """Terms and weights; a longer term goes if a beginning of it does as well."""
+    """Terms and weights: the longest form that keeps nine tenths of a beginning's toxic documents, so that a term is
+    no wider than its evidence; a longer term goes if a chosen beginning of it weighs about as much."""
     chosen: dict[str, float] = {}
+    by_stem: dict[str, list] = {}
+    for r in rows:
+        for n in STEMS:
+            by_stem.setdefault(r["term"][: n + 1], []).append(r)
     for r in sorted(rows, key=lambda r: (len(r["term"].rstrip()), r["term"])):
         term = r["term"]
-        stems = [chosen[term[: n + 1]] for n in STEMS if n + 1 < len(term) and term[: n + 1] in chosen]
-        if not stems or max(stems) < r["weight"] - 1.0:
-            chosen[term] = float(r["weight"])
+        stems = [chosen[term[:n]] for n in range(2, len(term) + 1) if term[:n] in chosen]
+        if stems and max(stems) >= r["weight"] - 1.0:
+            continue
+        longer = [x for x in by_stem.get(term, []) if x["term"].startswith(term) and x["toxic"] >= 0.9 * r["toxic"]]
+        best = max([r, *longer], key=lambda x: (len(x["term"].rstrip()), -len(x["term"])))
+        chosen[best["term"]] = float(best["weight"])
     return chosen
 
 
