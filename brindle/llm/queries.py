@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm import brown, fingerprints, language, mixing, packing, pages, quality, toxicity
+from brindle.llm import brown, fingerprints, language, mixing, neardup, packing, pages, quality, toxicity
 from brindle.llm.text import crc_mod
 from brindle.staging import table
 
@@ -32,6 +32,10 @@ def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), width=2)
+
+
 def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = crc_mod(F.col("doc_id"), 7) == 2
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -65,6 +69,7 @@ QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_packing": op2_packing,
     "op3_html_extraction": op3_html_extraction,
+    "op4_near_dedup": op4_near_dedup,
     "op5_lm_scoring": op5_lm_scoring,
     "op7_fingerprints": op7_fingerprints,
     "op8_mixing": op8_mixing,
