@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm import brown, fingerprints, language, mixing, neardup, packing, pages, quality, toxicity
+from brindle.llm import brown, fingerprints, language, mixing, neardup, packing, pages, quality, substrings, toxicity
 from brindle.llm.text import crc_mod
 from brindle.staging import table
 
@@ -43,6 +43,10 @@ def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return brown.score(docs, model).withColumn("held_out", held_out)
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.removals(table(spark, sf_dir, "documents"))
+
+
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_with_next(table(spark, sf_dir, "documents"))
 
@@ -71,6 +75,7 @@ QUERIES = {
     "op3_html_extraction": op3_html_extraction,
     "op4_near_dedup": op4_near_dedup,
     "op5_lm_scoring": op5_lm_scoring,
+    "op6_substring_dedup": op6_substring_dedup,
     "op7_fingerprints": op7_fingerprints,
     "op8_mixing": op8_mixing,
     "op9_language_id": op9_language_id,
