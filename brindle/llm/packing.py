@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import os
 import zlib
-from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,9 +29,11 @@ LENGTH, END = 4096, 2
 SENTENCE_COST, INNER_COST, SHORT_COST = 8, 40, 24
 #: Tokens without a sentence's end after which inner cuts are offered, and how far apart.
 GAP, INNER_STEP = 64, 16
+#: Of sentences' ends in the same stretch of so many tokens, the last is offered.
+CLOSE = 12
 BLOCK = 1 << 18
 #: Words whose tokens a Python worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 800_000
 _POWERS = [1 << k for k in range(6, 12)]
 
 
@@ -45,11 +46,45 @@ class WordTokens:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        size = max(vocabulary.values()) + 1
+        self.closes, self.sentence = np.zeros(size, bool), np.zeros(size, bool)
+        for token, k in vocabulary.items():
+            self.closes[k] = token.endswith("</w>")
+            self.sentence[k] = token.endswith((".</w>", "!</w>", "?</w>"))
+
+    def _encode(self, texts: list[str]) -> list[list[int]]:
+        batch = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
+        return [e.ids for e in batch(texts, add_special_tokens=False)]
 
     def _learn(self, words: list[bytes]) -> dict[bytes, bytes]:
-        batch = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        found = batch([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
-        return {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(words, found)}
+        """Ids of new words. Plain ones, letters and perhaps one mark after them, are encoded as one text and told
+        apart by the tokens that close a run of letters or of marks; the others are encoded one by one."""
+        plain, runs, other = [], [], []
+        for w in words:
+            t = w.decode("utf-8", "replace")
+            if t.isalpha():
+                plain.append((w, t))
+                runs.append(1)
+            elif t[-1] in ".,!?;:" and t[:-1].isalpha():
+                plain.append((w, t))
+                runs.append(2)
+            else:
+                other.append((w, t))
+        found: dict[bytes, bytes] = {}
+        if plain:
+            ids = np.array(self._encode([" ".join(t for _, t in plain)])[0], "<u4")
+            ends = np.flatnonzero(self.closes[ids]) + 1
+            last = np.cumsum(runs) - 1
+            if len(ends) == last[-1] + 1:
+                cuts = (ends[last] * 4).tolist()
+                blob = ids.tobytes()
+                found = {w: blob[a:b] for (w, _), a, b in zip(plain, [0, *cuts], cuts)}
+            else:
+                other += plain
+        for (w, _), ids in zip(other, self._encode([t for _, t in other])):
+            found[w] = np.array(ids, "<u4").tobytes()
+        return found
 
     def document(self, text: str | None) -> tuple[bytes, np.ndarray]:
         """The ids with the end token, as little-endian 32-bit integers, and the places after sentences' ends."""
@@ -62,14 +97,17 @@ class WordTokens:
             new = self._learn(list({w for w, p in zip(words, parts) if p is None}))
             parts = [new[w] if p is None else p for w, p in zip(words, parts)]
             self.known.update((w, p) for w, p in new.items() if len(w) <= 64)
-        places = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts))) // 4
-        ends = np.fromiter((w[-1] in b".!?" for w in words), bool, len(words))
-        return b"".join(parts) + END.to_bytes(4, "little"), places[ends]
+        parts.append(END.to_bytes(4, "little"))
+        blob = b"".join(parts)
+        return blob, np.flatnonzero(self.sentence[np.frombuffer(blob, "<u4")]) + 1
 
 
 def offered_cuts(sentences: np.ndarray, total: int) -> tuple[np.ndarray, np.ndarray]:
     """Places (from 1 to ``total``) at which a document of ``total`` tokens may be cut, and their costs."""
-    places = np.unique(np.append(sentences[(sentences > 0) & (sentences < total - 1)], total))
+    places = sentences[sentences < total - 1]
+    if len(places):
+        places = places[np.diff(places // CLOSE, append=-1) != 0]
+    places = np.append(places, total)
     costs = np.full(len(places), SENTENCE_COST, np.int64)
     costs[-1] = 0
     before = np.concatenate([[0], places[:-1]])
@@ -89,23 +127,25 @@ def best_cuts(places: list[int], costs: list[int], final: bool, length: int = LE
     places[i]), and over i a power of two before j, cost(i) + SHORT_COST.
     """
     at = [0, *places]
-    best, back = [0] * len(at), [0] * len(at)
-    index = {0: 0}
-    queue = deque([0])  # indices with rising best + place
+    hops = _hops(np.array(at))
+    best, ahead, back = [0], [0], [0]  # ahead: best + place
+    queue, front = [0], 0  # indices with rising ahead
     for j in range(1, len(at)):
         p = at[j]
-        while at[queue[0]] < p - length:
-            queue.popleft()
-        i = queue[0]
-        value = best[i] + at[i] + length - p
-        for size in _POWERS:
-            k = index.get(p - size)
-            if k is not None and best[k] + SHORT_COST < value:
-                value, i = best[k] + SHORT_COST, k
-        best[j], back[j] = value + costs[j - 1], i
-        index[p] = j
-        key = best[j] + p
-        while queue and best[queue[-1]] + at[queue[-1]] >= key:
+        while at[queue[front]] < p - length:
+            front += 1
+        i = queue[front]
+        value = ahead[i] + length - p
+        if j in hops:
+            for k in hops[j]:
+                if best[k] + SHORT_COST < value:
+                    value, i = best[k] + SHORT_COST, k
+        value += costs[j - 1]
+        best.append(value)
+        back.append(i)
+        value += p
+        ahead.append(value)
+        while len(queue) > front and ahead[queue[-1]] >= value:
             queue.pop()
         queue.append(j)
     j = len(at) - 1
@@ -121,6 +161,16 @@ def best_cuts(places: list[int], costs: list[int], final: bool, length: int = LE
     return cuts
 
 
+def _hops(at: np.ndarray) -> dict[int, list[int]]:
+    """For each index the indices whose place is a power of two before its own."""
+    found: dict[int, list[int]] = {}
+    for size in _POWERS:
+        i = np.searchsorted(at, at - size)
+        for j in np.flatnonzero(at[i] == at - size).tolist():
+            found.setdefault(j, []).append(int(i[j]))
+    return found
+
+
 def _last(start: int, end: int, length: int) -> list[int]:
     """The cuts of the last sequence: by powers of two, if that costs less than its padding."""
     size = end - start
