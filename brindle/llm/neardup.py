@@ -6,9 +6,10 @@ logarithmic scale of base BASE. Registers are mergeable by maximum, and two sets
 their Jaccard similarity says.
 
 1. Documents with equal sets are one node. 2. Bands of registers are hashed; nodes that share a band value are
-candidates. 3. Each node is compared with the hub (least node) that it shares most bands with; then all pairs of nodes
-that share a band and are not yet connected are compared. A comparison estimates the similarity from both registers by
-likelihood and, unless that is far below the threshold, counts both full sets. 4. Links make components.
+candidates. 3. Each node is compared with a hub, the node that shares bands with most others, that it shares most bands
+with; then all nodes that bands connect but links don't are compared, block by block. A comparison estimates the
+similarity from both registers by likelihood and, unless that is far below the threshold, counts both full sets.
+4. Links make components.
 
 With BANDS bands of ROWS registers a pair at similarity 0.8 is missed with a probability near 1e-6; the estimate's
 margin is five standard deviations. Documents without words or with null text have an empty set and link with nothing;
@@ -38,6 +39,8 @@ MARGIN = 0.15
 BROADCAST_ROWS = 500_000
 #: A hub's comparisons are dealt to so many parts.
 HUB_PARTS = 32
+#: Rounds of comparisons with hubs, and nodes in a block of a family.
+HUB_ROUNDS, BLOCK = 2, 192
 REMEMBERED = 400_000
 _LEAST = -(1 << 63)
 _C1, _C2, _C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -230,6 +233,97 @@ def confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Dat
     return stage(dealt.mapInArrow(run, "u long, v long"), "links")
 
 
+def connect(shared: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """(node, comp) of the nodes in bands with others (band, node, degree); nodes without links may be missing.
+
+    In each of HUB_ROUNDS rounds a node is compared with one hub that it shares bands with and isn't connected to: a
+    band's hub is its node of the greatest degree, as the text that copies were made from shares bands with most of
+    them. What is still apart in a shared band then goes to ``compare_families``.
+    """
+    links, comps = None, None
+    for turn in range(HUB_ROUNDS + 1):
+        placed = shared.withColumn("comp", F.col("node"))
+        if comps is not None:
+            placed = shared.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        mixed = (
+            placed.groupBy("band")
+            .agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.max(F.struct("degree", "node", "comp")).alias("t"))
+            .filter("a <> b")
+            .select("band", F.col("t.node").alias("hub"), F.col("t.comp").alias("hub_comp"))
+        )
+        placed = stage(placed.join(mixed, "band"), "placed")
+        if turn == HUB_ROUNDS:
+            break
+        counts = placed.filter("comp <> hub_comp").groupBy("node", "hub").agg(F.count("*").alias("k"))
+        best = F.max(F.struct("k", "hub"))["hub"].alias("u")
+        found = confirm(counts.groupBy("node").agg(best).select("u", F.col("node").alias("v")), texts, width, percent)
+        links = found if links is None else links.unionByName(found)
+        comps = stage(components(links), "comps")
+    links = links.unionByName(compare_families(placed, texts, width, percent))
+    return stage(components(links), "comps")
+
+
+def compare_families(placed: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links between nodes of different components in families: nodes that bands connect. No pair becomes a row.
+
+    A family is cut into blocks of about BLOCK nodes by a hash, and every two blocks meet in one task, which compares
+    registers first, estimates and confirms, and skips pairs that its links so far (and the known components) connect.
+    """
+    families = components(placed.select(F.col("node").alias("u"), F.col("hub").alias("v")))
+    families = stage(families.withColumnRenamed("comp", "family"), "families")
+    sizes = families.groupBy("family").agg(F.ceil(F.count("*") / F.lit(float(BLOCK))).cast("int").alias("blocks"))
+    own = placed.groupBy("node").agg(F.min("comp").alias("comp")).join(families, "node").join(sizes, "family")
+    own = own.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    own = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = stage(
+        own.select(
+            "family", "node", "comp", "own", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two")
+        ),
+        "dealt",
+    ).withColumnRenamed("node", "v")
+    rows = texts.join(_sized(dealt), texts["node"] == dealt["v"])
+
+    def compare(block: pa.Table) -> pa.Table:
+        rows_ = sorted(
+            zip(*(block[c].to_pylist() for c in ("node", "comp", "own", "n", "sketch", "text"))), key=lambda r: r[0]
+        )
+        one = block["one"][0].as_py()
+        same = one == block["two"][0].as_py()
+        r = np.stack([np.frombuffer(x[4], np.uint16) for x in rows_])
+        n = np.array([x[3] for x in rows_])
+        left = np.array([x[2] == one for x in rows_])
+        parent: dict[int, int] = {x[1]: x[1] for x in rows_}
+
+        def root(c: int) -> int:
+            while parent[c] != c:
+                parent[c] = parent[parent[c]]
+                c = parent[c]
+            return c
+
+        sets: dict[int, np.ndarray] = {}
+
+        def full(k: int) -> np.ndarray:
+            if k not in sets:
+                sets[k] = shingles(rows_[k][5], width)
+            return sets[k]
+
+        found = []
+        for i in np.flatnonzero(left).tolist():
+            agree = (r == r[i]).sum(axis=1) >= (percent / 100 - MARGIN) * REGISTERS
+            agree &= 100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])
+            agree &= (np.arange(len(n)) > i) if same else ~left
+            for k in np.flatnonzero(agree).tolist():
+                a, b = root(rows_[i][1]), root(rows_[k][1])
+                if a == b or estimate(r[i], r[k], int(n[i]), int(n[k])) < percent / 100 - MARGIN:
+                    continue
+                if linked(full(i), full(k), percent):
+                    parent[a] = b
+                    found.append((rows_[i][0], rows_[k][0]))
+        return pa.table({"u": pa.array([f[0] for f in found], pa.int64()), "v": pa.array([f[1] for f in found], pa.int64())})
+
+    return stage(rows.groupBy("family", "one", "two").applyInArrow(compare, "u long, v long"), "links")
+
+
 def near_duplicates(
     docs: DataFrame, width: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text"
 ) -> DataFrame:
@@ -245,32 +339,16 @@ def near_duplicates(
         "nodes",
     )
     bands = stage(_bands(nodes), "bands")
-    hubs = bands.groupBy("band").agg(F.min("node").alias("hub"), F.count("*").alias("k")).filter("k > 1")
-    shared = stage(bands.join(hubs.select("band", "hub"), "band"), "shared")  # nodes in bands with others
-    near = stage(
-        shared.filter("node <> hub")
-        .groupBy("node", "hub")
-        .agg(F.count("*").alias("k"))
-        .groupBy("node")
-        .agg(F.max(F.struct("k", (-F.col("hub").cast("decimal(20,0)")).alias("o"), "hub"))["hub"].alias("hub")),
-        "near",
-    )
-    involved = stage(shared.select("node").distinct().join(nodes, "node"), "involved")
+    several = bands.groupBy("band").agg(F.count("*").alias("k")).filter("k > 1")
+    shared = stage(bands.join(several, "band"), "several")  # nodes in bands with others
+    degrees = shared.groupBy("node").agg(F.sum(F.col("k") - 1).alias("degree"))
+    shared = stage(shared.join(degrees, "node").select("band", "node", "degree"), "shared")
+    involved = stage(degrees.select("node").join(nodes, "node"), "involved")
     keys = _sized(stage(involved.select("first", "node"), "keys"))
     rows = docs.select(
         F.coalesce(F.col(doc_id).cast("long"), F.lit(_LEAST)).alias("first"), F.col(text).alias("text")
     )
-    texts = _texts_of(rows, keys, involved, width)
-    links = confirm(near.select(F.col("hub").alias("u"), F.col("node").alias("v")), texts, width, percent)
-    comps = stage(components(links), "comps")
-    placed = shared.select("band", "node").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    mixed = placed.groupBy("band").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).filter("a <> b")
-    open_ = stage(placed.join(mixed.select("band"), "band"), "open")
-    left = open_.select("band", F.col("node").alias("u"), F.col("comp").alias("cu"))
-    right = open_.select("band", F.col("node").alias("v"), F.col("comp").alias("cv"))
-    pairs = left.join(right, "band").filter("cu < cv").select("u", "v").distinct()
-    more = confirm(pairs, texts, width, percent)
-    comps = stage(components(links.unionByName(more)), "comps")
+    comps = connect(shared, _texts_of(rows, keys, involved, width), width, percent)
     labels = nodes.select("node", "first").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = labels.groupBy("comp").agg(F.min("first").alias("component_id"))
     labels = labels.join(least, "comp").select("node", "component_id")
