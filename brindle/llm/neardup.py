@@ -387,8 +387,11 @@ def drop_near_duplicates(
 ) -> DataFrame:
     """One document of each group, the one with the least doc_id, with the columns of ``docs``.
 
-    Of repeated rows of one doc_id one stays if it is kept at all.
+    Of rows that repeat a doc_id one stays, if any.
     """
-    found = near_duplicates(docs, width, percent, doc_id, text)
-    kept = found.filter("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs[doc_id].eqNullSafe(kept["_kept"]), "left_semi").dropDuplicates([doc_id])
+    found = stage(near_duplicates(docs, width, percent, doc_id, text).select("doc_id", "kept"), "verdicts")
+    rows, ids = found.agg(F.count("*"), F.count_distinct(F.coalesce("doc_id", F.lit(_LEAST)))).first()
+    dropped = stage(found.filter("NOT kept").select(F.col("doc_id").alias("_dropped")).distinct(), "dropped")
+    dropped = _sized(dropped)
+    out = docs.join(dropped, docs[doc_id].eqNullSafe(dropped["_dropped"]), "left_anti")
+    return out if rows == ids else out.dropDuplicates([doc_id])
