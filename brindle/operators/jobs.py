@@ -40,8 +40,11 @@ def submit(jobs: DataFrame, requests: DataFrame) -> DataFrame:
 def recover(jobs: DataFrame) -> DataFrame:
     """Active jobs with attempts left go back to pending with one attempt more."""
     back = F.col("status").isin(*ACTIVE) & (F.col("attempts") < MAX_ATTEMPTS)
-    return jobs.withColumn("attempts", F.when(back, F.col("attempts") + 1).otherwise(F.col("attempts"))).withColumn(
-        "status", F.when(back, "pending").otherwise(F.col("status"))
+    return jobs.withColumns(
+        {
+            "attempts": F.when(back, F.col("attempts") + 1).otherwise(F.col("attempts")),
+            "status": F.when(back, "pending").otherwise(F.col("status")),
+        }
     )
 
 
