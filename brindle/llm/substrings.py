@@ -254,14 +254,27 @@ def _marked(docs: DataFrame, doc_id: str, text: str, *more) -> DataFrame:
     )
 
 
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each row's intervals, those that overlap or touch as one."""
+    for b in batches:
+        begins, ends = [], []
+        for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
+            first, last = np.sort(np.array(x)), np.sort(np.array(y))
+            new = np.concatenate([[True], first[1:] > last[:-1]])
+            begins.append(first[new].tolist())
+            ends.append(last[np.append(new[1:], True)].tolist())
+        lists = [pa.array(v, pa.list_(pa.int32())) for v in (begins, ends)]
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *lists], names=["doc_id", "mark", "begins", "ends"])
+
+
 def _with_removals(docs: DataFrame, doc_id: str, text: str, *more) -> DataFrame:
     """doc_id, mark, text, ``more`` and the lists ``begins`` and ``ends`` (null where nothing is removed)."""
     spark = docs.sparkSession
     bounded_batches(spark)
     marked = _marked(docs, doc_id, text)
-    found = F.array_sort(F.collect_set(F.struct("begin", "end")))
-    cut = repeated_intervals(marked).groupBy("doc_id", "mark").agg(found.alias("x"))
-    cut = stage(cut.select("doc_id", "mark", F.col("x.begin").alias("begins"), F.col("x.end").alias("ends")), "cuts")
+    found = repeated_intervals(marked).groupBy("doc_id", "mark").agg(F.collect_set(F.struct("begin", "end")).alias("x"))
+    cut = found.select("doc_id", "mark", F.col("x.begin").alias("begins"), F.col("x.end").alias("ends"))
+    cut = stage(cut.mapInArrow(_merge, "doc_id long, mark long, begins array<int>, ends array<int>"), "cuts")
     n, intervals = cut.agg(F.count("*"), F.coalesce(F.sum(F.size("begins")), F.lit(0))).first()
     small = n <= BROADCAST_DOCS and intervals <= BROADCAST_INTERVALS
     return _marked(docs, doc_id, text, *more).join(F.broadcast(cut) if small else cut, ["doc_id", "mark"], "left")
