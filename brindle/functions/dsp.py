@@ -200,8 +200,11 @@ def pitch_track(x: np.ndarray, rate: int, low: float = 50.0, high: float = 600.0
             out.append(0.0)
             continue
         lags = np.arange(least, most)
-        match = np.array([head @ frame[k : k + size] / math.sqrt(energy * (frame[k : k + size] @ frame[k : k + size]) + 1e-12) for k in lags])
-        good = np.flatnonzero(match >= 0.95 * match.max())
+        later = np.lib.stride_tricks.sliding_window_view(frame, size)[least:most]
+        match = later @ head / np.sqrt(energy * np.einsum("ij,ij->i", later, later) + 1e-12)
+        around = np.pad(match, 1, constant_values=-1.0)
+        tops = (match >= around[:-2]) & (match >= around[2:])
+        good = np.flatnonzero(tops & (match >= 0.95 * match.max()))
         out.append(rate / float(lags[good[0]]) if match.max() > 0.5 else 0.0)
     return np.array(out)
 
