@@ -14,7 +14,9 @@ first; texts of any length are cut freely; an empty table gives no piece.
 from __future__ import annotations
 
 import os
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +35,9 @@ GAP, INNER_STEP = 64, 16
 CLOSE = 12
 BLOCK = 1 << 18
 #: Words whose tokens a Python worker remembers.
-REMEMBERED = 800_000
+REMEMBERED = 1_200_000
+#: A run of letters, and marks after it that no contraction of the tokenizer's rule begins.
+_PLAIN = re.compile(rb"([a-z]+)([!-&(-/:-@\[-`{-~]*)")
 _POWERS = [1 << k for k in range(6, 12)]
 
 
@@ -46,6 +50,7 @@ class WordTokens:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
+        self.model = self.tokenizer.model
         vocabulary = self.tokenizer.get_vocab()
         size = max(vocabulary.values()) + 1
         self.closes, self.sentence = np.zeros(size, bool), np.zeros(size, bool)
@@ -57,33 +62,37 @@ class WordTokens:
         batch = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
         return [e.ids for e in batch(texts, add_special_tokens=False)]
 
+    def _run(self, run: bytes) -> bytes:
+        """Ids of a run of a-z, or of ASCII marks: one piece for the tokenizer's model, whatever stands around it."""
+        found = self.known.get(run)
+        if found is None:
+            found = array("I", [t.id for t in self.model.tokenize(run.decode())]).tobytes()
+            if len(run) <= 64:
+                self.known[run] = found
+        return found
+
     def _learn(self, words: list[bytes]) -> dict[bytes, bytes]:
-        """Ids of new words. Plain ones, letters and perhaps one mark after them, are encoded as one text and told
-        apart by the tokens that close a run of letters or of marks; the others are encoded one by one."""
-        plain, runs, other = [], [], []
+        """Ids of new words. A run of a-z and marks after it go to the tokenizer's model at once. Words of other
+        letters are encoded as one text and told apart by the tokens that close them; the rest one by one."""
+        found: dict[bytes, bytes] = {}
+        letters, other = [], []
         for w in words:
+            m = _PLAIN.fullmatch(w)
+            if m:
+                found[w] = self._run(m[1]) + self._run(m[2]) if m[2] else self._run(m[1])
+                continue
             t = w.decode("utf-8", "replace")
-            if t.isalpha():
-                plain.append((w, t))
-                runs.append(1)
-            elif t[-1] in ".,!?;:" and t[:-1].isalpha():
-                plain.append((w, t))
-                runs.append(2)
-            else:
-                other.append((w, t))
-        found: dict[bytes, bytes] = {}
-        if plain:
-            ids = np.array(self._encode([" ".join(t for _, t in plain)])[0], "<u4")
-            ends = np.flatnonzero(self.closes[ids]) + 1
-            last = np.cumsum(runs) - 1
-            if len(ends) == last[-1] + 1:
-                cuts = (ends[last] * 4).tolist()
-                blob = ids.tobytes()
-                found = {w: blob[a:b] for (w, _), a, b in zip(plain, [0, *cuts], cuts)}
+            (letters if t.isalpha() else other).append((w, t))
+        if letters:
+            ids = np.array(self._encode([" ".join(t for _, t in letters)])[0], "<u4")
+            ends = (np.flatnonzero(self.closes[ids]) + 1) * 4
+            if len(ends) == len(letters):
+                blob, cuts = ids.tobytes(), ends.tolist()
+                found.update((w, blob[a:b]) for (w, _), a, b in zip(letters, [0, *cuts], cuts))
             else:
-                other += plain
+                other += letters
         for (w, _), ids in zip(other, self._encode([t for _, t in other])):
-            found[w] = np.array(ids, "<u4").tobytes()
+            found[w] = array("I", ids).tobytes()
         return found
 
     def document(self, text: str | None) -> tuple[bytes, np.ndarray]:
