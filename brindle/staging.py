@@ -6,12 +6,23 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _STAGED: list[str] = []
+_LAST: list[SparkSession] = []
+
+
+@atexit.register
+def _drop_at_exit() -> None:
+    """Staged tables end with the driver; a driver that is killed leaves them to whoever cleans the shared folder."""
+    with contextlib.suppress(Exception):
+        if _LAST:
+            drop_staged(_LAST[0])
 
 
 def setting(spark: SparkSession, key: str) -> str | None:
@@ -40,16 +51,18 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     path = f"{staging_root(spark)}/brindle-{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
     _STAGED.append(path.rsplit("/", 1)[0])
+    _LAST[:] = [spark]
     return spark.read.schema(df.schema).parquet(path)
 
 
 def drop_staged(spark: SparkSession) -> int:
     """Delete the tables that this process staged; call it once their results are written. Returns how many."""
     n = 0
-    jvm = spark.sparkContext._jvm
+    jvm = spark._jvm
+    hadoop = jvm.org.apache.hadoop.conf.Configuration()
     while _STAGED:
         path = jvm.org.apache.hadoop.fs.Path(_STAGED.pop())
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        path.getFileSystem(hadoop).delete(path, True)
         n += 1
     return n
 

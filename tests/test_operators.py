@@ -221,3 +221,14 @@ def test_batch_scorer_reads_prefix(spark):
     score = scorers.batch_scorer(lambda: lambda texts: [float(len(t or "")) for t in texts], "text", "s", "double", 3)
     df = spark.createDataFrame([("abcdef",), (None,)], "text string")
     assert [r["s"] for r in score(df).collect()] == [3.0, 0.0]
+
+
+def test_staged_tables_are_dropped(spark):
+    from brindle import staging
+
+    df = staging.stage(spark.range(3), "x")
+    path = df.inputFiles()[0]
+    assert df.count() == 3 and staging.staging_root(spark) in path
+    assert staging.drop_staged(spark) >= 1
+    with pytest.raises(Exception):
+        spark.read.parquet(path).count()
