@@ -518,3 +518,114 @@ SELECT f.job_id, count(payload) AS n_segments, coalesce(string_agg(payload, ' '
 FROM f LEFT JOIN (SELECT * FROM e WHERE NOT last) s ON s.job_id = f.job_id AND s.ts <= f.t GROUP BY f.job_id""")
 def stream_fold(spark, sf_dir):
     return ev.fold_batch(job_events(table(spark, sf_dir, "events")))
+
+
+# -- further records
+
+
+@query(f"""
+WITH p AS (SELECT rec_id, unnest(x) AS v, generate_subscripts(x, 1) AS pos FROM {_waves()}),
+m AS (SELECT rec_id, pos, avg(v) AS v FROM p GROUP BY ALL)
+SELECT rec_id, count(*) AS n, round(sum(abs(v)), 6) AS total FROM m GROUP BY rec_id""")
+def to_mono(spark, sf_dir):
+    from brindle.operators.enhance import to_mono as mono
+
+    total = sg.total(F.transform("samples", lambda v: F.abs(v)))
+    out = mono(waves(spark, sf_dir), "rec_id")
+    return out.select("rec_id", F.size("samples").cast("long").alias("n"), F.round(total, 6).alias("total"))
+
+
+@query("""
+SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN turn / 10::DOUBLE ELSE 1.0 END AS quality,
+  CASE WHEN turn % 3 = 0 THEN turn * 2::DOUBLE ELSE 50.0 END AS snr FROM conversations WHERE turn % 2 = 0 OR turn % 5 = 1""")
+def enhanced_passthrough(spark, sf_dir):
+    from brindle.sources.recordings import passthrough_scores
+
+    turn = F.col("turn")
+    quality, snr = passthrough_scores(
+        F.when(turn % 2 == 0, turn / F.lit(10.0)), F.when(turn % 3 == 0, turn * F.lit(2.0))
+    )
+    rows = table(spark, sf_dir, "conversations").filter("turn % 2 = 0 OR turn % 5 = 1")
+    return rows.select("conv_id", "turn", quality.alias("quality"), snr.alias("snr"))
+
+
+@query("""
+SELECT count(*) FILTER (o_orderstatus = 'P') AS active, count(*) FILTER (o_orderstatus = 'F') AS failed,
+  count(*) FILTER (o_orderkey % 4 >= 3) AS spent FROM orders""")
+def queue_counters(spark, sf_dir):
+    rows = job_table(spark, sf_dir)
+    return rows.agg(
+        F.count_if(F.col("status").isin(*jobs.ACTIVE)).alias("active"),
+        F.count_if(F.col("status") == "failed").alias("failed"),
+        F.count_if(F.col("attempts") >= jobs.MAX_ATTEMPTS).alias("spent"),
+    )
+
+
+@query("""
+SELECT user_id, round((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6, 3) AS seconds FROM events GROUP BY user_id""")
+def job_durations(spark, sf_dir):
+    micros = lambda c: F.unix_micros(c.cast("timestamp"))
+    rows = table(spark, sf_dir, "events").groupBy("user_id").agg(F.max("ts").alias("b"), F.min("ts").alias("a"))
+    return rows.select("user_id", F.round((micros(F.col("b")) - micros(F.col("a"))) / 1e6, 3).alias("seconds"))
+
+
+@query("""
+SELECT o_orderkey, array_to_string(CASE o_orderkey % 3 WHEN 0 THEN ['a', 'b', 'a', 'c'] WHEN 1 THEN ['c', 'a', 'b'] ELSE ['a', 'b', 'c'] END, ',') AS tags,
+  CASE o_orderkey % 3 WHEN 0 THEN 'a,a' WHEN 1 THEN '' ELSE 'a' END AS known FROM orders""")
+def custom_tags(spark, sf_dir):
+    from brindle.plans.categorize import known_only, wanted_tags
+
+    own = lambda *x: F.array(*map(F.lit, x))
+    key = F.col("o_orderkey") % 3
+    custom = F.when(key == 0, own("a", "b", "a")).when(key == 1, own("c")).otherwise(own("a", "b"))
+    auto = F.when(key == 0, own("b", "c")).when(key == 1, own("a", "b", "a", "c")).otherwise(own("c", "a", "c"))
+    return table(spark, sf_dir, "orders").select(
+        "o_orderkey",
+        F.array_join(wanted_tags(custom, auto), ",").alias("tags"),
+        F.array_join(known_only(custom, ["x", "a"]), ",").alias("known"),
+    )
+
+
+@query("""
+SELECT o_orderkey, CASE WHEN i = 'safe' THEN 'none' ELSE s END AS severity, i AS intent,
+  CASE WHEN i = 'safe' THEN FALSE WHEN i = 'harmful' AND s IN ('high', 'critical') THEN TRUE ELSE f END AS flagged
+FROM (SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'high' WHEN 1 THEN 'low' WHEN 2 THEN 'none' ELSE 'critical' END AS s,
+  CASE o_orderkey % 3 WHEN 0 THEN 'harmful' WHEN 1 THEN 'questionable' ELSE 'safe' END AS i, o_orderkey % 5 = 0 AS f FROM orders)""")
+def clamp_verdict(spark, sf_dir):
+    from brindle.operators.moderation import clamp_verdict as clamp
+
+    pick = lambda m, *x: F.get(F.array(*map(F.lit, x)), (F.col("o_orderkey") % m).cast("int"))
+    severity, intent, flagged = clamp(
+        pick(4, "high", "low", "extreme", "critical"), pick(3, "harmful", "questionable", "odd"), F.col("o_orderkey") % 5 == 0
+    )
+    return table(spark, sf_dir, "orders").select(
+        "o_orderkey", severity.alias("severity"), intent.alias("intent"), flagged.alias("flagged")
+    )
+
+
+@query("""
+SELECT conv_id, count(*) AS n_tracks, max(turn)::BIGINT AS last, count(*) FILTER (turn % 5 = 0) AS flagged
+FROM (SELECT DISTINCT conv_id, turn FROM conversations) GROUP BY conv_id""")
+def per_track_results(spark, sf_dir):
+    from brindle.plans.categorize import assemble
+
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn").distinct()
+    rows = rows.withColumn("track", F.col("conv_id") * 1000 + F.col("turn"))
+    verdicts = rows.select("track", (F.col("track") % 5 == 0).alias("flagged"))
+    out = assemble(rows, verdicts, "conv_id", "track")
+    values = F.map_values("per_track")
+    return out.select(
+        "conv_id",
+        F.size("per_track").cast("long").alias("n_tracks"),
+        (F.array_max(F.map_keys("per_track")) % 1000).alias("last"),
+        F.size(F.filter(values, lambda v: v["flagged"])).cast("long").alias("flagged"),
+    )
+
+
+@query()
+def enhance_tracks(spark, sf_dir):
+    from brindle.operators.enhance import enhance
+
+    mode = F.get(F.array(*map(F.lit, ("music", "speech", "podcast"))), (F.col("vec_id") % 3).cast("int"))
+    out = enhance(waves(spark, sf_dir), mode, 8000)
+    return out.select("vec_id", "mode", F.round("snr_db", 2).alias("snr_db"), "clipped", "quality")

@@ -466,3 +466,26 @@ def pipeline_end_to_end(spark, sf_dir):
 
     rows = docs(spark, sf_dir)
     return enrich(rows, verdicts(spark, sf_dir), fused_rules, fused_categories)
+
+
+_TURN_TAGS = f"""
+SELECT doc_id // 100 AS conv_id, doc_id % 100 AS turn, tag, score, rank
+FROM ({_TOP.format(f"SELECT doc_id, k.tag, score, pos FROM ({_TURN_SCORES}) k JOIN {_TAGS} ON tags.tag = k.tag", 4)})"""
+
+
+@query(f"""
+WITH m AS (SELECT *, row_number() OVER (PARTITION BY conv_id, tag ORDER BY turn, rank) AS k FROM ({_TURN_TAGS}) WHERE NOT {_BLOCKED}),
+p AS (SELECT conv_id, tag, score, row_number() OVER (PARTITION BY conv_id ORDER BY turn, rank, tag) AS place FROM m WHERE k = 1)
+SELECT * FROM p WHERE place <= 4""")
+def categorize_recordings(spark, sf_dir):
+    from brindle.plans.categorize import tag_recordings
+
+    vocabulary_ = vocabulary.Vocabulary(CATEGORIES, TAGS, RULES)
+    return tag_recordings(_turns(spark, sf_dir), vocabulary_, "conv_id", "turn", BLOCKED, 4)
+
+
+@query(f"SELECT * FROM ({_TOP.format(_FUSED_1, 3)}) WHERE NOT {_BLOCKED}")
+def categorize_texts(spark, sf_dir):
+    from brindle.plans.categorize import tag_texts
+
+    return tag_texts(docs(spark, sf_dir), vocabulary.Vocabulary(CATEGORIES, TAGS, RULES), BLOCKED, 3)
