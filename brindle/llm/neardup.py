@@ -350,8 +350,9 @@ def near_duplicates(
     )
     comps = connect(shared, _texts_of(rows, keys, involved, width), width, percent)
     labels = nodes.select("node", "first").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    least = labels.groupBy("comp").agg(F.min("first").alias("component_id"))
-    labels = labels.join(least, "comp").select("node", "component_id")
+    labels = stage(labels, "labels")
+    least = stage(labels.groupBy("comp").agg(F.min("first").alias("component_id")), "least")
+    labels = stage(labels.join(least, "comp").select("node", "component_id"), "labels")
     out = found.select("doc_id", "n", "node").join(labels, "node", "left")
     shown: Column = F.when(F.col("doc_id") != _LEAST, F.col("doc_id"))
     component = F.coalesce("component_id", "doc_id")

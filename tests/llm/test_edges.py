@@ -73,8 +73,11 @@ def test_near_duplicates_of_odd_rows(odd):
     assert left.columns == odd.columns and sorted(r["doc_id"] or 0 for r in left.collect()) == [0, 1, 2, 3, 4, 5, 7, 8, 9, 10]
 
 
-def test_chain_of_near_copies(spark):
-    """Neighbours are linked, ends are not: one component, by links between different texts."""
+@pytest.mark.parametrize("block", [2, 192])
+def test_chain_of_near_copies(spark, monkeypatch, block):
+    """Neighbours are linked, ends are not: one component, by links between different texts, in any blocks."""
+    monkeypatch.setattr(neardup, "BLOCK", block)
+    monkeypatch.setattr(neardup, "HUB_ROUNDS", 1)
     words = [f"w{i}" for i in range(200)]
     rows = []
     for k in range(12):
