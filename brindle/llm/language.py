@@ -195,6 +195,8 @@ def identify(
 ) -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score``: the language learned from ``labelled`` that fits the text best.
 
+    Columns of these names that ``docs`` has are replaced.
+
     ``score`` is the second best language's entropy over the sum of the two best's: 0.5 for a tie, near 1 when sure.
     """
     spark = docs.sparkSession
@@ -216,6 +218,11 @@ def identify(
     return kept.mapInArrow(run, schema)
 
 
-def keep_identified(docs: DataFrame, labelled: DataFrame, **columns) -> DataFrame:
-    """The documents whose language can be told: those with ``und`` go. Columns as in ``docs``."""
-    return identify(docs, labelled, **columns).filter("lang_pred <> 'und'").select(*docs.columns)
+def keep_identified(
+    docs: DataFrame, labelled: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang"
+) -> DataFrame:
+    """The documents whose language can be told: those with ``und`` go. Columns as in ``docs``, whatever their names."""
+    row = F.struct(*[F.col(c) for c in docs.columns]).alias("row")
+    found = identify(docs.select(row, F.col(text).alias(text)), labelled, doc_id, text, lang)
+    kept = found.filter("lang_pred <> 'und'")
+    return kept.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])

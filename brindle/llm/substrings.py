@@ -29,7 +29,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brindle.llm.fmindex import FMIndex
-from brindle.llm.text import wider
 from brindle.staging import bounded_batches, stage
 
 WINDOW, GRAM = 20, 5
@@ -329,5 +328,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
     row = F.struct(*[F.col(c) for c in names]).alias("row")
     rows = _with_removals(docs, doc_id, text, row)
-    rows = rows.select(*[F.col(f"row.`{c}`").alias(c) for c in names], "begins", "ends")
-    return rows.mapInArrow(run, wider(docs.schema))
+    rows = rows.select(
+        *[F.col(f"row.`{c}`").alias(c) for c in names], F.col("begins").alias("_begins"), F.col("ends").alias("_ends")
+    )
+    return rows.mapInArrow(run, docs.schema)

@@ -256,7 +256,8 @@ def _bigrams(folded: str) -> list[tuple[str, str]]:
 
 
 def score(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
-    """``docs`` with ``score`` (0 to 1) and ``predicted`` (1 from 0.5 on) for each whole text."""
+    """``docs`` with ``score`` (0 to 1) and ``predicted`` (1 from 0.5 on) for each whole text; columns of these names
+    that ``docs`` has are replaced."""
     spark = docs.sparkSession
     bounded_batches(spark)
     shared = spark.sparkContext.broadcast(model)

@@ -148,6 +148,8 @@ def test_substrings_of_odd_rows(odd):
     got = {r["doc_id"]: r for r in substrings.removals(odd).collect()}
     assert got[6]["n_removed"] == got[6]["n_words"] == 30_000 and got[8]["n_removed"] == 49
     assert got[2]["n_words"] == 0
+    named = odd.withColumn("begins", F.lit(1)).withColumn("mark", F.lit(2))
+    assert substrings.remove_repeats(named).filter("begins = 1 AND mark = 2").count() == 12
     kept = substrings.remove_repeats(odd)
     assert kept.columns == odd.columns and {r["doc_id"]: r["text"] for r in kept.collect()}[4] == " \n\t "
 
@@ -200,7 +202,8 @@ def test_fingerprint_likeness():
 def test_language_of_odd_rows(odd):
     got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language.identify(odd, odd).collect()}
     assert got[2] == got[3] == got[4] == got[9] == ("und", 0.0) and got[1][0] == "en"
-    assert sorted(r["doc_id"] or 0 for r in language.keep_identified(odd, odd).collect()) == [0, 1, 5, 6, 7, 7, 8, 10]
+    kept = language.keep_identified(odd, odd)
+    assert kept.dtypes == odd.dtypes and sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 1, 5, 6, 7, 7, 8, 10]
 
 
 def test_phrases_are_longest_matches():
