@@ -151,7 +151,8 @@ class Lexicon:
             self.automaton.make_automaton()
 
     def feature(self, text: str | None) -> float:
-        """The weights of the matches over the logarithm of the number of words."""
+        """The root of the matches' weights over the logarithm of the number of words: the root, so that the first
+        term of a text counts most."""
         folded = fold(text)
         if not self.ready:
             return 0.0
@@ -159,7 +160,7 @@ class Lexicon:
         for end, (n, weight) in self.automaton.iter(folded):
             (spans if weight is None else hits).append((end - n + 1, end, weight))
         hits = [h for h in hits if not any(a <= h[0] and h[1] <= b for a, b, _ in spans)] if spans else hits
-        return sum(h[2] for h in hits) / float(np.log2(4 + folded.count(" "))) if hits else 0.0
+        return float(np.sqrt(sum(h[2] for h in hits) / np.log2(4 + folded.count(" ")))) if hits else 0.0
 
     def score(self, text: str | None) -> float:
         z = self.offset + self.slope * self.feature(text)
@@ -167,7 +168,7 @@ class Lexicon:
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and offset by Newton's method with a small ridge, over the square root of the feature's scale."""
+    """Slope and offset by Newton's method with a small ridge."""
     a = np.column_stack([x, np.ones_like(x)])
     w = np.zeros(2)
     for _ in range(50):
