@@ -4,8 +4,10 @@ Per language a suffix automaton of labelled text tells the longest matches. A te
 phrases, each the longest that occurs in the language's text; phrases times log2(length of that text) over the number
 of symbols is the cross entropy that the parse estimates, and the language with the least wins.
 
-Texts are lower-cased; letters stay, runs of anything else count as one separator. Whole texts are parsed, in pieces of
-``PIECE`` symbols at whose ends phrases end, so that numpy steps through many pieces and all languages at once.
+Texts are lower-cased; letters stay, runs of anything else count as one separator. Every letter of the learned texts is
+a symbol of its own, whatever the scripts. Whole texts are parsed, in pieces of ``PIECE`` symbols at whose ends phrases
+end, so that numpy steps through many pieces and all languages at once. Every label that occurs is learned, from a
+bounded number of rows and characters, so the model grows with the labels and not with the rows.
 
 A null text and a text without a letter get ``und`` and score 0. Null languages are never learned. With no labelled
 text at all every text gets ``und``. Repeated rows get equal results, ties between languages go to the first by name,
@@ -25,11 +27,12 @@ from pyspark.sql import functions as F
 from brindle.llm.text import wider
 from brindle.staging import bounded_batches
 
-#: The labelled sample's bounds: languages (the most frequent), rows of each, characters of a row and of a language.
-LANGUAGES, ROWS, ROW_CHARS, CHARS = 64, 48, 2000, 20_000
+#: The labelled sample's bounds: rows of each language, characters of a row and of a language.
+ROWS, ROW_CHARS, CHARS = 48, 2000, 20_000
 PIECE = 256
 UNKNOWN, SEPARATOR, FIRST = 0, 1, 2
-MISS = 1 << 30
+#: States of pieces by languages that are stepped at once.
+STEPPED = 1 << 16
 
 
 def sample(labelled: DataFrame, doc_id: str, text: str, lang: str) -> dict[str, str]:
@@ -37,17 +40,14 @@ def sample(labelled: DataFrame, doc_id: str, text: str, lang: str) -> dict[str,
     rows = labelled.select(
         F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang")
     ).filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    if not counts:
-        return {}
-    share = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(4.0 * ROWS / r["count"]))])
+    shares = rows.groupBy("lang").agg((F.lit(4.0 * ROWS) / F.count("*")).alias("share"))
     h = F.md5(F.concat(F.lit("lang:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
     unit = F.conv(F.substring(h, 1, 8), 16, 10).cast("double") / F.lit(2.0**32)
     best = Window.partitionBy("lang").orderBy("h", "text")  # over a bounded number of rows
     few = (
-        rows.filter(F.col("lang").isin([r["lang"] for r in counts]))
+        rows.join(F.broadcast(shares), "lang")  # a row for each language
         .withColumn("h", h)
-        .filter(unit < share[F.col("lang")])
+        .filter(unit < F.col("share"))
         .withColumn("k", F.row_number().over(best))
         .filter(F.col("k") <= ROWS)
         .select("lang", "k", F.substring("text", 1, ROW_CHARS).alias("text"))
@@ -69,24 +69,34 @@ def _codes(text: str) -> np.ndarray:
 
 
 class Automata:
-    """The languages' suffix automata as one table of transitions: next state, plus MISS where a phrase ends."""
+    """The languages' suffix automata in one sparse table of transitions.
+
+    A state is a place in the table; its transition by a symbol stands ``symbol`` places further on, if that place's
+    owner is the state. Otherwise a phrase ends there, and the next one begins with the symbol.
+    """
 
     def __init__(self, texts: dict[str, str]) -> None:
         self.names = sorted(texts)
-        letters = sorted({c for t in texts.values() for c in t.lower() if c.isalpha()})[: 255 - FIRST]
-        self.symbols = _kinds().copy()
+        letters = sorted({c for t in texts.values() for c in t.lower() if c.isalpha()})
+        self.symbols = _kinds().astype(np.int32)
         for k, c in enumerate(letters):
             self.symbols[ord(c)] = FIRST + k
-        self.pad = FIRST + len(letters)
-        self.width = self.pad + 1
-        tables, self.roots, self.bits, at = [], [], [], 0
-        for name in self.names:
+        self.width = FIRST + len(letters)
+        tables, roots, at = [], [], 0
+        self.bits = np.zeros(len(self.names))
+        self.starts = np.zeros((self.width, len(self.names)), np.int64)  # a phrase's state after its first symbol
+        for k, name in enumerate(self.names):
             seq = self.encode(texts[name])
-            tables.append(self._table(self._build(seq.tolist()), at))
-            self.roots.append(at)
-            self.bits.append(float(np.log2(len(seq) + 2)))
-            at += len(tables[-1])
-        self.table = np.concatenate(tables).ravel()
+            table, states, moves = self._table(self._build(seq.tolist()), at)
+            tables.append(table)
+            roots.append(states[0])
+            self.starts[:, k] = states[0]
+            for c, to in moves.items():
+                self.starts[c, k] = states[to]
+            self.bits[k] = np.log2(len(seq) + 2)
+            at += len(table)
+        self.roots = np.array(roots, np.int64)
+        self.table = np.concatenate(tables)  # owner << 32 | next state; -1 where empty
 
     def encode(self, text: str) -> np.ndarray:
         s = self.symbols[_codes(text)]
@@ -124,40 +134,90 @@ class Automata:
             last = new
         return moves
 
-    def _table(self, moves: list[dict[int, int]], at: int) -> np.ndarray:
-        root = np.full(self.width, at | MISS, np.int32)
-        for c, s in moves[0].items():
-            if c != UNKNOWN:
-                root[c] = (at + s) | MISS
-        out = np.tile(root, (len(moves), 1))
-        for i, m in enumerate(moves):
-            for c, s in m.items():
-                if c != UNKNOWN:
-                    out[i, c] = at + s
-        out[:, self.pad] = at + np.arange(len(moves), dtype=np.int32)
-        return out
+    def _table(self, moves: list[dict[int, int]], at: int) -> tuple[np.ndarray, np.ndarray, dict[int, int]]:
+        """The table of an automaton that begins at place ``at``, the places of its states, and its root's transitions.
+
+        States are dealt places at random until none of their transitions meets another's, those with many first.
+        """
+        degree = np.array([len(m) for m in moves])
+        rank = np.argsort(-degree, kind="stable")
+        own = np.repeat(rank, degree[rank])
+        symbol = np.array([c for i in rank.tolist() for c in moves[i]], np.int64)
+        to = np.array([s for i in rank.tolist() for s in moves[i].values()], np.int64)
+        size = 3 * len(own) + len(moves) + 16
+        owner = np.full(size + self.width, -1, np.int64)
+        taken = np.zeros(size, bool)
+        place = np.full(len(moves), -1, np.int64)
+        rng = np.random.RandomState(1)
+        ends = np.cumsum(degree[rank])
+        many = int((degree > 4).sum())
+        for k, i in enumerate(rank[:many].tolist()):
+            mine = symbol[ends[k] - degree[i] : ends[k]]
+            p = int(rng.randint(size))
+            while taken[p] or (owner[p + mine] >= 0).any():
+                p = int(rng.randint(size))
+            taken[p], place[i], owner[p + mine] = True, p, i
+        left = rank[many:]
+        first = int(ends[many - 1]) if many else 0
+        own_left, symbol_left = own[first:], symbol[first:]
+        claim = np.full(len(owner), -1, np.int64)
+        while len(left):
+            p = rng.randint(size, size=len(left))
+            trial = np.full(len(moves), -1, np.int64)
+            trial[left] = p
+            spots = trial[own_left] + symbol_left
+            claim[spots] = own_left
+            clash = np.zeros(len(moves), bool)
+            clash[own_left[(owner[spots] >= 0) | (claim[spots] != own_left)]] = True
+            claim[p] = left
+            clash[left[taken[p] | (claim[p] != left)]] = True
+            placed = left[~clash[left]]
+            place[placed] = trial[placed]
+            taken[trial[placed]] = True
+            good = ~clash[own_left]
+            owner[spots[good]] = own_left[good]
+            left, own_left, symbol_left = left[clash[left]], own_left[~good], symbol_left[~good]
+        place += at
+        table = np.full(len(owner), -1, np.int64)
+        table[place[own] - at + symbol] = place[own] << 32 | place[to]
+        return table, place, moves[0]
 
     def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
         """[text, language]: the number of phrases of each encoded text."""
-        pieces = [-(-len(t) // PIECE) for t in texts]
-        n, out = sum(pieces), np.zeros((len(texts), len(self.names)))
+        out = np.zeros((len(texts), len(self.names)))
+        pieces = np.array([-(-len(t) // PIECE) for t in texts], np.int64)
+        n = int(pieces.sum())
         if not n:
             return out
-        lanes = np.full((n, PIECE), self.pad, np.uint8)
+        lanes = np.zeros((n, PIECE), np.int32)
+        lengths = np.full(n, PIECE)
         at = 0
-        for t, k in zip(texts, pieces):
-            lanes[at : at + k].reshape(-1)[: len(t)] = t
+        for t, k in zip(texts, pieces.tolist()):
+            if k:
+                lanes[at : at + k].reshape(-1)[: len(t)] = t
+                lengths[at + k - 1] = len(t) - (k - 1) * PIECE
             at += k
-        steps = np.ascontiguousarray(lanes.T).astype(np.int32)
-        state = np.repeat(np.array(self.roots, np.int32)[:, None], n, axis=1)
-        count = np.ones_like(state)  # the last phrase
-        for t in range(PIECE):
-            state *= self.width
-            state += steps[t]
-            moved = self.table.take(state)
-            count += moved >> 30
-            state = moved & (MISS - 1)
-        np.add.at(out, np.repeat(np.arange(len(texts)), pieces), count.T)
+        order = np.argsort(-lengths, kind="stable")
+        found = np.ones((n, len(self.names)), np.int64)  # the last phrase
+        chunk = max(1, STEPPED // len(self.names))
+        for at in range(0, n, chunk):
+            part = order[at : at + chunk]
+            steps = np.ascontiguousarray(lanes[part].T)
+            longer = len(part) - np.searchsorted(lengths[part][::-1], np.arange(PIECE), "right")
+            state = np.tile(self.roots, (len(part), 1))
+            count = np.ones_like(state)
+            for t, k in enumerate(longer.tolist()):  # the first k pieces have a symbol here
+                if not k:
+                    break
+                now, c = state[:k], steps[t, :k]
+                move = self.table.take(now + c[:, None])
+                miss = (move >> 32) != now
+                count[:k] += miss
+                move &= 0xFFFFFFFF
+                np.copyto(move, self.starts.take(c, axis=0), where=miss)
+                state[:k] = move
+            found[part] = count
+        np.add.at(out, np.repeat(np.arange(len(texts)), pieces), found)
         return out
 
     def identify(self, texts: list[str | None]) -> list[tuple[str, float]]:

@@ -213,6 +213,59 @@ def test_phrases_are_longest_matches():
     assert got[:2, 0].tolist() == [1, 2] and got[3, 0] == 0
 
 
+def _scripts() -> tuple[dict[str, str], dict[str, str]]:
+    """Learned and other texts of two Han-script languages that share all letters, among many scripts below them."""
+    rng = np.random.RandomState(8)
+    texts = {}
+    for name, low, high in (("la", 97, 123), ("cy", 0x430, 0x450), ("ar", 0x621, 0x64B), ("hi", 0x905, 0x93A), ("ja", 0x3041, 0x30FB), ("am", 0x1200, 0x1249)):
+        texts[name] = "".join(chr(x) for x in rng.randint(low, high, 3000))
+    han = [chr(0x4E00 + x) for x in range(300)]
+    words = {k: ["".join(rng.choice(han, 3)) for _ in range(100)] for k in ("zh", "yue")}
+    learned = texts | {k: "".join(rng.choice(w, 900)) + "".join(han) for k, w in words.items()}
+    return learned, {k: "".join(rng.choice(w, 20)) for k, w in words.items()}
+
+
+def test_every_letter_is_a_symbol():
+    learned, others = _scripts()
+    assert len({c for t in learned.values() for c in t if c.isalpha()}) > 500
+    model = language.Automata(learned)
+    for name, text in others.items():
+        found, score = model.identify([text])[0]
+        assert found == name and score > 0.6
+
+
+def test_phrases_by_brute_force():
+    learned, others = _scripts()
+    model = language.Automata(learned)
+    texts = [*others.values(), learned["hi"][50:400] + " qя " + learned["zh"][:300], "한", "é"]
+    got = model.phrases([model.encode(t) for t in texts])
+    for row, text in zip(got, texts):
+        coded = model.encode(text).tolist()
+        for k, name in enumerate(model.names):
+            whole, n = model.encode(learned[name]).astype("<u4").tobytes(), 0
+            for at in range(0, len(coded), language.PIECE):
+                now, n = b"", n + 1
+                for c in coded[at : at + language.PIECE]:
+                    c = np.uint32(c).tobytes()
+                    longer = [whole.find(now + c)]
+                    while longer[-1] >= 0 and longer[-1] % 4:
+                        longer.append(whole.find(now + c, longer[-1] + 1))
+                    if longer[-1] >= 0:
+                        now += c
+                    else:
+                        n, now = n + 1, c if c in {whole[i : i + 4] for i in range(0, len(whole), 4)} else b""
+            assert row[k] == n
+
+
+def test_every_label_is_learned(spark):
+    rng = np.random.RandomState(9)
+    words = {f"l{k:02d}": ["".join(chr(97 + x) for x in rng.randint(0, 26, 5)) for _ in range(12)] for k in range(80)}
+    rows = [(3 * k + j, " ".join(rng.choice(w, 40)), n) for k, (n, w) in enumerate(words.items()) for j in range(3 if k < 70 else 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = language.identify(df, df).collect()
+    assert len(got) == len(rows) and all(r["lang_pred"] == r["lang"] for r in got)
+
+
 def test_toxicity_folding_and_exceptions(spark):
     texts = ["you ｉdiot", "1D10T!", "іdіоt", "IDIÓTS", "the scum line is clean", "scum", "scummy", None, ""]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
