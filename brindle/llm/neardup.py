@@ -14,7 +14,8 @@ similarity from both registers by likelihood and, unless that is far below the t
 With BANDS bands of ROWS registers a pair at similarity 0.8 is missed with a probability near 1e-6; the estimate's
 margin is five standard deviations. Documents without words or with null text have an empty set and link with nothing;
 documents with fewer words than a shingle have one shingle, all their words. Repeated rows are exact copies; null ids
-count as the smallest; columns other than id and text are ignored by ``near_duplicates``.
+count as the smallest; columns other than id and text are ignored by ``near_duplicates``. Rows are told apart by id and
+a hash of the text, so ids may repeat or be null.
 """
 
 from __future__ import annotations
@@ -142,8 +143,12 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * common >= percent * (len(a) + len(b) - common)
 
 
+def _key(doc_id: str) -> Column:
+    return F.coalesce(F.col(doc_id).cast("long"), F.lit(_LEAST))
+
+
 def sketch_documents(docs: DataFrame, width: int, doc_id: str, text: str) -> DataFrame:
-    """(doc_id, n, node, sketch) per document; node (a hash of the set) and sketch are null for empty sets."""
+    """(doc_id, n, node, sketch, mark) per document; node (a hash of the set) and sketch are null for empty sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -163,14 +168,12 @@ def sketch_documents(docs: DataFrame, width: int, doc_id: str, text: str) -> Dat
                     sketch[k] = r.tobytes()
                 at = end
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(node, pa.int64()), pa.array(sketch, pa.binary())],
-                names=["doc_id", "n", "node", "sketch"],
+                [b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(node, pa.int64()), pa.array(sketch, pa.binary()), b.column(2)],
+                names=["doc_id", "n", "node", "sketch", "mark"],
             )
 
-    rows = docs.select(
-        F.coalesce(F.col(doc_id).cast("long"), F.lit(_LEAST)).alias("doc_id"), F.col(text).alias("text")
-    )
-    return rows.mapInArrow(run, "doc_id long, n long, node long, sketch binary")
+    rows = docs.select(_key(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("mark"))
+    return rows.mapInArrow(run, "doc_id long, n long, node long, sketch binary, mark long")
 
 
 def _bands(nodes: DataFrame) -> DataFrame:
@@ -324,18 +327,16 @@ def compare_families(placed: DataFrame, texts: DataFrame, width: int, percent: i
     return stage(rows.groupBy("family", "one", "two").applyInArrow(compare, "u long, v long"), "links")
 
 
-def near_duplicates(
-    docs: DataFrame, width: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text"
-) -> DataFrame:
-    """Per document: doc_id, n_shingles, component_id (least doc_id that its links reach), kept (is that its own)."""
+def _judged(docs: DataFrame, width: int, percent: int, doc_id: str, text: str) -> DataFrame:
+    """(doc_id, mark, n, component_id, stays) per row; ``stays`` holds for the component's least (doc_id, mark)."""
     spark = docs.sparkSession
     bounded_batches(spark)
     found = stage(sketch_documents(docs, width, doc_id, text), "sketches")
     full = found.filter("node IS NOT NULL")
     nodes = stage(
         full.groupBy("node").agg(
-            F.min("doc_id").alias("first"), F.first("n").alias("n"), F.min_by("sketch", "doc_id").alias("sketch")
-        ),
+            F.min(F.struct("doc_id", "mark")).alias("first"), F.first("n").alias("n"), F.min_by("sketch", "doc_id").alias("sketch")
+        ).select("node", F.col("first.doc_id").alias("first"), F.col("first.mark").alias("mark"), "n", "sketch"),
         "nodes",
     )
     bands = stage(_bands(nodes), "bands")
@@ -344,30 +345,45 @@ def near_duplicates(
     degrees = shared.groupBy("node").agg(F.sum(F.col("k") - 1).alias("degree"))
     shared = stage(shared.join(degrees, "node").select("band", "node", "degree"), "shared")
     involved = stage(degrees.select("node").join(nodes, "node"), "involved")
-    keys = _sized(stage(involved.select("first", "node"), "keys"))
-    rows = docs.select(
-        F.coalesce(F.col(doc_id).cast("long"), F.lit(_LEAST)).alias("first"), F.col(text).alias("text")
-    )
+    keys = _sized(stage(involved.select("first", "mark", "node"), "keys"))
+    rows = docs.select(_key(doc_id).alias("first"), F.xxhash64(text).alias("mark"), F.col(text).alias("text"))
     comps = connect(shared, _texts_of(rows, keys, involved, width), width, percent)
-    labels = nodes.select("node", "first").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    labels = nodes.select("node", "first", "mark").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     labels = stage(labels, "labels")
-    least = stage(labels.groupBy("comp").agg(F.min("first").alias("component_id")), "least")
-    labels = stage(labels.join(least, "comp").select("node", "component_id"), "labels")
-    out = found.select("doc_id", "n", "node").join(labels, "node", "left")
-    shown: Column = F.when(F.col("doc_id") != _LEAST, F.col("doc_id"))
-    component = F.coalesce("component_id", "doc_id")
+    least = stage(labels.groupBy("comp").agg(F.min(F.struct("first", "mark")).alias("least")), "least")
+    labels = stage(
+        labels.join(least, "comp").select(
+            "node", F.col("least.first").alias("component_id"), F.col("least.mark").alias("least_mark")
+        ),
+        "labels",
+    )
+    out = found.select("doc_id", "n", "node", "mark").join(labels, "node", "left")
+    return out.select(
+        "doc_id",
+        "mark",
+        "n",
+        F.coalesce("component_id", "doc_id").alias("component_id"),
+        (F.col("component_id").isNull() | (F.col("doc_id") == F.col("component_id")) & (F.col("mark") == F.col("least_mark"))).alias("stays"),
+    )
+
+
+def near_duplicates(
+    docs: DataFrame, width: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text"
+) -> DataFrame:
+    """Per document: doc_id, n_shingles, component_id (least doc_id that its links reach), kept (is that its own)."""
+    out = _judged(docs, width, percent, doc_id, text)
     return out.select(
-        shown.alias("doc_id"),
+        F.when(F.col("doc_id") != _LEAST, F.col("doc_id")).alias("doc_id"),
         F.col("n").alias("n_shingles"),
-        F.when(component != _LEAST, component).alias("component_id"),
-        (F.col("doc_id") == component).alias("kept"),
+        F.when(F.col("component_id") != _LEAST, F.col("component_id")).alias("component_id"),
+        (F.col("doc_id") == F.col("component_id")).alias("kept"),
     )
 
 
 def _texts_of(rows: DataFrame, keys: DataFrame, involved: DataFrame, width: int) -> DataFrame:
     """node, n, sketch and one text of each involved node, staged.
 
-    Texts are found by the node's first doc_id; where ids repeat, the text whose set is the node's is taken.
+    Texts are found by the node's first doc_id and that row's text hash, and their sets compared with the node.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -378,7 +394,7 @@ def _texts_of(rows: DataFrame, keys: DataFrame, involved: DataFrame, width: int)
             ]
             yield b.filter(pa.array(keep, pa.bool_()))
 
-    joined = rows.join(keys, "first").select("node", "text")
+    joined = rows.join(keys, ["first", "mark"]).select("node", "text")
     own = stage(joined.mapInArrow(run, "node long, text string").dropDuplicates(["node"]), "texts")
     return stage(own.join(involved.select("node", "n", "sketch"), "node"), "node_texts")
 
@@ -388,11 +404,19 @@ def drop_near_duplicates(
 ) -> DataFrame:
     """One document of each group, the one with the least doc_id, with the columns of ``docs``.
 
-    Of rows that repeat a doc_id one stays, if any.
+    Rows are judged by id and text: of a group's rows with its least id, the one with the least text hash stays; rows
+    of one id, or none, whose texts are no near duplicates all stay; of rows that repeat both id and text one stays,
+    if any.
     """
-    found = stage(near_duplicates(docs, width, percent, doc_id, text).select("doc_id", "kept"), "verdicts")
-    rows, ids = found.agg(F.count("*"), F.count_distinct(F.coalesce("doc_id", F.lit(_LEAST)))).first()
-    dropped = stage(found.filter("NOT kept").select(F.col("doc_id").alias("_dropped")).distinct(), "dropped")
-    dropped = _sized(dropped)
-    out = docs.join(dropped, docs[doc_id].eqNullSafe(dropped["_dropped"]), "left_anti")
-    return out if rows == ids else out.dropDuplicates([doc_id])
+    found = stage(_judged(docs, width, percent, doc_id, text).select("doc_id", "mark", "stays"), "verdicts")
+    rows, keys = found.agg(F.count("*"), F.count_distinct("doc_id", "mark")).first()
+    dropped = found.filter("NOT stays").distinct()
+    dropped = dropped.select(F.col("doc_id").alias("_dropped_id"), F.col("mark").alias("_dropped_mark"))
+    dropped = _sized(stage(dropped, "dropped"))
+    own, mark = _key(doc_id), F.xxhash64(text)
+    out = docs.join(dropped, (own == dropped["_dropped_id"]) & (mark == dropped["_dropped_mark"]), "left_anti")
+    if rows == keys:
+        return out
+    columns = [F.col(c) for c in docs.columns]
+    out = out.select(F.struct(*columns).alias("row"), own.alias("id"), mark.alias("mark")).dropDuplicates(["id", "mark"])
+    return out.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])

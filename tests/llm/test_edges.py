@@ -73,6 +73,28 @@ def test_near_duplicates_of_odd_rows(odd):
     assert left.columns == odd.columns and sorted(r["doc_id"] or 0 for r in left.collect()) == [0, 1, 2, 3, 4, 5, 7, 8, 9, 10]
 
 
+def test_null_and_repeated_ids_with_different_texts(spark):
+    rng = np.random.RandomState(10)
+    texts = [" ".join(f"w{x}" for x in rng.randint(0, 900, 40)) for _ in range(14)]
+    rows = [(None, t) for t in texts[:6]] + [(5, texts[0]), (6, texts[5] + " more"), (7, texts[6]), (7, texts[7])]
+    rows += [(8, texts[8]), (8, texts[9]), (9, texts[9]), (3, texts[8]), (None, texts[1]), (10, texts[10]), (10, texts[10])]
+    rows += [(11, texts[11]), (11, texts[11] + " end"), (12, texts[12]), (None, None), (12, ""), (13, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for width in (2, 5):
+        sets = [set(neardup.shingles(t, width).tolist()) for _, t in rows]
+        group = list(range(len(rows)))
+        for i, a in enumerate(sets):
+            for k, b in enumerate(sets[:i]):
+                if a and 100 * len(a & b) >= 80 * len(a | b):
+                    group = [group[k] if g == group[i] else g for g in group]
+        got = [(r["doc_id"], r["text"]) for r in neardup.drop_near_duplicates(df, width).collect()]
+        for g in set(group):
+            mine = [r for r, x in zip(rows, group) if x == g]
+            left = [r for r in got if r in mine]
+            assert len(left) == 1 and (left[0][0] or 0) == min(i or 0 for i, _ in mine)
+        assert len(got) == len(set(group))
+
+
 @pytest.mark.parametrize("block", [2, 192])
 def test_chain_of_near_copies(spark, monkeypatch, block):
     """Neighbours are linked, ends are not: one component, by links between different texts, in any blocks."""
