@@ -7,6 +7,10 @@ left open. The second pass gives an open block the label of its nearest decided
 they disagree at equal distance, or none is decided, the section's own label holds: good in an article, otherwise bad
 if the page has an article and good if the block has a stop word.
 
+Names (class, id, role) tell boilerplate by whole tokens or by compounds of BAD_NAMES and PLAIN_NAMES, on sections and on
+other block elements. They never mark body, main or article; a named section that holds the page's only articles
+doesn't make them bad, and a good text overrules a name of WEAK_NAMES.
+
 Null and empty pages have an empty text. Broken markup is read as browsers do: unclosed elements end with their parents,
 a tag that the page's end cuts off is dropped, unknown character references stay. Repeated rows get equal texts; extra
 columns are kept.
@@ -50,6 +54,18 @@ BAD_NAMES = frozenset(
     "login share sharing social comment comments reply replies respond disqus toolbar pagination pager skip search "
     "contentinfo complementary dialog".split()
 )
+#: Names that good text overrules, and words that make known compounds with bad names.
+WEAK_NAMES = frozenset("notice notices alert banner header masthead search login share sharing social skip toolbar".split())
+PLAIN_NAMES = frozenset(
+    "site page post entry article blog main top bottom left right primary secondary global sticky fixed area list section "
+    "box bar block group container wrapper wrap inner outer row col column panel link links button buttons form item items "
+    "text title message thread posts stories".split()
+)
+#: Elements without blocks inside, which the next block ends; those that end others of their kind.
+LEAF_TAGS = frozenset("p h1 h2 h3 h4 h5 h6 pre caption legend".split())
+ENDED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "tr": {"tr"}}
+#: How bad an element is: by a weak name, by a name, by its tag or hidden; or an article that a named element holds.
+GOOD, WEAK, NAMED, BAD, HELD = range(5)
 
 _MARKUP = re.compile(
     rf"<!--.*?(?:-->|\Z)|<({SKIPPED})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
@@ -66,29 +82,35 @@ _LETTERS = re.compile(r"[^\W\d_]+")
 class Block:
     text: str
     section: int
-    bad: bool
+    bad: int
     article: bool
     link_share: float
 
 
-def _bad_section(tag: str, attributes: str, in_article: bool) -> bool:
+def _badness(tag: str, attributes: str, in_article: bool) -> int:
+    """How bad an element is by its own tag and attributes."""
     if tag in BAD_TAGS or tag == "header" and not in_article:
-        return True
+        return BAD
+    worst = GOOD
     for name, value in _NAMED.findall(attributes) if attributes.strip() else ():
         name, value = name.lower(), value.strip("\"'").lower()
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and _HIDDEN.search(value):
-            return True
-        if name in ("class", "id", "role"):
-            parts = set(_PARTS.split(value))
-            if parts & BAD_NAMES or "header" in parts and not in_article:
-                return True
-    return False
+            return BAD
+        if name in ("class", "id", "role") and tag not in ARTICLE_TAGS and tag != "body":
+            for token in value.split():
+                parts = {x for x in _PARTS.split(token) if x and not x.isdigit()}
+                named = parts & BAD_NAMES
+                if "header" in parts and not in_article:
+                    named = named | {"header"}
+                if named and parts <= named | PLAIN_NAMES:
+                    worst = max(worst, WEAK if named <= WEAK_NAMES else NAMED)
+    return worst if tag in SECTION_TAGS or worst != WEAK else GOOD
 
 
 def blocks_of(page: str) -> list[Block]:
     """The page's blocks with some text, in page order."""
     found: list[Block] = []
-    stack: list[tuple[str, bool, bool, int]] = [("", False, False, 0)]  # tag, bad, in an article, section
+    stack: list[tuple[str, int, bool, int]] = [("", GOOD, False, 0)]  # tag, how bad, in an article, section
     sections, text, linked, in_link, head, at = 1, [], 0, False, False, 0
 
     def add(piece: str) -> None:
@@ -122,34 +144,54 @@ def blocks_of(page: str) -> list[Block]:
             in_link = False
             if tag in ("head", "body"):
                 head = tag == "head" and not ending
-            if tag not in SECTION_TAGS:
+            if tag in ("head", "html", "hr"):
                 continue
             if not ending:
+                while stack[-1][0] in LEAF_TAGS:
+                    stack.pop()
+                for k in range(len(stack) - 1, 0, -1):
+                    if stack[k][0] in SECTION_TAGS:
+                        break
+                    if tag in ENDED_BY.get(stack[k][0], ()):
+                        del stack[k:]
+                        break
                 _, bad, article, section = stack[-1]
-                own = _bad_section(tag, m[4], article)
+                own = _badness(tag, m[4], article)
                 inside = article or tag in ARTICLE_TAGS
-                if own and not bad or inside and not article:
+                if bad == HELD:
+                    now = own or HELD
+                elif inside and not article and bad in (WEAK, NAMED):
+                    now = max(own, BAD) if own else HELD
+                else:
+                    now = max(bad, own)
+                if now != bad or inside and not article:
                     section, sections = sections, sections + 1
-                stack.append((tag, bad or own, inside, section))
+                stack.append((tag, now, inside, section))
             else:
                 for k in range(len(stack) - 1, 0, -1):
                     if stack[k][0] == tag:
                         del stack[k:]
                         break
+                    if tag not in SECTION_TAGS and stack[k][0] in SECTION_TAGS:
+                        break
     add(page[at:])
     close()
+    other = any(b.article and b.bad == GOOD for b in found)
+    for b in found:
+        if b.bad == HELD:
+            b.bad = BAD if other else GOOD
     return found
 
 
 def _decided(block: Block) -> bool | None:
     """The first pass: good, bad or open."""
-    if block.bad or block.link_share > LINK_SHARE:
+    if block.bad > WEAK or block.link_share > LINK_SHARE:
         return False
     if len(block.text) >= LONG:
         words = _LETTERS.findall(block.text.lower())
         if words and sum(w in STOP_WORDS for w in words) >= STOP_SHARE * len(words):
             return True
-    return None
+    return False if block.bad else None
 
 
 def classify(blocks: list[Block]) -> list[bool]:

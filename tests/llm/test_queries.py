@@ -188,3 +188,25 @@ def test_page_rules():
         "And so on here",
     ]
     assert pages.main_text(None) == "" and pages.main_text("<p") == "" and pages.main_text("<nav>a</nav>") == ""
+
+
+def test_page_names():
+    long = "This is the text of the article and it has many of the words that are in all of the texts {}."
+    one, two, three = (long.format(x) for x in ("one", "two", "three"))
+    for page in (
+        f"<body class='single no-sidebar'><p>{one}</p></body>",
+        f"<body class='sidebar'><main id='content' class='with-sidebar'><p>{one}</p></main></body>",
+        f"<main id=search><p>{one}</p></main>",
+        f"<article class='post comments-open'><p>{one}</p></article>",
+        f"<div class='sidebar'><div><article><p>{one}</p><div class=related><p>{two}</p></div></article></div></div>",
+        f"<article><p>{one}</p></article><div id=comments><article class=comment><p>{two}</p></article></div>",
+        f"<article><p class='advert'>{two}</p><p>{one}</p></article>",
+        f"<article><p>{one}<p class='advert'>{two}<div class='sponsored'>{three}</div></article>",
+        f"<article><p>{one}</p><ul><li class='related'><p>{two}</p><p>{three}</p></ul></article>",
+        f"<table><tr><td class='nav menu'>{two}<td>{one}</table>",
+        f"<div class='notice'><p>{one}</p><p>Close</p></div>",
+        f"<div class='comments-area'><p>{two}</p></div><div class=entry><p>{one}</p></div>",
+        f"<article><p>{one}</p><p style='display:none'>{two}</p></article>",
+    ):
+        assert pages.main_text(page) == one, page
+    assert pages.main_text(f"<article><ul><li class='ad'>{one}<li>{two}</ul><p>{three}</p></article>") == f"{two}\n\n{three}"
