@@ -6,7 +6,7 @@ anchors with the least hashes, written in the order in which they first stand in
 each; the likeness of two fingerprints is the share of common anchors among the SKETCH least of both together, which
 estimates the Jaccard similarity of all their anchors.
 
-Texts shorter than K have one anchor, their own hash; null and empty texts have none and an empty fingerprint, which is
+Texts shorter than K have one anchor, their own hash; longer ones without a closed syncmer have their least K-mer; null and empty texts have none and an empty fingerprint, which is
 like another empty one (1) and unlike any other (0).
 """
 
@@ -57,8 +57,14 @@ def anchors(text: str) -> tuple[np.ndarray, np.ndarray]:
         least = np.minimum(least[:-rest], least[rest:])
     first, last = inner[: n - K + 1], inner[width - 1 :]
     at = np.flatnonzero((first == least) | (last == least))
+    none = not len(at)
+    if none:
+        at = np.arange(n - K + 1)
     whole = _mixed(inner[at] * _STEP + inner[at + (width // 2)]) * _STEP + inner[at + width - 1]
-    return at, (_mixed(whole) >> np.uint64(32)).astype(np.uint32)
+    h = (_mixed(whole) >> np.uint64(32)).astype(np.uint32)
+    if none:
+        at, h = at[[h.argmin()]], h[[h.argmin()]]
+    return at, h
 
 
 def sketch(text: str) -> np.ndarray:

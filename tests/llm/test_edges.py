@@ -221,6 +221,15 @@ def test_fingerprint_likeness():
     assert set((inside + 100).tolist()) == {p for p in at.tolist() if 100 <= p <= 2000 - fingerprints.K}
 
 
+def test_short_texts_have_fingerprints():
+    rng = np.random.RandomState(11)
+    texts = ["".join(chr(97 + x) for x in rng.randint(0, 26, n)) for n in range(14, 40) for _ in range(40)]
+    found = [fingerprints.sketch(t) for t in texts]
+    assert all(len(f) for f in found)
+    assert all(fingerprints.likeness(a, b) == 0 for a, b in zip(found, found[1:]))
+    assert all(fingerprints.likeness(f, fingerprints.sketch("")) == 0 for f in found)
+
+
 def test_language_of_odd_rows(odd):
     got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language.identify(odd, odd).collect()}
     assert got[2] == got[3] == got[4] == got[9] == ("und", 0.0) and got[1][0] == "en"
