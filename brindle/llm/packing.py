@@ -3,8 +3,8 @@
 Documents, each closed by an end token, stand in the order of doc_id. A dynamic programme chooses where sequences are
 cut: at ends of documents (free), at ends of sentences (SENTENCE_COST) or, in stretches without one, inside a sentence
 (INNER_COST), minimising padding plus these costs. A sequence is padded to the full length unless its length is a power
-of two. The cost of a padded sequence is linear in its length, so its best beginning is the front of a monotone queue;
-beginnings a power of two away are looked up. Documents are dealt by ranges of doc_id; each partition is packed on its
+of two (1024 or 2048; at the end of a partition 64 to 512 as well). The cost of a padded sequence is linear in its
+length, so its best beginning is the front of a monotone queue; beginnings a power of two away are looked up. Documents are dealt by ranges of doc_id; each partition is packed on its
 own, in blocks of BLOCK tokens whose open end goes on into the next block.
 
 A null text is empty and still has its end token; documents of equal id stand in the order of their texts, null ids come
@@ -17,7 +17,7 @@ import os
 import re
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,9 +36,13 @@ CLOSE = 12
 BLOCK = 1 << 18
 #: Words whose tokens a Python worker remembers.
 REMEMBERED = 1_200_000
-#: A run of letters, and marks after it that no contraction of the tokenizer's rule begins.
-_PLAIN = re.compile(rb"([a-z]+)([!-&(-/:-@\[-`{-~]*)")
-_POWERS = [1 << k for k in range(6, 12)]
+#: A run of Latin letters (UTF-8), and marks after it that no contraction of the tokenizer's rule begins.
+_PLAIN = re.compile(rb"((?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([!-&(-/:-@\[-`{-~]*)")
+#: Lengths of unpadded sequences: anywhere, and near the end of the tokens, where places STEP tokens apart are offered.
+POWERS, TAIL_POWERS, STEP = (1024, 2048), (64, 128, 256, 512), 64
+_END = END.to_bytes(4, "little")
+#: Characters of texts that are encoded together.
+TOGETHER = 1 << 20
 
 
 class WordTokens:
@@ -46,83 +50,96 @@ class WordTokens:
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
-        self.model = self.tokenizer.model
         vocabulary = self.tokenizer.get_vocab()
+        # the same model without the rules that runs of one kind don't need, nor its own memory of words
+        self.bare = Tokenizer(self.tokenizer.model)
+        self.bare.model._resize_cache(0)
+        split = pre_tokenizers.Split(" ", "removed")
+        self.bare.pre_tokenizer = pre_tokenizers.Sequence(
+            [split, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
+        )
         size = max(vocabulary.values()) + 1
         self.closes, self.sentence = np.zeros(size, bool), np.zeros(size, bool)
         for token, k in vocabulary.items():
             self.closes[k] = token.endswith("</w>")
             self.sentence[k] = token.endswith((".</w>", "!</w>", "?</w>"))
 
-    def _encode(self, texts: list[str]) -> list[list[int]]:
-        batch = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        return [e.ids for e in batch(texts, add_special_tokens=False)]
-
-    def _run(self, run: bytes) -> bytes:
-        """Ids of a run of a-z, or of ASCII marks: one piece for the tokenizer's model, whatever stands around it."""
-        found = self.known.get(run)
-        if found is None:
-            found = array("I", [t.id for t in self.model.tokenize(run.decode())]).tobytes()
-            if len(run) <= 64:
-                self.known[run] = found
-        return found
-
-    def _learn(self, words: list[bytes]) -> dict[bytes, bytes]:
-        """Ids of new words. A run of a-z and marks after it go to the tokenizer's model at once. Words of other
-        letters are encoded as one text and told apart by the tokens that close them; the rest one by one."""
-        found: dict[bytes, bytes] = {}
-        letters, other = [], []
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        batch = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [array("I", e.ids).tobytes() for e in batch]
+
+    def _runs(self, runs: list[bytes]) -> None:
+        """Remember the ids of runs of Latin letters or of marks, each of which is one piece for the tokenizer's model.
+        All are encoded as one text and told apart by the tokens that close them."""
+        text = b" ".join(runs).decode().lower()
+        ids = np.array(self.bare.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+        ends = (np.flatnonzero(self.closes[ids]) + 1) * 4
+        if len(ends) == len(runs):
+            blob, cuts = ids.tobytes(), ends.tolist()
+            self.known.update((r, blob[a:b]) for r, a, b in zip(runs, [0, *cuts], cuts))
+        else:
+            self.known.update(zip(runs, self._encode([r.decode() for r in runs])))
+
+    def _learn(self, words: list[bytes]) -> None:
+        """Remember the ids of new words: Latin letters and marks after them by runs, any other word by itself."""
+        known, plain, other = self.known, [], []
         for w in words:
             m = _PLAIN.fullmatch(w)
             if m:
-                found[w] = self._run(m[1]) + self._run(m[2]) if m[2] else self._run(m[1])
-                continue
-            t = w.decode("utf-8", "replace")
-            (letters if t.isalpha() else other).append((w, t))
-        if letters:
-            ids = np.array(self._encode([" ".join(t for _, t in letters)])[0], "<u4")
-            ends = (np.flatnonzero(self.closes[ids]) + 1) * 4
-            if len(ends) == len(letters):
-                blob, cuts = ids.tobytes(), ends.tolist()
-                found.update((w, blob[a:b]) for (w, _), a, b in zip(letters, [0, *cuts], cuts))
+                plain.append((w, m[1], m[2]))
             else:
-                other += letters
-        for (w, _), ids in zip(other, self._encode([t for _, t in other])):
-            found[w] = array("I", ids).tobytes()
-        return found
-
-    def document(self, text: str | None) -> tuple[bytes, np.ndarray]:
-        """The ids with the end token, as little-endian 32-bit integers, and the places after sentences' ends."""
-        words = (text or "").encode("utf-8", "replace").lower().split()
-        parts = list(map(self.known.get, words))
-        if None in parts:
+                other.append(w)
+        if new := [r for r in {r for _, a, b in plain for r in (a, b)} if r and r not in known]:
+            self._runs(new)
+        for w, a, b in plain:
+            if b:
+                known[w] = known[a] + known[b]
+        known.update(zip(other, self._encode([w.decode("utf-8", "replace") for w in other])))
+
+    def documents(self, texts: list[str | None]) -> list[tuple[bytes, np.ndarray]]:
+        """For each text the ids with the end token, as little-endian 32-bit integers, and the places after sentences'
+        ends. New words of all the texts are learned together."""
+        words = [(t or "").encode("utf-8", "replace").lower().split() for t in texts]
+        parts = [list(map(self.known.get, w)) for w in words]
+        new = {x for w, p in zip(words, parts) if None in p for x, y in zip(w, p) if y is None}
+        if new:
+            self._learn(list(new))
+            for w, p in zip(words, parts):
+                if None in p:
+                    p[:] = [self.known[x] if y is None else y for x, y in zip(w, p)]
+            for w in new:
+                if len(w) > 64:  # long words aren't kept
+                    del self.known[w]
             if len(self.known) > REMEMBERED:
                 self.known.clear()
-                parts = [None] * len(words)
-            new = self._learn(list({w for w, p in zip(words, parts) if p is None}))
-            parts = [new[w] if p is None else p for w, p in zip(words, parts)]
-            self.known.update((w, p) for w, p in new.items() if len(w) <= 64)
-        parts.append(END.to_bytes(4, "little"))
-        blob = b"".join(parts)
-        return blob, np.flatnonzero(self.sentence[np.frombuffer(blob, "<u4")]) + 1
-
-
-def offered_cuts(sentences: np.ndarray, total: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places (from 1 to ``total``) at which a document of ``total`` tokens may be cut, and their costs."""
-    places = sentences[sentences < total - 1]
-    if len(places):
-        places = places[np.diff(places // CLOSE, append=-1) != 0]
-    places = np.append(places, total)
-    costs = np.full(len(places), SENTENCE_COST, np.int64)
-    costs[-1] = 0
+        out = []
+        for p in parts:
+            p.append(_END)
+            blob = b"".join(p)
+            out.append((blob, np.flatnonzero(self.sentence[np.frombuffer(blob, "<u4")]) + 1))
+        return out
+
+
+def offered_cuts(sentences: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places at which documents that end at the places ``ends`` may be cut, rising, and their costs. ``sentences`` are
+    the places after sentences' ends; what lies before 0 is packed already."""
+    inside = np.setdiff1d(sentences[sentences > 0], np.concatenate([ends, ends - 1]), assume_unique=True)
+    if len(inside):
+        inside = inside[np.diff(inside // CLOSE, append=-1) != 0]
+    places = np.concatenate([ends, inside])
+    costs = np.where(np.arange(len(places)) < len(ends), 0, SENTENCE_COST)
+    order = np.argsort(places, kind="stable")
+    places, costs = places[order], costs[order]
     before = np.concatenate([[0], places[:-1]])
     wide = np.flatnonzero(places - before > GAP)
     if len(wide):
-        inner = np.concatenate([np.arange(before[k] + INNER_STEP, places[k], INNER_STEP) for k in wide])
+        steps = (places[wide] - before[wide] - 1) // INNER_STEP
+        nth = np.arange(int(steps.sum())) - np.repeat(np.cumsum(steps) - steps, steps) + 1
+        inner = np.repeat(before[wide], steps) + nth * INNER_STEP
         places, costs = np.append(places, inner), np.append(costs, np.full(len(inner), INNER_COST, np.int64))
         order = np.argsort(places, kind="stable")
         places, costs = places[order], costs[order]
@@ -136,7 +153,7 @@ def best_cuts(places: list[int], costs: list[int], final: bool, length: int = LE
     places[i]), and over i a power of two before j, cost(i) + SHORT_COST.
     """
     at = [0, *places]
-    hops = _hops(np.array(at))
+    hops = _hops(np.array(at), length)
     best, ahead, back = [0], [0], [0]  # ahead: best + place
     queue, front = [0], 0  # indices with rising ahead
     for j in range(1, len(at)):
@@ -165,28 +182,29 @@ def best_cuts(places: list[int], costs: list[int], final: bool, length: int = LE
         cuts.append(at[j])
         j = back[j]
     cuts.reverse()
-    if final and cuts:
-        cuts = cuts[:-1] + _last(cuts[-2] if len(cuts) > 1 else 0, cuts[-1], length)
     return cuts
 
 
-def _hops(at: np.ndarray) -> dict[int, list[int]]:
-    """For each index the indices whose place is a power of two before its own."""
+def _hops(at: np.ndarray, length: int) -> dict[int, list[int]]:
+    """For each index the indices whose place is one of the POWERS before its own; within the last ``length`` tokens
+    also one of the TAIL_POWERS."""
     found: dict[int, list[int]] = {}
-    for size in _POWERS:
-        i = np.searchsorted(at, at - size)
-        for j in np.flatnonzero(at[i] == at - size).tolist():
-            found.setdefault(j, []).append(int(i[j]))
+    near = int(np.searchsorted(at, at[-1] - length))
+    for sizes, first in ((POWERS, 0), (TAIL_POWERS, near)):
+        for size in sizes:
+            own = at[first:] - size
+            i = np.searchsorted(at, own)
+            for j in np.flatnonzero(at[i] == own).tolist():
+                found.setdefault(first + j, []).append(int(i[j]))
     return found
 
 
-def _last(start: int, end: int, length: int) -> list[int]:
-    """The cuts of the last sequence: by powers of two, if that costs less than its padding."""
-    size = end - start
-    bits = [1 << k for k in range(size.bit_length() - 1, -1, -1) if size >> k & 1]
-    if len(bits) < 2 or (len(bits) - 1) * INNER_COST >= length - size:
-        return [end]
-    return [start + int(x) for x in np.cumsum(bits)]
+def with_tail(places: np.ndarray, costs: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
+    """Also offers the places STEP, 2 * STEP, ... before the last one, so that the tokens can end in sequences of powers
+    of two instead of one that is mostly padding."""
+    tail = np.setdiff1d(np.arange(places[-1] - STEP, max(0, places[-1] - length), -STEP), places)
+    order = np.argsort(np.append(places, tail), kind="stable")
+    return np.append(places, tail)[order], np.append(costs, np.full(len(tail), INNER_COST, np.int64))[order]
 
 
 class Packer:
@@ -207,16 +225,16 @@ class Packer:
         """Pieces: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
         if not self.docs:
             return []
-        places, costs, begin = [], [], -self.used
-        starts = []
-        for _, ids, sentences in self.docs:
-            p, c = offered_cuts(sentences, len(ids) // 4)
-            p = p + begin
-            places.append(p[p > 0])
-            costs.append(c[p > 0])
-            starts.append(begin)
-            begin += len(ids) // 4
-        cuts = best_cuts(np.concatenate(places).tolist(), np.concatenate(costs).tolist(), final)
+        sizes = np.array([len(ids) // 4 for _, ids, _ in self.docs])
+        ends = np.cumsum(sizes) - self.used
+        starts = (ends - sizes).tolist()
+        sentences = np.concatenate([x for _, _, x in self.docs]) + np.repeat(
+            starts, [len(x) for _, _, x in self.docs]
+        )
+        places, costs = offered_cuts(sentences.astype(np.int64), ends)
+        if final:
+            places, costs = with_tail(places, costs)
+        cuts = best_cuts(places.tolist(), costs.tolist(), final)
         pieces, d, at = [], 0, 0
         for cut in cuts:
             offset = 0
@@ -243,6 +261,26 @@ _NAMES = [x.split()[0] for x in PIECES.split(",")]
 _TOKENS: dict[str, WordTokens] = {}
 
 
+def word_tokens(path: str) -> WordTokens:
+    """Made once in each Python worker, and kept from task to task."""
+    if path not in _TOKENS:
+        _TOKENS[path] = WordTokens(path)
+    return _TOKENS[path]
+
+
+def _together(texts: Iterable[str | None]) -> Iterator[list[str | None]]:
+    """The texts in lists of about TOGETHER characters."""
+    held, size = [], 0
+    for t in texts:
+        held.append(t)
+        size += len(t or "")
+        if size >= TOGETHER:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 def pack(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The pieces of all documents, as in ``PIECES``; ``sequence_id`` holds the partition above bit 40."""
     bounded_batches(docs.sparkSession)
@@ -253,14 +291,14 @@ def pack(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text: str
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if tokenizer_path not in _TOKENS:  # once in each Python worker
-            _TOKENS[tokenizer_path] = WordTokens(tokenizer_path)
-        tokens = _TOKENS[tokenizer_path]
+        tokens = word_tokens(tokenizer_path)
         packer = Packer(TaskContext.get().partitionId() << 40)
         for b in batches:
-            for i, t in zip(b.column(0).to_pylist(), b.column(1)):
-                if pieces := packer.add(i, *tokens.document(t.as_py())):
-                    yield _batch(pieces)
+            ids = iter(b.column(0).to_pylist())
+            for texts in _together(t.as_py() for t in b.column(1)):
+                for (blob, sentences), i in zip(tokens.documents(texts), ids):
+                    if pieces := packer.add(i, blob, sentences):
+                        yield _batch(pieces)
         if pieces := packer.pack(True):
             yield _batch(pieces)
 
