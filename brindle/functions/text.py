@@ -89,6 +89,12 @@ def sentiment_label(raw: Column) -> Column:
     return F.when(low.contains("pos"), "positive").when(low.contains("neg"), "negative").otherwise("neutral")
 
 
+def two_places(x: Column) -> Column:
+    """A non-negative number with two decimals, halves rounded up."""
+    cents = F.floor(x * 100 + 0.5).cast("long")
+    return F.concat(F.floor(cents / 100).cast("string"), F.lit("."), F.lpad((cents % 100).cast("string"), 2, "0"))
+
+
 def https(url: Column) -> Column:
     """http:// becomes https://."""
     return F.regexp_replace(url, "^http://", "https://")

@@ -100,12 +100,36 @@ def retry_status(found: Column, status: Column, url: Column, sent: Column) -> Co
     )
 
 
+def _job_type() -> Column:
+    return F.when(F.coalesce("job_type", F.lit("")) == "", "pipeline").otherwise(F.col("job_type"))
+
+
 def result_payload(jobs: DataFrame) -> DataFrame:
-    """(id, payload): the JSON that a callback sends for finished jobs."""
-    done = F.to_json(F.struct(F.col("id").alias("job_id"), "status", F.col("result_json").alias("result")))
-    failed = F.to_json(F.struct(F.col("id").alias("job_id"), "status", "error"))
-    rows = jobs.filter(F.col("status").isin("completed", "failed"))
-    return rows.select("id", F.when(F.col("status") == "completed", done).otherwise(failed).alias("payload"))
+    """(id, payload): the JSON that a callback sends for finished jobs: job_id, job_type, status, result, error.
+
+    ``result_json`` is JSON text; an empty or missing one is an empty object, a missing error is ``unknown``.
+    """
+    completed = F.col("status") == "completed"
+    result = F.coalesce(F.nullif(F.trim("result_json"), F.lit("")), F.lit("{}"))
+    error = F.to_json(F.array(F.coalesce(F.nullif(F.col("error"), F.lit("")), F.lit("unknown"))))
+    head = F.to_json(F.struct(F.col("id").alias("job_id"), _job_type().alias("job_type"), "status"))
+    payload = F.concat(
+        F.expr("rtrim('}', head)"), F.lit(',"result":'), F.when(completed, result).otherwise("null"), F.lit(',"error":'),
+        F.when(completed, "null").otherwise(F.regexp_replace(error, r"^\[|\]$", "")), F.lit("}"),
+    )
+    rows = jobs.filter(F.col("status").isin("completed", "failed")).withColumn("head", head)
+    return rows.select("id", payload.alias("payload"))
+
+
+def job_view(jobs: DataFrame, ids: DataFrame) -> DataFrame:
+    """What a caller who asks for jobs (id) sees of each: found, and the job's public columns, times as text."""
+    shown = jobs.select(
+        F.col("id").alias("_id"), F.lit(True).alias("_found"), _job_type().alias("job_type"), "status", "recording_id",
+        "attempts", F.col("result_json").alias("result"), "error", "callback_delivered",
+        *[F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c) for c in ("created_at", "started_at", "completed_at")],
+    )
+    joined = ids.select("id").distinct().join(shown, F.col("id") == F.col("_id"), "left")
+    return joined.withColumn("found", F.coalesce("_found", F.lit(False))).drop("_id", "_found")
 
 
 def latest_status(events: DataFrame, job: str, order: list[str], status: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Moderation: lexicon hits, score bands, intent and severity lattices, roll-up over tracks, lexicon learning.
 
-Model scores come as columns; a missing score is 0. A blank text is safe.
+Model scores and a language model's verdict come as columns; a missing score is 0, a missing verdict leaves the band's
+own policy. A blank text is safe.
 """
 
 from __future__ import annotations
@@ -8,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brindle.functions.text import blank, sentences, word_count
+from brindle.functions.text import blank, sentences, two_places, word_count
+from brindle.operators.lexicon import lexicon_hits
 
 # The labels of the toxicity scores and what a report calls them, and the intents' wording.
 TOXIC_LABELS = {
@@ -19,18 +21,17 @@ TOXIC_LABELS = {
     "insult": "Personal attacks or insults",
     "identity_hate": "Identity-based hate speech",
 }
+INTENT_LABELS = (
+    "safe, harmless content",
+    "direct personal threat or call to violence",
+    "hate speech or discrimination against a group",
+    "explicit sexual content",
+)
 FLAG_LABELS = ("severe_toxic", "threat", "identity_hate")
 SEVERITIES = ("none", "low", "medium", "high", "critical")
 LEXICON_CATEGORY = "Threats / Violence"
 
 
-def lexicon_hits(text: Column, phrases: list[str]) -> Column:
-    """The phrases that stand anywhere in the lower-cased text, in the lexicon's order."""
-    low = F.lower(F.coalesce(text, F.lit("")))
-    listed = F.array(*[F.lit(p.lower()) for p in phrases]) if phrases else F.array().cast("array<string>")
-    return F.filter(listed, lambda p: F.contains(low, p))
-
-
 def max_score(scores: Column) -> Column:
     """Greatest of an array<struct<label, score>>; 0 for none."""
     return F.coalesce(F.array_max(F.transform(scores, lambda s: s["score"])), F.lit(0.0))
@@ -41,11 +42,11 @@ def score_flag(scores: Column) -> Column:
     return F.exists(scores, lambda s: s["label"].isin(*FLAG_LABELS) & (s["score"] >= 0.5))
 
 
-def flagged_categories(scores: Column) -> Column:
-    """Report names of known labels at 0.5 or more, in the scores' order."""
+def flagged_categories(scores: Column, known: bool = True) -> Column:
+    """Report names of labels at 0.5 or more, in the scores' order; unknown labels go, or stand for themselves."""
     names = F.create_map(*[F.lit(x) for kv in TOXIC_LABELS.items() for x in kv])
-    high = F.filter(scores, lambda s: (s["score"] >= 0.5) & s["label"].isin(*TOXIC_LABELS))
-    return F.transform(high, lambda s: names[s["label"]])
+    high = F.filter(scores, lambda s: (s["score"] >= 0.5) & (s["label"].isin(*TOXIC_LABELS) if known else F.lit(True)))
+    return F.transform(high, lambda s: F.coalesce(F.element_at(names, s["label"]), s["label"]))
 
 
 def severity_by_score(top: Column, flag: Column) -> Column:
@@ -96,53 +97,110 @@ def clamp_verdict(severity: Column, intent: Column, flagged: Column) -> tuple[Co
     return F.when(i == "safe", "none").otherwise(s), i, F.when(i == "safe", F.lit(False)).otherwise(f)
 
 
+def label_score(scores: Column, label: str) -> Column:
+    """The score of a label in an array<struct<label, score>>; 0 if it isn't there."""
+    found = F.filter(scores, lambda s: s["label"] == label)
+    return F.coalesce(F.get(found, 0)["score"], F.lit(0.0))
+
+
+def intent_verdict(scores: Column) -> Column:
+    """struct<intent, reason, harmful> of the intent labels' scores: the greatest harmful one decides, the first of equal
+    ones names it."""
+    safe, *harmful = INTENT_LABELS
+    ranked = F.array_max(
+        F.array(*[F.struct(label_score(scores, x).alias("s"), F.lit(-k), F.lit(x).alias("x")) for k, x in enumerate(harmful)])
+    )
+    top = ranked["s"]
+    intent = intent_of(top, label_score(scores, safe))
+    named = F.concat(F.lit("NLI classified as: "), ranked["x"], F.lit(" ("), two_places(top), F.lit(")"))
+    perhaps = F.concat(F.lit("Potentially harmful content ("), two_places(top), F.lit(")"))
+    reason = F.when(intent == "harmful", named).when(intent == "questionable", perhaps).otherwise("")
+    return F.struct(intent.alias("intent"), reason.alias("reason"), top.alias("harmful"))
+
+
+_SCORES = "array<struct<label: string, score: double>>"
+_MODEL = "struct<flagged: boolean, severity: string, intent: string, reason: string, categories: array<string>>"
+
+
 def moderate(
-    docs: DataFrame, phrases: list[str], scorer=None, key: str = "doc_id", text: str = "text"
+    docs: DataFrame, phrases: list[str], blocked: list[str] = (), scorer=None, key: str = "doc_id", text: str = "text"
 ) -> DataFrame:
-    """key, flagged, severity, intent, band, reason, categories, hits for each row.
+    """key, flagged, severity, intent, band, reason, categories, hits, learns for each row, in one pass.
 
-    Rows split by what they need, so that a costly ``scorer`` only sees texts that aren't blank and hit no phrase; it
-    adds the columns ``scores`` (array<struct<label, score>>), ``harmful`` and ``safe``. Without one these are columns
-    of ``docs``.
-    """
-    marked = docs.withColumn("hits", lexicon_hits(F.col(text), phrases)).withColumn("blank", blank(F.col(text)))
-    none = F.array().cast("array<string>")
-    columns = ["key", "flagged", "severity", "intent", "band", "reason", "categories", "hits"]
+    ``docs`` may have ``scores`` and ``intent_scores`` (array<struct<label, score>>) and ``model``, a language model's
+    verdict (struct<flagged, severity, intent, reason, categories>, null where it gave none); a costly ``scorer`` that
+    adds them only sees texts that aren't blank and hit no phrase. Bands, the first that holds:
 
-    def verdict(rows: DataFrame, **parts: Column) -> DataFrame:
-        full = {"key": F.col(key), "hits": F.col("hits")} | parts
-        return rows.select(*[full[c].alias(c) for c in columns])
+    blank: safe. lexicon: critical, with the phrases hit; ``blocked`` words count as phrases. low (greatest score below
+    0.30): safe. middle (below 0.80): the model's verdict, held to known values; without one the lattice of intent and
+    flag. high: always flagged, the severity by score, intent and reason the model's, or else harmful by its score.
 
-    empty = verdict(
-        marked.filter("blank"), flagged=F.lit(False), severity=F.lit("none"), intent=F.lit("safe"), band=F.lit("blank"),
-        reason=F.lit("Content appears safe"), categories=none, hits=none,
-    )
-    shown = F.array_join(F.slice("hits", 1, 5), ", ")
-    hit = verdict(
-        marked.filter(~F.col("blank") & (F.size("hits") > 0)), flagged=F.lit(True), severity=F.lit("critical"),
-        intent=F.lit("harmful"), band=F.lit("lexicon"), reason=F.concat(F.lit("Monitored words found: "), shown),
-        categories=F.array(F.lit(LEXICON_CATEGORY)),
+    ``learns`` marks texts whose sentences a lexicon may learn: in the middle band a model that flags as harmful, or a
+    flagged harmful intent of 0.70 or more; in the high band unless a model calls the intent safe. Never lexicon hits.
+    """
+    words = [w.strip().lower() for w in blocked if w.strip()]
+    marked = docs.withColumn("hits", lexicon_hits(F.col(text), [*phrases, *words]))
+    marked = marked.withColumn("blank", blank(F.col(text)))
+    if scorer is not None:
+        open_ = ~F.col("blank") & (F.size("hits") == 0)
+        marked = marked.filter(~open_).unionByName(scorer(marked.filter(open_)), allowMissingColumns=True)
+    for name, kind in (("scores", _SCORES), ("intent_scores", _SCORES), ("model", _MODEL)):
+        if name not in marked.columns:
+            marked = marked.withColumn(name, F.lit(None).cast(kind))
+    none = F.array().cast("array<string>")
+    rounded = F.transform("scores", lambda s: F.struct(F.lower(s["label"]).alias("label"), F.round(s["score"], 4).alias("score")))
+    rows = marked.select(
+        F.col(key), "hits", "blank", "model", F.coalesce(rounded, F.array().cast(_SCORES)).alias("scores"),
+        intent_verdict(F.coalesce("intent_scores", F.array().cast(_SCORES))).alias("nli"),
+        F.filter(F.array(*[F.lit(w) for w in blocked]) if blocked else none, lambda w: F.contains(F.lower(text), F.lower(w))).alias("found"),
     )
-    rest = marked.filter(~F.col("blank") & (F.size("hits") == 0))
-    scored = rest if scorer is None else scorer(rest)
-    scored = scored.withColumn("top", max_score(F.col("scores"))).withColumn("flag", score_flag(F.col("scores")))
-    intent = intent_of(F.coalesce("harmful", F.lit(0.0)), F.coalesce("safe", F.lit(0.0)))
-    scored = scored.withColumn("intent", F.when(F.col("top") < 0.30, "safe").otherwise(intent))
-    band = F.when(F.col("top") < 0.30, "low").when(F.col("top") < 0.80, "middle").otherwise("high")
+    rows = rows.withColumns({"top": max_score(F.col("scores")), "flag": score_flag(F.col("scores"))})
+    band = (
+        F.when(F.col("blank"), "blank")
+        .when(F.size("hits") > 0, "lexicon")
+        .when(F.col("top") < 0.30, "low")
+        .when(F.col("top") < 0.80, "middle")
+        .otherwise("high")
+    )
+    rows = rows.withColumns({"band": band, "own": F.col("model").isNotNull()})
+    middle, high, own = F.col("band") == "middle", F.col("band") == "high", F.col("own")
+    says, means, flags = clamp_verdict(F.col("model.severity"), F.col("model.intent"), F.col("model.flagged"))
+    by_lattice = severity_lattice(F.col("nli.intent"), F.col("flag"), F.col("top"))
     severity = (
-        F.when(F.col("band") == "low", "none")
-        .when(F.col("band") == "middle", severity_lattice(F.col("intent"), F.col("flag"), F.col("top")))
-        .otherwise(severity_by_score(F.col("top"), F.col("flag")))
+        F.when(F.col("band").isin("blank", "low"), "none")
+        .when(F.col("band") == "lexicon", "critical")
+        .when(high, severity_by_score(F.col("top"), F.col("flag")))
+        .otherwise(F.when(own, says).otherwise(by_lattice))
     )
-    scored = scored.withColumn("band", band).withColumn("severity", severity)
-    flagged = (F.col("band") == "high") | F.col("severity").isin("high", "critical")
-    categories = F.when(F.col("band") == "low", none).otherwise(flagged_categories(F.col("scores")))
-    middle = verdict(
-        scored.withColumn("categories", categories), flagged=flagged, severity=F.col("severity"), intent=F.col("intent"),
-        band=F.col("band"), reason=reason_text(F.lit(""), F.col("categories"), none, F.col("severity")),
-        categories=F.col("categories"), hits=none,
-    )
-    return empty.unionByName(hit).unionByName(middle).withColumnRenamed("key", key)
+    intent = (
+        F.when(F.col("band").isin("blank", "low"), "safe")
+        .when(F.col("band") == "lexicon", "harmful")
+        .otherwise(F.when(own, means).when(high, "harmful").otherwise(F.col("nli.intent")))
+    )
+    rows = rows.withColumns({"severity": severity, "intent": intent})
+    serious = F.col("severity").isin("high", "critical")
+    listed = F.when(F.col("band").isin("blank", "low"), none).when(F.col("band") == "lexicon", F.array(F.lit(LEXICON_CATEGORY)))
+    own_list = F.coalesce("model.categories", none)
+    all_names = flagged_categories(F.col("scores"), known=False)
+    reason = (
+        F.when(F.col("band").isin("blank", "low"), "")
+        .when(F.col("band") == "lexicon", F.concat(F.lit("Contains flagged harmful language: "), F.array_join(F.slice("hits", 1, 5), ", ")))
+        .when(own, F.coalesce("model.reason", F.lit("")))
+        .when(high, F.concat(F.lit("High toxicity detected (score "), two_places(F.col("top")), F.lit(")")))
+        .otherwise(reason_text(F.col("nli.reason"), all_names, F.col("found"), F.col("severity")))
+    )
+    flagged = (F.col("band") == "lexicon") | high | (middle & F.when(own, flags).otherwise(serious))
+    rows = rows.withColumns(
+        {
+            "flagged": flagged,
+            "reason": reason,
+            "categories": listed.when(own, own_list).otherwise(flagged_categories(F.col("scores"))),
+            "hits": F.when(F.col("band") == "lexicon", F.col("hits")).when(F.col("blank") | own & (middle | high), none).otherwise(F.col("found")),
+        }
+    )
+    sure = F.when(own, F.lit(True)).otherwise(F.col("nli.harmful") >= 0.70)
+    learns = (middle & F.col("flagged") & (F.col("intent") == "harmful") & sure) | (high & (F.col("intent") != "safe"))
+    return rows.select(key, "flagged", "severity", "intent", "band", "reason", "categories", "hits", learns.alias("learns"))
 
 
 def severity_rank(severity: Column) -> Column:
@@ -158,7 +216,8 @@ def worst_of_tracks(verdicts: DataFrame, recording: str, order: str) -> DataFram
 
 
 def learned_phrases(flagged: DataFrame, lexicon: DataFrame, text: str = "text") -> DataFrame:
-    """(phrase): sentences of 2 to 10 words of flagged texts that the lexicon (phrase) lacks. One epoch's additions."""
+    """(phrase): sentences of 2 to 10 words of the texts that may be learned from (``learns`` of ``moderate``) and that
+    the lexicon (phrase) lacks. One epoch's additions."""
     found = flagged.select(F.explode(sentences(F.col(text))).alias("phrase"))
     words = word_count(F.col("phrase"))
     return found.filter(words.between(2, 10)).distinct().join(lexicon.select("phrase"), "phrase", "left_anti")

@@ -400,12 +400,50 @@ def callback_outcomes(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", jobs.callback_outcome(codes).alias("outcome"), code.alias("code"))
 
 
+_ODD_JOBS = """(SELECT *, CASE WHEN id % 7 = 0 THEN '' WHEN id % 7 = 1 THEN NULL ELSE 'tagging' END AS job_type,
+  CASE WHEN id % 4 = 0 THEN NULL WHEN id % 4 = 1 THEN '' ELSE '{"tags":["#a",' || id || ']}' END AS result_json,
+  CASE WHEN id % 5 = 0 THEN NULL WHEN id % 5 = 1 THEN '' ELSE 'no "luck"' END AS error FROM """ + _JOBS + ")"
+
+
+def odd_jobs(spark, sf_dir) -> DataFrame:
+    """Jobs with some types, results and errors missing or empty."""
+    key = F.col("id")
+    some = lambda m, v: F.when(key % m == 0, "").when(key % m == 1, F.lit(None)).otherwise(v)
+    result = F.concat(F.lit('{"tags":["#a",'), key.cast("string"), F.lit("]}"))
+    return job_table(spark, sf_dir).withColumns(
+        {
+            "job_type": some(7, F.lit("tagging")),
+            "result_json": F.when(key % 4 == 0, F.lit(None)).when(key % 4 == 1, "").otherwise(result),
+            "error": F.when(key % 5 == 0, F.lit(None)).when(key % 5 == 1, "").otherwise('no "luck"'),
+        }
+    )
+
+
 @query(f"""
-SELECT id, CASE status WHEN 'completed' THEN '{{"job_id":' || id || ',"status":"completed","result":"res' || id || '"}}'
-  ELSE '{{"job_id":' || id || ',"status":"failed","error":"oops"}}' END AS payload
-FROM {_JOBS} WHERE status IN ('completed', 'failed')""")
+SELECT id, '{{"job_id":' || id || ',"job_type":"' || CASE WHEN coalesce(job_type, '') = '' THEN 'pipeline' ELSE job_type END
+  || '","status":"' || status || '","result":' || CASE WHEN status = 'failed' THEN 'null'
+    WHEN coalesce(result_json, '') = '' THEN '{{}}' ELSE result_json END
+  || ',"error":' || CASE WHEN status = 'completed' THEN 'null' WHEN coalesce(error, '') = '' THEN '"unknown"'
+    ELSE '"no \\"luck\\""' END || '}}' AS payload
+FROM {_ODD_JOBS} WHERE status IN ('completed', 'failed')""")
 def result_payload(spark, sf_dir):
-    return jobs.result_payload(job_table(spark, sf_dir))
+    return jobs.result_payload(odd_jobs(spark, sf_dir))
+
+
+@query(f"""
+WITH v AS (SELECT id, CASE WHEN coalesce(job_type, '') = '' THEN 'pipeline' ELSE job_type END AS job_type, status, recording_id,
+    attempts, result_json AS result, error, callback_delivered, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS created_at,
+    CASE WHEN id % 3 > 0 THEN strftime(o_orderdate + INTERVAL 5 SECOND, '%Y-%m-%d %H:%M:%S') END AS started_at,
+    CASE WHEN id % 3 > 1 THEN strftime(o_orderdate + INTERVAL 65 SECOND, '%Y-%m-%d %H:%M:%S') END AS completed_at
+  FROM {_ODD_JOBS} JOIN orders ON o_orderkey = id),
+i AS (SELECT DISTINCT o_orderkey + CASE WHEN o_orderkey % 11 = 0 THEN 10000000 ELSE 0 END AS id FROM orders)
+SELECT i.id, v.* EXCLUDE (id), v.id IS NOT NULL AS found FROM i LEFT JOIN v ON i.id = v.id""")
+def job_view(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("created_at"))
+    later = lambda m, s: F.when(F.col("id") % 3 > m, F.col("created_at") + F.expr(f"INTERVAL {s} SECONDS"))
+    rows = odd_jobs(spark, sf_dir).join(orders, "id").withColumns({"started_at": later(0, 5), "completed_at": later(1, 65)})
+    asked = F.col("id") + F.when(F.col("id") % 11 == 0, 10_000_000).otherwise(0)
+    return jobs.job_view(rows, orders.select(asked.alias("id")))
 
 
 @query("""

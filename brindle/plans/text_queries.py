@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from brindle.functions import text as tx
 from brindle.operators import fusion, keywords, moderation
+from brindle.operators.lexicon import hits_table, lexicon_hits
 from brindle.sources import vocabulary
 from brindle.sources.vocabulary import Rule
 from brindle.staging import table
@@ -39,8 +40,8 @@ def query(sql: str | None = None):
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id and text, dealt out, as one small file would be one task."""
-    return table(spark, sf_dir, "documents").select("doc_id", "text").repartition("doc_id")
+    """doc_id and text."""
+    return table(spark, sf_dir, "documents").select("doc_id", "text")
 
 
 def share(key: Column, k: int) -> Column:
@@ -282,27 +283,41 @@ SELECT d.doc_id, b.item_id, lower(b.text) AS phrase FROM documents d JOIN benchm
 
 @query(f"SELECT doc_id, count(*) AS n, arg_min(phrase, item_id) AS first FROM ({_HITS}) GROUP BY doc_id")
 def harm_hits(spark, sf_dir):
-    found = moderation.lexicon_hits(F.col("text"), vocabulary.phrases(lexicon(spark, sf_dir)))
+    found = lexicon_hits(F.col("text"), vocabulary.phrases(lexicon(spark, sf_dir)))
     rows = docs(spark, sf_dir).select("doc_id", found.alias("hits")).filter(F.size("hits") > 0)
     return rows.select("doc_id", F.size("hits").cast("long").alias("n"), F.col("hits")[0].alias("first"))
 
 
+@query(f"SELECT doc_id, item_id AS pos, phrase FROM ({_HITS})")
+def lexicon_table(spark, sf_dir):
+    return hits_table(docs(spark, sf_dir), lexicon(spark, sf_dir))
+
+
+def _product(key: Column, k: int, m: int) -> Column:
+    """A score of four decimals, seldom near 1."""
+    part = lambda j: (key * 7919 + j * 104729) % 1000
+    return F.floor(part(k) * part(m) / F.lit(100)) / F.lit(10000.0)
+
+
+def _sql_product(k: int, m: int) -> str:
+    part = lambda j: f"((doc_id * 7919 + {j} * 104729) % 1000)"
+    return f"({part(k)} * {part(m)} // 100) / 10000.0"
+
+
+def _labelled(labels, score) -> Column:
+    """array<struct<label, score>>."""
+    return F.array(*[F.struct(F.lit(x).alias("label"), score(k).alias("score")) for k, x in enumerate(labels)])
+
+
 def _toxic(key: Column) -> Column:
-    """array<struct<label, score>> of the six labels."""
-    return F.array(
-        *[
-            F.struct(F.lit(label).alias("label"), F.round(share(key, k) * share(key, 7), 6).alias("score"))
-            for k, label in enumerate(moderation.TOXIC_LABELS)
-        ]
-    )
+    return _labelled(moderation.TOXIC_LABELS, lambda k: _product(key, k, 7))
 
 
-_TOXIC = ", ".join(
-    f"round({_share('doc_id', k)} * {_share('doc_id', 7)}, 6) AS x{k}" for k in range(len(moderation.TOXIC_LABELS))
-)
+_TOXIC = ", ".join(f"{_sql_product(k, 7)} AS x{k}" for k in range(len(moderation.TOXIC_LABELS)))
+_INTENTS = ", ".join(f"{_sql_product(20 + k, 24)} AS i{k}" for k in range(len(moderation.INTENT_LABELS)))
 _SCORED = f"""
 SELECT *, greatest(x0, x1, x2, x3, x4, x5) AS top, x1 >= 0.5 OR x3 >= 0.5 OR x5 >= 0.5 AS flag,
-  {_share("doc_id", 11)} AS harmful, {_share("doc_id", 12)} AS safe FROM (SELECT doc_id, text, {_TOXIC} FROM documents)"""
+  greatest(i1, i2, i3) AS harmful, i0 AS safe FROM (SELECT doc_id, text, {_TOXIC}, {_INTENTS} FROM documents)"""
 _INTENT = "CASE WHEN harmful >= 0.55 THEN 'harmful' WHEN harmful >= 0.35 AND safe < 0.5 THEN 'questionable' ELSE 'safe' END"
 _LATTICE = """CASE WHEN intent = 'harmful' AND flag THEN 'critical' WHEN intent = 'harmful' THEN 'high'
   WHEN flag AND intent = 'questionable' THEN 'high' WHEN flag AND intent = 'safe' THEN 'medium'
@@ -318,36 +333,96 @@ _NAMES = (
 
 def scored(rows: DataFrame) -> DataFrame:
     key = F.col("doc_id")
-    return rows.withColumn("scores", _toxic(key)).withColumn("harmful", share(key, 11)).withColumn("safe", share(key, 12))
+    intents = _labelled(moderation.INTENT_LABELS, lambda k: _product(key, 20 + k, 24))
+    return rows.withColumn("scores", _toxic(key)).withColumn("intent_scores", intents)
+
+
+def with_model(rows: DataFrame) -> DataFrame:
+    """A language model's raw verdict for every third text, some of it out of range."""
+    key = F.col("doc_id")
+    pick = lambda values, m: F.get(F.array(*[F.lit(v) for v in values]), (key % m).cast("int"))
+    verdict = F.struct(
+        (key % 2 == 0).alias("flagged"), pick(("none", "low", "odd", "high", "critical"), 5).alias("severity"),
+        pick(("safe", "questionable", "harmful", "?"), 4).alias("intent"),
+        F.concat(F.lit("Verdict "), key.cast("string")).alias("reason"), F.array(F.lit("a"), F.lit("b")).alias("categories"),
+    )
+    return rows.withColumn("model", F.when(key % 3 == 0, verdict))
 
 
-def verdicts(spark, sf_dir) -> DataFrame:
-    return moderation.moderate(scored(docs(spark, sf_dir)), vocabulary.phrases(lexicon(spark, sf_dir)))
+def verdicts(spark, sf_dir, model: bool = False) -> DataFrame:
+    rows = scored(docs(spark, sf_dir))
+    return moderation.moderate(with_model(rows) if model else rows, vocabulary.phrases(lexicon(spark, sf_dir)))
+
+
+_I1, _I2, _I3 = moderation.INTENT_LABELS[1:]
+
+
+def _two_places(x: str) -> str:
+    cents = f"floor({x} * 100 + 0.5)::BIGINT"
+    return f"({cents} // 100)::VARCHAR || '.' || lpad(({cents} % 100)::VARCHAR, 2, '0')"
+
+
+_NLI_REASON = f"""CASE intent WHEN 'harmful' THEN 'NLI classified as: ' || CASE WHEN i1 >= i2 AND i1 >= i3 THEN '{_I1}'
+    WHEN i2 >= i3 THEN '{_I2}' ELSE '{_I3}' END || ' (' || {_two_places("harmful")} || ')'
+  WHEN 'questionable' THEN 'Potentially harmful content (' || {_two_places("harmful")} || ')' ELSE '' END"""
 
 
-_VERDICTS = f"""
-WITH s AS (SELECT *, CASE WHEN top < 0.3 THEN 'safe' ELSE {_INTENT} END AS intent FROM ({_SCORED})),
-h AS (SELECT doc_id, list(phrase ORDER BY item_id) AS hits FROM ({_HITS}) GROUP BY doc_id),
-b AS (SELECT s.*, hits, CASE WHEN NOT regexp_matches(text, '[^\\s]') THEN 'blank' WHEN hits IS NOT NULL THEN 'lexicon'
-    WHEN top < 0.3 THEN 'low' WHEN top < 0.8 THEN 'middle' ELSE 'high' END AS band FROM s LEFT JOIN h USING (doc_id)),
-v AS (SELECT *, CASE band WHEN 'blank' THEN 'none' WHEN 'lexicon' THEN 'critical' WHEN 'low' THEN 'none'
-    WHEN 'middle' THEN {_LATTICE} ELSE {_BY_SCORE} END AS severity FROM b)
-SELECT doc_id, band = 'lexicon' OR band = 'high' OR (band = 'middle' AND severity IN ('high', 'critical')) AS flagged, severity,
-  CASE band WHEN 'lexicon' THEN 'harmful' WHEN 'blank' THEN 'safe' ELSE intent END AS intent, band,
-  CASE WHEN band = 'lexicon' THEN 'Monitored words found: ' || array_to_string(hits[1:5], ', ')
-    WHEN band IN ('middle', 'high') AND {_NAMES} <> '' THEN 'Detected: ' || {_NAMES}
-    WHEN severity = 'none' THEN 'Content appears safe' ELSE 'Content flagged by automated analysis' END AS reason
-FROM v"""
+def _verdict_sql(model: str) -> str:
+    """The policy of one text's moderation, band by band. ``model`` says which texts have a language model's verdict."""
+    return f"""
+WITH h AS (SELECT doc_id, list(phrase ORDER BY item_id) AS words FROM ({_HITS}) GROUP BY doc_id),
+s AS (SELECT s.*, words, {_INTENT} AS intent, {model} AS own,
+    ['none', 'low', 'none', 'high', 'critical'][doc_id % 5 + 1] AS m_severity,
+    ['safe', 'questionable', 'harmful', 'safe'][doc_id % 4 + 1] AS m_intent
+  FROM ({_SCORED}) s LEFT JOIN h USING (doc_id)),
+m AS (SELECT *, m_intent <> 'safe' AND (doc_id % 2 = 0 OR (m_intent = 'harmful' AND m_severity IN ('high', 'critical'))) AS m_flagged,
+    CASE WHEN m_intent = 'safe' THEN 'none' ELSE m_severity END AS m_level, {_LATTICE} AS lattice, {_BY_SCORE} AS by_score,
+    {_NLI_REASON} AS nli_reason, {_NAMES} AS named FROM s)
+SELECT doc_id, FALSE AS flagged, 'none' AS severity, 'safe' AS intent, 'blank' AS band, '' AS reason, '' AS categories,
+  FALSE AS learns FROM m WHERE NOT regexp_matches(text, '[^\\s]')
+UNION ALL SELECT doc_id, TRUE, 'critical', 'harmful', 'lexicon',
+  'Contains flagged harmful language: ' || array_to_string(words[1:5], ', '), 'Threats / Violence', FALSE
+  FROM m WHERE regexp_matches(text, '[^\\s]') AND words IS NOT NULL
+UNION ALL SELECT doc_id, FALSE, 'none', 'safe', 'low', '', '', FALSE
+  FROM m WHERE regexp_matches(text, '[^\\s]') AND words IS NULL AND top < 0.3
+UNION ALL SELECT doc_id, m_flagged, m_level, m_intent, 'middle', 'Verdict ' || doc_id, 'a, b', m_flagged AND m_intent = 'harmful'
+  FROM m WHERE regexp_matches(text, '[^\\s]') AND words IS NULL AND top >= 0.3 AND top < 0.8 AND own
+UNION ALL SELECT doc_id, lattice IN ('high', 'critical'), lattice, intent, 'middle',
+  CASE WHEN nli_reason <> '' THEN nli_reason WHEN named <> '' THEN 'Detected: ' || named
+    WHEN lattice = 'none' THEN 'Content appears safe' ELSE 'Content flagged by automated analysis' END, named,
+  lattice IN ('high', 'critical') AND intent = 'harmful' AND harmful >= 0.7
+  FROM m WHERE regexp_matches(text, '[^\\s]') AND words IS NULL AND top >= 0.3 AND top < 0.8 AND NOT own
+UNION ALL SELECT doc_id, TRUE, by_score, m_intent, 'high', 'Verdict ' || doc_id, 'a, b', m_intent <> 'safe'
+  FROM m WHERE regexp_matches(text, '[^\\s]') AND words IS NULL AND top >= 0.8 AND own
+UNION ALL SELECT doc_id, TRUE, by_score, 'harmful', 'high', 'High toxicity detected (score ' || {_two_places("top")} || ')',
+  named, TRUE FROM m WHERE regexp_matches(text, '[^\\s]') AND words IS NULL AND top >= 0.8 AND NOT own"""
+
+
+_VERDICTS = _verdict_sql("FALSE")
+_SHOWN = ["doc_id", "flagged", "severity", "intent", "band", "reason", "learns"]
 
 
 @query(_VERDICTS)
 def moderation_bands(spark, sf_dir):
-    return verdicts(spark, sf_dir).select("doc_id", "flagged", "severity", "intent", "band", "reason")
+    return verdicts(spark, sf_dir).select(*_SHOWN, F.array_join("categories", ", ").alias("categories"))
+
+
+@query(_verdict_sql("doc_id % 3 = 0"))
+def moderation_llm(spark, sf_dir):
+    return verdicts(spark, sf_dir, model=True).select(*_SHOWN, F.array_join("categories", ", ").alias("categories"))
+
+
+@query(f"SELECT doc_id, intent, {_NLI_REASON} AS reason FROM (SELECT *, {_INTENT} AS intent FROM ({_SCORED}))")
+def intent_reason(spark, sf_dir):
+    found = moderation.intent_verdict(F.col("intent_scores"))
+    rows = scored(docs(spark, sf_dir)).select("doc_id", found.alias("v"))
+    return rows.select("doc_id", "v.intent", "v.reason")
 
 
 @query(f"SELECT doc_id, intent, {_LATTICE} AS severity FROM (SELECT *, {_INTENT} AS intent FROM ({_SCORED}))")
 def severity_lattice(spark, sf_dir):
-    rows = scored(docs(spark, sf_dir)).withColumn("intent", moderation.intent_of(F.col("harmful"), F.col("safe")))
+    found = moderation.intent_verdict(F.col("intent_scores"))
+    rows = scored(docs(spark, sf_dir)).withColumn("intent", found["intent"])
     flag, top = moderation.score_flag(F.col("scores")), moderation.max_score(F.col("scores"))
     return rows.select("doc_id", "intent", moderation.severity_lattice(F.col("intent"), flag, top).alias("severity"))
 
@@ -396,15 +471,14 @@ def worst_of_tracks(spark, sf_dir):
 
 @query(f"""
 WITH s AS (SELECT unnest(string_split_regex(lower(text), '[.!?\\n]+')) AS x
-  FROM documents WHERE doc_id IN (SELECT doc_id FROM ({_HITS}))),
+  FROM documents WHERE doc_id IN (SELECT doc_id FROM ({_VERDICTS}) WHERE learns)),
 p AS (SELECT DISTINCT regexp_replace(regexp_replace(regexp_replace(x, '^\\s+|\\s+$', '', 'g'), '^["'']+|["'']+$', '', 'g'),
     '^\\s+|\\s+$', '', 'g') AS phrase FROM s)
 SELECT phrase FROM p WHERE len(list_filter(string_split_regex(phrase, '\\s+'), lambda w: w <> '')) BETWEEN 2 AND 10
   AND phrase NOT IN (SELECT lower(text) FROM benchmark)""")
 def learn_phrases_epoch(spark, sf_dir):
-    words = lexicon(spark, sf_dir)
-    hit = F.size(moderation.lexicon_hits(F.col("text"), vocabulary.phrases(words))) > 0
-    return moderation.learned_phrases(docs(spark, sf_dir).filter(hit), words)
+    learns = verdicts(spark, sf_dir).filter("learns").select("doc_id")
+    return moderation.learned_phrases(docs(spark, sf_dir).join(learns, "doc_id", "left_semi"), lexicon(spark, sf_dir))
 
 
 def _turns(spark, sf_dir) -> DataFrame:

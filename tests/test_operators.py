@@ -50,12 +50,50 @@ def test_intent_edges(spark):
 
 def test_moderate_blank_null_and_lexicon(spark):
     scores = "array<struct<label: string, score: double>>"
-    rows = [(1, None, [], None, None), (2, " \n", [], None, None), (3, "a BOMB here", [], None, None), (4, "fine", None, 0.9, 0.0), (5, "fine", [("threat", 0.5)], 0.6, 0.1)]
-    df = spark.createDataFrame(rows, f"doc_id long, text string, scores {scores}, harmful double, safe double")
+    bad = moderation.INTENT_LABELS[1]
+    rows = [(1, None, [], None), (2, " \n", [], None), (3, "a BOMB here", [], None), (4, "fine", None, [(bad, 0.9)])]
+    rows += [(5, "fine", [("threat", 0.5)], [(bad, 0.6)]), (6, "fine", [("odd", 0.55)], []), (7, "fine", [("toxic", 0.87)], [])]
+    df = spark.createDataFrame(rows, f"doc_id long, text string, scores {scores}, intent_scores {scores}")
     got = {r["doc_id"]: r for r in moderation.moderate(df, ["bomb"]).collect()}
-    assert [got[k]["severity"] for k in range(1, 6)] == ["none", "none", "critical", "none", "critical"]
-    assert [got[k]["flagged"] for k in range(1, 6)] == [False, False, True, False, True]
-    assert got[5]["reason"] == "Detected: Threats of violence"
+    assert [got[k]["severity"] for k in range(1, 8)] == ["none", "none", "critical", "none", "critical", "none", "high"]
+    assert [got[k]["flagged"] for k in range(1, 8)] == [False, False, True, False, True, False, True]
+    assert [got[k]["reason"] for k in range(1, 8)] == [
+        "", "", "Contains flagged harmful language: bomb", "", f"NLI classified as: {bad} (0.60)", "Detected: odd",
+        "High toxicity detected (score 0.87)",
+    ]
+    assert [got[k]["learns"] for k in range(1, 8)] == [False] * 6 + [True] and got[7]["intent"] == "harmful"
+    hit = {r["doc_id"]: r for r in moderation.moderate(df, [], [" Fine "]).collect()}
+    assert hit[4]["band"] == "lexicon" and hit[4]["hits"] == ["fine"]
+
+
+def test_scorer_sees_only_open_texts(spark):
+    seen = []
+
+    def scorer(rows):
+        seen.extend(r["doc_id"] for r in rows.collect())
+        return rows.withColumn("scores", F.array(F.struct(F.lit("toxic").alias("label"), F.lit(0.9).alias("score"))))
+
+    df = spark.createDataFrame([(1, ""), (2, "bomb"), (3, "x")], "doc_id long, text string")
+    got = {r["doc_id"]: r["band"] for r in moderation.moderate(df, ["bomb"], scorer=scorer).collect()}
+    assert seen == [3] and got == {1: "blank", 2: "lexicon", 3: "high"}
+
+
+def test_lexicon_ways_agree(spark, monkeypatch):
+    from brindle.operators import lexicon
+
+    phrases = ["ab", "B c", "", "ab", "zz", "ÄÖ", "c"]
+    rows = [(1, "xAB C"), (2, None), (3, ""), (4, "äöab"), (5, "b c"), (None, "zzz"), (1, "ab")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    words = spark.createDataFrame(list(enumerate(phrases)), "pos int, phrase string")
+    expected = sorted([(i, [p.lower() for p in phrases if p and p.lower() in (t or "").lower()]) for i, t in rows], key=repr)
+    for inline in (24, 2):
+        monkeypatch.setattr(lexicon, "INLINE", inline)
+        got = df.select("doc_id", lexicon.lexicon_hits(F.col("text"), phrases).alias("h")).collect()
+        assert sorted([(r[0], r[1]) for r in got], key=repr) == expected
+    monkeypatch.setattr(lexicon, "SHARD", 2)
+    monkeypatch.setattr(lexicon, "BLOCK", 2)
+    got = [(r[0], r[2]) for r in lexicon.hits_table(df, words).collect()]
+    assert sorted(got, key=repr) == sorted([(i, p) for i, ps in expected for p in ps], key=repr)
 
 
 def test_worst_of_tracks_ties(spark):
