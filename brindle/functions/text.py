@@ -20,6 +20,11 @@ STOP_WORDS = (
 )
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once for a row, however often the body, or lambdas in it, name it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def blank(text: Column) -> Column:
     """True for null, empty and all-white texts."""
     return ~F.coalesce(text, F.lit("")).rlike(r"[^\s]")

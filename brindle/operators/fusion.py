@@ -1,6 +1,7 @@
 """Fusion of score layers into tags and categories, with top-k and blocked-word filters.
 
-A missing score is 0. Ties go to the smaller ``pos``.
+Layers that come from the text's own row are arrays of (label, score), fused and ranked within the row, without any
+shuffle; layers that are tables of their own are joined (``fuse``). A missing score is 0. Ties go to the smaller ``pos``.
 """
 
 from __future__ import annotations
@@ -8,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from brindle.functions.text import let
+
 TAG_LEAST, CATEGORY_LEAST, CATEGORIES = 0.50, 0.35, 3
 
 
@@ -45,6 +48,63 @@ def fuse(candidates: DataFrame, layers: list[DataFrame], label: str, score, key:
     return out.select(key, label, "pos", score(*map(F.col, names)).alias("score"))
 
 
+def layer_score(layer: Column, label: Column) -> Column:
+    """The score of a label in an array of structs (label, score); 0 if it isn't there."""
+    return F.coalesce(F.get(F.filter(layer, lambda x: x["label"] == label), 0)["score"], F.lit(0.0))
+
+
+_SCORED = "array<struct<label: string, pos: int, score: double>>"
+
+
+def fuse_row(labels: list[str], layers: list[Column], score, first_prefix: str = "") -> Column:
+    """array<struct<label, pos, score>> of the labels, with up to three layers: arrays of structs (label, score).
+
+    The third layer may bring labels of its own, if they begin with #; they stand after the known ones. The first
+    layer's labels are the known ones after ``first_prefix``.
+    """
+    if not layers:
+        return F.array().cast(_SCORED)
+    bound = F.struct(*[layer.alias(f"l{k}") for k, layer in enumerate(layers)])
+    return let(bound, lambda b: _fused(labels, [b[f"l{k}"] for k in range(len(layers))], score, first_prefix))
+
+
+def _fused(labels: list[str], layers: list[Column], score, first_prefix: str) -> Column:
+    known = list(dict.fromkeys(labels))
+    entry = lambda x, k: F.struct(x.alias("label"), k.cast("int").alias("pos"))
+    listed = F.array(*[entry(F.lit(x), F.lit(k)) for k, x in enumerate(known)])
+    if not known:
+        listed = F.array().cast("array<struct<label: string, pos: int>>")
+    if len(layers) > 2:
+        names = F.array(*[F.lit(x) for x in known]).cast("array<string>")
+        new = F.filter(layers[2], lambda x: x["label"].startswith("#") & ~F.array_contains(names, x["label"]))
+        listed = F.concat(listed, F.transform(new, lambda x, i: entry(x["label"], i + len(known))))
+    own = lambda k, x: layer_score(layers[k], F.concat(F.lit(first_prefix), x) if k == 0 and first_prefix else x)
+    parts = lambda x: [own(k, x) if k < len(layers) else F.lit(0.0) for k in range(3)]
+    made = lambda x: F.struct(x["label"].alias("label"), x["pos"].alias("pos"), score(*parts(x["label"])).alias("score"))
+    return F.transform(listed, made).cast(_SCORED)
+
+
+def best_row(scored: Column, k: int, least: float = TAG_LEAST) -> Column:
+    """array<struct<label, score, rank>>: the k best of at least ``least``."""
+    order = lambda x: F.struct((-x["score"]).alias("s"), x["pos"].alias("p"), x["label"].alias("label"), x["score"].alias("score"))
+    ranked = F.slice(F.array_sort(F.transform(F.filter(scored, lambda x: x["score"] >= least), order)), 1, k)
+    return F.transform(ranked, lambda x, i: F.struct(x["label"].alias("label"), x["score"].alias("score"), (i + 1).cast("long").alias("rank")))
+
+
+def best_categories_row(scored: Column) -> Column:
+    """array<struct<label, score, rank>>: up to three of at least 0.35, or else the best one."""
+    def chosen(s: Column) -> Column:
+        found = best_row(s, CATEGORIES, CATEGORY_LEAST)
+        return F.when(F.size(found) > 0, found).otherwise(best_row(s, 1, float("-inf")))
+
+    return let(scored, chosen)
+
+
+def unblocked(scored: Column, words: list[str]) -> Column:
+    """The entries whose label has none of the words."""
+    return F.filter(scored, lambda x: ~blocked(x["label"], words))
+
+
 def top_tags(scored: DataFrame, k: int = 8, least: float = TAG_LEAST, key: str = "doc_id") -> DataFrame:
     """(key, tag, score, rank): the k best tags of at least ``least``."""
     rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), "pos", "tag"))

@@ -2,33 +2,38 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brindle.functions.text import tag_tokens, tokens, word_bounded
+from brindle.functions.text import let, tag_tokens, tokens, word_bounded
 from brindle.sources.vocabulary import Rule
 
 
-def _counts(text: Column, rules: list[Rule]) -> Column:
-    """array<struct<pos, tag, n>>: one regular expression for each rule, evaluated where the text is."""
+def rule_hits(text: Column, rules: list[Rule]) -> Column:
+    """array<struct<label, n, score>> of the tags whose rules match: score = min(1, 0.15 n + 0.4).
+
+    Of several rules of one tag the last that matches counts.
+    """
     low = F.lower(F.coalesce(text, F.lit("")))
-    return F.array(
-        *[
-            F.struct(
-                F.lit(k).alias("pos"),
-                F.lit(r.tag).alias("tag"),
-                F.regexp_count(low, F.lit(word_bounded(r.pattern))).alias("n"),
-            )
-            for k, r in enumerate(rules)
-        ]
-    )
+    by_tag: dict[str, list[Column]] = {}
+    for r in rules:
+        by_tag.setdefault(r.tag, []).append(F.regexp_count(low, F.lit(word_bounded(r.pattern))))
+
+    def measured(tag: str, counts: list[Column]) -> Column:
+        n = counts[0] if len(counts) == 1 else F.coalesce(*[F.nullif(c, F.lit(0)) for c in reversed(counts)], F.lit(0))
+        return F.struct(F.lit(tag).alias("label"), n.cast("long").alias("n"))
+
+    if not rules:
+        return F.array().cast("array<struct<label: string, n: bigint, score: double>>")
+    hit = F.filter(F.array(*[measured(t, c) for t, c in by_tag.items()]), lambda r: r["n"] > 0)
+    score = lambda n: F.round(F.least(F.lit(1.0), n * 0.15 + 0.4), 4)
+    return F.transform(hit, lambda r: F.struct(r["label"].alias("label"), r["n"].alias("n"), score(r["n"]).alias("score")))
 
 
 def keyword_scores(docs: DataFrame, rules: list[Rule], key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, tag, n, score) of rules that match: score = min(1, 0.15 n + 0.4). Null texts match nothing."""
-    hits = docs.select(key, F.explode(_counts(F.col(text), rules)).alias("r")).filter("r.n > 0")
-    score = F.least(F.lit(1.0), F.col("n") * 0.15 + 0.4)
-    return hits.select(key, "r.tag", F.col("r.n").cast("long").alias("n")).withColumn("score", F.round(score, 4))
+    """(key, tag, n, score) of rules that match. Null texts match nothing."""
+    rows = docs.select(key, F.explode(rule_hits(F.col(text), rules)).alias("r"))
+    return rows.select(key, F.col("r.label").alias("tag"), "r.n", "r.score")
 
 
 def segment_scores(
@@ -57,38 +62,44 @@ def segment_scores(
     return rows.select(key, "r.tag", F.when(F.col("r.hits") > 0, blended).otherwise(F.round(whole, 4)).alias("score"))
 
 
-def tag_pool(
-    docs: DataFrame, hits: DataFrame, tags: list[str], size: int = 120, key: str = "doc_id", text: str = "text"
-) -> DataFrame:
-    """(key, tag, place): rule hits first, then tags sharing a word with the text, then every step-th of the rest.
+def _has(hits: Column, label: Column) -> Column:
+    return F.exists(hits, lambda h: h["label"] == label)
+
+
+def tag_pool(text: Column, hits: Column, tags: list[str], size: int = 120) -> Column:
+    """array<string>: tags that rules hit first, then tags sharing a word with the text, then every step-th of the rest.
 
-    The rest fills up to ``size``; the step is the number left over the number of free places, 1 at least.
+    ``hits`` is an array of structs with ``label``. The rest fills up to ``size``; the step is the number left over the
+    number of free places, 1 at least. All is done within the row, as the vocabulary is small.
     """
-    spark = docs.sparkSession
-    listed = spark.createDataFrame(list(enumerate(dict.fromkeys(tags))), "pos int, tag string")
-    listed = listed.withColumn("words", tag_tokens(F.col("tag")))
-    rows = docs.select(key, tokens(F.col(text)).alias("have")).crossJoin(F.broadcast(listed))  # the vocabulary is small
-    rows = rows.join(hits.select(key, "tag", F.lit(0).alias("hit")), [key, "tag"], "left")
-    bucket = F.coalesce("hit", F.when(F.arrays_overlap("have", "words"), 1).otherwise(2))
-    rows = rows.select(key, "tag", "pos", bucket.alias("bucket"))
-    own = Window.partitionBy(key)
-    rest = F.row_number().over(Window.partitionBy(key, "bucket").orderBy("pos"))
-    rows = rows.withColumn("first", F.count_if(F.col("bucket") < 2).over(own)).withColumn("rest", rest)
-    rows = rows.withColumn("left", F.count_if(F.col("bucket") == 2).over(own))
-    slots = F.greatest(F.lit(0), F.lit(size) - F.col("first"))
-    step = F.greatest(F.lit(1), F.floor(F.col("left") / F.greatest(slots, F.lit(1))))
-    filler = (slots > 0) & ((F.col("rest") - 1) % step == 0) & (F.floor((F.col("rest") - 1) / step) < slots)
-    kept = rows.filter((F.col("bucket") < 2) | filler)
-    place = F.row_number().over(own.orderBy("bucket", "pos"))
-    return kept.select(key, "tag", place.alias("place"))
-
-
-def ranked_categories(docs: DataFrame, hits: DataFrame, categories: list[str], key: str = "doc_id") -> DataFrame:
-    """(key, category, place): categories whose tag was hit first, each part in the given order."""
-    spark = docs.sparkSession
-    listed = spark.createDataFrame(list(enumerate(categories)), "pos int, category string")
-    rows = docs.select(key).crossJoin(F.broadcast(listed))
-    marked = hits.select(key, F.regexp_replace("tag", "^#", "").alias("category"), F.lit(1).alias("hit")).distinct()
-    rows = rows.join(marked, [key, "category"], "left")
-    place = F.row_number().over(Window.partitionBy(key).orderBy(F.col("hit").isNull(), "pos"))
-    return rows.select(key, "category", place.alias("place"))
+    listed = list(dict.fromkeys(tags))
+    if not listed:
+        return F.array().cast("array<string>")
+    words = F.array(*[F.struct(F.lit(t).alias("tag"), tag_tokens(F.lit(t)).alias("words")) for t in listed])
+
+    def marked(own: Column) -> Column:
+        hit = lambda x: _has(own["hits"], x["tag"])
+        bucket = lambda x: F.when(hit(x), 0).when(F.arrays_overlap(own["words"], x["words"]), 1).otherwise(2)
+        return F.transform(words, lambda x: F.struct(x["tag"].alias("tag"), bucket(x).alias("bucket")))
+
+    def pool(m: Column) -> Column:
+        of = lambda k: F.transform(F.filter(m, lambda x: x["bucket"] == k), lambda x: x["tag"])
+        front, rest = F.concat(of(0), of(1)), of(2)
+        slots = F.greatest(F.lit(0), F.lit(size) - F.size(front))
+        step = F.greatest(F.lit(1), F.floor(F.size(rest) / F.greatest(slots, F.lit(1))))
+        return F.concat(front, F.filter(rest, lambda _, i: (i % step == 0) & (F.floor(i / step) < slots)))
+
+    return let(let(F.struct(hits.alias("hits"), tokens(text).alias("words")), marked), pool)
+
+
+def ranked_categories(hits: Column, categories: list[str]) -> Column:
+    """array<string>: categories that were hit, with or without #, first; each part in the given order."""
+    if not categories:
+        return F.array().cast("array<string>")
+    listed = F.array(*[F.lit(c) for c in categories])
+
+    def ranked(own: Column) -> Column:
+        hit = lambda c: _has(own, c) | _has(own, F.concat(F.lit("#"), c))
+        return F.concat(F.filter(listed, hit), F.filter(listed, lambda c: ~hit(c)))
+
+    return let(hits, ranked)

@@ -123,9 +123,11 @@ _MODEL = "struct<flagged: boolean, severity: string, intent: string, reason: str
 
 
 def moderate(
-    docs: DataFrame, phrases: list[str], blocked: list[str] = (), scorer=None, key: str = "doc_id", text: str = "text"
-) -> DataFrame:
-    """key, flagged, severity, intent, band, reason, categories, hits, learns for each row, in one pass.
+    docs: DataFrame, phrases: list[str], blocked: list[str] = (), scorer=None, key: str = "doc_id", text: str = "text",
+    carry: list[str] = (),
+) -> DataFrame:
+    """key, flagged, severity, intent, band, reason, categories, hits, learns for each row, and the columns ``carry``, in
+    one pass.
 
     ``docs`` may have ``scores`` and ``intent_scores`` (array<struct<label, score>>) and ``model``, a language model's
     verdict (struct<flagged, severity, intent, reason, categories>, null where it gave none); a costly ``scorer`` that
@@ -150,7 +152,7 @@ def moderate(
     none = F.array().cast("array<string>")
     rounded = F.transform("scores", lambda s: F.struct(F.lower(s["label"]).alias("label"), F.round(s["score"], 4).alias("score")))
     rows = marked.select(
-        F.col(key), "hits", "blank", "model", F.coalesce(rounded, F.array().cast(_SCORES)).alias("scores"),
+        F.col(key), F.struct(*carry).alias("carried") if carry else F.lit(None).alias("carried"), "hits", "blank", "model", F.coalesce(rounded, F.array().cast(_SCORES)).alias("scores"),
         intent_verdict(F.coalesce("intent_scores", F.array().cast(_SCORES))).alias("nli"),
         F.filter(F.array(*[F.lit(w) for w in blocked]) if blocked else none, lambda w: F.contains(F.lower(text), F.lower(w))).alias("found"),
     )
@@ -200,7 +202,7 @@ def moderate(
     )
     sure = F.when(own, F.lit(True)).otherwise(F.col("nli.harmful") >= 0.70)
     learns = (middle & F.col("flagged") & (F.col("intent") == "harmful") & sure) | (high & (F.col("intent") != "safe"))
-    return rows.select(key, "flagged", "severity", "intent", "band", "reason", "categories", "hits", learns.alias("learns"))
+    return rows.select(key, "flagged", "severity", "intent", "band", "reason", "categories", "hits", learns.alias("learns"), *[F.col(f"carried.`{c}`") for c in carry])
 
 
 def severity_rank(severity: Column) -> Column:

@@ -2,31 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brindle.operators import fusion
 
 
-def enrich(
-    docs: DataFrame,
-    verdicts: DataFrame,
-    tags: Callable[[DataFrame], DataFrame],
-    categories: Callable[[DataFrame], DataFrame],
-    max_tags: int = 5,
-    key: str = "doc_id",
-) -> DataFrame:
+def enrich(verdicts: DataFrame, tags: Column, categories: Column, max_tags: int = 5, key: str = "doc_id") -> DataFrame:
     """key, flagged, severity, tags (best first, by commas) and the best category; both null for flagged texts.
 
-    ``tags`` and ``categories`` score a DataFrame of texts; they only see texts that passed moderation.
+    ``tags`` and ``categories`` are scored labels (array<struct<label, pos, score>>) over the columns of ``verdicts``;
+    they are only evaluated for texts that passed moderation. One row stays one row, so nothing is shuffled.
     """
-    passed = docs.join(verdicts.filter("NOT flagged").select(key), key, "left_semi")
-    best = fusion.top_tags(tags(passed), max_tags, key=key)
-    listed = F.array_sort(F.collect_list(F.struct("rank", "tag")))
-    joined = best.groupBy(key).agg(F.array_join(F.transform(listed, lambda s: s["tag"]), ",").alias("tags"))
-    first = fusion.top_categories(categories(passed), key=key).filter("rank = 1").select(key, "category")
-    out = verdicts.select(key, "flagged", "severity").join(joined, key, "left").join(first, key, "left")
-    shown = F.when(~F.col("flagged"), F.coalesce("tags", F.lit("")))
-    return out.select(key, "flagged", "severity", shown.alias("tags"), "category")
+    passed = ~F.col("flagged")
+    best = F.transform(fusion.best_row(tags, max_tags), lambda x: x["label"])
+    first = F.get(fusion.best_categories_row(categories), 0)["label"]
+    return verdicts.select(
+        key, "flagged", "severity", F.when(passed, F.array_join(best, ",")).alias("tags"), F.when(passed, first).alias("category")
+    )

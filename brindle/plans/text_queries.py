@@ -10,7 +10,7 @@ from brindle.operators import fusion, keywords, moderation
 from brindle.operators.lexicon import hits_table, lexicon_hits
 from brindle.sources import vocabulary
 from brindle.sources.vocabulary import Rule
-from brindle.staging import table
+from brindle.staging import spread, table
 
 RULES = [
     Rule("ther|thon", "#Theory"), Rule("tion | er", "#Action"), Rule("der|die|das", "#German"), Rule("une|dans", "#French"),
@@ -41,7 +41,7 @@ def query(sql: str | None = None):
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id and text."""
-    return table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def share(key: Column, k: int) -> Column:
@@ -67,6 +67,7 @@ _FOLD = r"regexp_replace(lower({}), '[\x{{80}}-\x{{24F}}\x{{370}}-\x{{1FFF}}\x{{
 _RULES = _values([(k, _bounded(r.pattern), r.tag) for k, r in enumerate(RULES)]) + " AS rules(pos, pattern, tag)"
 _TAGS = _values(list(enumerate(TAGS))) + " AS tags(pos, tag)"
 _CATEGORIES = _values(list(enumerate(CATEGORIES))) + " AS categories(pos, category)"
+_KNOWN_CATEGORIES = _values(list(enumerate(dict.fromkeys(CATEGORIES)))) + " AS categories(pos, category)"
 _SCORES = f"""
 SELECT doc_id, tag, n, round(least(1.0, n * 0.15 + 0.4)::DOUBLE, 4) AS score
 FROM (SELECT doc_id, tag, len(regexp_extract_all({_FOLD.format("text")}, pattern))::BIGINT AS n FROM documents, {_RULES})
@@ -78,12 +79,6 @@ def keyword_counts(spark, sf_dir):
     return keywords.keyword_scores(docs(spark, sf_dir), RULES)
 
 
-def tag_candidates(rows: DataFrame) -> DataFrame:
-    """(doc_id, tag, pos) of the known tags."""
-    listed = rows.sparkSession.createDataFrame(list(enumerate(TAGS)), "pos int, tag string")
-    return rows.select("doc_id").crossJoin(F.broadcast(listed))
-
-
 _TOP = """
 SELECT doc_id, tag, score, rank FROM (
   SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, pos, tag) AS rank
@@ -94,17 +89,24 @@ FROM (SELECT doc_id, tags.tag, pos, coalesce(score, 0) AS score FROM documents C
       LEFT JOIN ({_SCORES}) USING (doc_id, tag))"""
 
 
-def fused_rules(rows: DataFrame) -> DataFrame:
-    """The rule layer's scores of the tags that it hit: candidates without any score can't be chosen."""
-    listed = rows.sparkSession.createDataFrame(list(enumerate(TAGS)), "pos int, tag string")
-    hits = keywords.keyword_scores(rows, RULES).join(F.broadcast(listed), "tag")
-    score = fusion.tag_score(F.col("score"), F.lit(0.0), F.lit(0.0), False)
-    return hits.select("doc_id", "tag", "pos", score.alias("score"))
+def hits(text: str = "text") -> Column:
+    return keywords.rule_hits(F.col(text), RULES)
+
+
+def fused_rules() -> Column:
+    """The rule layer's scores of the tags."""
+    return fusion.fuse_row(TAGS, [hits()], lambda a, b, c: fusion.tag_score(a, b, c, False))
+
+
+def exploded(rows: DataFrame, found: Column, *names: str, label: str = "tag", key: str = "doc_id") -> DataFrame:
+    """One row for each entry of ``found``, its label as ``label``."""
+    parts = rows.select(key, F.explode(found).alias("r"))
+    return parts.select(key, F.col("r.label").alias(label), *[f"r.{n}" for n in names])
 
 
 @query(_TOP.format(_FUSED_1, 8))
 def keyword_tags(spark, sf_dir):
-    return fusion.top_tags(fused_rules(docs(spark, sf_dir)))
+    return exploded(docs(spark, sf_dir), fusion.best_row(fused_rules(), 8), "score", "rank")
 
 
 @query(f"""
@@ -156,26 +158,23 @@ f AS (SELECT *, greatest(1, rest // greatest(slots, 1)) AS step FROM e)
 SELECT doc_id, tag, row_number() OVER (PARTITION BY doc_id ORDER BY bucket, pos) AS place
 FROM f WHERE bucket < 2 OR (slots > 0 AND (r - 1) % step = 0 AND (r - 1) // step < slots)""")
 def tag_pool(spark, sf_dir):
-    rows = docs(spark, sf_dir)
-    pool = keywords.tag_pool(rows, keywords.keyword_scores(rows, RULES), TAGS, POOL)
-    return pool.withColumn("place", F.col("place").cast("long"))
+    pool = keywords.tag_pool(F.col("text"), hits(), TAGS, POOL)
+    rows = docs(spark, sf_dir).select("doc_id", F.posexplode(pool).alias("place", "tag"))
+    return rows.select("doc_id", "tag", (F.col("place") + 1).cast("long").alias("place"))
 
 
 @query(f"""
 SELECT d.doc_id, category, row_number() OVER (PARTITION BY d.doc_id ORDER BY k.tag IS NULL, pos) AS place
 FROM documents d CROSS JOIN {_CATEGORIES} LEFT JOIN ({_SCORES}) k ON k.doc_id = d.doc_id AND k.tag = '#' || category""")
 def ranked_categories(spark, sf_dir):
-    rows = docs(spark, sf_dir)
-    out = keywords.ranked_categories(rows, keywords.keyword_scores(rows, RULES), CATEGORIES)
-    return out.withColumn("place", F.col("place").cast("long"))
+    found = keywords.ranked_categories(hits(), CATEGORIES)
+    rows = docs(spark, sf_dir).select("doc_id", F.posexplode(found).alias("place", "category"))
+    return rows.select("doc_id", "category", (F.col("place") + 1).cast("long").alias("place"))
 
 
 @query(f"SELECT doc_id, tag, score FROM ({_FUSED_1}) WHERE score > 0")
 def merge_no_l3(spark, sf_dir):
-    rows = docs(spark, sf_dir)
-    layers = [keywords.keyword_scores(rows, RULES)]
-    score = lambda a, b, c: fusion.tag_score(a, b, c, False)
-    return fusion.fuse(tag_candidates(rows), layers, "tag", score).filter("score > 0").select("doc_id", "tag", "score")
+    return exploded(docs(spark, sf_dir), F.filter(fused_rules(), lambda x: x["score"] > 0), "score")
 
 
 _ALL_TAGS = _values([*enumerate(TAGS), (len(TAGS), "#Extra")]) + " AS tags(pos, tag)"
@@ -187,38 +186,42 @@ FROM (
     CASE WHEN (d.doc_id + pos) % 5 = 0 THEN {_share("d.doc_id + pos", 2)} ELSE 0 END::DOUBLE AS s2,
     CASE WHEN (d.doc_id + pos) % 3 = 0 THEN {_share("d.doc_id + pos", 3)} ELSE 0 END::DOUBLE AS s3
   FROM documents d CROSS JOIN {_ALL_TAGS} LEFT JOIN ({_SCORES}) k ON k.doc_id = d.doc_id AND k.tag = tags.tag
-  WHERE tags.tag <> '#Extra' OR d.doc_id % 7 = 0)"""
+  WHERE tags.tag <> '#Extra' OR (d.doc_id % 7 = 0 AND (d.doc_id + pos) % 3 = 0))"""
 
 
-def fused_three(rows: DataFrame) -> DataFrame:
+def fused_three() -> Column:
     """Three layers over the known tags and, for some texts, a new tag of the third layer."""
-    extra = rows.filter("doc_id % 7 = 0").select("doc_id", F.lit(len(TAGS)).alias("pos"), F.lit("#Extra").alias("tag"))
-    candidates = tag_candidates(rows).unionByName(extra).dropDuplicates(["doc_id", "tag"])
-    place = F.col("doc_id") + F.col("pos")
-    layer = lambda k, m: candidates.filter(place % m == 0).select("doc_id", "tag", share(place, k).alias("score"))
-    layers = [keywords.keyword_scores(rows, RULES), layer(2, 5), layer(3, 3)]
-    return fusion.fuse(candidates, layers, "tag", lambda a, b, c: fusion.tag_score(a, b, c, True))
+    key = F.col("doc_id")
+
+    def layer(k: int, m: int) -> Column:
+        made = [
+            F.when((key + pos) % m == 0, F.struct(F.lit(t).alias("label"), share(key + pos, k).alias("score")))
+            for pos, t in enumerate([*TAGS, "#Extra"])
+        ]
+        found = F.array_compact(F.array(*made))
+        return F.filter(found, lambda x: (x["label"] != "#Extra") | (key % 7 == 0)) if k == 3 else found
+
+    return fusion.fuse_row(TAGS, [hits(), layer(2, 5), layer(3, 3)], lambda a, b, c: fusion.tag_score(a, b, c, True))
 
 
 @query(f"SELECT doc_id, tag, score FROM ({_FUSED_3}) WHERE score > 0")
 def merge_l3(spark, sf_dir):
-    return fused_three(docs(spark, sf_dir)).filter("score > 0").select("doc_id", "tag", "score")
+    return exploded(docs(spark, sf_dir), F.filter(fused_three(), lambda x: x["score"] > 0), "score")
 
 
 _FUSED_CATEGORIES = f"""
 SELECT d.doc_id, category, pos, round(least(1.0, coalesce(score, 0) * 0.4 + {_share("d.doc_id + pos", 4)} * 0.6)::DOUBLE, 4)
   AS score
-FROM documents d CROSS JOIN {_CATEGORIES} LEFT JOIN ({_SCORES}) k ON k.doc_id = d.doc_id AND k.tag = '#' || category"""
+FROM documents d CROSS JOIN {_KNOWN_CATEGORIES} LEFT JOIN ({_SCORES}) k ON k.doc_id = d.doc_id AND k.tag = '#' || category"""
 
 
-def fused_categories(rows: DataFrame) -> DataFrame:
-    listed = rows.sparkSession.createDataFrame(list(enumerate(CATEGORIES)), "pos int, category string")
-    candidates = rows.select("doc_id").crossJoin(F.broadcast(listed))
-    hits = keywords.keyword_scores(rows, RULES)
-    first = hits.select("doc_id", F.regexp_replace("tag", "^#", "").alias("category"), F.col("score").alias("s1"))
-    s1, s2 = F.coalesce("s1", F.lit(0.0)), share(F.col("doc_id") + F.col("pos"), 4)
-    score = fusion.category_score(s1, s2, F.lit(0.0), False)
-    return candidates.join(first, ["doc_id", "category"], "left").select("doc_id", "category", "pos", score.alias("score"))
+def fused_categories() -> Column:
+    """The rule layer and a stand-in for a model's scores, over the distinct categories."""
+    known = list(dict.fromkeys(CATEGORIES))
+    model = F.array(
+        *[F.struct(F.lit(c).alias("label"), share(F.col("doc_id") + k, 4).alias("score")) for k, c in enumerate(known)]
+    )
+    return fusion.fuse_row(known, [hits(), model], lambda a, b, c: fusion.category_score(a, b, c, False), "#")
 
 
 @query(f"""
@@ -226,7 +229,8 @@ SELECT doc_id, category, score, rank FROM (
   SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, pos, category) AS rank FROM ({_FUSED_CATEGORIES}))
 WHERE rank = 1 OR (score >= 0.35 AND rank <= 3)""")
 def top_categories_fallback(spark, sf_dir):
-    return fusion.top_categories(fused_categories(docs(spark, sf_dir)))
+    found = fusion.best_categories_row(fused_categories())
+    return exploded(docs(spark, sf_dir), found, "score", "rank", label="category")
 
 
 _BLOCKED = "(contains(lower(tag), 'german') OR contains(lower(tag), 'the'))"
@@ -234,18 +238,21 @@ _BLOCKED = "(contains(lower(tag), 'german') OR contains(lower(tag), 'the'))"
 
 @query(f"SELECT * FROM ({_TOP.format(_FUSED_3, 4)}) WHERE NOT {_BLOCKED}")
 def blocked_after_limit(spark, sf_dir):
-    return fusion.limit_then_block(fused_three(docs(spark, sf_dir)), BLOCKED, 4)
+    found = fusion.unblocked(fusion.best_row(fused_three(), 4), BLOCKED)
+    return exploded(docs(spark, sf_dir), found, "score", "rank")
 
 
 @query(_TOP.format(f"SELECT * FROM ({_FUSED_3}) WHERE NOT {_BLOCKED}", 4))
 def blocked_before_limit(spark, sf_dir):
-    return fusion.block_then_limit(fused_three(docs(spark, sf_dir)), BLOCKED, 4)
+    found = fusion.best_row(fusion.unblocked(fused_three(), BLOCKED), 4)
+    return exploded(docs(spark, sf_dir), found, "score", "rank")
 
 
 @query(f"SELECT tag, count(*) AS n FROM ({_TOP.format(_FUSED_3, 8)}) WHERE tag NOT IN (SELECT tag FROM {_TAGS}) GROUP BY tag")
 def new_tags(spark, sf_dir):
     known = spark.createDataFrame([(t,) for t in TAGS], "tag string")
-    found = fusion.new_labels(fusion.top_tags(fused_three(docs(spark, sf_dir))), known, "tag")
+    best = exploded(docs(spark, sf_dir), fusion.best_row(fused_three(), 8))
+    found = fusion.new_labels(best, known, "tag")
     return found.groupBy("tag").agg(F.count("*").alias("n"))
 
 
@@ -496,7 +503,7 @@ f AS (SELECT doc_id // 100 AS conv_id, tag, doc_id % 100 AS turn, rank, score FR
 m AS (SELECT *, row_number() OVER (PARTITION BY conv_id, tag ORDER BY turn, rank) AS k FROM f)
 SELECT conv_id, tag, score, row_number() OVER (PARTITION BY conv_id ORDER BY turn, rank, tag) AS place FROM m WHERE k = 1""")
 def multi_track_merge(spark, sf_dir):
-    top = fusion.top_tags(fused_rules(_turns(spark, sf_dir)))
+    top = exploded(_turns(spark, sf_dir), fusion.best_row(fused_rules(), 8), "score", "rank")
     rows = top.withColumn("conv_id", F.floor(F.col("doc_id") / 100)).withColumn("turn", F.col("doc_id") % 100)
     return fusion.merge_tracks(rows, "conv_id", "turn")
 
@@ -538,8 +545,9 @@ FROM v LEFT JOIN g USING (doc_id) LEFT JOIN c USING (doc_id)""")
 def pipeline_end_to_end(spark, sf_dir):
     from brindle.plans.pipeline import enrich
 
-    rows = docs(spark, sf_dir)
-    return enrich(rows, verdicts(spark, sf_dir), fused_rules, fused_categories)
+    words = vocabulary.phrases(lexicon(spark, sf_dir))
+    judged = moderation.moderate(scored(docs(spark, sf_dir)), words, carry=["text"])
+    return enrich(judged, fused_rules(), fused_categories())
 
 
 _TURN_TAGS = f"""

@@ -74,6 +74,12 @@ def bounded_batches(spark: SparkSession, rows: int = 512) -> None:
         spark.conf.set(key, str(rows))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt out to all cores if its scan has fewer tasks than there are cores, as one small file has; else as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the data folder ``sf_dir``."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
