@@ -12,7 +12,8 @@ other block elements. They never mark body, main or article; a named section tha
 doesn't make them bad, and a good text overrules a name of WEAK_NAMES.
 
 Null and empty pages have an empty text. Broken markup is read as browsers do: unclosed elements end with their parents,
-a tag that the page's end cuts off is dropped, unknown character references stay. Repeated rows get equal texts; extra
+a tag that the page's end cuts off is dropped, unknown character references stay. Reading a page takes time in
+proportion to its length, whatever its markup. Repeated rows get equal texts; extra
 columns are kept.
 """
 
@@ -20,6 +21,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -54,6 +56,9 @@ BAD_NAMES = frozenset(
     "login share sharing social comment comments reply replies respond disqus toolbar pagination pager skip search "
     "contentinfo complementary dialog".split()
 )
+#: Beginnings of longer names of the same kind, as in ``commentlist``; words that begin like them but are of another kind.
+BAD_STEMS = ("comment", "advert", "sponsor", "cookie", "breadcrumb", "sidebar", "newsletter", "navbar", "footer", "pagination")
+OTHER_NAMES = frozenset("commentary commentaries commentator footers".split())
 #: Names that good text overrules, and words that make known compounds with bad names.
 WEAK_NAMES = frozenset("notice notices alert banner header masthead search login share sharing social skip toolbar".split())
 PLAIN_NAMES = frozenset(
@@ -67,12 +72,10 @@ ENDED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "
 #: How bad an element is: by a weak name, by a name, by its tag or hidden; or an article that a named element holds.
 GOOD, WEAK, NAMED, BAD, HELD = range(5)
 
-_MARKUP = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({SKIPPED})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)",
-    re.S | re.I,
-)
-_NAMED = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
+_NAME = re.compile(r"[a-zA-Z][a-zA-Z0-9:-]*")
+_STOP = re.compile(r"[>\"']")
+_ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+))?""")
+_ENDS = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I) for name in SKIPPED.split("|")}
 _HIDDEN = re.compile(r"display\s*:\s*none", re.I)
 _PARTS = re.compile(r"[^a-z0-9]+")
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -92,14 +95,14 @@ def _badness(tag: str, attributes: str, in_article: bool) -> int:
     if tag in BAD_TAGS or tag == "header" and not in_article:
         return BAD
     worst = GOOD
-    for name, value in _NAMED.findall(attributes) if attributes.strip() else ():
+    for name, value in _ATTRIBUTE.findall(attributes) if attributes.strip() else ():
         name, value = name.lower(), value.strip("\"'").lower()
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and _HIDDEN.search(value):
             return BAD
         if name in ("class", "id", "role") and tag not in ARTICLE_TAGS and tag != "body":
             for token in value.split():
                 parts = {x for x in _PARTS.split(token) if x and not x.isdigit()}
-                named = parts & BAD_NAMES
+                named = {x for x in parts if x in BAD_NAMES or x.startswith(BAD_STEMS) and x not in OTHER_NAMES}
                 if "header" in parts and not in_article:
                     named = named | {"header"}
                 if named and parts <= named | PLAIN_NAMES:
@@ -107,12 +110,76 @@ def _badness(tag: str, attributes: str, in_article: bool) -> int:
     return worst if tag in SECTION_TAGS or worst != WEAK else GOOD
 
 
+def _tag_end(page: str, at: int) -> int:
+    """The place of the ``>`` that ends a tag whose name ends at ``at``: not inside a quoted value; -1 without one.
+
+    A quote opens a value only after ``=``. Each character is passed once.
+    """
+    before = at
+    while m := _STOP.search(page, at):
+        if m[0] == ">":
+            return m.start()
+        at = m.end()
+        # only white space stands between the sign and the quote; look back no further than the last mark
+        if page[before : m.start()].rstrip()[-1:] == "=":
+            at = page.find(m[0], at) + 1
+            if not at:
+                return -1
+        before = at
+    return -1
+
+
+def markup(page: str) -> Iterator[tuple[int, int, str, bool, str]]:
+    """(begin, end, name, closing, attributes) of the page's tags, comments and skipped elements, in order; the latter two
+    have no name. One pass from left to right; a tag that the page's end cuts off runs to the end."""
+    at, size = 0, len(page)
+    while (begin := page.find("<", at)) >= 0:
+        if page.startswith("<!--", begin):
+            end = page.find("-->", begin + 4)
+            at = end + 3 if end >= 0 else size
+            yield begin, at, "", False, ""
+            continue
+        closing = page.startswith("/", begin + 1)
+        name = _NAME.match(page, begin + 1 + closing)
+        if not name:
+            if closing or page.startswith(("<!", "<?"), begin):
+                end = page.find(">", begin)
+                at = end + 1 if end >= 0 else size
+                yield begin, at, "", False, ""
+            elif begin + 1 == size:
+                at = size
+                yield begin, at, "", False, ""
+            else:
+                at = begin + 1
+            continue
+        tag = name[0].lower()
+        end = _tag_end(page, name.end())
+        if end < 0:
+            yield begin, size, "", False, ""
+            return
+        at = end + 1
+        attributes = page[name.end() : end]
+        if tag in _ENDS and not closing:
+            if not attributes.endswith("/"):
+                last = _ENDS[tag].search(page, at)
+                at = last.end() if last else size
+            yield begin, at, "", False, ""
+            continue
+        yield begin, at, tag, closing, attributes
+
+
 def blocks_of(page: str) -> list[Block]:
     """The page's blocks with some text, in page order."""
     found: list[Block] = []
     stack: list[tuple[str, int, bool, int]] = [("", GOOD, False, 0)]  # tag, how bad, in an article, section
     sections, text, linked, in_link, head, at = 1, [], 0, False, False, 0
 
+    opened: Counter = Counter()  # elements on the stack by name
+
+    def cut(k: int) -> None:
+        opened.subtract(x[0] for x in stack[k:])
+        del stack[k:]
+
     def add(piece: str) -> None:
         nonlocal linked
         if piece and not head:
@@ -128,13 +195,11 @@ def blocks_of(page: str) -> list[Block]:
             found.append(Block(plain, section, bad, article, min(1.0, linked / len(plain))))
         text, linked = [], 0
 
-    for m in _MARKUP.finditer(page):
-        add(page[at : m.start()])
-        at = m.end()
-        tag = (m[3] or "").lower()
+    for begin, end, tag, ending, attributes in markup(page):
+        add(page[at:begin])
+        at = end
         if not tag:
             continue
-        ending = bool(m[2])
         if tag == "br":
             add(" ")
         elif tag == "a":
@@ -148,15 +213,15 @@ def blocks_of(page: str) -> list[Block]:
                 continue
             if not ending:
                 while stack[-1][0] in LEAF_TAGS:
-                    stack.pop()
+                    opened[stack.pop()[0]] -= 1
                 for k in range(len(stack) - 1, 0, -1):
                     if stack[k][0] in SECTION_TAGS:
                         break
                     if tag in ENDED_BY.get(stack[k][0], ()):
-                        del stack[k:]
+                        cut(k)
                         break
                 _, bad, article, section = stack[-1]
-                own = _badness(tag, m[4], article)
+                own = _badness(tag, attributes, article)
                 inside = article or tag in ARTICLE_TAGS
                 if bad == HELD:
                     now = own or HELD
@@ -167,10 +232,11 @@ def blocks_of(page: str) -> list[Block]:
                 if now != bad or inside and not article:
                     section, sections = sections, sections + 1
                 stack.append((tag, now, inside, section))
-            else:
+                opened[tag] += 1
+            elif opened[tag]:
                 for k in range(len(stack) - 1, 0, -1):
                     if stack[k][0] == tag:
-                        del stack[k:]
+                        cut(k)
                         break
                     if tag not in SECTION_TAGS and stack[k][0] in SECTION_TAGS:
                         break

@@ -77,7 +77,7 @@ def terms_of(folded: str) -> set[str]:
 def _labelled(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str) -> DataFrame:
     """(h, text, label) of at most FIT_ROWS labelled documents, the first by a hash of doc_id.
 
-    Texts that begin or end alike count once, so that copies of one document don't weigh its words up.
+    Equal texts of one label count once, so that copies of one document don't weigh its words up.
     """
     rows = labels.select(F.col(doc_id).alias("k"), F.col(label).cast("int").alias("label")).dropna()
     n = rows.count()
@@ -85,10 +85,7 @@ def _labelled(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label:
     unit = F.conv(F.substring(h, 1, 8), 16, 10).cast("double") / F.lit(2.0**32)
     few = rows.withColumn("h", h).filter(unit < F.lit(1.2 * FIT_ROWS / max(n, 1))).orderBy("h").limit(FIT_ROWS)
     found = docs.select(F.col(doc_id).alias("k"), F.col(text).alias("text")).join(F.broadcast(few), "k")
-    for end in (F.substring("text", 1, 64), F.substring("text", -64, 64)):
-        found = found.groupBy(F.coalesce(end, F.lit("")).alias("end"), "label").agg(
-            F.min_by("text", "h").alias("text"), F.min("h").alias("h")
-        )
+    found = found.groupBy(F.coalesce("text", F.lit("")).alias("text"), "label").agg(F.min("h").alias("h"))
     return found.select("h", "text", "label")
 
 

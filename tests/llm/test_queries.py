@@ -210,3 +210,31 @@ def test_page_names():
     ):
         assert pages.main_text(page) == one, page
     assert pages.main_text(f"<article><ul><li class='ad'>{one}<li>{two}</ul><p>{three}</p></article>") == f"{two}\n\n{three}"
+
+
+def test_page_markup():
+    long = "This is the text of the article and it has many of the words that are in all of the texts {}."
+    one, two = (long.format(x) for x in ("one", "two"))
+    for page in (
+        f"<article><p>{one}</p></article><a href=\"http://x",
+        f"<article><p>{one}</p></article><a href='x",
+        f"<article><p>{one}</p></article><",
+        f"<article><p title='a>b' x=\"'>'\">{one}</p><!-- <p>{two}</p> --><!doctype x></article><!-- {two}",
+        f"<article><p>{one}</p><SCRIPT>if (a < b) '</p>'</Script ></article><style>{two}",
+        f"<article><p class = comment>{two}</p><p>{one}</p></article>",
+        f"<article><p>{one}</p><p hidden>{two}</p><ol class='commentlist'><li>{two}</ol></article>",
+        f"<article><svg/><p title=\"class='advert'\">{one}</p></article>",
+        f"<article><p don't>{one}</p></article>",
+        f"<div class=commentary><p>{one}</p></div>",
+    ):
+        assert pages.main_text(page) == one, page
+    assert pages.main_text(f"<p>{one} 1 < 2 <3 and</p>") == one + " 1 < 2 <3 and"
+
+
+@pytest.mark.parametrize("part", ["<a ", "<a x='", "<!--", "<p>", "</", "<script>", "<a =' ", "&amp", "<li class=ad>", "<svg", "< ", "<div></section>", "<li></p>"])
+def test_broken_pages_take_linear_time(part):
+    import time
+
+    began = time.process_time()
+    pages.main_text(part * (1_000_000 // len(part)) + '"')
+    assert time.process_time() - began < 8
