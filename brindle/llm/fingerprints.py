@@ -1,13 +1,17 @@
-"""Document fingerprints from closed syncmers.
+"""Document fingerprints from closed syncmers, matched by position.
 
 A K-mer of code points is an anchor if the least of the hashes of its inner S-mers is its first's or its last's. That
-depends on the K-mer alone, so equal passages have equal anchors wherever they stand. A fingerprint is the SKETCH
-anchors with the least hashes, written in the order in which they first stand in the text, eight hexadecimal digits
-each; the likeness of two fingerprints is the share of common anchors among the SKETCH least of both together, which
-estimates the Jaccard similarity of all their anchors.
+depends on the K-mer alone, so equal passages have equal anchors wherever they stand. A fingerprint holds the anchors
+whose hash is in the lowest SHARE of all hashes, so it grows with its text and any long passage has some of them, and at
+least the LEAST anchors with the lowest hashes: hash and position, eight hexadecimal digits each, in the order of the text.
 
-Texts shorter than K have one anchor, their own hash; longer ones without a closed syncmer have their least K-mer; null and empty texts have none and an empty fingerprint, which is
-like another empty one (1) and unlike any other (0).
+Two fingerprints are compared over the hashes that both would have kept. Equal anchors (the n-th of a hash with the
+n-th) match if they stand at the same place or if the next match before or after them has the same offset, both within
+TOLERANCE: so passages match that were moved as a whole, and stray equal K-mers don't. The likeness is the share of
+matching anchors among all of both.
+
+Texts shorter than K have one anchor, their own hash; longer ones without a closed syncmer have their least K-mer; null
+and empty texts have none and an empty fingerprint, which is like another empty one (1) and unlike any other (0).
 """
 
 from __future__ import annotations
@@ -24,9 +28,13 @@ from pyspark.sql import functions as F
 from brindle.llm.text import wider
 from brindle.staging import bounded_batches, setting
 
-K, S, SKETCH = 16, 6, 64
+K, S, LEAST, TOLERANCE = 16, 6, 64, 24
+#: Anchors below this hash are always kept: a quarter of them.
+SHARE = 1 << 30
+#: Bytes of text in a part, and how many parts there may be at most: beyond it they grow.
+PART_BYTES, PARTS = 16 << 20, 50_000
 _STEP, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
-_LEAST = -(1 << 63)
+_NULL = -(1 << 63)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -68,23 +76,53 @@ def anchors(text: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sketch(text: str) -> np.ndarray:
-    """The least distinct anchor hashes in the order of their first places."""
+    """[anchor, (hash, position)] of the kept anchors, by position, as unsigned 32-bit integers."""
     at, h = anchors(text)
-    values, first = np.unique(h, return_index=True)
-    values, first = values[:SKETCH], first[:SKETCH]
-    return values[np.argsort(at[first], kind="stable")]
+    values = np.unique(h)
+    limit = max(SHARE - 1, int(values[min(LEAST, len(values)) - 1])) if len(values) else 0
+    kept = h <= limit
+    return np.column_stack([h[kept], at[kept].astype(np.uint32)])
 
 
 def written(found: np.ndarray) -> str:
     return found.astype(">u4").tobytes().hex()
 
 
+def read(fingerprint: str) -> np.ndarray:
+    """The sketch that ``written`` wrote."""
+    return np.frombuffer(bytes.fromhex(fingerprint), ">u4").reshape(-1, 2).astype(np.uint32)
+
+
+def _limit(found: np.ndarray) -> int:
+    """The greatest hash that the fingerprint would have kept; all of them if it has fewer than LEAST."""
+    values = np.unique(found[:, 0])
+    return (1 << 32) - 1 if len(values) < LEAST else max(SHARE - 1, int(values[-1]))
+
+
+def _keyed(found: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys (hash, how many of it stand before) and positions of the anchors up to the limit."""
+    found = found[found[:, 0] <= limit]
+    order = np.argsort(found[:, 0], kind="stable")
+    h = found[order, 0].astype(np.uint64)
+    first = np.searchsorted(h, h)
+    return (h << np.uint64(32)) | (np.arange(len(h)) - first).astype(np.uint64), found[order, 1].astype(np.int64)
+
+
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
-    """The share of common anchors among the least of both."""
+    """The share of anchors that match in place or in runs, among all of both sketches."""
     if not len(a) and not len(b):
         return 1.0
-    both = np.union1d(a, b)[:SKETCH]
-    return float(np.isin(both, a, assume_unique=True).__and__(np.isin(both, b, assume_unique=True)).sum() / len(both))
+    limit = min(_limit(a), _limit(b))
+    (key_a, at_a), (key_b, at_b) = _keyed(a, limit), _keyed(b, limit)
+    _, i, k = np.intersect1d(key_a, key_b, assume_unique=True, return_indices=True)
+    order = np.argsort(at_a[i], kind="stable")
+    offset = at_b[k][order] - at_a[i][order]
+    near = np.abs(np.diff(offset)) <= TOLERANCE
+    match = np.abs(offset) <= TOLERANCE
+    match[1:] |= near
+    match[:-1] |= near
+    n = int(match.sum())
+    return n / (len(key_a) + len(key_b) - n)
 
 
 def fingerprint(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -118,33 +156,38 @@ def _compared(doc_id: int, own: tuple[str, np.ndarray], following: tuple[str, np
     mark = sketch(edited)
     digest = hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest()
     near = likeness(own[1], mark), likeness(own[1], following[1])
-    return (doc_id if doc_id != _LEAST else None, len(own[0]), digest, written(own[1]), written(mark), *near)
+    return (doc_id if doc_id != _NULL else None, len(own[0]), digest, written(own[1]), written(mark), *near)
 
 
 def compare_with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Each document's fingerprint against its edited text's and the next document's, by descending doc_id.
 
-    Documents are dealt to parts by ranges of doc_id, each part also gets the first document of the next (the last
-    part that of the first), and every part is read in order, one document at a time. The ranges' bounds and the
-    parts' first ids, two numbers a part, are all that reaches the driver. Null ids come last; documents of equal id
-    stand in the order of their texts, and must fit one part.
+    Documents are dealt to parts by ranges of doc_id, about PART_BYTES of text each, each part also gets the first
+    document of the next (the last part that of the first), and every part is read in order, one document at a time. The
+    ranges' bounds and the parts' first ids, two numbers a part and PARTS parts at most, are all that reaches the
+    driver. Null ids come last; documents of equal id stand in the order of their texts, and are read by one task.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    parts = int(setting(spark, "spark.sql.shuffle.partitions") or 200)
     rows = docs.select(
-        F.coalesce(F.col(doc_id).cast("long"), F.lit(_LEAST)).alias("doc_id"),
+        F.coalesce(F.col(doc_id).cast("long"), F.lit(_NULL)).alias("doc_id"),
         F.coalesce(F.col(text), F.lit("")).alias("text"),
     )
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    least = int(setting(spark, "spark.sql.shuffle.partitions") or 200)
+    parts = min(PARTS, max(least, -(-int(size) // PART_BYTES)))
     cuts = rows.agg(
         F.percentile_approx("doc_id", [k / parts for k in range(1, parts)] or [0.5], max(10_000, 20 * parts)).alias("c")
     ).first()["c"]
     bounds = np.unique(np.array(cuts or [], np.int64))
+    parts = len(bounds) + 1
+
+    last = len(bounds)  # parts are numbered as they are read, by descending ids
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids = b.column(0).to_numpy()
-            yield pa.RecordBatch.from_pydict({"part": -np.searchsorted(bounds, ids), "doc_id": ids})
+            yield pa.RecordBatch.from_pydict({"part": last - np.searchsorted(bounds, ids), "doc_id": ids})
 
     firsts = (
         rows.select("doc_id").mapInArrow(part, "part long, doc_id long").groupBy("part").agg(F.max("doc_id").alias("m"))
@@ -155,7 +198,7 @@ def compare_with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids = b.column(0).to_numpy()
-            own = -np.searchsorted(bounds, ids)
+            own = last - np.searchsorted(bounds, ids)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(own), b.column(0), b.column(1), pa.array(np.zeros(len(ids), np.int32))],
                 names=["part", "doc_id", "text", "ahead"],
@@ -188,7 +231,7 @@ def compare_with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
         yield _batch(out, names)
 
     dealt = rows.mapInArrow(deal, "part long, doc_id long, text string, ahead int")
-    ordered = dealt.repartition(parts, "part").sortWithinPartitions(
+    ordered = dealt.repartitionById(parts, F.col("part").cast("int")).sortWithinPartitions(
         "part", "ahead", F.desc("doc_id"), "text"
     )
     return ordered.mapInArrow(run, _RESULT)

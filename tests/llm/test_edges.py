@@ -218,19 +218,86 @@ def test_word_tokens_match_the_tokenizer():
         assert ids == whole.encode(text, add_special_tokens=False).ids + [2]
 
 
+def _letters(rng, n):
+    return "".join(chr(97 + x) for x in rng.randint(0, 26, n))
+
+
 def test_fingerprint_likeness():
     rng = np.random.RandomState(5)
-    text = "".join(chr(97 + x) for x in rng.randint(0, 26, 4000))
+    text = _letters(rng, 4000)
     moved = "zz" * 20 + text
     a, b = fingerprints.sketch(text), fingerprints.sketch(moved)
     assert fingerprints.likeness(a, b) > 0.8 and fingerprints.likeness(a, a) == 1.0
     assert fingerprints.likeness(fingerprints.sketch(""), fingerprints.sketch("")) == 1.0
     assert fingerprints.likeness(fingerprints.sketch(""), a) == 0.0 and len(fingerprints.sketch("ab")) == 1
+    assert (fingerprints.read(fingerprints.written(a)) == a).all()
     at, _ = fingerprints.anchors(text)
     inside, _ = fingerprints.anchors(text[100:2000])
     assert set((inside + 100).tolist()) == {p for p in at.tolist() if 100 <= p <= 2000 - fingerprints.K}
 
 
+def test_closed_syncmers_by_brute_force():
+    rng = np.random.RandomState(12)
+    for text in (_letters(rng, 900), "ab" * 200, "été naïve 文字 😀 " * 30):
+        codes = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
+        inner = []
+        for k in range(len(codes) - fingerprints.S + 1):
+            h = np.uint64(0)
+            for c in codes[k : k + fingerprints.S]:
+                h = h * fingerprints._STEP + c
+            inner.append(int(fingerprints._mixed(np.array([h]))[0]))
+        expected = []
+        for k in range(len(codes) - fingerprints.K + 1):
+            own = inner[k : k + fingerprints.K - fingerprints.S + 1]
+            if min(own) in (own[0], own[-1]):
+                expected.append(k)
+        at, h = fingerprints.anchors(text)
+        assert at.tolist() == expected
+        for x, y in zip(at.tolist(), h.tolist()):  # an anchor's hash is that of its text
+            assert {int(v) for p, v in zip(at, h) if text[p : p + fingerprints.K] == text[x : x + fingerprints.K]} == {y}
+
+
+def test_likeness_by_brute_force():
+    rng = np.random.RandomState(13)
+    base = _letters(rng, 6000)
+    texts = [base, base[:3000], base[3000:] + base[:3000], _letters(rng, 500) + base[1000:1400] + _letters(rng, 900), base[:40], "abc" * 400, _letters(rng, 5000)]
+    marks = [fingerprints.sketch(t) for t in texts]
+
+    def naive(a, b):
+        top = []
+        for m in (a, b):
+            values = sorted(set(m[:, 0].tolist()))
+            top.append(max(fingerprints.SHARE - 1, values[-1]) if len(values) >= fingerprints.LEAST else 1 << 32)
+        seen, sides = {}, []
+        for m in (a, b):
+            seen, own = {}, []
+            for h, p in m.tolist():
+                if h <= min(top):
+                    own.append(((h, seen.get(h, 0)), p))
+                    seen[h] = seen.get(h, 0) + 1
+            sides.append(own)
+        there = dict(sides[1])
+        pairs = sorted((p, there[k] - p) for k, p in sides[0] if k in there)
+        n = 0
+        for i, (_, d) in enumerate(pairs):
+            around = [0] + [pairs[j][1] for j in (i - 1, i + 1) if 0 <= j < len(pairs)]
+            n += any(abs(d - x) <= fingerprints.TOLERANCE for x in around)
+        return n / (len(sides[0]) + len(sides[1]) - n)
+
+    for a in marks:
+        for b in marks:
+            assert fingerprints.likeness(a, b) == pytest.approx(naive(a, b))
+    assert fingerprints.likeness(marks[0], marks[2]) > 0.9  # moved as a whole
+    assert fingerprints.likeness(marks[0], marks[6]) == 0 and fingerprints.likeness(marks[0], marks[3]) > 0.01
+
+
+def test_long_texts_show_short_shared_passages():
+    rng = np.random.RandomState(14)
+    shared = _letters(rng, 600)
+    a, b = (_letters(rng, 60_000) + shared + _letters(rng, 60_000) for _ in range(2))
+    assert fingerprints.likeness(fingerprints.sketch(a), fingerprints.sketch(b)) > 0
+
+
 def test_short_texts_have_fingerprints():
     rng = np.random.RandomState(11)
     texts = ["".join(chr(97 + x) for x in rng.randint(0, 26, n)) for n in range(14, 40) for _ in range(40)]
