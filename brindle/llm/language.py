@@ -5,8 +5,10 @@ phrases, each the longest that occurs in the language's text; phrases times log2
 of symbols is the cross entropy that the parse estimates, and the language with the least wins.
 
 Texts are lower-cased; letters stay, runs of anything else count as one separator. Every letter of the learned texts is
-a symbol of its own, whatever the scripts. Whole texts are parsed, in pieces of ``PIECE`` symbols at whose ends phrases
-end, so that numpy steps through many pieces and all languages at once. Every label that occurs is learned, from a
+a symbol of its own, whatever the scripts. Whole texts are parsed. So that numpy steps through many pieces and all
+languages at once, texts are first parsed in pieces of ``PIECE`` symbols, as if a phrase began at each; then each piece
+is parsed again from where the one before it really ended, until a phrase begins at the same symbol both times, from
+which on both parses are the same. Every label that occurs is learned, from a
 bounded number of rows and characters, so the model grows with the labels and not with the rows.
 
 A null text and a text without a letter get ``und`` and score 0. Null languages are never learned. With no labelled
@@ -27,8 +29,8 @@ from pyspark.sql import functions as F
 from brindle.llm.text import wider
 from brindle.staging import bounded_batches
 
-#: The labelled sample's bounds: rows of each language, characters of a row and of a language.
-ROWS, ROW_CHARS, CHARS = 48, 2000, 20_000
+#: The labelled sample's bounds: rows of each language, and characters of a language. Longer rows come last.
+ROWS, CHARS = 48, 20_000
 PIECE = 256
 UNKNOWN, SEPARATOR, FIRST = 0, 1, 2
 #: States of pieces by languages that are stepped at once.
@@ -43,14 +45,14 @@ def sample(labelled: DataFrame, doc_id: str, text: str, lang: str) -> dict[str,
     shares = rows.groupBy("lang").agg((F.lit(4.0 * ROWS) / F.count("*")).alias("share"))
     h = F.md5(F.concat(F.lit("lang:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
     unit = F.conv(F.substring(h, 1, 8), 16, 10).cast("double") / F.lit(2.0**32)
-    best = Window.partitionBy("lang").orderBy("h", "text")  # over a bounded number of rows
+    best = Window.partitionBy("lang").orderBy(F.length("text") > CHARS, "h", "text")  # over a bounded number of rows
     few = (
         rows.join(F.broadcast(shares), "lang")  # a row for each language
         .withColumn("h", h)
         .filter(unit < F.col("share"))
         .withColumn("k", F.row_number().over(best))
         .filter(F.col("k") <= ROWS)
-        .select("lang", "k", F.substring("text", 1, ROW_CHARS).alias("text"))
+        .select("lang", "k", F.substring("text", 1, CHARS).alias("text"))
     )
     found: dict[str, str] = {}
     for r in sorted(few.collect(), key=lambda r: (r["lang"], r["k"])):
@@ -182,44 +184,88 @@ class Automata:
         table[place[own] - at + symbol] = place[own] << 32 | place[to]
         return table, place, moves[0]
 
+    def _step(self, state: np.ndarray, symbol: np.ndarray, lang: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The states after a symbol, and where a new phrase begins with it."""
+        move = self.table.take(state + symbol)
+        miss = (move >> 32) != state
+        move &= 0xFFFFFFFF
+        if lang is None:  # [piece, language]
+            np.copyto(move, self.starts.take(symbol[:, 0], axis=0), where=miss)
+        else:
+            move[miss] = self.starts[symbol[miss], lang[miss]]
+        return move, miss
+
     def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
         """[text, language]: the number of phrases of each encoded text."""
-        out = np.zeros((len(texts), len(self.names)))
-        pieces = np.array([-(-len(t) // PIECE) for t in texts], np.int64)
+        sizes = np.array([len(t) for t in texts], np.int64)
+        out = np.repeat((sizes > 0).astype(np.int64)[:, None], len(self.names), axis=1)
+        pieces = -(-sizes // PIECE)
         n = int(pieces.sum())
         if not n:
             return out
-        lanes = np.zeros((n, PIECE), np.int32)
-        lengths = np.full(n, PIECE)
-        at = 0
-        for t, k in zip(texts, pieces.tolist()):
-            if k:
-                lanes[at : at + k].reshape(-1)[: len(t)] = t
-                lengths[at + k - 1] = len(t) - (k - 1) * PIECE
-            at += k
-        order = np.argsort(-lengths, kind="stable")
-        found = np.ones((n, len(self.names)), np.int64)  # the last phrase
+        seq = np.concatenate(texts)
+        text = np.repeat(np.arange(len(texts)), pieces)
+        nth = np.arange(n) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        begin = np.repeat(np.cumsum(sizes) - sizes, pieces) + nth * PIECE
+        length = np.minimum(PIECE, sizes[text] - nth * PIECE)
         chunk = max(1, STEPPED // len(self.names))
+        carried = self.roots
         for at in range(0, n, chunk):
-            part = order[at : at + chunk]
-            steps = np.ascontiguousarray(lanes[part].T)
-            longer = len(part) - np.searchsorted(lengths[part][::-1], np.arange(PIECE), "right")
-            state = np.tile(self.roots, (len(part), 1))
-            count = np.ones_like(state)
-            for t, k in enumerate(longer.tolist()):  # the first k pieces have a symbol here
-                if not k:
-                    break
-                now, c = state[:k], steps[t, :k]
-                move = self.table.take(now + c[:, None])
-                miss = (move >> 32) != now
-                count[:k] += miss
-                move &= 0xFFFFFFFF
-                np.copyto(move, self.starts.take(c, axis=0), where=miss)
-                state[:k] = move
-            found[part] = count
-        np.add.at(out, np.repeat(np.arange(len(texts)), pieces), found)
+            part = slice(at, at + chunk)
+            places = np.minimum(begin[part][:, None] + np.arange(PIECE), len(seq) - 1)
+            found, carried = self._chunk(seq[places], length[part], nth[part] == 0, carried)
+            np.add.at(out, text[part], found)
         return out
 
+    def _chunk(self, lanes: np.ndarray, length: np.ndarray, first: np.ndarray, carried: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """[piece, language]: how many phrases begin inside each of these consecutive pieces (or at its first symbol, if
+        that ends the phrase before), and the states at the end of the last one."""
+        order = np.argsort(-length, kind="stable")
+        steps = np.ascontiguousarray(lanes[order].T)[:, :, None]
+        longer = len(order) - np.searchsorted(length[order][::-1], np.arange(PIECE), "right")
+        now = np.tile(self.roots, (len(order), 1))
+        missed = np.zeros((PIECE, *now.shape), bool)
+        for t, k in enumerate(longer.tolist()):  # the first k pieces have a symbol here
+            if not k:
+                break
+            move, miss = self._step(now[:k], steps[t, :k])
+            inverse = order[:k]
+            missed[t, inverse] = miss
+            now[:k] = move
+        end = np.empty_like(now)
+        end[order] = now
+        own_end = end.copy()
+        count = missed.sum(axis=0)
+        own = count.copy()
+        used = np.full_like(end, -1)  # the states that pieces were parsed from
+        while True:
+            before = np.vstack([carried[None], end[:-1]])
+            piece, lang = np.nonzero((before != used) & ~first[:, None])
+            if not len(piece):
+                return count, end[-1]
+            used[piece, lang] = before[piece, lang]
+            more, last = self._again(lanes, length, missed, piece, lang, before[piece, lang])
+            count[piece, lang] = own[piece, lang] + more
+            end[piece, lang] = np.where(last < 0, own_end[piece, lang], last)
+
+    def _again(self, lanes, length, missed, piece, lang, state) -> tuple[np.ndarray, np.ndarray]:
+        """Parse pieces from other states: how many phrases more begin, and the last state, or -1 if both parses meet."""
+        more, last = np.zeros(len(piece), np.int64), np.full(len(piece), -1, np.int64)
+        left = np.arange(len(piece))
+        for t in range(PIECE):
+            p, k = piece[left], lang[left]
+            state, miss = self._step(state, lanes[p, t], k)
+            then = missed[t, p, k]
+            more[left] += miss.astype(np.int64) - then
+            apart = ~(miss & (then | (t == 0)))
+            done = apart & (length[p] == t + 1)
+            last[left[done]] = state[done]
+            apart &= ~done
+            left, state = left[apart], state[apart]
+            if not len(left):
+                break
+        return more, last
+
     def identify(self, texts: list[str | None]) -> list[tuple[str, float]]:
         coded = [self.encode(t or "") for t in texts]
         found = self.phrases(coded)

@@ -342,26 +342,29 @@ def test_every_letter_is_a_symbol():
         assert found == name and score > 0.6
 
 
-def test_phrases_by_brute_force():
+@pytest.mark.parametrize(("piece", "stepped"), [(256, 1 << 16), (16, 64)])
+def test_phrases_by_brute_force(monkeypatch, piece, stepped):
+    """In whatever pieces: long phrases run over many of them, and unknown letters end them."""
+    monkeypatch.setattr(language, "PIECE", piece)
+    monkeypatch.setattr(language, "STEPPED", stepped)
     learned, others = _scripts()
     model = language.Automata(learned)
-    texts = [*others.values(), learned["hi"][50:400] + " qя " + learned["zh"][:300], "한", "é"]
+    texts = [*others.values(), learned["hi"][50:400] + " qя " + learned["zh"][:300], "한", "é", "", learned["cy"][7:]]
     got = model.phrases([model.encode(t) for t in texts])
     for row, text in zip(got, texts):
         coded = model.encode(text).tolist()
         for k, name in enumerate(model.names):
             whole, n = model.encode(learned[name]).astype("<u4").tobytes(), 0
-            for at in range(0, len(coded), language.PIECE):
-                now, n = b"", n + 1
-                for c in coded[at : at + language.PIECE]:
-                    c = np.uint32(c).tobytes()
-                    longer = [whole.find(now + c)]
-                    while longer[-1] >= 0 and longer[-1] % 4:
-                        longer.append(whole.find(now + c, longer[-1] + 1))
-                    if longer[-1] >= 0:
-                        now += c
-                    else:
-                        n, now = n + 1, c if c in {whole[i : i + 4] for i in range(0, len(whole), 4)} else b""
+            now, n = b"", int(len(coded) > 0)
+            for c in coded:
+                c = np.uint32(c).tobytes()
+                longer = [whole.find(now + c)]
+                while longer[-1] >= 0 and longer[-1] % 4:
+                    longer.append(whole.find(now + c, longer[-1] + 1))
+                if longer[-1] >= 0:
+                    now += c
+                else:
+                    n, now = n + 1, c if c in {whole[i : i + 4] for i in range(0, len(whole), 4)} else b""
             assert row[k] == n
 
 
