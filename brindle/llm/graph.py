@@ -11,13 +11,13 @@ from brindle.staging import stage
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """One star step on edges (u, v): large joins each node's greater neighbours to its least one, small the others.
 
-    The least neighbours are a pre-aggregated grouping that is joined back, so a node with very many neighbours is
-    split like any skewed join key.
+    The least neighbours are a staged table, so that both sides of the join are bare shuffles and adaptive execution can
+    split a node with very many neighbours.
     """
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     if not large:
         both = both.filter("v <= u")
-    least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+    least = stage(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")), "least")
     joined = both.join(least, "u")
     if large:
         out = joined.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))

@@ -40,8 +40,9 @@ MARGIN = 0.15
 BROADCAST_ROWS = 500_000
 #: A hub's comparisons are dealt to so many parts.
 HUB_PARTS = 32
-#: Rounds of comparisons with hubs, and nodes in a block of a family.
-HUB_ROUNDS, BLOCK = 2, 192
+#: Rounds of comparisons with hubs: at least, and at most while more than FEW nodes are apart in a shared band and the
+#: rounds still help; nodes in a block of a family.
+HUB_ROUNDS, MOST_ROUNDS, FEW, BLOCK = 2, 8, 20_000, 192
 REMEMBERED = 400_000
 _LEAST = -(1 << 63)
 _C1, _C2, _C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -239,12 +240,13 @@ def confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Dat
 def connect(shared: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """(node, comp) of the nodes in bands with others (band, node, degree); nodes without links may be missing.
 
-    In each of HUB_ROUNDS rounds a node is compared with one hub that it shares bands with and isn't connected to: a
+    In each round a node is compared with one hub that it shares bands with and isn't connected to: a
     band's hub is its node of the greatest degree, as the text that copies were made from shares bands with most of
-    them. What is still apart in a shared band then goes to ``compare_families``.
+    them. What is still apart in a shared band then goes to ``compare_families``, whose work grows with the square of a
+    family, so rounds go on while they help.
     """
-    links, comps = None, None
-    for turn in range(HUB_ROUNDS + 1):
+    links, comps, last = None, None, None
+    for turn in range(MOST_ROUNDS + 1):
         placed = shared.withColumn("comp", F.col("node"))
         if comps is not None:
             placed = shared.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
@@ -254,9 +256,12 @@ def connect(shared: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
             .filter("a <> b")
             .select("band", F.col("t.node").alias("hub"), F.col("t.comp").alias("hub_comp"))
         )
-        placed = stage(placed.join(mixed, "band"), "placed")
-        if turn == HUB_ROUNDS:
-            break
+        placed = stage(placed.join(stage(mixed, "mixed"), "band"), "placed")
+        if turn >= HUB_ROUNDS:
+            apart = placed.select("node").distinct().count()
+            if turn == MOST_ROUNDS or apart <= FEW or last is not None and apart > 0.9 * last:
+                break
+            last = apart
         counts = placed.filter("comp <> hub_comp").groupBy("node", "hub").agg(F.count("*").alias("k"))
         best = F.max(F.struct("k", "hub"))["hub"].alias("u")
         found = confirm(counts.groupBy("node").agg(best).select("u", F.col("node").alias("v")), texts, width, percent)
@@ -340,9 +345,10 @@ def _judged(docs: DataFrame, width: int, percent: int, doc_id: str, text: str) -
         "nodes",
     )
     bands = stage(_bands(nodes), "bands")
-    several = bands.groupBy("band").agg(F.count("*").alias("k")).filter("k > 1")
+    # aggregates are staged before they are joined back, so that a band or node with very many rows can be split
+    several = stage(bands.groupBy("band").agg(F.count("*").alias("k")).filter("k > 1"), "counts")
     shared = stage(bands.join(several, "band"), "several")  # nodes in bands with others
-    degrees = shared.groupBy("node").agg(F.sum(F.col("k") - 1).alias("degree"))
+    degrees = stage(shared.groupBy("node").agg(F.sum(F.col("k") - 1).alias("degree")), "degrees")
     shared = stage(shared.join(degrees, "node").select("band", "node", "degree"), "shared")
     involved = stage(degrees.select("node").join(nodes, "node"), "involved")
     keys = _sized(stage(involved.select("first", "mark", "node"), "keys"))
