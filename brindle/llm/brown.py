@@ -1,18 +1,20 @@
 """Language-model scores by a class-based bigram model with exchange clustering.
 
-Exchange clustering sorts the CORE most frequent words into CLASSES classes so as to raise the class bigrams'
-likelihood; each round computes, from the corpus's bigram counts, every word's neighbours by class, and moves words to
-their best class. All other words belong to fixed classes by their endings. A token's probability is
+Words of MIN_COUNT tokens or more are sorted into classes so as to raise the class bigrams' likelihood: the CORE most
+frequent ones by rounds of exchanges, all others by one exchange each, into the class that gains most, the core staying
+as it is. The number of classes grows with the fourth root of the tokens. Rarer words belong to fixed classes by their
+endings. A token's probability is
 
-    SHARE * P(class | previous token's class) * P(word | class) + (1 - SHARE) * (c + 1) / (N + V + 1)
+    SHARE * P(class | previous token's class) * P(word | class) + (1 - SHARE) * (n + 1) / (N + V + 1)
 
-with transitions smoothed towards the classes' own frequencies and, in the ending classes, emissions (c + 1) / (N_class
-+ V_class + 1), so that an unknown word of each ending has a share. Words are lower-cased (A-Z) and told apart by 64-bit
-hashes; an end token closes each text and precedes its first word.
+with n the word's count, transitions smoothed towards the classes' own frequencies and, in the ending classes, emissions
+(n + 1) / (N_class + V_class + 1), so that an unknown word of each ending has a share. Words are lower-cased (A-Z) and
+told apart by 64-bit hashes; an end token closes each text and precedes its first word.
 
-Counts cover the whole training corpus and are joined by word; only the LISTED most frequent words' counts, the class
-of each core word and the class bigrams reach driver and tasks, all of bounded size. The sum over the other words goes
-through a join on the word, whose keys are rare words and so never hot.
+Texts are read once, into staged blocks of about BLOCK tokens: a block's distinct words and codes into them. Everything
+after that works on blocks. Counts and classes of the whole vocabulary are a staged table that is joined by word; only
+the LISTED most frequent words and the class bigrams reach driver and tasks, all of bounded size. Keys of the join are
+other words, so none is hot.
 
 A null text is empty (its end token alone is scored). With no training text the model is the base model, which gives
 probability 1 to the one unknown word. Repeated rows are separate documents, and extra columns are ignored.
@@ -20,22 +22,28 @@ probability 1 to the one unknown word. Repeated rows are separate documents, and
 
 from __future__ import annotations
 
-from collections import Counter
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brindle.staging import bounded_batches, stage
 
-CORE, CLASSES, LISTED, ROUNDS = 8192, 48, 1 << 17, 6
+CORE, LISTED, MIN_COUNT = 8192, 1 << 17, 5
+#: Turns of exchange in all, turns in which each core word moves once, and words that move one after the other.
+ROUNDS, TURNS, GROUP = 8, 4, 1024
+#: Classes that exchange fills: at least and at most.
+FEWEST, MOST = 32, 190
 SHARE, PULL = 0.95, 2.0
-#: Words that a Python worker counts or remembers before it empties its table.
-HELD = 400_000
+#: Tokens of a block, and words that a Python worker remembers before it empties its table.
+BLOCK, HELD = 1 << 18, 600_000
+#: Neighbours of one word that go to one task; listed words with more are dealt to several.
+TOGETHER = 1 << 20
 END_WORD = b"\n"
 _MARKS = frozenset(b".,;:!?)\"'|")
 #: Ending classes: 26 letters or another, each with or without a mark after it; one for words without a letter there.
@@ -66,142 +74,186 @@ def tokens(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "replace").lower().split()
 
 
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
-    for b in batches:
-        yield b.column("text").to_pylist()
+# -- blocks
 
 
-def count_words(docs: DataFrame) -> DataFrame:
-    """(h, cls, n) of each word of the column ``text``, the end token included: counted in tasks, then summed."""
+class Words:
+    """Numbers of words as a Python worker meets them, with their hashes and ending classes."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
+    def __init__(self) -> None:
+        self.clear()
 
-        def flush() -> pa.RecordBatch:
-            words = list(counts)
-            out = pa.RecordBatch.from_pydict(
-                {
-                    "h": pa.array(list(map(word_hash, words)), pa.int64()),
-                    "cls": pa.array(list(map(ending, words)), pa.int32()),
-                    "n": pa.array(list(counts.values()), pa.int64()),
-                }
-            )
-            counts.clear()
-            return out
-
-        for texts in _texts(batches):
-            for t in texts:
-                counts.update(tokens(t))
-                counts[END_WORD] += 1
-                if len(counts) > HELD:
-                    yield flush()
+    def clear(self) -> None:
+        self.known: dict[bytes, int] = {}
+        self.hashes, self.endings = array("q"), array("B")
+        self._learn(END_WORD)
+
+    def _learn(self, word: bytes) -> int:
+        self.known[word] = k = len(self.hashes)
+        self.hashes.append(word_hash(word))
+        self.endings.append(ending(word))
+        return k
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        found = list(map(self.known.get, words))
+        if None in found:
+            known, learn = self.known, self._learn
+            found = [(known.get(w) or learn(w)) if c is None else c for w, c in zip(words, found)]
+        found.append(0)
+        return np.array(found, np.int32)
+
+
+_WORDS = Words()
+_BLOCKS = (
+    "block long, docs array<long>, lengths binary, train binary, hashes binary, endings binary, codes binary"
+)
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, text, train) -> blocks."""
+    place = TaskContext.get().partitionId() << 32
+    docs, train, parts, n = [], [], [], 0
+
+    def flush() -> pa.RecordBatch:
+        ids = np.concatenate(parts)
+        local, codes = np.unique(ids, return_inverse=True)
+        row = {
+            "block": pa.array([place], pa.int64()),
+            "docs": pa.array([docs], pa.list_(pa.int64())),
+            "lengths": pa.array([np.array([len(p) for p in parts], np.int32).tobytes()], pa.binary()),
+            "train": pa.array([np.array(train, np.uint8).tobytes()], pa.binary()),
+            "hashes": pa.array([np.array(_WORDS.hashes, np.int64)[local].tobytes()], pa.binary()),
+            "endings": pa.array([np.array(_WORDS.endings, np.uint8)[local].tobytes()], pa.binary()),
+            "codes": pa.array([codes.astype(np.uint16 if len(local) <= 1 << 16 else np.uint32).tobytes()], pa.binary()),
+        }
+        return pa.RecordBatch.from_pydict(row)
+
+    for b in batches:
+        for i, t, own in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist()):
+            parts.append(_WORDS.of(tokens(t.as_py())))
+            docs.append(i)
+            train.append(bool(own))
+            n += len(parts[-1])
+            if n >= BLOCK:
+                yield flush()
+                docs, train, parts, n = [], [], [], 0
+                place += 1
+                if len(_WORDS.known) > HELD:
+                    _WORDS.clear()
+    if parts:
         yield flush()
 
-    rows = docs.select("text").mapInArrow(run, "h long, cls int, n long")
-    return rows.groupBy("h").agg(F.min("cls").alias("cls"), F.sum("n").alias("n"))
 
+def encode(docs: DataFrame, doc_id: str, text: str, train: Column) -> DataFrame:
+    """The staged blocks of all documents; ``train`` says which are learned from."""
+    bounded_batches(docs.sparkSession)
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), train.alias("train"))
+    return stage(rows.mapInArrow(_blocks, _BLOCKS), "blocks")
 
-class Codes:
-    """Integer codes of words: the rank of a listed word; ``size`` for the end token; above it, others as met."""
 
-    def __init__(self, listed: np.ndarray) -> None:
-        self.size = len(listed)
-        self.rank = {int(h): k for k, h in enumerate(listed)}
-        self.capacity = HELD + (1 << 20)
-        self.hashes = np.zeros(self.capacity, np.int64)
-        self.endings = np.zeros(self.capacity, np.int16)
-        self.clear()
+class Block:
+    """A block's arrays: lengths, train (one per document), hashes, endings (one per word), codes (one per token)."""
 
-    def clear(self) -> None:
-        self.known: dict[bytes, int] = {END_WORD: self.size}
-        self.met = 0
+    def __init__(self, row: dict) -> None:
+        self.row = row
+        self.lengths = np.frombuffer(row["lengths"], np.int32).astype(np.int64)
+        self.train = np.frombuffer(row["train"], np.uint8).astype(bool)
+        wide = len(row["codes"]) // max(1, int(self.lengths.sum()))
+        self.codes = np.frombuffer(row["codes"], np.uint16 if wide == 2 else np.uint32).astype(np.int64)
+        if "hashes" in row:
+            self.hashes = np.frombuffer(row["hashes"], np.int64)
+            self.endings = np.frombuffer(row["endings"], np.uint8).astype(np.int64)
+
+    def learned(self) -> np.ndarray:
+        """Which tokens are learned from."""
+        return np.repeat(self.train, self.lengths)
+
+
+def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
+    for b in batches:
+        for k in range(b.num_rows):
+            yield Block({name: b.column(name)[k].as_py() for name in b.schema.names})
+
+
+# -- counts
+
+
+def _summed(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+    """(h, ending, n) with equal hashes as one row."""
+    h, e, n = (np.concatenate(x) for x in zip(*parts))
+    order = np.argsort(h, kind="stable")
+    h, e, n = h[order], e[order], n[order]
+    first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+    return pa.RecordBatch.from_pydict({"h": h[first], "ending": e[first].astype(np.int32), "n": np.add.reduceat(n, first)})
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    parts, held = [], 0
+    for b in _each(batches):
+        n = np.bincount(b.codes[b.learned()], minlength=len(b.hashes))
+        at = np.flatnonzero(n)
+        if len(at):
+            parts.append((b.hashes[at], b.endings[at], n[at]))
+            held += len(at)
+        if held > 1_000_000:
+            yield _summed(parts)
+            parts, held = [], 0
+    if parts:
+        yield _summed(parts)
 
-    def _learn(self, word: bytes) -> int:
-        h = word_hash(word)
-        code = self.rank.get(h)
-        if code is None:
-            if self.met == self.capacity:  # one text with very many new words
-                self.capacity *= 2
-                self.hashes = np.resize(self.hashes, self.capacity)
-                self.endings = np.resize(self.endings, self.capacity)
-            self.hashes[self.met], self.endings[self.met] = h, ending(word)
-            code = self.size + 1 + self.met
-            self.met += 1
-        self.known[word] = code
-        return code
-
-    def of(self, words: list[bytes]) -> list[int]:
-        found = list(map(self.known.get, words))
-        if None in found:
-            found = [self.known.get(w) or self._learn(w) if c is None else c for w, c in zip(words, found)]
-        return found
-
-
-_CODES: list = [None, None]
-
-
-def _codes(key: str, listed: np.ndarray) -> Codes:
-    """Built once in each Python worker; emptied between batches when full."""
-    if _CODES[0] != key:
-        _CODES[:] = [key, Codes(listed)]
-    if len(_CODES[1].known) > HELD:
-        _CODES[1].clear()
-    return _CODES[1]
-
-
-def _coded(codes: Codes, texts: list) -> tuple[np.ndarray, np.ndarray]:
-    """The texts' codes one after the other, each text closed by the end token, and the texts' lengths in tokens."""
-    parts, lengths = [], []
-    for t in texts:
-        found = codes.of(tokens(t))
-        found.append(codes.size)
-        parts.append(np.array(found, np.int64))
-        lengths.append(len(found))
-    return (np.concatenate(parts) if parts else np.zeros(0, np.int64)), np.array(lengths, np.int64)
-
-
-def _reduced(codes: Codes, seq: np.ndarray, core: int) -> np.ndarray:
-    """Codes as units: core words 0.., the end token ``core``, others ``core`` + 1 + their ending class."""
-    out = np.where(seq < core, seq, core)
-    other = (seq >= core) & (seq != codes.size)
-    if other.any():
-        listed = codes.listed_endings
-        s = seq[other]
-        far = s > codes.size
-        cls = np.empty(len(s), np.int64)
-        cls[~far] = listed[s[~far]]
-        cls[far] = codes.endings[s[far] - codes.size - 1]
-        out[other] = core + 1 + cls
-    return out
 
+def count_words(blocks: DataFrame) -> DataFrame:
+    """(h, ending, n) of each word of the learned documents, the end token included."""
+    rows = blocks.select("lengths", "train", "hashes", "endings", "codes").mapInArrow(_counted, "h long, ending int, n long")
+    return rows.groupBy("h").agg(F.min("ending").alias("ending"), F.sum("n").alias("n"))
 
-def count_bigrams(docs: DataFrame, model: dict) -> DataFrame:
-    """(pair, n): pairs of units, first * units + second, over the column ``text``."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+class Listed:
+    """The most frequent words by rank, found by hash."""
+
+    def __init__(self, hashes: np.ndarray) -> None:
+        self.order = np.argsort(hashes, kind="stable")
+        self.sorted = hashes[self.order]
+
+    def rank(self, hashes: np.ndarray) -> np.ndarray:
+        """The ranks of words; -1 for others."""
+        if not len(self.sorted):
+            return np.full(len(hashes), -1, np.int64)
+        at = np.minimum(np.searchsorted(self.sorted, hashes), len(self.sorted) - 1)
+        return np.where(self.sorted[at] == hashes, self.order[at], -1)
+
+
+def _units(b: Block, listed: Listed, core: int) -> np.ndarray:
+    """Each word's unit: core words 0.., the end token ``core``, others ``core`` + 1 + their ending class."""
+    rank = listed.rank(b.hashes)
+    unit = np.where((rank >= 0) & (rank < core), rank, core + 1 + b.endings)
+    unit[b.hashes == END_HASH] = core
+    return unit
+
+
+def count_bigrams(blocks: DataFrame, hashes: np.ndarray, core: int) -> DataFrame:
+    """(pair, n): pairs of units, first * units + second, in the learned documents."""
+    shared = blocks.sparkSession.sparkContext.broadcast(hashes)
+    units = core + 1 + ENDINGS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        units = m["core"] + 1 + ENDINGS
-        held, n = [], 0
+        listed, held, n = Listed(shared.value), [], 0
 
         def flush() -> pa.RecordBatch:
             pairs, counts = np.unique(np.concatenate(held), return_counts=True)
             return pa.RecordBatch.from_pydict({"pair": pairs, "n": counts.astype(np.int64)})
 
-        for texts in _texts(batches):
-            codes = _codes(m["key"], m["hashes"])
-            codes.listed_endings = m["endings"]
-            seq, _ = _coded(codes, texts)
-            u = _reduced(codes, seq, m["core"])
-            held.append(np.concatenate([[m["core"]], u[:-1]]) * units + u)
-            n += len(u)
+        for b in _each(batches):
+            u = _units(b, listed, core)[b.codes]
+            held.append((np.concatenate([[core], u[:-1]]) * units + u)[b.learned()])
+            n += len(held[-1])
             if n > 6_000_000:
                 yield flush()
                 held, n = [], 0
         if n:
             yield flush()
 
-    rows = docs.select("text").mapInArrow(run, "pair long, n long")
+    rows = blocks.select("lengths", "train", "hashes", "endings", "codes").mapInArrow(run, "pair long, n long")
     return rows.groupBy("pair").agg(F.sum("n").alias("n"))
 
 
@@ -222,8 +274,16 @@ def _phi(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1e-300))
 
 
+def _pair_table(rows: DataFrame, n: int) -> np.ndarray:
+    """[first class, second class]: counts of the rows (pair, n), of which at most n * n reach the driver."""
+    out = np.zeros(n * n)
+    for r in rows.groupBy("pair").agg(F.sum("n").alias("n")).collect():
+        out[r["pair"]] = r["n"]
+    return out.reshape(n, n)
+
+
 def class_bigrams(bigrams: DataFrame, classes: np.ndarray) -> np.ndarray:
-    """Counts of class pairs, summed in tasks and then over tasks; classes * classes rows reach the driver."""
+    """Counts of class pairs from those of units, summed in tasks and then over tasks."""
     n = int(classes.max()) + 1
     shared = bigrams.sparkSession.sparkContext.broadcast(classes)
 
@@ -236,17 +296,18 @@ def class_bigrams(bigrams: DataFrame, classes: np.ndarray) -> np.ndarray:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_pydict({"pair": at, "n": total[at].astype(np.int64)})
 
-    out = np.zeros(n * n)
-    for r in bigrams.mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect():
-        out[r["pair"]] = r["n"]
-    return out.reshape(n, n)
+    return _pair_table(bigrams.mapInArrow(run, "pair long, n long"), n)
+
+
+# -- exchange
 
 
 def exchange(bigrams: DataFrame, classes: np.ndarray, core: int, learned: int, turn: int) -> np.ndarray:
-    """One round: the words of this turn (core words whose number is ``turn`` modulo 2) move to their best class.
+    """One turn: the core words whose number is ``turn`` modulo TURNS move to their best class.
 
-    Tasks sum each word's neighbours by class over their share of the bigrams; those sums are dealt by word, and there
-    a word's best class is the one with the greatest gain of likelihood, all other words staying as they are.
+    Tasks sum each word's neighbours by class over their share of the bigrams; those sums are dealt by groups of words.
+    There the words are moved one after the other, each to the class with the greatest gain of likelihood given the
+    moves of its group before it; words of other groups stay as they are.
     """
     spark = bigrams.sparkSession
     table = class_bigrams(bigrams, classes)
@@ -259,7 +320,7 @@ def exchange(bigrams: DataFrame, classes: np.ndarray, core: int, learned: int, t
         for pair, count in _gathered(batches):
             first, second = np.divmod(pair, len(cls))
             for own, other, side in ((first, second, 0), (second, first, 1)):
-                moving = (own < core) & (own % 2 == turn)
+                moving = (own < core) & (own % TURNS == turn)
                 at = (own[moving] * 2 + side) * n + cls[other[moving]]
                 total += np.bincount(at, count[moving], len(total))
         at = np.flatnonzero(total)
@@ -268,157 +329,342 @@ def exchange(bigrams: DataFrame, classes: np.ndarray, core: int, learned: int, t
             word, cell = np.divmod(part, 2 * n)
             yield pa.RecordBatch.from_pydict({"word": word, "cell": cell, "n": total[part].astype(np.int64)})
 
-    def best(key: tuple, cells: pa.Table) -> pa.Table:
-        cls, g = shared.value
-        word = key[0].as_py()
-        counts = np.bincount(cells["cell"].to_numpy(), cells["n"].to_numpy(), 2 * n)
-        after, before = counts[:n], counts[n:]
-        own = cls[word]
-        g = g.copy()
-        g[own] -= after
-        g[:, own] -= before
-        g = np.maximum(g, 0)
-        gain = (_phi(g[:learned] + after) - _phi(g[:learned])).sum(axis=1)
-        gain += (_phi(g[:, :learned] + before[:, None]) - _phi(g[:, :learned])).sum(axis=0)
-        for margin, mass in ((g.sum(axis=1)[:learned], after.sum()), (g.sum(axis=0)[:learned], before.sum())):
-            gain -= _phi(margin + mass) - _phi(margin)
-        return pa.table({"word": [word], "cls": [int(gain.argmax())]})
-
-    moved = (
+    def best(cells: pa.Table) -> pa.Table:
+        cls, table_ = shared.value
+        words, at = np.unique(cells["word"].to_numpy(), return_inverse=True)
+        sums = np.bincount(at * 2 * n + cells["cell"].to_numpy(), cells["n"].to_numpy(), len(words) * 2 * n)
+        moved, g = [], table_.copy()
+        for word, counts in zip(words.tolist(), sums.reshape(-1, 2 * n)):
+            after, before = counts[:n], counts[n:]
+            g[cls[word]] -= after
+            g[:, cls[word]] -= before
+            np.maximum(g, 0, out=g)
+            gain = np.zeros(learned)
+            for own, count in ((g[:learned], after), (g[:, :learned].T, before)):
+                at = np.flatnonzero(count)
+                gain += (_phi(own[:, at] + count[at]) - _phi(own[:, at])).sum(axis=1)
+                margin = own.sum(axis=1)
+                gain -= _phi(margin + count.sum()) - _phi(margin)
+            to = int(gain.argmax())
+            g[to] += after
+            g[:, to] += before
+            moved.append(to)
+        return pa.table({"word": words, "cls": np.array(moved, np.int64)})
+
+    found = (
         bigrams.mapInArrow(neighbours, "word long, cell long, n long")
         .groupBy("word", "cell")
         .agg(F.sum("n").alias("n"))
-        .groupBy("word")
+        .groupBy(F.floor(F.col("word") / GROUP).alias("words"))
         .applyInArrow(best, "word long, cls long")
         .collect()  # at most one row for each core word
     )
     out = classes.copy()
-    for r in moved:
+    for r in found:
         out[r["word"]] = r["cls"]
     return out
 
 
-def train(docs: DataFrame, rounds: int = ROUNDS, text: str = "text") -> dict:
-    """The model learned from the texts of ``docs``; ``counts`` is the staged table of all words' counts."""
-    spark = docs.sparkSession
-    bounded_batches(spark)
-    docs = docs.select(F.col(text).alias("text"))
-    counts = stage(count_words(docs), "words")
-    total, vocabulary = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    by_ending = counts.filter(F.col("h") != END_HASH).groupBy("cls").agg(F.sum("n").alias("n"), F.count("*").alias("v"))
-    n_ending, v_ending = np.zeros(ENDINGS), np.zeros(ENDINGS)
-    for r in by_ending.collect():
-        n_ending[r["cls"]], v_ending[r["cls"]] = r["n"], r["v"]
-    top = counts.filter(F.col("h") != END_HASH).orderBy(F.desc("n"), "h").limit(LISTED).toArrow()
+def best_classes(table: np.ndarray, learned: int, after: tuple, before: tuple, words: int) -> np.ndarray:
+    """For each of so many words the class below ``learned`` that gains most likelihood by taking it in.
+
+    ``after`` and ``before`` are (word, class, count) of the classes that follow and precede words, ordered by word.
+    """
+    gain = np.zeros((words, learned))
+    for (word, cell, count), own in ((after, table[:learned]), (before, table[:, :learned].T)):
+        for k in range(0, len(word), 20_000):
+            part = slice(k, k + 20_000)
+            now = own[:, cell[part]].T
+            change = _phi(now + count[part, None]) - _phi(now)
+            first = np.flatnonzero(np.concatenate([[True], word[part][1:] != word[part][:-1]]))
+            gain[word[part][first]] += np.add.reduceat(change, first, axis=0)
+        margin = own.sum(axis=1)
+        gain -= _phi(margin + np.bincount(word, count, words)[:, None]) - _phi(margin)
+    return gain.argmax(axis=1)
+
+
+def _cells(word: np.ndarray, cell: np.ndarray, n: int) -> tuple:
+    """(word, class, count) of the distinct pairs, ordered by word."""
+    pairs, count = np.unique(word * n + cell, return_counts=True)
+    return pairs // n, pairs % n, count.astype(np.float64)
+
+
+def insert(blocks: DataFrame, hashes: np.ndarray, counts: np.ndarray, core: int, classes: np.ndarray, table: np.ndarray, learned: int) -> DataFrame:
+    """(h, cls): the class of every word beyond the core that stands MIN_COUNT times or more in the learned documents.
+
+    Tasks send, for each word, the classes that precede and follow it, a byte each; words are dealt by hash, and very
+    frequent ones to several tasks, whose sums meet once more.
+    """
+    n = len(table)
+    shared = blocks.sparkSession.sparkContext.broadcast((hashes, counts, classes, table))
+
+    def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes_, counts_, cls, _ = shared.value
+        listed, own = Listed(hashes_), TaskContext.get().partitionId()
+        held, size = [], 0
+
+        def flush() -> pa.RecordBatch:
+            h, left, right = (np.concatenate(x) for x in zip(*held))
+            order = np.argsort(h, kind="stable")
+            h, left, right = h[order], left[order], right[order]
+            first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+            rank = listed.rank(h[first])
+            parts = np.where(rank >= 0, -(-counts_[rank] // TOGETHER), 1) if len(counts_) else np.ones(len(first))
+            offsets = pa.py_buffer(np.append(first, len(h)).astype(np.int32))
+            sides = [pa.BinaryArray.from_buffers(pa.binary(), len(first), [None, offsets, pa.py_buffer(x)]) for x in (left, right)]
+            return pa.RecordBatch.from_arrays(
+                [pa.array(h[first]), pa.array((own % np.maximum(parts, 1)).astype(np.int32)), pa.array(parts > 1), *sides],
+                names=["h", "part", "split", "before", "after"],
+            )
+
+        for b in _each(batches):
+            unit = _units(b, listed, core)
+            c = cls[unit].astype(np.uint8)[b.codes]
+            at = np.flatnonzero(b.learned() & (unit > core)[b.codes])
+            if len(at):
+                end = np.uint8(cls[core])
+                before = np.concatenate([[end], c[:-1]])
+                after = np.concatenate([c[1:], [end]])
+                held.append((b.hashes[b.codes[at]], before[at].astype(np.uint8), after[at].astype(np.uint8)))
+                size += len(at)
+            if size > 1_500_000:
+                yield flush()
+                held, size = [], 0
+        if held:
+            yield flush()
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table_ = shared.value[3]
+
+        def found(rows: pa.Table) -> pa.RecordBatch:
+            h, part, split = (rows[c].to_numpy(zero_copy_only=False) for c in ("h", "part", "split"))
+            new = np.concatenate([[True], (h[1:] != h[:-1]) | (part[1:] != part[:-1])])
+            word = np.cumsum(new) - 1
+            sizes = np.fromiter(map(len, rows["before"].to_pylist()), np.int64, len(h))
+            own = np.repeat(word, sizes)
+            total = np.bincount(own, minlength=int(word[-1]) + 1)
+            sides = []
+            for side in ("after", "before"):
+                data = np.frombuffer(b"".join(rows[side].to_pylist()), np.uint8).astype(np.int64)
+                keep = (total >= MIN_COUNT)[own] | split[new][own]
+                sides.append(_cells(own[keep], data[keep], n))
+            cls = best_classes(table_, learned, *sides, len(total))
+            some = np.flatnonzero((total >= MIN_COUNT) & ~split[new])
+            many = np.flatnonzero(split[new])
+            sums = [b"".join(np.bincount(c[w == k], x[w == k], n).tobytes() for w, c, x in sides) for k in many.tolist()]
+            return pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.append(h[new][some], h[new][many])),
+                    pa.array([*cls[some].tolist(), *[None] * len(many)], pa.int32()),
+                    pa.array([*[None] * len(some), *sums], pa.binary()),
+                ],
+                names=["h", "cls", "sums"],
+            )
+
+        held, size = [], 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            held.append(b)
+            size += b.num_rows + (b.nbytes >> 5)
+            if size > 200_000:
+                rows = pa.Table.from_batches(held).combine_chunks()
+                h, part = rows["h"].to_numpy(), rows["part"].to_numpy()
+                last = int(np.flatnonzero((h != h[-1]) | (part != part[-1]))[-1]) + 1 if h[0] != h[-1] or part[0] != part[-1] else 0
+                if last:
+                    yield found(rows.slice(0, last))
+                held = rows.slice(last).to_batches()
+                size = sum(x.num_rows for x in held)
+        if held:
+            yield found(pa.Table.from_batches(held).combine_chunks())
+
+    rows = blocks.select("lengths", "train", "hashes", "endings", "codes").mapInArrow(
+        neighbours, "h long, part int, split boolean, before binary, after binary"
+    )
+    rows = rows.repartition("h", "part").sortWithinPartitions("h", "part")
+    decided = stage(rows.mapInArrow(decide, "h long, cls int, sums binary"), "inserted")
+
+    def join_sums(key: tuple, parts: pa.Table) -> pa.Table:
+        sums = sum(np.frombuffer(x, np.float64) for x in parts["sums"].to_pylist())
+        sides = []
+        for x in (sums[:n], sums[n:]):
+            at = np.flatnonzero(x)
+            sides.append((np.zeros(len(at), np.int64), at, x[at]))
+        cls = best_classes(shared.value[3], learned, *sides, 1)
+        return pa.table({"h": pa.array([key[0].as_py()], pa.int64()), "cls": pa.array(cls.astype(np.int32))})
+
+    split = decided.filter("sums IS NOT NULL").groupBy("h").applyInArrow(join_sums, "h long, cls int")
+    return decided.filter("sums IS NULL").select("h", "cls").unionByName(split)
+
+
+# -- the model
+
+
+def learn(blocks: DataFrame, rounds: int = ROUNDS) -> dict:
+    """The model of the blocks' learned documents, all but its class bigrams; ``vocabulary`` is the staged table (h, n, cls)."""
+    counts = stage(count_words(blocks), "words")
+    total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    words = counts.filter(F.col("h") != END_HASH)
+    top = words.orderBy(F.desc("n"), "h").limit(LISTED).toArrow()
     ends = counts.filter(F.col("h") == END_HASH).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    hashes, endings, n = (top[c].to_numpy() for c in ("h", "cls", "n"))
+    hashes, n = top["h"].to_numpy(), top["n"].to_numpy()
     core = min(CORE, len(hashes))
-    np.subtract.at(n_ending, endings[:core], n[:core])
-    np.subtract.at(v_ending, endings[:core], 1)
-    model = {
-        "key": f"{total}-{vocabulary}-{xxhash.xxh64_hexdigest(hashes.tobytes())}", "counts": counts, "total": int(total),
-        "vocabulary": int(vocabulary), "ends": int(ends), "hashes": hashes, "endings": endings.astype(np.int64),
-        "n": n.astype(np.float64), "core": core, "n_ending": n_ending, "v_ending": v_ending,
-    }
-    learned = max(1, min(CLASSES, core))
+    learned = max(1, min(core, MOST, max(FEWEST, round(float(total) ** 0.25))))
     classes = np.empty(core + 1 + ENDINGS, np.int64)
     classes[:core] = np.arange(core) % learned
     classes[core] = learned
     classes[core + 1 :] = learned + 1 + np.arange(ENDINGS)
-    if total:
-        light = {k: v for k, v in model.items() if k != "counts"}
-        bigrams = stage(count_bigrams(docs, light), "bigrams")
+    inserted = counts.select("h", F.lit(0).alias("cls")).limit(0)
+    if core:
+        bigrams = stage(count_bigrams(blocks, hashes, core), "bigrams")
         for k in range(rounds):
-            classes = exchange(bigrams, classes, core, learned, k % 2)
-        model["table"] = class_bigrams(bigrams, classes)
-    else:
-        model["table"] = np.zeros((learned + 1 + ENDINGS,) * 2)
-    model["classes"] = classes
-    return model
-
-
-def _log_tables(m: dict) -> dict:
-    """What a token adds to score and base score, by code and by class, but for log10(c + 1) of unlisted words."""
-    core, z = m["core"], m["total"] + m["vocabulary"] + 1.0
-    classes, g = m["classes"], m["table"]
+            classes = exchange(bigrams, classes, core, learned, k % TURNS)
+        inserted = insert(blocks, hashes, n, core, classes, class_bigrams(bigrams, classes), learned)
+    by_rank = blocks.sparkSession.createDataFrame(
+        [(int(h), int(c)) for h, c in zip(hashes[:core], classes[:core])], "h long, cls int"
+    )
+    sorted_in = inserted.select("h", "cls").unionByName(by_rank)
+    cls = F.coalesce("cls", F.lit(learned + 1) + F.col("ending"))
+    vocabulary = stage(words.join(sorted_in, "h", "left").select("h", "n", cls.cast("int").alias("cls")), "vocabulary")
+    listed = vocabulary.orderBy(F.desc("n"), "h").limit(LISTED).toArrow()
+    k = learned + 1 + ENDINGS
+    in_class, distinct_in = np.zeros(k), np.zeros(k)
+    for r in vocabulary.groupBy("cls").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():
+        in_class[r["cls"]], distinct_in[r["cls"]] = r["n"], r["v"]
+    return {
+        "vocabulary": vocabulary, "total": int(total), "distinct": int(distinct), "ends": int(ends), "learned": learned,
+        "hashes": listed["h"].to_numpy(), "n": listed["n"].to_numpy(), "cls": listed["cls"].to_numpy().astype(np.int64),
+        "in_class": in_class, "distinct_in": distinct_in,
+    }
+
+
+_RESOLVED = "block long, docs array<long>, lengths binary, train binary, n binary, cls binary, codes binary"
+
+
+def resolve(blocks: DataFrame, model: dict) -> DataFrame:
+    """The blocks with every word's count and class (of its ending, for words that the model hasn't), staged."""
+    light = {c: model[c] for c in ("hashes", "n", "cls", "learned", "ends")}
+    shared = blocks.sparkSession.sparkContext.broadcast(light)
+
+    def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        listed = Listed(shared.value["hashes"])
+        for b in batches:
+            for block, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                h = np.frombuffer(raw, np.int64)
+                at = np.flatnonzero((listed.rank(h) < 0) & (h != END_HASH))
+                yield pa.RecordBatch.from_pydict({"block": np.full(len(at), block), "at": at.astype(np.int32), "h": h[at]})
+
+    def filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        listed = Listed(m["hashes"])
+        for b in _each(batches):
+            rank = listed.rank(b.hashes)
+            n, cls = np.zeros(len(rank), np.int64), m["learned"] + 1 + b.endings
+            known = rank >= 0
+            n[known], cls[known] = m["n"][rank[known]], m["cls"][rank[known]]
+            end = b.hashes == END_HASH
+            n[end], cls[end] = m["ends"], m["learned"]
+            if b.row["at"]:
+                at = np.array(b.row["at"])
+                n[at], cls[at] = b.row["their_n"], b.row["their_cls"]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([b.row["block"]], pa.int64()), pa.array([b.row["docs"]], pa.list_(pa.int64())),
+                    *[pa.array([x], pa.binary()) for x in (b.row["lengths"], b.row["train"], n.tobytes(), cls.astype(np.uint8).tobytes(), b.row["codes"])],
+                ],
+                names=["block", "docs", "lengths", "train", "n", "cls", "codes"],
+            )
+
+    far = blocks.select("block", "hashes").mapInArrow(others, "block long, at int, h long")
+    found = far.join(model["vocabulary"], "h").groupBy("block").agg(F.collect_list(F.struct("at", "n", "cls")).alias("f"))
+    found = found.select("block", F.col("f.at").alias("at"), F.col("f.n").alias("their_n"), F.col("f.cls").alias("their_cls"))
+    return stage(blocks.join(found, "block", "left").mapInArrow(filled, _RESOLVED), "resolved")
+
+
+def transitions(resolved: DataFrame, model: dict) -> np.ndarray:
+    """Counts of class pairs in the learned documents."""
+    n, end = model["learned"] + 1 + ENDINGS, model["learned"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(n * n, np.int64)
+        for b in _each(batches):
+            c = np.frombuffer(b.row["cls"], np.uint8).astype(np.int64)[b.codes]
+            pair = np.concatenate([[end], c[:-1]]) * n + c
+            total += np.bincount(pair[b.learned()], minlength=n * n)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_pydict({"pair": at, "n": total[at]})
+
+    return _pair_table(resolved.select("lengths", "train", "cls", "codes").mapInArrow(run, "pair long, n long"), n)
+
+
+def tables(m: dict) -> dict:
+    """Transition probabilities, the emissions' divisors and the base model's, from the model's counts."""
+    g = m["table"]
     mass = g.sum(axis=0)
     own = (mass + 1) / (mass.sum() + len(g))
     transition = (g + PULL * own) / (g.sum(axis=1, keepdims=True) + PULL)
-    in_class = np.bincount(classes[:core], m["n"][:core], len(g))
-    emission = m["n"][:core] / np.maximum(in_class[classes[:core]], 1)
-    share = SHARE if m["total"] else 0.0
-    by_ending = 1 / (m["n_ending"] + m["v_ending"] + 1)
-    return {"z": z, "transition": transition, "emission": emission, "by_ending": by_ending, "share": share}
+    emits = np.maximum(m["in_class"], 1)
+    first = m["learned"] + 1
+    emits[first:] = m["in_class"][first:] + m["distinct_in"][first:] + 1
+    return {
+        "transition": transition, "emits": emits, "z": m["total"] + m["distinct"] + 1.0, "learned": m["learned"],
+        "share": SHARE if m["total"] else 0.0,
+    }
 
 
-def score(docs: DataFrame, model: dict, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per document: doc_id, n_tokens, n_known, train_tokens, base_score, score (both log10 probabilities)."""
-    spark = docs.sparkSession
-    bounded_batches(spark)
-    light = {k: v for k, v in model.items() if k != "counts"}
-    shared = spark.sparkContext.broadcast(light | _log_tables(model))
+def token_scores(t: dict, n: np.ndarray, cls: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """log10 of the model's and of the base model's probability of tokens with counts, classes and classes before them."""
+    rare = cls > t["learned"]
+    emission = np.where(cls == t["learned"], 1.0, (n + rare) / t["emits"][cls])
+    plain = (n + 1) / t["z"]
+    value = t["share"] * t["transition"][before, cls] * emission + (1 - t["share"]) * plain
+    return np.log10(np.maximum(value, 1e-300)), np.log10(plain)
+
+
+_SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+
+
+def score_blocks(resolved: DataFrame, model: dict) -> DataFrame:
+    """Per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (both log10 probabilities)."""
+    shared = resolved.sparkSession.sparkContext.broadcast(tables(model))
+    total = model["total"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        row = TaskContext.get().partitionId() << 40
-        core, z, share, classes = m["core"], m["z"], m["share"], m["classes"]
-        first_ending = int(classes[core]) + 1
-        log_z = np.log10(z)
-        for b in batches:
-            codes = _codes(m["key"], m["hashes"])
-            codes.listed_endings = m["endings"]
-            seq, lengths = _coded(codes, b.column(1).to_pylist())
-            units = _reduced(codes, seq, core)
-            cls = classes[units]
-            before = np.concatenate([[classes[core]], cls[:-1]])  # the end token precedes each text
-            listed, is_core, is_end = seq < codes.size, seq < core, seq == codes.size
-            count = np.zeros(len(seq))
-            count[listed] = m["n"][seq[listed]]
-            count[is_end] = m["ends"]
-            step = m["transition"][before, cls] * share
-            step[is_core] *= m["emission"][seq[is_core]]
-            other = ~is_core & ~is_end
-            step[other] *= m["by_ending"][cls[other] - first_ending]
-            plain = (1 - share) / z
-            # core and end tokens whole; the others without their factor c + 1
-            whole = np.where(other, step + plain, step + plain * (count + 1))
-            value = np.log10(np.maximum(whole, 1e-300)) + np.where(other, np.log10(count + 1), 0)
-            base = np.log10(count + 1) - log_z
-            doc = np.repeat(np.arange(len(lengths)), lengths)
-            far = seq > codes.size
-            far_hashes = codes.hashes[seq[far] - codes.size - 1]
-            offsets = np.concatenate([[0], np.cumsum(np.bincount(doc[far], minlength=len(lengths)))]).astype(np.int32)
+        t = shared.value
+        for b in _each(batches):
+            n = np.frombuffer(b.row["n"], np.int64)[b.codes]
+            c = np.frombuffer(b.row["cls"], np.uint8).astype(np.int64)[b.codes]
+            value, base = token_scores(t, n, c, np.concatenate([[t["learned"]], c[:-1]]))
+            first = np.cumsum(b.lengths) - b.lengths
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(row + np.arange(len(lengths))),
-                    b.column(0),
-                    pa.array(lengths),
-                    pa.array(np.bincount(doc, count > 0, len(lengths)).astype(np.int64)),
-                    pa.array(np.bincount(doc, base, len(lengths))),
-                    pa.array(np.bincount(doc, value, len(lengths))),
-                    pa.ListArray.from_arrays(pa.array(offsets), pa.array(far_hashes)),
+                    pa.array(b.row["docs"], pa.int64()), pa.array(~b.train), pa.array(b.lengths),
+                    pa.array(np.add.reduceat((n > 0).astype(np.int64), first)), pa.array(np.full(len(first), total)),
+                    pa.array(np.add.reduceat(base, first)), pa.array(np.add.reduceat(value, first)),
                 ],
-                names=["row", "doc_id", "n_tokens", "n_known", "base", "value", "far"],
-            )
-            row += len(lengths)
-
-    parts = stage(
-        docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(
-            run,
-            "row long, doc_id long, n_tokens long, n_known long, base double, value double, far array<long>",
-        ),
-        "scores",
-    )
-    far = parts.select("row", F.explode("far").alias("h"))
-    found = far.join(model["counts"].select("h", "n"), "h").groupBy("row").agg(
-        F.count("*").alias("known"), F.sum(F.log10(F.col("n") + 1)).alias("more")
-    )
-    none = F.lit(0.0)
-    return parts.drop("far").join(found, "row", "left").select(
-        "doc_id",
-        "n_tokens",
-        (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"),
-        F.lit(model["total"]).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("more", none)).alias("base_score"),
-        (F.col("value") + F.coalesce("more", none)).alias("score"),
-    )
+                names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+            )
+
+    return resolved.mapInArrow(run, _SCORES)
+
+
+def learn_and_score(
+    docs: DataFrame, held_out: Column, rounds: int = ROUNDS, doc_id: str = "doc_id", text: str = "text"
+) -> DataFrame:
+    """The scores of all documents by the model of those that aren't held out. Texts are read once for both."""
+    blocks = encode(docs, doc_id, text, ~F.coalesce(held_out, F.lit(False)))
+    model = learn(blocks, rounds)
+    resolved = resolve(blocks, model)
+    return score_blocks(resolved, model | {"table": transitions(resolved, model)})
+
+
+def train(docs: DataFrame, rounds: int = ROUNDS, text: str = "text") -> dict:
+    """The model learned from the texts of ``docs``."""
+    blocks = encode(docs.select(F.lit(0).alias("id"), F.col(text).alias("text")), "id", "text", F.lit(True))
+    model = learn(blocks, rounds)
+    return model | {"table": transitions(resolve(blocks, model), model)}
+
+
+def score(docs: DataFrame, model: dict, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Per document: doc_id, n_tokens, n_known, train_tokens, base_score, score (both log10 probabilities)."""
+    return score_blocks(resolve(encode(docs, doc_id, text, F.lit(False)), model), model).drop("held_out")

@@ -39,8 +39,7 @@ def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = crc_mod(F.col("doc_id"), 7) == 2
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = brown.train(docs.filter(~held_out))
-    return brown.score(docs, model).withColumn("held_out", held_out)
+    return brown.learn_and_score(docs, held_out)
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -390,15 +390,86 @@ def test_toxicity_without_labels(spark):
     assert toxicity.score(docs, toxicity.fit(docs, labels)).first()["predicted"] == 0
 
 
-def test_model_is_a_distribution(spark):
-    """The probabilities of all known words and of one unknown word of each ending sum to at most 1."""
+@pytest.mark.parametrize(("core", "listed", "together", "block"), [(8192, 1 << 17, 1 << 20, 1 << 18), (4, 8, 3, 40)])
+def test_class_model_by_brute_force(spark, monkeypatch, core, listed, together, block):
+    """Scores from the vocabulary's classes, word by word; the known words and one unknown one of each ending share 1."""
+    for name, value in (("CORE", core), ("LISTED", listed), ("TOGETHER", together), ("BLOCK", block)):
+        monkeypatch.setattr(brown, name, value)
     rng = np.random.RandomState(6)
-    rows = [(i, " ".join(rng.choice(["der", "die", "haus", "the", "house", "is"], 20))) for i in range(60)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    words = ["der", "die", "haus", "the", "house", "is", "maus", "mice", "und", "and", "rar,", "x9"]
+    share = np.arange(len(words), 0, -1) / sum(range(len(words) + 1))
+    texts = [" ".join(rng.choice(words, 20, p=share)) for _ in range(60)] + ["rare words", None, "RARE thing"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     model = brown.train(docs, 2)
-    words = ["der", "die", "haus", "the", "house", "is"]
-    df = spark.createDataFrame([(k, w) for k, w in enumerate([*words, ""])], "doc_id long, text string")
-    got = {r["doc_id"]: r for r in brown.score(df, model).collect()}
-    assert all(r["score"] < 0 and r["n_tokens"] == r["n_known"] for r in got.values())
-    tables = brown._log_tables(model)
-    assert np.allclose(tables["transition"].sum(axis=1), 1)
+    vocabulary = {r["h"]: (r["n"], r["cls"]) for r in model["vocabulary"].collect()}
+    known = {w: vocabulary[brown.word_hash(w.encode())] for w in {w for t in texts for w in brown.tokens(t)} for w in [w.decode()]}
+    first = model["learned"] + 1
+    assert all(c < first if n >= brown.MIN_COUNT or core > 8 else c >= first for n, c in known.values())
+    table = np.zeros((first + brown.ENDINGS,) * 2)
+    for t in texts:
+        before = model["learned"]
+        for w in [*brown.tokens(t), None]:
+            cls = model["learned"] if w is None else known[w.decode()][1]
+            table[before, cls] += 1
+            before = cls
+    assert (table == model["table"]).all()
+    n_all = sum(n for n, _ in known.values()) + len(texts)
+    z = n_all + len(known) + 1 + 1
+    mass = table.sum(axis=0)
+    own = (mass + 1) / (mass.sum() + len(table))
+    sums = {c: (sum(n for n, k in known.values() if k == c), sum(k == c for _, k in known.values())) for c in range(len(table))}
+
+    def probability(word, before):
+        n, c = known.get(word, (0, first + brown.ending((word or "").encode())))
+        if word is None:
+            n, c = len(texts), model["learned"]
+        step = (table[before, c] + 2 * own[c]) / (table[before].sum() + 2)
+        inside = 1 if word is None else n / sums[c][0] if c < first else (n + 1) / (sums[c][0] + sums[c][1] + 1)
+        return 0.95 * step * inside + 0.05 * (n + 1) / z, c
+
+    asked = [*texts[:20], "the unknown, thing", None, "is is is"]
+    found = {r["doc_id"]: r for r in brown.score(spark.createDataFrame(list(enumerate(asked)), "doc_id long, text string"), model).collect()}
+    for k, t in enumerate(asked):
+        total, before, tokens = 0.0, model["learned"], [w.decode() for w in brown.tokens(t)]
+        for w in [*tokens, None]:
+            p, before = probability(w, before)
+            total += np.log10(p)
+        assert found[k]["score"] == pytest.approx(total) and found[k]["n_known"] == 1 + sum(w in known for w in tokens)
+    every = [*known, None, *("qq" + chr(97 + x) + m for x in range(26) for m in ("", ",")), "qqé", "qqé,", "qq9"]
+    for before in {c for _, c in known.values()} | {model["learned"]}:
+        assert sum(probability(w, before)[0] - 0.05 / z * (w not in known and w is not None) for w in every) <= 1 + 1e-9
+
+
+def test_best_classes_gain_most():
+    rng = np.random.RandomState(7)
+    table = rng.randint(0, 50, (9, 9)).astype(float)
+    word = np.repeat([0, 1, 2], [3, 1, 4])
+    sides = [(word, np.array([0, 3, 8, 2, 1, 4, 5, 8]), rng.randint(1, 6, 8).astype(float)) for _ in range(2)]
+
+    def likelihood(g):
+        return brown._phi(g).sum() - brown._phi(g.sum(axis=0)).sum() - brown._phi(g.sum(axis=1)).sum()
+
+    for w, chosen in enumerate(brown.best_classes(table, 5, *sides, 3).tolist()):
+        gains = []
+        for c in range(5):
+            parts = np.zeros(5)
+            row, column = np.zeros(9), np.zeros(9)
+            for target, (ws, cs, xs) in zip((row, column), sides):
+                np.add.at(target, cs[ws == w], xs[ws == w])
+            g_row, g_column = table[c] + row, table[:, c] + column
+            parts = brown._phi(g_row).sum() - brown._phi(table[c]).sum() + brown._phi(g_column).sum() - brown._phi(table[:, c]).sum()
+            parts -= brown._phi(g_row.sum()) - brown._phi(table[c].sum()) + brown._phi(g_column.sum()) - brown._phi(table[:, c].sum())
+            gains.append(parts)
+        assert gains[chosen] == pytest.approx(max(gains))
+
+
+def test_words_beyond_the_core_are_clustered(spark, monkeypatch):
+    """Words beyond the core that stand among the same neighbours come to the classes of core words that do."""
+    monkeypatch.setattr(brown, "CORE", 40)
+    rng = np.random.RandomState(8)
+    kinds = [[f"{k}{i}" for i in range(40)] for k in "abc"]
+    texts = [" ".join(kinds[j % 3][min(39, int(rng.exponential(9)))] for j in range(60)) for _ in range(300)]
+    model = brown.train(spark.createDataFrame([(t,) for t in texts], "text string"), 12)
+    cls = {r["h"]: r["cls"] for r in model["vocabulary"].filter("n >= 5").collect()}
+    by_kind = [{cls[h] for w in kind if (h := brown.word_hash(w.encode())) in cls} for kind in kinds]
+    assert sum(len(x) for x in by_kind) > 3 and not (by_kind[0] & by_kind[1]) and not (by_kind[1] & by_kind[2])
