@@ -37,6 +37,8 @@ from brindle.staging import bounded_batches, stage
 CORE, LISTED, MIN_COUNT = 8192, 1 << 17, 5
 #: Turns of exchange in all, turns in which each core word moves once, and words that move one after the other.
 ROUNDS, TURNS, GROUP = 8, 4, 1024
+#: Classes with less than this part of the mean take no words from beyond the core.
+SMALL = 8
 #: Classes that exchange fills: at least and at most.
 FEWEST, MOST = 32, 190
 SHARE, PULL = 0.95, 2.0
@@ -368,6 +370,8 @@ def exchange(bigrams: DataFrame, classes: np.ndarray, core: int, learned: int, t
 def best_classes(table: np.ndarray, learned: int, after: tuple, before: tuple, words: int) -> np.ndarray:
     """For each of so many words the class below ``learned`` that gains most likelihood by taking it in.
 
+    Words are decided one by one, so none may go to a class that is empty or small (an eighth of the mean), which any
+    word by itself would fit best and all of them together wouldn't.
     ``after`` and ``before`` are (word, class, count) of the classes that follow and precede words, ordered by word.
     """
     gain = np.zeros((words, learned))
@@ -380,6 +384,8 @@ def best_classes(table: np.ndarray, learned: int, after: tuple, before: tuple, w
             gain[word[part][first]] += np.add.reduceat(change, first, axis=0)
         margin = own.sum(axis=1)
         gain -= _phi(margin + np.bincount(word, count, words)[:, None]) - _phi(margin)
+    size = table[:learned].sum(axis=1)
+    gain[:, size < size.mean() / SMALL] = -np.inf
     return gain.argmax(axis=1)
 
 
