@@ -45,11 +45,12 @@ def staging_root(spark: SparkSession) -> str:
     return setting(spark, "spark.sql.warehouse.dir").rstrip("/") + "/_staging"
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a Parquet table in the shared folder and return the table read back."""
+def stage(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
+    """Write ``df`` as a Parquet table in the shared folder, with the session's codec or ``codec``, and return the table
+    read back."""
     spark = df.sparkSession
     path = f"{staging_root(spark)}/brindle-{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     _STAGED.append(path.rsplit("/", 1)[0])
     _LAST[:] = [spark]
     return spark.read.schema(df.schema).parquet(path)
