@@ -14,6 +14,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _STAGED: list[str] = []
+_PATHS: dict[int, str] = {}
 _LAST: list[SparkSession] = []
 
 
@@ -53,18 +54,32 @@ def stage(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
     df.write.parquet(path, compression=codec)
     _STAGED.append(path.rsplit("/", 1)[0])
     _LAST[:] = [spark]
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    _PATHS[id(found)] = _STAGED[-1]
+    return found
+
+
+def unstage(df: DataFrame) -> None:
+    """Delete a staged table that nothing will read again: what was made from it is staged itself."""
+    path = _PATHS.pop(id(df), None)
+    if path in _STAGED:
+        _STAGED.remove(path)
+        _delete(df.sparkSession, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm = spark._jvm
+    found = jvm.org.apache.hadoop.fs.Path(path)
+    found.getFileSystem(spark._jsc.hadoopConfiguration()).delete(found, True)
 
 
 def drop_staged(spark: SparkSession) -> int:
     """Delete the tables that this process staged; call it once their results are written. Returns how many."""
     n = 0
-    jvm = spark._jvm
-    hadoop = jvm.org.apache.hadoop.conf.Configuration()
     while _STAGED:
-        path = jvm.org.apache.hadoop.fs.Path(_STAGED.pop())
-        path.getFileSystem(hadoop).delete(path, True)
+        _delete(spark, _STAGED.pop())
         n += 1
+    _PATHS.clear()
     return n
 
 
