@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brindle.staging import bounded_batches, stage
+from brindle.staging import bounded_batches, stage, unstage
 
 CORE, LISTED, MIN_COUNT = 8192, 1 << 17, 5
 #: Turns of exchange in all, turns in which each core word moves once, and words that move one after the other.
@@ -44,6 +44,8 @@ FEWEST, MOST = 32, 190
 SHARE, PULL = 0.95, 2.0
 #: Tokens of a block, and words that a Python worker remembers before it empties its table.
 BLOCK, HELD = 1 << 18, 600_000
+#: Bits of a sieve of words, a table of fixed size: the fuller it is, the more words pass it that needn't.
+SIEVE = 1 << 25
 #: Neighbours of one word that go to one task; listed words with more are dealt to several.
 TOGETHER = 1 << 20
 END_WORD = b"\n"
@@ -113,7 +115,7 @@ _BLOCKS = (
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, text, train) -> blocks."""
-    place = TaskContext.get().partitionId() << 32
+    place = TaskContext.get().partitionId() << 16
     docs, train, parts, n = [], [], [], 0
 
     def flush() -> pa.RecordBatch:
@@ -150,7 +152,7 @@ def encode(docs: DataFrame, doc_id: str, text: str, train: Column) -> DataFrame:
     """The staged blocks of all documents; ``train`` says which are learned from."""
     bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), train.alias("train"))
-    return stage(rows.mapInArrow(_blocks, _BLOCKS), "blocks")
+    return stage(rows.mapInArrow(_blocks, _BLOCKS), "blocks", "zstd")
 
 
 class Block:
@@ -225,6 +227,26 @@ class Listed:
         return np.where(self.sorted[at] == hashes, self.order[at], -1)
 
 
+def sieves(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Bit tables of the words that stand twice or more, and MIN_COUNT times or more; others pass by chance."""
+    place = F.col("h").bitwiseAND(F.lit(SIEVE - 1))
+    bit = F.expr("shiftleft(1L, cast(place & 63 AS int))")
+    often = counts.filter("n > 1").withColumn("place", place).withColumn("bit", bit)
+    rows = often.groupBy(F.shiftright("place", 6).alias("at")).agg(
+        F.bit_or("bit").alias("two"), F.bit_or(F.when(F.col("n") >= MIN_COUNT, F.col("bit")).otherwise(F.lit(0))).alias("more")
+    )
+    found = rows.toArrow()  # at most SIEVE / 64 rows
+    out = np.zeros((2, SIEVE // 64), np.uint64)
+    for k, name in enumerate(("two", "more")):
+        out[k, found["at"].to_numpy()] = found[name].to_numpy().view(np.uint64)
+    return out[0], out[1]
+
+
+def passes(sieve: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    place = hashes.view(np.uint64) & np.uint64(SIEVE - 1)
+    return (sieve[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) == 1
+
+
 def _units(b: Block, listed: Listed, core: int) -> np.ndarray:
     """Each word's unit: core words 0.., the end token ``core``, others ``core`` + 1 + their ending class."""
     rank = listed.rank(b.hashes)
@@ -395,43 +417,58 @@ def _cells(word: np.ndarray, cell: np.ndarray, n: int) -> tuple:
     return pairs // n, pairs % n, count.astype(np.float64)
 
 
-def insert(blocks: DataFrame, hashes: np.ndarray, counts: np.ndarray, core: int, classes: np.ndarray, table: np.ndarray, learned: int) -> DataFrame:
-    """(h, cls): the class of every word beyond the core that stands MIN_COUNT times or more in the learned documents.
+def insert(
+    blocks: DataFrame, hashes: np.ndarray, counts: np.ndarray, sieve: np.ndarray, core: int, classes: np.ndarray,
+    table: np.ndarray, learned: int,
+) -> DataFrame:
+    """(h, cls, ending, n): the class of every word beyond the core that stands MIN_COUNT times or more in the learned
+    documents, staged.
 
     Tasks send, for each word, the classes that precede and follow it, a byte each; words are dealt by hash, and very
     frequent ones to several tasks, whose sums meet once more.
     """
     n = len(table)
-    shared = blocks.sparkSession.sparkContext.broadcast((hashes, counts, classes, table))
+    shared = blocks.sparkSession.sparkContext.broadcast((hashes, counts, sieve, classes, table))
+
+    def parts_of(h: np.ndarray, listed: Listed, counts_: np.ndarray) -> np.ndarray:
+        """To how many tasks each word's neighbours go."""
+        rank = listed.rank(h)
+        return np.where(rank >= 0, -(-counts_[rank] // TOGETHER), 1) if len(counts_) else np.ones(len(h), np.int64)
 
     def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes_, counts_, cls, _ = shared.value
+        hashes_, counts_, sieve_, cls, _ = shared.value
         listed, own = Listed(hashes_), TaskContext.get().partitionId()
         held, size = [], 0
 
         def flush() -> pa.RecordBatch:
-            h, left, right = (np.concatenate(x) for x in zip(*held))
+            h, ends, left, right = (np.concatenate(x) for x in zip(*held))
             order = np.argsort(h, kind="stable")
-            h, left, right = h[order], left[order], right[order]
+            h, ends, left, right = h[order], ends[order], left[order], right[order]
             first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-            rank = listed.rank(h[first])
-            parts = np.where(rank >= 0, -(-counts_[rank] // TOGETHER), 1) if len(counts_) else np.ones(len(first))
-            offsets = pa.py_buffer(np.append(first, len(h)).astype(np.int32))
-            sides = [pa.BinaryArray.from_buffers(pa.binary(), len(first), [None, offsets, pa.py_buffer(x)]) for x in (left, right)]
+            sizes = np.diff(np.append(first, len(h)))
+            offsets = np.concatenate([[0], np.cumsum(1 + 2 * sizes)])
+            data = np.empty(int(offsets[-1]), np.uint8)
+            data[offsets[:-1]] = ends[first]
+            at = np.repeat(offsets[:-1] + 1 - first, sizes) + np.arange(len(h))
+            data[at], data[at + np.repeat(sizes, sizes)] = left, right
+            near = pa.BinaryArray.from_buffers(
+                pa.binary(), len(first), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data)]
+            )
+            part = own % np.maximum(parts_of(h[first], listed, counts_), 1)
             return pa.RecordBatch.from_arrays(
-                [pa.array(h[first]), pa.array((own % np.maximum(parts, 1)).astype(np.int32)), pa.array(parts > 1), *sides],
-                names=["h", "part", "split", "before", "after"],
+                [pa.array(h[first]), pa.array(part.astype(np.int32)), near], names=["h", "part", "near"]
             )
 
         for b in _each(batches):
             unit = _units(b, listed, core)
             c = cls[unit].astype(np.uint8)[b.codes]
-            at = np.flatnonzero(b.learned() & (unit > core)[b.codes])
+            wanted = (unit > core) & (passes(sieve_, b.hashes) | (listed.rank(b.hashes) >= 0))
+            at = np.flatnonzero(b.learned() & wanted[b.codes])
             if len(at):
-                end = np.uint8(cls[core])
-                before = np.concatenate([[end], c[:-1]])
-                after = np.concatenate([c[1:], [end]])
-                held.append((b.hashes[b.codes[at]], before[at].astype(np.uint8), after[at].astype(np.uint8)))
+                end = np.array([cls[core]], np.uint8)
+                before, after = np.concatenate([end, c[:-1]]), np.concatenate([c[1:], end])
+                word = b.codes[at]
+                held.append((b.hashes[word], b.endings[word].astype(np.uint8), before[at], after[at]))
                 size += len(at)
             if size > 1_500_000:
                 yield flush()
@@ -440,32 +477,37 @@ def insert(blocks: DataFrame, hashes: np.ndarray, counts: np.ndarray, core: int,
             yield flush()
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table_ = shared.value[3]
+        hashes_, counts_, _, _, table_ = shared.value
+        listed = Listed(hashes_)
 
         def found(rows: pa.Table) -> pa.RecordBatch:
-            h, part, split = (rows[c].to_numpy(zero_copy_only=False) for c in ("h", "part", "split"))
+            h, part, near = rows["h"].to_numpy(), rows["part"].to_numpy(), rows["near"].to_pylist()
             new = np.concatenate([[True], (h[1:] != h[:-1]) | (part[1:] != part[:-1])])
             word = np.cumsum(new) - 1
-            sizes = np.fromiter(map(len, rows["before"].to_pylist()), np.int64, len(h))
-            own = np.repeat(word, sizes)
-            total = np.bincount(own, minlength=int(word[-1]) + 1)
+            size = np.fromiter(map(len, near), np.int64, len(h))
+            data = np.frombuffer(b"".join(near), np.uint8).astype(np.int64)
+            start = np.cumsum(size) - size
+            at = np.arange(len(data)) - np.repeat(start, size)
+            ends = data[start][new]
+            total = np.bincount(word, size // 2).astype(np.int64)
+            split = parts_of(h[new], listed, counts_) > 1
+            keep = split | (total >= MIN_COUNT)
+            own, half = np.repeat(word, size), np.repeat(size // 2, size)
             sides = []
-            for side in ("after", "before"):
-                data = np.frombuffer(b"".join(rows[side].to_pylist()), np.uint8).astype(np.int64)
-                keep = (total >= MIN_COUNT)[own] | split[new][own]
-                sides.append(_cells(own[keep], data[keep], n))
+            for mine in ((at > half), (at > 0) & (at <= half)):
+                mine &= keep[own]
+                sides.append(_cells(own[mine], data[mine], n))
             cls = best_classes(table_, learned, *sides, len(total))
-            some = np.flatnonzero((total >= MIN_COUNT) & ~split[new])
-            many = np.flatnonzero(split[new])
+            some, many = np.flatnonzero(keep & ~split), np.flatnonzero(split)
             sums = [b"".join(np.bincount(c[w == k], x[w == k], n).tobytes() for w, c, x in sides) for k in many.tolist()]
+            order = np.append(some, many)
             return pa.RecordBatch.from_arrays(
                 [
-                    pa.array(np.append(h[new][some], h[new][many])),
-                    pa.array([*cls[some].tolist(), *[None] * len(many)], pa.int32()),
-                    pa.array([*[None] * len(some), *sums], pa.binary()),
+                    pa.array(h[new][order]), pa.array(cls[order].astype(np.int32)), pa.array(ends[order].astype(np.int32)),
+                    pa.array(total[order]), pa.array([*[None] * len(some), *sums], pa.binary()),
                 ],
-                names=["h", "cls", "sums"],
-            )
+                names=["h", "cls", "ending", "n", "sums"],
+            )
 
         held, size = [], 0
         for b in batches:
@@ -476,19 +518,18 @@ def insert(blocks: DataFrame, hashes: np.ndarray, counts: np.ndarray, core: int,
             if size > 200_000:
                 rows = pa.Table.from_batches(held).combine_chunks()
                 h, part = rows["h"].to_numpy(), rows["part"].to_numpy()
-                last = int(np.flatnonzero((h != h[-1]) | (part != part[-1]))[-1]) + 1 if h[0] != h[-1] or part[0] != part[-1] else 0
+                other = np.flatnonzero((h != h[-1]) | (part != part[-1]))
+                last = int(other[-1]) + 1 if len(other) else 0
                 if last:
-                    yield found(rows.slice(0, last))
-                held = rows.slice(last).to_batches()
+                    yield found(rows.slice(0, last).combine_chunks())
+                held = rows.slice(last).combine_chunks().to_batches()
                 size = sum(x.num_rows for x in held)
         if held:
             yield found(pa.Table.from_batches(held).combine_chunks())
 
-    rows = blocks.select("lengths", "train", "hashes", "endings", "codes").mapInArrow(
-        neighbours, "h long, part int, split boolean, before binary, after binary"
-    )
-    rows = rows.repartition("h", "part").sortWithinPartitions("h", "part")
-    decided = stage(rows.mapInArrow(decide, "h long, cls int, sums binary"), "inserted")
+    rows = blocks.select("lengths", "train", "hashes", "endings", "codes")
+    rows = rows.mapInArrow(neighbours, "h long, part int, near binary").repartition("h", "part").sortWithinPartitions("h", "part")
+    decided = stage(rows.mapInArrow(decide, "h long, cls int, ending int, n long, sums binary"), "decided")
 
     def join_sums(key: tuple, parts: pa.Table) -> pa.Table:
         sums = sum(np.frombuffer(x, np.float64) for x in parts["sums"].to_pylist())
@@ -496,95 +537,149 @@ def insert(blocks: DataFrame, hashes: np.ndarray, counts: np.ndarray, core: int,
         for x in (sums[:n], sums[n:]):
             at = np.flatnonzero(x)
             sides.append((np.zeros(len(at), np.int64), at, x[at]))
-        cls = best_classes(shared.value[3], learned, *sides, 1)
-        return pa.table({"h": pa.array([key[0].as_py()], pa.int64()), "cls": pa.array(cls.astype(np.int32))})
+        cls = best_classes(shared.value[4], learned, *sides, 1)
+        row = {"h": [key[0].as_py()], "cls": [int(cls[0])], "ending": [parts["ending"][0].as_py()], "n": [sum(parts["n"].to_pylist())]}
+        return pa.table({c: pa.array(v, pa.int64() if c in "hn" else pa.int32()) for c, v in row.items()})
 
-    split = decided.filter("sums IS NOT NULL").groupBy("h").applyInArrow(join_sums, "h long, cls int")
-    return decided.filter("sums IS NULL").select("h", "cls").unionByName(split)
+    kind = "h long, cls int, ending int, n long"
+    split = decided.filter("sums IS NOT NULL").groupBy("h").applyInArrow(join_sums, kind)
+    inserted = stage(decided.filter("sums IS NULL").drop("sums").unionByName(split), "inserted")
+    unstage(decided)
+    return inserted
 
 
 # -- the model
 
 
 def learn(blocks: DataFrame, rounds: int = ROUNDS) -> dict:
-    """The model of the blocks' learned documents, all but its class bigrams; ``vocabulary`` is the staged table (h, n, cls)."""
+    """The model of the blocks' learned documents, all but its class bigrams: ``words`` (h, ending, n) and ``inserted``
+    (h, cls, ending, n) are staged tables, the rest is of bounded size."""
     counts = stage(count_words(blocks), "words")
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     words = counts.filter(F.col("h") != END_HASH)
     top = words.orderBy(F.desc("n"), "h").limit(LISTED).toArrow()
     ends = counts.filter(F.col("h") == END_HASH).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    hashes, n = top["h"].to_numpy(), top["n"].to_numpy()
+    hashes, n, ending_of = top["h"].to_numpy(), top["n"].to_numpy(), top["ending"].to_numpy().astype(np.int64)
     core = min(CORE, len(hashes))
     learned = max(1, min(core, MOST, max(FEWEST, round(float(total) ** 0.25))))
     classes = np.empty(core + 1 + ENDINGS, np.int64)
     classes[:core] = np.arange(core) % learned
     classes[core] = learned
     classes[core + 1 :] = learned + 1 + np.arange(ENDINGS)
-    inserted = counts.select("h", F.lit(0).alias("cls")).limit(0)
+    inserted = counts.select("h", F.lit(0).alias("cls"), "ending", "n").limit(0)
+    two, more = sieves(words)
     if core:
-        bigrams = stage(count_bigrams(blocks, hashes, core), "bigrams")
+        bigrams = stage(count_bigrams(blocks, hashes, core), "bigrams", "zstd")
         for k in range(rounds):
             classes = exchange(bigrams, classes, core, learned, k % TURNS)
-        inserted = insert(blocks, hashes, n, core, classes, class_bigrams(bigrams, classes), learned)
-    by_rank = blocks.sparkSession.createDataFrame(
-        [(int(h), int(c)) for h, c in zip(hashes[:core], classes[:core])], "h long, cls int"
-    )
-    sorted_in = inserted.select("h", "cls").unionByName(by_rank)
-    cls = F.coalesce("cls", F.lit(learned + 1) + F.col("ending"))
-    vocabulary = stage(words.join(sorted_in, "h", "left").select("h", "n", cls.cast("int").alias("cls")), "vocabulary")
-    listed = vocabulary.orderBy(F.desc("n"), "h").limit(LISTED).toArrow()
-    k = learned + 1 + ENDINGS
-    in_class, distinct_in = np.zeros(k), np.zeros(k)
-    for r in vocabulary.groupBy("cls").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():
-        in_class[r["cls"]], distinct_in[r["cls"]] = r["n"], r["v"]
+        inserted = insert(blocks, hashes, n, more, core, classes, class_bigrams(bigrams, classes), learned)
+        unstage(bigrams)
+    first = learned + 1
+    cls = first + ending_of
+    cls[:core] = classes[:core]
+    found = inserted.orderBy(F.desc("n"), "h").limit(LISTED).toArrow()
+    rank = Listed(hashes).rank(found["h"].to_numpy())
+    cls[rank[rank >= 0]] = found["cls"].to_numpy()[rank >= 0]
+    in_class, distinct_in = np.zeros(first + ENDINGS), np.zeros(first + ENDINGS)
+    for r in words.groupBy("ending").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():
+        in_class[first + r["ending"]], distinct_in[first + r["ending"]] = r["n"], r["v"]
+    for of, to, k, v in (
+        [(first + e, c, k, 1) for e, c, k in zip(ending_of[:core].tolist(), classes[:core].tolist(), n[:core].tolist())]
+        + [
+            (first + r["ending"], r["cls"], r["n"], r["v"])
+            for r in inserted.groupBy("cls", "ending").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()
+        ]
+    ):
+        in_class[of] -= k
+        distinct_in[of] -= v
+        in_class[to] += k
+        distinct_in[to] += v
     return {
-        "vocabulary": vocabulary, "total": int(total), "distinct": int(distinct), "ends": int(ends), "learned": learned,
-        "hashes": listed["h"].to_numpy(), "n": listed["n"].to_numpy(), "cls": listed["cls"].to_numpy().astype(np.int64),
-        "in_class": in_class, "distinct_in": distinct_in,
+        "words": words, "inserted": inserted, "total": int(total), "distinct": int(distinct), "ends": int(ends),
+        "learned": learned, "core": core, "hashes": hashes, "n": n, "cls": cls, "two": two, "in_class": in_class,
+        "distinct_in": distinct_in,
     }
 
 
+def vocabulary(model: dict) -> DataFrame:
+    """(h, n, cls) of every word but the end token."""
+    spark = model["words"].sparkSession
+    core = list(zip(model["hashes"][: model["core"]].tolist(), model["cls"][: model["core"]].tolist()))
+    found = model["inserted"].select("h", "cls").unionByName(spark.createDataFrame(core, "h long, cls int"))
+    own = F.coalesce("cls", F.lit(model["learned"] + 1) + F.col("ending")).cast("int")
+    return model["words"].join(found, "h", "left").select("h", "n", own.alias("cls"))
+
+
 _RESOLVED = "block long, docs array<long>, lengths binary, train binary, n binary, cls binary, codes binary"
+#: What stands for a word's rank where it has none: to be looked up, the end token, once in the learned documents.
+ASKED, ENDS, ONCE = -1, -2, -3
+
+
+def _ranks(b: Block, listed: Listed, two: np.ndarray) -> np.ndarray:
+    """Each word's rank, or why it has none. A word of a learned document that the sieve doesn't pass stands once."""
+    rank = listed.rank(b.hashes)
+    here = np.zeros(len(rank), bool)
+    here[b.codes[b.learned()]] = True
+    rank[(rank < 0) & here & ~passes(two, b.hashes)] = ONCE
+    rank[b.hashes == END_HASH] = ENDS
+    return rank
 
 
-def resolve(blocks: DataFrame, model: dict) -> DataFrame:
-    """The blocks with every word's count and class (of its ending, for words that the model hasn't), staged."""
+def resolve(blocks: DataFrame, model: dict, learned: bool = True) -> DataFrame:
+    """The blocks with every word's count and class (of its ending, for words that the model hasn't), staged; the
+    blocks themselves are deleted.
+
+    ``learned`` says that the model was learned from these blocks, so that words that stand once needn't be looked up.
+    """
     light = {c: model[c] for c in ("hashes", "n", "cls", "learned", "ends")}
+    light["two"] = model["two"] if learned else np.full(SIEVE // 64, ~np.uint64(0))
     shared = blocks.sparkSession.sparkContext.broadcast(light)
 
-    def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        listed = Listed(shared.value["hashes"])
-        for b in batches:
-            for block, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                h = np.frombuffer(raw, np.int64)
-                at = np.flatnonzero((listed.rank(h) < 0) & (h != END_HASH))
-                yield pa.RecordBatch.from_pydict({"block": np.full(len(at), block), "at": at.astype(np.int32), "h": h[at]})
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        listed = Listed(m["hashes"])
+        for b in _each(batches):
+            at = np.flatnonzero(_ranks(b, listed, m["two"]) == ASKED)
+            yield pa.RecordBatch.from_pydict({"place": (b.row["block"] << 26) + at, "h": b.hashes[at]})
 
-    def filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         listed = Listed(m["hashes"])
         for b in _each(batches):
-            rank = listed.rank(b.hashes)
-            n, cls = np.zeros(len(rank), np.int64), m["learned"] + 1 + b.endings
+            b.row["ranks"] = _ranks(b, listed, m["two"]).astype(np.int32).tobytes()
+            yield _row(b.row, ["block", "docs", "lengths", "train", "ranks", "endings", "codes"])
+
+    def filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        for b in _each(batches):
+            rank = np.frombuffer(b.row["ranks"], np.int32)
+            endings = np.frombuffer(b.row["endings"], np.uint8).astype(np.int64)
+            n, cls = (rank == ONCE).astype(np.int64), m["learned"] + 1 + endings
             known = rank >= 0
             n[known], cls[known] = m["n"][rank[known]], m["cls"][rank[known]]
-            end = b.hashes == END_HASH
-            n[end], cls[end] = m["ends"], m["learned"]
-            if b.row["at"]:
-                at = np.array(b.row["at"])
-                n[at], cls[at] = b.row["their_n"], b.row["their_cls"]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([b.row["block"]], pa.int64()), pa.array([b.row["docs"]], pa.list_(pa.int64())),
-                    *[pa.array([x], pa.binary()) for x in (b.row["lengths"], b.row["train"], n.tobytes(), cls.astype(np.uint8).tobytes(), b.row["codes"])],
-                ],
-                names=["block", "docs", "lengths", "train", "n", "cls", "codes"],
-            )
-
-    far = blocks.select("block", "hashes").mapInArrow(others, "block long, at int, h long")
-    found = far.join(model["vocabulary"], "h").groupBy("block").agg(F.collect_list(F.struct("at", "n", "cls")).alias("f"))
-    found = found.select("block", F.col("f.at").alias("at"), F.col("f.n").alias("their_n"), F.col("f.cls").alias("their_cls"))
-    return stage(blocks.join(found, "block", "left").mapInArrow(filled, _RESOLVED), "resolved")
+            n[rank == ENDS], cls[rank == ENDS] = m["ends"], m["learned"]
+            if b.row["answers"]:
+                v = np.array(b.row["answers"], np.int64)
+                at, c = v >> 37, v >> 29 & 0xFF
+                n[at] = v & (1 << 29) - 1
+                cls[at] = np.where(c < 255, c, cls[at])
+            b.row["n"], b.row["cls"] = n.tobytes(), cls.astype(np.uint8).tobytes()
+            yield _row(b.row, ["block", "docs", "lengths", "train", "n", "cls", "codes"])
+
+    far = blocks.select("block", "lengths", "train", "hashes", "endings", "codes").mapInArrow(asked, "place long, h long")
+    found = far.join(model["words"].select("h", "n"), "h").join(model["inserted"].select("h", "cls"), "h", "left")
+    # place in the block, class (255: its ending's) and count (words beyond the listed ones are rare) in one number
+    answer = F.expr("shiftleft(place & 67108863L, 37) | shiftleft(cast(coalesce(cls, 255) AS bigint), 29) | least(n, 536870911L)")
+    found = found.groupBy(F.shiftright("place", 26).alias("block")).agg(F.collect_list(answer).alias("answers"))
+    slim = blocks.mapInArrow(ranked, "block long, docs array<long>, lengths binary, train binary, ranks binary, endings binary, codes binary")
+    resolved = stage(slim.join(found, "block", "left").mapInArrow(filled, _RESOLVED), "resolved", "zstd")
+    unstage(blocks)
+    return resolved
+
+
+def _row(row: dict, names: list[str]) -> pa.RecordBatch:
+    kinds = {"block": pa.int64(), "docs": pa.list_(pa.int64())}
+    return pa.RecordBatch.from_arrays([pa.array([row[c]], kinds.get(c, pa.binary())) for c in names], names=names)
 
 
 def transitions(resolved: DataFrame, model: dict) -> np.ndarray:
@@ -673,4 +768,5 @@ def train(docs: DataFrame, rounds: int = ROUNDS, text: str = "text") -> dict:
 
 def score(docs: DataFrame, model: dict, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per document: doc_id, n_tokens, n_known, train_tokens, base_score, score (both log10 probabilities)."""
-    return score_blocks(resolve(encode(docs, doc_id, text, F.lit(False)), model), model).drop("held_out")
+    blocks = encode(docs, doc_id, text, F.lit(False))
+    return score_blocks(resolve(blocks, model, learned=False), model).drop("held_out")

@@ -401,7 +401,7 @@ def test_class_model_by_brute_force(spark, monkeypatch, core, listed, together,
     texts = [" ".join(rng.choice(words, 20, p=share)) for _ in range(60)] + ["rare words", None, "RARE thing"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     model = brown.train(docs, 2)
-    vocabulary = {r["h"]: (r["n"], r["cls"]) for r in model["vocabulary"].collect()}
+    vocabulary = {r["h"]: (r["n"], r["cls"]) for r in brown.vocabulary(model).collect()}
     known = {w: vocabulary[brown.word_hash(w.encode())] for w in {w for t in texts for w in brown.tokens(t)} for w in [w.decode()]}
     first = model["learned"] + 1
     assert all(c < first if n >= brown.MIN_COUNT or core > 8 else c >= first for n, c in known.values())
@@ -472,7 +472,7 @@ def test_words_beyond_the_core_are_clustered(spark, monkeypatch):
     kinds = [[f"{k}{i}" for i in range(40)] for k in "abc"]
     texts = [" ".join(kinds[j % 3][min(39, int(rng.exponential(9)))] for j in range(60)) for _ in range(300)]
     model = brown.train(spark.createDataFrame([(t,) for t in texts], "text string"), 12)
-    rows = model["vocabulary"].orderBy(F.desc("n"), "h").collect()
+    rows = brown.vocabulary(model).orderBy(F.desc("n"), "h").collect()
     kind = {brown.word_hash(w.encode()): k for k, ws in enumerate(kinds) for w in ws}
     votes = {}
     for r in rows[:40]:
