@@ -91,7 +91,7 @@ def category_title(label: Column) -> Column:
 def sentiment_label(raw: Column) -> Column:
     """positive, negative or neutral, by what the model's label contains."""
     low = F.lower(raw)
-    return F.when(low.contains("pos"), "positive").when(low.contains("neg"), "negative").otherwise("neutral")
+    return F.when(low.contains("positive"), "positive").when(low.contains("negative"), "negative").otherwise("neutral")
 
 
 def two_places(x: Column) -> Column:

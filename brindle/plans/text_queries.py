@@ -571,3 +571,142 @@ def categorize_texts(spark, sf_dir):
     from brindle.plans.categorize import tag_texts
 
     return tag_texts(docs(spark, sf_dir), vocabulary.Vocabulary(CATEGORIES, TAGS, RULES), BLOCKED, 3)
+
+
+_BLANK = "NOT regexp_matches(coalesce(text, ''), '[^\\s]')"
+_THIRD = f"""
+SELECT d.doc_id, tag AS label, {_share("d.doc_id + pos", 3)} AS score FROM documents d CROSS JOIN {_ALL_TAGS}
+WHERE d.doc_id % 2 = 0 AND (d.doc_id + pos) % 3 = 0 AND (tag <> '#Extra' OR d.doc_id % 7 = 0)
+UNION ALL
+SELECT d.doc_id, category, {_share("d.doc_id + pos", 5)} FROM documents d CROSS JOIN {_KNOWN_CATEGORIES}
+WHERE d.doc_id % 2 = 0 AND (d.doc_id + pos) % 4 = 0"""
+
+
+def _sentiment_sql(a: str, b: str) -> str:
+    return f"['positive', 'negative', 'neutral'][({a} * 13 + {b} * 7) % 3 + 1]"
+
+
+def _sentiment(a: Column, b: Column) -> Column:
+    """A stand-in for a sentiment model's raw label."""
+    raw = F.array(F.lit("LABEL_POSitive"), F.lit("Negative!"), F.lit("mixed"))
+    return F.get(raw, ((a * 13 + b * 7) % 3).cast("int"))
+
+
+def _said(when: Column, tags: list[str], categories: list[str], sentiment: str) -> Column:
+    """A stand-in for a language model's verdict on some rows."""
+    strings = lambda xs: F.array(*map(F.lit, xs))
+    verdict = F.struct(strings(tags).alias("tags"), strings(categories).alias("categories"), F.lit(sentiment).alias("sentiment"))
+    return F.when(when, verdict)
+
+
+def _scores_of(found: list[tuple[str, Column]], wanted) -> Column:
+    made = [F.when(wanted(k), F.struct(F.lit(x).alias("label"), s.alias("score"))) for k, (x, s) in enumerate(found)]
+    return F.array_compact(F.array(*made))
+
+
+def _shown(result: Column) -> list[Column]:
+    """A result's fields as text, confidences in units of 0.0001."""
+    unit = lambda e: F.concat(e["key"], F.lit("="), F.round(e["value"] * 10000).cast("long").cast("string"))
+    pairs = F.array_sort(F.transform(F.map_entries(result["confidences"]), unit))
+    joined = [F.array_join(result[c], ",").alias(c) for c in ("tags", "categories", "new_tags", "new_categories")]
+    plain = [result[c].alias(c) for c in ("sentiment", "settings_applied", "llm_used")]
+    return [*joined, F.array_join(pairs, ",").alias("confidences"), *plain]
+
+
+@query(f"""
+WITH third AS ({_THIRD}), asked AS (SELECT DISTINCT doc_id FROM third), rules AS ({_SCORES}),
+labels AS (
+  SELECT doc_id, tag AS label, pos, tag AS rule, false AS topic FROM documents CROSS JOIN {_TAGS}
+  UNION ALL SELECT doc_id, label, 100, label, false FROM third WHERE label = '#Extra'
+  UNION ALL SELECT doc_id, category, pos, '#' || category, true FROM documents CROSS JOIN {_KNOWN_CATEGORIES}),
+parts AS (
+  SELECT l.doc_id, l.label, l.pos, topic, a.doc_id IS NOT NULL AS asked, coalesce(r.score, 0)::DOUBLE AS s1,
+    CASE WHEN topic THEN {_share("l.doc_id + l.pos", 4)} ELSE 0 END::DOUBLE AS s2, coalesce(t.score, 0)::DOUBLE AS s3
+  FROM labels l LEFT JOIN rules r ON r.doc_id = l.doc_id AND r.tag = l.rule
+  LEFT JOIN third t ON t.doc_id = l.doc_id AND t.label = l.label LEFT JOIN asked a ON a.doc_id = l.doc_id),
+fused AS (
+  SELECT doc_id, label, pos, topic, round(least(1.0, CASE
+    WHEN topic AND asked THEN s1 * 0.2 + s2 * 0.3 + s3 * 0.7 + CASE WHEN (s1 > 0 OR s2 > 0) AND s3 > 0 THEN 0.10 ELSE 0.0 END
+    WHEN topic THEN s1 * 0.4 + s2 * 0.6
+    WHEN asked THEN s1 * 0.4 + s2 * 0.2 + s3 * 0.6 + CASE WHEN s1 > 0 AND s3 > 0 THEN 0.15 ELSE 0.0 END
+    ELSE s1 END)::DOUBLE, 4) AS score FROM parts),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id, topic ORDER BY score DESC, pos) AS rank FROM fused),
+m AS (
+  SELECT doc_id,
+    string_agg(label, ',' ORDER BY rank) FILTER (NOT topic AND score >= 0.5 AND rank <= 4 AND NOT {_BLOCKED.replace("tag", "label")}) AS tags,
+    string_agg(label, ',' ORDER BY rank) FILTER (topic AND (rank = 1 OR score >= 0.35 AND rank <= 3)) AS categories,
+    string_agg(label, ',') FILTER (label = '#Extra' AND score >= 0.5 AND rank <= 4) AS new_tags,
+    string_agg(label || '=' || round(score * 10000)::BIGINT, ',' ORDER BY label || '=' || round(score * 10000)::BIGINT) AS confidences
+  FROM ranked GROUP BY doc_id),
+d AS (SELECT doc_id, {_BLANK} AS bare, doc_id % 5 = 0 AS said FROM documents)
+SELECT doc_id, CASE WHEN bare THEN '' WHEN said THEN '#Made' ELSE coalesce(tags, '') END AS tags,
+  CASE WHEN bare THEN '' WHEN said THEN 'Poetry,Action' ELSE categories END AS categories,
+  CASE WHEN bare THEN '' WHEN said THEN '#Made' ELSE coalesce(new_tags, '') END AS new_tags,
+  CASE WHEN bare OR said OR doc_id % 6 <> 0 THEN '' ELSE 'New Topic' END AS new_categories,
+  CASE WHEN bare OR said THEN '' ELSE confidences END AS confidences,
+  CASE WHEN bare THEN 'neutral' WHEN said THEN 'positive' ELSE {_sentiment_sql("doc_id", "0")} END AS sentiment,
+  NOT bare AS settings_applied, said AND NOT bare AS llm_used
+FROM d JOIN m USING (doc_id)""")
+def categorize_results(spark, sf_dir):
+    from brindle.plans.results import text_result
+
+    key, known = F.col("doc_id"), list(dict.fromkeys(CATEGORIES))
+    second = _scores_of([(c, share(key + k, 4)) for k, c in enumerate(known)], lambda k: F.lit(True))
+    tags = _scores_of([(t, share(key + k, 3)) for k, t in enumerate([*TAGS, "#Extra"])], lambda k: (key + k) % 3 == 0)
+    tags = F.filter(tags, lambda x: (x["label"] != "#Extra") | (key % 7 == 0))
+    topics = _scores_of([(c, share(key + k, 5)) for k, c in enumerate(known)], lambda k: (key + k) % 4 == 0)
+    third = F.when(key % 2 == 0, F.concat(tags, topics))
+    suggested = F.array(F.when(key % 6 == 0, "#new topic ").otherwise("##theory"), F.lit("German"))
+    model = _said(key % 5 == 0, ["#Theory", "#Made", "#German"], ["Poetry", "Action"], "positive")
+    words = vocabulary.Vocabulary(CATEGORIES, TAGS, RULES)
+    result = text_result(
+        F.col("text"), words, hits(), second, third, suggested, _sentiment(key, F.lit(0)), model, BLOCKED, k=4
+    )
+    return docs(spark, sf_dir).select("doc_id", result.alias("r")).select("doc_id", *_shown(F.col("r")))
+
+
+_TRACKS = _TOP.format(f"SELECT doc_id, k.tag, score, pos FROM ({_TURN_SCORES}) k JOIN {_TAGS} ON tags.tag = k.tag", 4)
+_TRACK_TOPICS = _FUSED_CATEGORIES.replace("FROM documents d", f"FROM {_TURNS} d").replace(_SCORES, _TURN_SCORES)
+_TRACK_SAID = "(doc_id // 100 + doc_id % 100) % 4 = 0"
+
+
+@query(f"""
+WITH live AS (SELECT doc_id, conv_id, turn, {_TRACK_SAID} AS said FROM {_TURNS} WHERE NOT {_BLANK}),
+named AS (
+  SELECT l.*, 'tag' AS kind, tag AS label, rank, score FROM live l JOIN ({_TRACKS}) USING (doc_id) WHERE NOT said
+  UNION ALL SELECT l.*, 'tag', v.label, v.rank, 0.85::DOUBLE FROM live l, (VALUES ('#Theory', 1), ('#Talk', 2)) v(label, rank) WHERE said
+  UNION ALL SELECT l.*, 'category', category, rank, 0 FROM live l JOIN (
+    SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, pos, category) AS rank FROM ({_TRACK_TOPICS})) USING (doc_id)
+    WHERE NOT said AND (rank = 1 OR score >= 0.35 AND rank <= 3)
+  UNION ALL SELECT l.*, 'category', v.label, v.rank, 0 FROM live l, (VALUES ('Poetry', 1), ('Opera', 2)) v(label, rank) WHERE said),
+firsts AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, kind, label ORDER BY turn, rank) AS k FROM named) WHERE k = 1),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id, kind, {_BLOCKED.replace("tag", "label")} ORDER BY turn, rank) AS place,
+    label || '=' || round(score * 10000)::BIGINT AS pair FROM firsts),
+felt AS (
+  SELECT conv_id, CASE WHEN said THEN 'negative' ELSE {_sentiment_sql("conv_id", "turn")} END AS sentiment, count(*) AS n,
+    min(turn) AS first FROM live GROUP BY 1, 2),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY n DESC, first) AS k FROM felt) WHERE k = 1),
+g AS (
+  SELECT conv_id, string_agg(label, ',' ORDER BY place) FILTER (kind = 'tag' AND place <= 4 AND NOT {_BLOCKED.replace("tag", "label")}) AS tags,
+    string_agg(label, ',' ORDER BY turn, rank) FILTER (kind = 'category') AS categories,
+    string_agg(pair, ',' ORDER BY pair) FILTER (kind = 'tag') AS confidences,
+    string_agg(label, ',') FILTER (label = '#Talk') AS new_tags FROM placed GROUP BY conv_id),
+u AS (SELECT conv_id, count(*) AS n_tracks, bool_or(said) AS llm_used FROM live GROUP BY conv_id)
+SELECT conv_id, coalesce(tags, '') AS tags, coalesce(categories, '') AS categories, coalesce(new_tags, '') AS new_tags,
+  '' AS new_categories, coalesce(confidences, '') AS confidences, sentiment, true AS settings_applied, llm_used, n_tracks
+FROM u JOIN best USING (conv_id) LEFT JOIN g USING (conv_id) WHERE n_tracks > 1""")
+def categorize_tracks(spark, sf_dir):
+    """Recordings of several tracks; one track alone is ``categorize_results``' case."""
+    from brindle.plans.results import recording_results, text_result
+
+    key, known = F.col("doc_id"), list(dict.fromkeys(CATEGORIES))
+    second = _scores_of([(c, share(key + k, 4)) for k, c in enumerate(known)], lambda k: F.lit(True))
+    model = _said((F.col("conv_id") + F.col("turn")) % 4 == 0, ["#Theory", "#Talk"], ["Poetry", "Opera"], "negative")
+    words = vocabulary.Vocabulary(CATEGORIES, TAGS, RULES)
+    felt = _sentiment(F.col("conv_id"), F.col("turn"))
+    result = text_result(F.col("text"), words, hits(), second, sentiment=felt, model=model, k=4)
+    rows = _turns(spark, sf_dir).withColumn("result", result)
+    out = recording_results(rows, "conv_id", "turn", blocked=BLOCKED, k=4).filter("n_tracks > 1")
+    return out.select("conv_id", F.struct("*").alias("r"), "n_tracks").select("conv_id", *_shown(F.col("r")), "n_tracks")
