@@ -5,6 +5,10 @@ The job table is one row per id; every operator returns the next version of it o
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -171,3 +175,51 @@ def allowed_download(url: Column, content_type: Column, length: Column) -> Colum
     kind = F.trim(F.split(F.coalesce(content_type, F.lit("")), ";")[0])
     fits = (kind == "") | kind.contains("audio") | kind.isin(*BINARY_TYPES)
     return valid_url(url) & fits & (F.coalesce(length, F.lit(0)) > 0)
+
+
+def next_jobs(jobs: DataFrame, slots: int) -> DataFrame:
+    """The pending jobs that wait longest, first come first served, ties by id: as many as there are free slots."""
+    return jobs.filter("status = 'pending'").orderBy("created_at", "id").limit(slots)
+
+
+def deliver(
+    due: DataFrame, post: Callable[[str, str], int], attempts: int = CALLBACK_ATTEMPTS, wait: Callable[[float], None] = time.sleep
+) -> DataFrame:
+    """(id, delivered, attempts, status) of callbacks (id, callback_url, payload) sent by ``post`` (url, payload -> code).
+
+    Codes below 300 deliver, permanent ones end it, others and exceptions are tried again after a growing delay. Invalid
+    addresses aren't tried. A lost task sends its rows again: receivers tell repeats by the job's id.
+    """
+
+    def one(url: str | None, payload: str) -> tuple[bool, int, int | None]:
+        if not url or not url.startswith(("http://", "https://")):
+            return False, 0, None
+        code = None
+        for k in range(attempts):
+            try:
+                code = post(url, payload)
+            except Exception:  # whatever fails on the way is tried again
+                code = None
+            if code is not None and (code < 300 or code in PERMANENT_STATUS):
+                return code < 300, k + 1, code
+            wait(min(2.0 * 2.0**k, 300.0))
+        return False, attempts, code
+
+    def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            found = [one(u, p) for u, p in zip(b["callback_url"], b["payload"])]
+            out = pd.DataFrame(found, columns=["delivered", "attempts", "status"])
+            yield out.astype({"status": "Int64"}).assign(id=b["id"].to_numpy())
+
+    key = due.schema["id"].dataType.simpleString()
+    rows = due.select("id", "callback_url", "payload")
+    return rows.mapInPandas(send, f"delivered boolean, attempts int, status long, id {key}").select("id", "delivered", "attempts", "status")
+
+
+def stream_callbacks(due: DataFrame, post: Callable[[str, str], int], outcomes: str, **options):
+    """A stream's callbacks, sent batch by batch; a batch's outcomes are written under ``outcomes``, once for each batch."""
+
+    def send(rows: DataFrame, batch: int) -> None:
+        deliver(rows, post, **options).write.mode("overwrite").parquet(f"{outcomes}/batch={batch}")
+
+    return due.writeStream.foreachBatch(send)

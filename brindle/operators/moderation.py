@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brindle.functions.text import blank, sentences, two_places, word_count
+from brindle.functions.text import blank, let, sentences, two_places, word_count
 from brindle.operators.lexicon import lexicon_hits
 
 # The labels of the toxicity scores and what a report calls them, and the intents' wording.
@@ -223,3 +223,10 @@ def learned_phrases(flagged: DataFrame, lexicon: DataFrame, text: str = "text")
     found = flagged.select(F.explode(sentences(F.col(text))).alias("phrase"))
     words = word_count(F.col("phrase"))
     return found.filter(words.between(2, 10)).distinct().join(lexicon.select("phrase"), "phrase", "left_anti")
+
+
+def blocked_hits(text: Column, words: list[str]) -> Column:
+    """array<string>: the words, as they are written, that stand somewhere in the text, case aside. A null text has none."""
+    listed = F.array(*[F.lit(w) for w in words]).cast("array<string>")
+    low = F.lower(F.coalesce(text, F.lit("")))
+    return let(low, lambda t: F.filter(listed, lambda w: F.contains(t, F.lower(w))))

@@ -667,3 +667,96 @@ def enhance_tracks(spark, sf_dir):
     mode = F.get(F.array(*map(F.lit, ("music", "speech", "podcast"))), (F.col("vec_id") % 3).cast("int"))
     out = enhance(waves(spark, sf_dir), mode, 8000)
     return out.select("vec_id", "mode", F.round("snr_db", 2).alias("snr_db"), "clipped", "quality")
+
+
+@query("""
+SELECT s_suppkey, CASE WHEN s_suppkey % 8 IN (0, 1, 6, 7) THEN lower(s_name) || '|two' ELSE '' END AS blocked,
+  CASE WHEN s_suppkey % 8 IN (0, 1, 7) THEN '' WHEN s_suppkey % 8 = 6 THEN 'news|chess' ELSE '' END AS auto FROM supplier""")
+def settings_answer(spark, sf_dir):
+    """Platform settings out of good and bad answers."""
+    from brindle.sources.recordings import settings_of
+
+    k, name = F.col("s_suppkey") % 8, F.concat(F.lit('{"blocked_keywords": " '), F.col("s_name"), F.lit(', ,Two"'))
+    body = (
+        F.when(k == 0, F.concat(name, F.lit("}"))).when(k == 1, F.concat(name, F.lit(', "other": 5}')))
+        .when(k == 2, F.concat(name, F.lit(', "auto_tag_keywords": null}'))).when(k == 3, name).when(k == 4, F.lit("[1]"))
+        .when(k == 5, F.concat(name, F.lit("}"))).when(k == 6, F.concat(name, F.lit(', "auto_tag_keywords": "News,Chess"}')))
+        .otherwise(F.concat(name, F.lit(', "auto_tag_keywords": ""}')))
+    )
+    code = F.when(k == 5, 503).otherwise(200)
+    rows = table(spark, sf_dir, "supplier").select("s_suppkey", settings_of(body, code).alias("x"))
+    return rows.select("s_suppkey", *[F.array_join(f"x.{c}", "|").alias(c) for c in ("blocked", "auto")])
+
+
+@query("""
+SELECT o_orderkey, created_at FROM (SELECT o_orderkey, o_orderdate AS created_at, row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS k
+  FROM orders WHERE o_orderkey % 3 = 1) WHERE k <= 50""")
+def next_jobs(spark, sf_dir):
+    status = F.when(F.col("o_orderkey") % 3 == 1, "pending").otherwise("completed").alias("status")
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("created_at"), status)
+    return jobs.next_jobs(rows, 50).select(F.col("id").alias("o_orderkey"), "created_at")
+
+
+def _realtime(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Conversations as realtime jobs: their turns are tracks, a turn's sentences its segments."""
+    rows = table(spark, sf_dir, "conversations")
+    a, b = F.col("conv_id"), F.col("turn")
+    fault = F.when((a + b) % 11 == 0, "ValueError").when((a + b * 2) % 6 == 0, "RuntimeError")
+    said = F.slice(F.split(F.coalesce("text", F.lit("")), " "), F.lit(1), (b % 3).cast("int"))
+    of_tracks = rows.select(
+        a.alias("job_id"), b.cast("string").alias("track_id"), b.alias("position"), ((a + b) % 7 == 0).alias("is_muted"),
+        ((a + b) % 3 == 0).alias("is_enhanced"), ((a + b) % 5 == 0).alias("has_transcription"),
+        F.when((a * 5 + b) % 4 == 1, "too short").alias("enhancement_error"), said.alias("segments"), fault.alias("error_class"),
+    )
+    error = F.when(F.col("job_id") % 9 == 4, "no recording").alias("error")
+    return rows.select(a.alias("job_id")).distinct().select("job_id", error), of_tracks, ev.segment_source(of_tracks)
+
+
+_TURN_TRACKS = """(
+  SELECT conv_id AS job_id, turn::VARCHAR AS track_id, turn AS pos, (conv_id + turn) % 7 = 0 AS muted, (conv_id + turn) % 3 = 0 AS enhanced,
+    (conv_id + turn) % 5 = 0 AS transcribed, (conv_id * 5 + turn) % 4 = 1 AS failed,
+    string_split(coalesce(text, ''), ' ')[1:(turn % 3)] AS words,
+    CASE WHEN (conv_id + turn) % 11 = 0 THEN 'ValueError' WHEN (conv_id + turn * 2) % 6 = 0 THEN 'RuntimeError' END AS fault
+  FROM conversations)"""
+_TURN_SEGMENTS = f"""(
+  SELECT job_id, track_id, pos, i - 1 AS seq, 'segment' AS kind, words[i] AS text, false AS silent
+  FROM {_TURN_TRACKS}, unnest(range(1, len(words) + 1)) u(i)
+  UNION ALL SELECT job_id, track_id, pos, len(words), CASE WHEN coalesce(fault, 'ValueError') = 'ValueError' THEN 'done' ELSE 'error' END,
+    NULL, coalesce(fault = 'ValueError', false) FROM {_TURN_TRACKS})"""
+
+
+@query(f"SELECT job_id, track_id, seq, kind, text, silent FROM {_TURN_SEGMENTS}")
+def segment_source(spark, sf_dir):
+    return _realtime(spark, sf_dir)[2].withColumn("seq", F.col("seq").cast("long"))
+
+
+@query(f"""
+WITH t AS (SELECT * FROM {_TURN_TRACKS} WHERE NOT muted AND job_id % 9 <> 4),
+s AS (SELECT g.job_id, g.track_id, g.pos, seq, kind FROM {_TURN_SEGMENTS} g JOIN t USING (job_id, track_id) WHERE NOT transcribed),
+j AS (SELECT DISTINCT conv_id AS job_id, conv_id % 9 = 4 AS bad FROM conversations),
+e AS (
+  SELECT job_id, 0 AS stage, NULL AS pos, 0 AS step, 0 AS seq, 'pipeline_started' AS event, NULL AS track_id FROM j
+  UNION ALL SELECT job_id, 0, NULL, 0, 1, 'recording_fetched', NULL FROM j WHERE NOT bad
+  UNION ALL SELECT job_id, 1, pos, 0, 0, 'track_started', track_id FROM t
+  UNION ALL SELECT job_id, 1, pos, 1, 0, CASE WHEN enhanced THEN 'enhancement_skipped' ELSE 'enhancement_started' END, track_id FROM t
+  UNION ALL SELECT job_id, 1, pos, 2, 0, CASE WHEN failed THEN 'enhancement_error' ELSE 'enhancement_complete' END, track_id
+    FROM t WHERE NOT enhanced
+  UNION ALL SELECT job_id, 1, pos, 3, 0, 'transcript_skipped', track_id FROM t WHERE transcribed
+  UNION ALL SELECT job_id, 1, pos, 3, seq,
+    CASE kind WHEN 'segment' THEN 'transcript_segment' WHEN 'done' THEN 'transcript_complete' ELSE 'transcript_error' END, track_id FROM s
+  UNION ALL SELECT DISTINCT job_id, 2, NULL::BIGINT, 0, 0, 'categorization_complete', NULL FROM s WHERE kind = 'segment'
+  UNION ALL SELECT job_id, 2, NULL, 0, 1, CASE WHEN bad THEN 'pipeline_error' ELSE 'pipeline_complete' END, NULL FROM j)
+SELECT job_id, row_number() OVER (PARTITION BY job_id ORDER BY stage, pos, step, seq) AS place, event, track_id FROM e""")
+def event_sequence(spark, sf_dir):
+    return ev.event_sequence(*_realtime(spark, sf_dir))
+
+
+@query(f"""
+SELECT job_id, count(*) AS n_tracks, count(*) FILTER (failed AND NOT enhanced) AS n_failed, 'completed' AS realtime,
+  CASE WHEN bool_or(failed AND NOT enhanced) THEN 'failed' ELSE 'completed' END AS batch
+FROM {_TURN_TRACKS} WHERE NOT muted GROUP BY job_id""")
+def track_failures(spark, sf_dir):
+    rows = _realtime(spark, sf_dir)[1]
+    realtime = ev.track_failures(rows, True).withColumnRenamed("outcome", "realtime")
+    batch = ev.track_failures(rows, False).select("job_id", F.col("outcome").alias("batch"))
+    return realtime.join(batch, "job_id")

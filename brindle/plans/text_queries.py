@@ -710,3 +710,15 @@ def categorize_tracks(spark, sf_dir):
     rows = _turns(spark, sf_dir).withColumn("result", result)
     out = recording_results(rows, "conv_id", "turn", blocked=BLOCKED, k=4).filter("n_tracks > 1")
     return out.select("conv_id", F.struct("*").alias("r"), "n_tracks").select("conv_id", *_shown(F.col("r")), "n_tracks")
+
+
+BANNED = ["Trash", "scum ", "LICENSE", "theory", "der"]
+_BANNED = ", ".join(f"'{w}'" for w in BANNED)
+
+
+@query(f"""
+SELECT doc_id, len(x)::BIGINT AS n, array_to_string(x, '|') AS words FROM (
+  SELECT doc_id, list_filter([{_BANNED}], lambda w: contains(lower(coalesce(text, '')), lower(w))) AS x FROM documents)""")
+def blocked_hits(spark, sf_dir):
+    rows = docs(spark, sf_dir).select("doc_id", moderation.blocked_hits(F.col("text"), BANNED).alias("x"))
+    return rows.select("doc_id", F.size("x").cast("long").alias("n"), F.array_join("x", "|").alias("words"))

@@ -107,3 +107,25 @@ def encode_wav(samples: np.ndarray, rate: int = 44_100) -> bytes:
         w.setframerate(rate)
         w.writeframes((np.clip(samples, -1, 1) * 32767).round().astype("<i2").tobytes())
     return out.getvalue()
+
+
+def settings_of(body: Column, status: Column) -> Column:
+    """struct<blocked, auto>: word lists of a platform's answer, JSON text with comma-separated strings.
+
+    Whatever is wrong with it (a code of 300 or more, no JSON, no object, a list that is no string) makes both empty.
+    """
+    parsed = F.try_parse_json(body)
+    kind = lambda name: F.schema_of_variant(F.variant_get(parsed, f"$.{name}", "variant"))
+    fields = ("blocked_keywords", "auto_tag_keywords")
+    fits = F.coalesce(status < 300, F.lit(False)) & F.coalesce(F.schema_of_variant(parsed).startswith("OBJECT"), F.lit(False))
+    for name in fields:
+        fits = fits & F.coalesce(kind(name) == "STRING", F.lit(True))
+    words = lambda name: csv_list(F.when(fits, F.get_json_object(body, f"$.{name}")))
+    return F.struct(*[words(n).alias(a) for n, a in zip(fields, ("blocked", "auto"))])
+
+
+def sync_platform(platform: DataFrame, blocked: DataFrame) -> DataFrame:
+    """The next version of a platform's lexicon (pos, phrase): the blocked words (pos, phrase), or as it was if there are none."""
+    some = blocked.limit(1).select(F.lit(True).alias("_some"))
+    kept = platform.select("pos", "phrase").join(F.broadcast(some), F.lit(True), "left_anti")
+    return kept.unionByName(blocked.select("pos", "phrase"))

@@ -248,13 +248,67 @@ def test_stream_equals_batch(spark, tmp_path):
     df.coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
     query = (
-        ev.fold_stream(stream).writeStream.format("memory").queryName("folded").outputMode("append")
+        ev.fold_stream(stream, None).writeStream.format("memory").queryName("folded").outputMode("append")
         .option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     )
-    query.awaitTermination(120)
+    assert query.awaitTermination(120)
     assert sorted(map(tuple, spark.table("folded").collect())) == sorted(map(tuple, ev.fold_batch(df).collect()))
 
 
+def test_stream_state_is_bounded_and_keys_may_be_text(spark, tmp_path):
+    rows = [("a", "transcript_segment", k, str(k)) for k in range(3)] + [("b", "pipeline_complete", 1, "")]
+    df = spark.createDataFrame(rows, "job_id string, event string, t int, payload string").withColumn("ts", F.timestamp_seconds("t")).drop("t")
+    df.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+    query = (
+        ev.fold_stream(stream, None, 3).writeStream.format("memory").queryName("parts").outputMode("append")
+        .option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    )
+    assert query.awaitTermination(120)
+    assert sorted(map(tuple, spark.table("parts").collect())) == [("a", 3, "0 1 2", "partial"), ("b", 0, "", "pipeline_complete")]
+
+
+def test_deliver_retries_and_gives_up(spark):
+    def post(url, payload):
+        if url.endswith("down"):
+            raise OSError("no route")
+        return {"ok": 204, "gone": 404, "busy": 503}[url.rsplit("/", 1)[1]]
+
+    names = ["ok", "gone", "busy", "down"]
+    rows = [(n, f"http://host/{n}", "{}") for n in names] + [("odd", "ftp://host", "{}"), ("none", None, "{}")]
+    out = jobs.deliver(spark.createDataFrame(rows, "id string, callback_url string, payload string"), post, 3, lambda s: None)
+    assert {r["id"]: tuple(r)[1:] for r in out.collect()} == {
+        "ok": (True, 1, 204), "gone": (False, 1, 404), "busy": (False, 3, 503), "down": (False, 3, None),
+        "odd": (False, 0, None), "none": (False, 0, None),
+    }
+
+
+def test_platform_lexicon_is_replaced_only_by_words(spark):
+    old = spark.createDataFrame([(0, "old")], "pos int, phrase string")
+    new = spark.createDataFrame([(0, "a"), (1, "b")], "pos int, phrase string")
+    assert sorted(map(tuple, recordings.sync_platform(old, new).collect())) == [(0, "a"), (1, "b")]
+    assert [tuple(r) for r in recordings.sync_platform(old, new.limit(0)).collect()] == [(0, "old")]
+
+
+def test_results_of_single_tracks_blanks_and_nulls(spark):
+    from brindle.plans.results import recording_results, text_result
+
+    words = Vocabulary(["News", "Art"], ["#News", "#Art"], [Rule("news", "#News")])
+    hit = keywords.rule_hits(F.col("text"), words.rules)
+    verdict = "struct<tags: array<string>, categories: array<string>, sentiment: string>"
+    rows = [(1, 0, "news", None), (2, 0, "news", None), (2, 1, "x", (["#Odd", None], None, None)), (3, 0, " ", None), (4, 0, None, None)]
+    df = spark.createDataFrame(rows, f"rec int, place int, text string, model {verdict}")
+    df = df.withColumn("result", text_result(F.col("text"), words, hit, model=F.col("model")))
+    blank = df.filter("rec > 2").select("result.*").collect()
+    assert all(r["tags"] == [] and r["sentiment"] == "neutral" and not r["llm_used"] for r in blank)
+    out = {r["rec"]: r for r in recording_results(df, "rec", "place", blocked=["art"]).collect()}
+    assert sorted(out) == [1, 2]
+    assert out[1]["tags"] == ["#News"] and out[1]["categories"] == ["News"] and len(out[1]["confidences"]) == 4
+    assert out[2]["tags"] == ["#News", "#Odd"] and out[2]["new_tags"] == ["#Odd"] and out[2]["llm_used"]
+    assert out[2]["confidences"] == {"#News": 0.55, "#Odd": 0.85} and out[2]["settings_applied"]
+    assert recording_results(df.limit(0), "rec", "place").count() == 0
+
+
 def test_batch_scorer_reads_prefix(spark):
     score = scorers.batch_scorer(lambda: lambda texts: [float(len(t or "")) for t in texts], "text", "s", "double", 3)
     df = spark.createDataFrame([("abcdef",), (None,)], "text string")
