@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import time
 
 import numpy as np
 import pytest
@@ -268,6 +269,22 @@ def test_stream_state_is_bounded_and_keys_may_be_text(spark, tmp_path):
     assert sorted(map(tuple, spark.table("parts").collect())) == [("a", 3, "0 1 2", "partial"), ("b", 0, "", "pipeline_complete")]
 
 
+def test_silent_jobs_expire(spark, tmp_path):
+    df = spark.createDataFrame([("a", "transcript_segment", 1, "x")], "job_id string, event string, t int, payload string")
+    df = df.withColumn("ts", F.timestamp_seconds("t")).drop("t")
+    df.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+    query = (
+        ev.fold_stream(stream, 500).writeStream.format("memory").queryName("silent").outputMode("append")
+        .option("checkpointLocation", str(tmp_path / "cp")).trigger(processingTime="1 second").start()
+    )
+    ends = time.monotonic() + 60
+    while not spark.table("silent").count() and time.monotonic() < ends:
+        time.sleep(0.5)
+    query.stop()
+    assert list(map(tuple, spark.table("silent").collect())) == [("a", 1, "x", "expired")]
+
+
 def test_deliver_retries_and_gives_up(spark):
     def post(url, payload):
         if url.endswith("down"):
