@@ -300,6 +300,17 @@ def test_deliver_retries_and_gives_up(spark):
     }
 
 
+def test_stream_callbacks_writes_outcomes(spark, tmp_path):
+    df = spark.createDataFrame([("a", "http://host/ok", "{}"), ("b", "http://host/gone", "{}")], "id string, callback_url string, payload string")
+    df.coalesce(1).write.parquet(str(tmp_path / "in"))
+    due = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+    post = lambda url, payload: 200 if url.endswith("ok") else 404
+    writer = jobs.stream_callbacks(due, post, str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp"))
+    assert writer.trigger(availableNow=True).start().awaitTermination(120)
+    out = spark.read.parquet(str(tmp_path / "out")).select("id", "delivered", "status")
+    assert sorted(map(tuple, out.collect())) == [("a", True, 200), ("b", False, 404)]
+
+
 def test_platform_lexicon_is_replaced_only_by_words(spark):
     old = spark.createDataFrame([(0, "old")], "pos int, phrase string")
     new = spark.createDataFrame([(0, "a"), (1, "b")], "pos int, phrase string")
