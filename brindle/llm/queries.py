@@ -5,7 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm import brown, fingerprints, language, mixing, neardup, packing, pages, quality, substrings, toxicity
+from brindle.llm import (
+    brown,
+    fingerprints,
+    language,
+    mixing,
+    neardup,
+    packing,
+    pages,
+    quality,
+    repair,
+    spelling,
+    substrings,
+    toxicity,
+    vectors,
+)
 from brindle.llm.text import crc_mod
 from brindle.staging import table
 
@@ -68,6 +82,18 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op11_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_variants(spelling.count_words(table(spark, sf_dir, "documents")))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.audit(repair.damage(table(spark, sf_dir, "conversations")))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_packing": op2_packing,
@@ -79,6 +105,9 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_language_id": op9_language_id,
     "op10_toxicity": op10_toxicity,
+    "op11_embedding_dedup": op11_embedding_dedup,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
 #: DuckDB's regular expression of a word.
