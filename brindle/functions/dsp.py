@@ -1,17 +1,13 @@
-"""Recursive and spectral filters, with numpy inside Arrow batches; each row is one mono signal.
+"""Recursive and spectral filters of mono signals that go on from one run of samples to the next.
 
-``apply`` runs a filter over a column of samples. Signals come back as double arrays of the same length unless said.
+They are the helpers of ``operators.frames``, which gives them the frames of a track in order.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
 
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame
-from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 RATE = 44_100
 #: threshold dB, ratio, makeup dB, attack ms, release ms
@@ -28,64 +24,107 @@ SPEECH_EQ = (
 MUSIC_EQ = (("high", 30.0, 0.0, 0.707), ("peak", 100.0, 1.0, 1.2), ("peak", 3000.0, -1.0, 2.0), ("peak", 8000.0, 2.0, 1.5))
 
 
-def apply(df: DataFrame, f: Callable[[np.ndarray], np.ndarray], samples: str = "samples", out: str = "samples") -> DataFrame:
-    """``df`` with the column ``out`` = f(samples); null signals stay null."""
-    rest = [c for c in df.columns if c != out]
-    fields = [x for x in df.schema.fields if x.name != out] + [StructField(out, ArrayType(DoubleType()))]
-    rows = df.select(*rest, df[samples].cast("array<double>").alias("_x"))
+def constant(ms: float, rate: int = RATE) -> float:
+    return math.exp(-1000.0 / (rate * ms))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = [None if v is None else f(np.array(v, float)).tolist() for v in b.column(len(rest)).to_pylist()]
-            column = pa.array(found, pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], column], names=[*rest, out])
 
-    return rows.mapInArrow(run, StructType(fields))
+class Section:
+    """A second-order recursive filter that goes on where the last samples ended.
 
+    Blocks of samples are a matrix product each; only the two numbers of state go from block to block.
+    """
 
-def envelope(x: np.ndarray, attack: float, release: float, start: float = 0.0) -> np.ndarray:
+    BLOCK = 64
+
+    def __init__(self, b: list[float], a: list[float], hold: bool = False) -> None:
+        m, self.hold = self.BLOCK, hold
+        step = np.array([[-a[1], 1.0], [-a[2], 0.0]])
+        into = np.array([b[1] - a[1] * b[0], b[2] - a[2] * b[0]])
+        powers = [np.eye(2)]
+        for _ in range(m):
+            powers.append(powers[-1] @ step)
+        answer = np.array([b[0], *[(powers[i] @ into)[0] for i in range(m - 1)]])
+        lag = np.arange(m)[:, None] - np.arange(m)[None, :]
+        self.direct = np.where(lag >= 0, answer[np.maximum(lag, 0)], 0.0).T
+        self.seen = np.array([p[0] for p in powers[:m]]).T
+        self.gather = np.array([powers[m - 1 - i] @ into for i in range(m)])
+        self.whole, self.step, self.into, self.first = powers[m], step, into, b[0]
+        self.state = np.zeros(2)
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        n = len(x) // self.BLOCK
+        out = np.empty(len(x))
+        blocks = x[: n * self.BLOCK].reshape(n, self.BLOCK)
+        came, states = blocks @ self.gather, np.empty((n, 2))
+        (p, q), (r, s) = self.whole.tolist()
+        u, v = self.state.tolist()
+        for k, (c, d) in enumerate(came.tolist()):
+            states[k] = u, v
+            u, v = p * u + q * v + c, r * u + s * v + d
+        out[: n * self.BLOCK] = (blocks @ self.direct + states @ self.seen).ravel()
+        (p, q), (r, s) = self.step.tolist()
+        c, d = self.into.tolist()
+        for i, w in enumerate(x[n * self.BLOCK :].tolist(), n * self.BLOCK):
+            out[i] = self.first * w + u
+            u, v = p * u + q * v + c * w, r * u + s * v + d * w
+        self.state = np.array([u, v])
+        return np.clip(out, -1.0, 1.0) if self.hold else out
+
+
+class Envelope:
     """One-pole follower with its own coefficient for rising and for falling input."""
-    out, p = np.empty(len(x)), start
-    for i, v in enumerate(x.tolist()):
-        c = attack if v > p else release
-        p = c * p + (1.0 - c) * v
-        out[i] = p
-    return out
 
+    def __init__(self, attack: float, release: float, start: float = 0.0) -> None:
+        self.attack, self.release, self.level = attack, release, start
 
-def constant(ms: float, rate: int = RATE) -> float:
-    return math.exp(-1000.0 / (rate * ms))
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        out, p, attack, release = [], self.level, self.attack, self.release
+        for v in x.tolist():
+            c = attack if v > p else release
+            p = c * p + (1.0 - c) * v
+            out.append(p)
+        self.level = p
+        return np.array(out)
 
 
-def noise_gate(
-    x: np.ndarray, rate: int = RATE, threshold_db: float = -65.0, attack_ms: float = 1, release_ms: float = 150, hold_ms: float = 50
-) -> np.ndarray:
+class Gate:
     """Gain opens where the envelope passes the threshold and for ``hold_ms`` after, smoothed from 1."""
-    attack, release = constant(attack_ms, rate), constant(release_ms, rate)
-    loud = envelope(np.abs(x), attack, release) > 10 ** (threshold_db / 20)
-    place = np.where(loud, np.arange(len(x)), -(1 << 60))
-    since = np.arange(len(x)) - np.maximum.accumulate(place) if len(x) else place
-    held = (since <= int(rate * hold_ms / 1000)).astype(float)
-    return x * envelope(held, attack, release, 1.0)
-
-
-def compress(x: np.ndarray, mode: str = "speech", rate: int = RATE) -> np.ndarray:
-    """Downward compression; the gain is smoothed from 0, so the start fades in. Peaks end at 0.99 at most."""
-    threshold_db, ratio, makeup_db, attack_ms, release_ms = COMPRESSOR[mode]
-    threshold = 10 ** (threshold_db / 20)
-    level = envelope(np.abs(x), constant(attack_ms, rate), constant(release_ms, rate))
-    gain = np.where(level > threshold, (threshold + (level - threshold) / ratio) / (level + 1e-12), 1.0)
-    smooth = constant(release_ms, rate)
-    gain = np.clip(envelope(gain, smooth, smooth), 0.0, 1.0)
-    return limit_peak(x * gain * 10 ** (makeup_db / 20))
 
-
-def limit_peak(x: np.ndarray, ceiling: float = 0.99) -> np.ndarray:
-    top = np.abs(x).max(initial=0.0)
-    return x * (ceiling / top) if top > ceiling else x
-
-
-def biquad(x: np.ndarray, kind: str, frequency: float, gain_db: float, q: float, rate: int = RATE) -> np.ndarray:
+    def __init__(
+        self, rate: int = RATE, threshold_db: float = -65.0, attack_ms: float = 1, release_ms: float = 150, hold_ms: float = 50
+    ) -> None:
+        attack, release = constant(attack_ms, rate), constant(release_ms, rate)
+        self.level, self.gain = Envelope(attack, release), Envelope(attack, release, 1.0)
+        self.threshold, self.hold = 10 ** (threshold_db / 20), int(rate * hold_ms / 1000)
+        self.since = 1 << 60  # samples since it was open
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        if not len(x):
+            return x
+        place = np.arange(len(x))
+        last = np.maximum.accumulate(np.where(self.level(np.abs(x)) > self.threshold, place, -1))
+        since = np.where(last >= 0, place - last, place + 1 + self.since)
+        self.since = int(min(since[-1], 1 << 60))
+        return x * self.gain((since <= self.hold).astype(float))
+
+
+class Compressor:
+    """Downward compression; the gain is smoothed from 0, so the start fades in. Peaks are not limited here."""
+
+    def __init__(self, mode: str = "speech", rate: int = RATE) -> None:
+        threshold_db, self.ratio, makeup_db, attack_ms, release_ms = COMPRESSOR[mode]
+        self.threshold, self.makeup = 10 ** (threshold_db / 20), 10 ** (makeup_db / 20)
+        self.level = Envelope(constant(attack_ms, rate), constant(release_ms, rate))
+        c = constant(release_ms, rate)
+        self.smooth = Section([1.0 - c, 0.0, 0.0], [1.0, -c, 0.0])
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        level = self.level(np.abs(x))
+        gain = np.where(level > self.threshold, (self.threshold + (level - self.threshold) / self.ratio) / (level + 1e-12), 1.0)
+        return x * np.clip(self.smooth(gain), 0.0, 1.0) * self.makeup
+
+
+def biquad(kind: str, frequency: float, gain_db: float, q: float, rate: int = RATE) -> Section:
     """A second-order section: high or low pass, or a peak; output held within -1 and 1."""
     w = 2 * math.pi * frequency / rate
     alpha, cos = math.sin(w) / (2 * q), math.cos(w)
@@ -96,95 +135,107 @@ def biquad(x: np.ndarray, kind: str, frequency: float, gain_db: float, q: float,
         s = 1 + cos if kind == "high" else 1 - cos
         b = (s / 2, -s if kind == "high" else s, s / 2)
         d = (1 + alpha, -2 * cos, 1 - alpha)
-    return np.clip(_section(x, [v / d[0] for v in b], [v / d[0] for v in d]), -1.0, 1.0)
-
+    return Section([v / d[0] for v in b], [v / d[0] for v in d], True)
 
-def _section(x: np.ndarray, b: list[float], a: list[float]) -> np.ndarray:
-    out, s1, s2 = np.empty(len(x)), 0.0, 0.0
-    for i, v in enumerate(x.tolist()):
-        y = b[0] * v + s1
-        s1 = b[1] * v - a[1] * y + s2
-        s2 = b[2] * v - a[2] * y
-        out[i] = y
-    return out
 
+def equaliser(bands: tuple = SPEECH_EQ, rate: int = RATE) -> list[Section]:
+    """The sections of the bands that lie below half the rate."""
+    return [biquad(kind, f, gain_db, q, rate) for kind, f, gain_db, q in bands if f < rate / 2]
 
-def equalise(x: np.ndarray, bands: tuple = SPEECH_EQ, rate: int = RATE) -> np.ndarray:
-    for kind, frequency, gain_db, q in bands:
-        if frequency < rate / 2:
-            x = biquad(x, kind, frequency, gain_db, q, rate)
-    return x
 
-
-def loudness(x: np.ndarray, rate: int = RATE) -> float:
-    """Integrated loudness in LUFS: K-weighting, 400 ms blocks with 75 % overlap, absolute and relative gates.
-
-    Silence gives -99; signals shorter than a block give their RMS in dB.
-    """
-    block = int(0.4 * rate)
-    if len(x) < block:
-        return float(20 * np.log10(np.sqrt(np.mean(x * x)) + 1e-8)) if len(x) else -99.0
+def k_weighting(rate: int = RATE) -> list[Section]:
+    """The two sections of the loudness measure."""
     shelf_w = 2 * math.pi * 1500.0 / rate
     amp, alpha, cos = 10 ** (4.0 / 40), math.sin(shelf_w) / (2 / math.sqrt(2)), math.cos(shelf_w)
     root = 2 * math.sqrt(amp) * alpha
     b = [amp * ((amp + 1) + (amp - 1) * cos + root), -2 * amp * ((amp - 1) + (amp + 1) * cos), amp * ((amp + 1) + (amp - 1) * cos - root)]
     a = [(amp + 1) - (amp - 1) * cos + root, 2 * ((amp - 1) - (amp + 1) * cos), (amp + 1) - (amp - 1) * cos - root]
-    y = _section(x, [v / a[0] for v in b], [v / a[0] for v in a])
     w = 2 * math.pi * 38.0 / rate
     alpha, cos = math.sin(w) / (2 * 0.5), math.cos(w)
     d = [1 + alpha, -2 * cos, 1 - alpha]
-    y = _section(y, [(1 + cos) / 2 / d[0], -(1 + cos) / d[0], (1 + cos) / 2 / d[0]], [v / d[0] for v in d])
-    sums = np.concatenate([[0.0], np.cumsum(y * y)])
-    starts = np.arange(0, len(y) - block + 1, max(1, block // 4))
-    power = (sums[starts + block] - sums[starts]) / block
-    level = -0.691 + 10 * np.log10(np.maximum(power, 1e-30))
-    kept = level >= -70.0
-    if not kept.any():
-        return -99.0
-    gate = -0.691 + 10 * np.log10(power[kept].mean()) - 10.0
-    kept &= level > gate
-    return float(-0.691 + 10 * np.log10(power[kept].mean())) if kept.any() else -99.0
-
-
-def normalise_loudness(x: np.ndarray, target: float = -16.0, rate: int = RATE) -> np.ndarray:
-    """To the target loudness; short, silent or odd signals to a peak of -1 dB; within half a unit unchanged."""
+    return [
+        Section([v / a[0] for v in b], [v / a[0] for v in a]),
+        Section([(1 + cos) / 2 / d[0], -(1 + cos) / d[0], (1 + cos) / 2 / d[0]], [v / d[0] for v in d]),
+    ]
+
+
+class Resampler:
+    """Windowed-sinc resampling that holds the samples its next outputs reach back to; the same rate changes nothing."""
+
+    def __init__(self, rate: int, target: int, width: int = 6, rolloff: float = 0.99) -> None:
+        g = math.gcd(rate, target)
+        self.up, self.down, self.width = target // g, rate // g, width
+        self.cut = min(1.0, self.up / self.down) * rolloff
+        self.half = width / self.cut
+        self.taps = int(2 * self.half) + 2
+        self.kept, self.begin, self.seen, self.next = np.empty(0), 0, 0, 0
+
+    def _first(self, j: np.ndarray) -> np.ndarray:
+        return np.floor(j * self.down / self.up - self.half).astype(np.int64)
+
+    def _outputs(self, stop: int) -> np.ndarray:
+        j = np.arange(self.next, stop)
+        centre, first, out = j * self.down / self.up, self._first(j), np.zeros(len(j))
+        for k in range(self.taps):
+            at = first + k
+            t = (at - centre) * self.cut
+            weight = np.where(np.abs(t) < self.width, np.sinc(t) * np.cos(np.pi * t / self.width / 2) ** 2 * self.cut, 0.0)
+            inside = (at >= 0) & (at < self.seen)
+            out += np.where(inside, weight * self.kept[np.clip(at - self.begin, 0, max(len(self.kept) - 1, 0))], 0.0) if len(self.kept) else 0.0
+        self.next = max(stop, self.next)
+        least = max(0, int(self._first(np.array([self.next]))[0]))
+        if least > self.begin:
+            self.kept, self.begin = self.kept[least - self.begin :], least
+        return out
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        if self.up == self.down:
+            return x
+        self.kept, self.seen = np.concatenate([self.kept, x]), self.seen + len(x)
+        # the outputs whose last tap has come: first + taps - 1 < seen
+        ready = int((self.seen - self.taps + self.half) * self.up / self.down)
+        ready = max(ready, self.next)
+        while ready > self.next and self._first(np.array([ready - 1]))[0] + self.taps > self.seen:
+            ready -= 1
+        return self._outputs(ready)
+
+    def flush(self) -> np.ndarray:
+        return np.empty(0) if self.up == self.down else self._outputs(-(-self.seen * self.up // self.down))
+
+
+def limit_peak(x: np.ndarray, ceiling: float = 0.99) -> np.ndarray:
     top = np.abs(x).max(initial=0.0)
-    level = loudness(x, rate) if len(x) >= rate // 2 else math.nan
-    if not math.isfinite(level) or not -70.0 <= level <= 0.0:
-        return x if top < 1e-8 else x * (10 ** (-1 / 20) / top)
-    return x if abs(level - target) <= 0.5 else limit_peak(x * 10 ** ((target - level) / 20))
+    return x * (ceiling / top) if top > ceiling else x
 
 
-def resample(x: np.ndarray, rate: int, target: int, width: int = 6, rolloff: float = 0.99) -> np.ndarray:
-    """Windowed-sinc resampling; the same rate changes nothing."""
+def resample(x: np.ndarray, rate: int, target: int) -> np.ndarray:
+    """A short signal at another rate."""
     if rate == target or not len(x):
         return x
-    g = math.gcd(rate, target)
-    up, down = target // g, rate // g
-    cut = min(1.0, up / down) * rolloff
-    half = width / cut
-    n = -(-len(x) * up // down)
-    centre = np.arange(n) * down / up
-    first = np.floor(centre - half).astype(int)
-    taps = int(2 * half) + 2
-    out = np.zeros(n)
-    for k in range(taps):
-        at = first + k
-        t = (at - centre) * cut
-        inside = np.abs(t) < width
-        weight = np.where(inside, np.sinc(t) * np.cos(np.pi * t / width / 2) ** 2 * cut, 0.0)
-        out += weight * x[np.clip(at, 0, len(x) - 1)] * ((at >= 0) & (at < len(x)))
-    return out
-
-
-def true_peak(x: np.ndarray, rate: int = RATE) -> float:
-    """Greatest absolute value after fourfold oversampling."""
-    return float(np.abs(resample(x, rate, 4 * rate)).max(initial=0.0))
-
-
-def limit_true_peak(x: np.ndarray, ceiling_db: float = -1.0, rate: int = RATE) -> np.ndarray:
-    top, ceiling = true_peak(x, rate), 10 ** (ceiling_db / 20)
-    return x * (ceiling / top) if top > ceiling else x
+    turned = Resampler(rate, target)
+    return np.concatenate([turned(x), turned.flush()])
+
+
+def speech_mask(begin: int, n: int, spans: list[tuple[int, int]], rate: int = RATE, fade_ms: float = 20) -> np.ndarray:
+    """The mask of the samples from ``begin``: 1 within the spans, 0 outside, with half-cosine fades inside each span's ends;
+    overlaps take the greater."""
+    mask, fade = np.zeros(n), int(rate * fade_ms / 1000)
+    for start, end in spans:
+        a, b = max(start, begin), min(end, begin + n)
+        if b <= a:
+            continue
+        rise = min(fade, end - start)
+        fall = end - max(end - fade, start + rise)
+        place, part = np.arange(a, b) - start, np.ones(b - a)
+        if rise > 0:
+            up = place < rise
+            part[up] = (1 - np.cos(np.linspace(0, 1, rise)[place[up]] * np.pi)) / 2
+        if fall > 0:
+            down = place >= end - start - fall
+            part[down] = (1 + np.cos(np.linspace(0, 1, fall)[place[down] - (end - start - fall)] * np.pi)) / 2
+        at = slice(a - begin, b - begin)
+        mask[at] = np.maximum(mask[at], part)
+    return mask
 
 
 def pitch_track(x: np.ndarray, rate: int, low: float = 50.0, high: float = 600.0, frame_ms: float = 30.0) -> np.ndarray:
@@ -209,21 +260,36 @@ def pitch_track(x: np.ndarray, rate: int, low: float = 50.0, high: float = 600.0
     return np.array(out)
 
 
-def splice(x: np.ndarray, new: np.ndarray, start: int, end: int, rate: int = RATE) -> np.ndarray:
-    """``new`` in place of x[start:end], padded or sped up to fit, with 20 ms linear cross-fades at both joins."""
-    room = end - start
-    if len(new) < room:
-        new = np.concatenate([new, np.zeros(room - len(new))])
-    elif len(new) > room:
-        new = resample(new, int(rate * len(new) / max(room, 1)), rate)[:room]
+class Splice:
+    """``new`` in place of the samples from start to end of a track of ``total``, padded or sped up to fit, with 20 ms linear
+    cross-fades at both joins."""
+
+    def __init__(self, new: np.ndarray, start: int, end: int, total: int, rate: int = RATE) -> None:
+        end = min(end, total)
+        start = min(start, end)
+        room = end - start
+        if len(new) > room:
+            new = resample(new, int(rate * len(new) / max(room, 1)), rate)[:room]
         new = np.concatenate([new, np.zeros(room - len(new))])
-    before, after = x[:start].copy(), x[end:].copy()
-    n = min(int(0.02 * rate), start, room)
-    if n > 0:
-        rise = np.linspace(0.0, 1.0, n)
-        before[-n:] = before[-n:] * rise[::-1] + new[:n] * rise
-        new = new[n:]
-        if len(after) >= n and len(new) >= n:
-            after[:n] = new[-n:] * rise[::-1] + after[:n] * rise
-            new = new[:-n]
-    return np.concatenate([before, new, after])
+        n = min(int(0.02 * rate), start, room)
+        rise = np.linspace(0.0, 1.0, n) if n > 0 else np.empty(0)
+        self.head, new, self.fade = new[:n] * rise, new[n:], n
+        tail = n if n > 0 and total - end >= n and len(new) >= n else 0
+        self.tail, self.middle = new[len(new) - tail :] * rise[::-1][:tail], new[: len(new) - tail]
+        self.down, self.up = rise[::-1], rise[:tail]
+        self.start, self.end, self.at, self.told = start, end, 0, False
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        begin, self.at = self.at, self.at + len(x)
+        place, x = begin + np.arange(len(x)), x.astype(float).copy()
+        before = (place >= self.start - self.fade) & (place < self.start)
+        k = place[before] - (self.start - self.fade)
+        x[before] = x[before] * self.down[k] + self.head[k]
+        after = (place >= self.end) & (place < self.end + len(self.tail))
+        k = place[after] - self.end
+        x[after] = x[after] * self.up[k] + self.tail[k]
+        parts = [x[place < self.start]]
+        if not self.told and self.at >= self.start:
+            parts.append(self.middle)
+            self.told = True
+        return np.concatenate([*parts, x[place >= self.end]])

@@ -1,84 +1,82 @@
-"""The enhancement chain for one mono signal per row, by content mode."""
+"""The enhancement chain over frames of mono tracks, by content mode."""
 
 from __future__ import annotations
 
-import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brindle.functions import dsp
 from brindle.functions import signal as sg
+from brindle.operators import frames as fr
+from brindle.staging import stage
 
-
-def speech_mask(x: np.ndarray, spans: list[tuple[int, int]], rate: int = dsp.RATE, fade_ms: float = 20) -> np.ndarray:
-    """1 within the spans, 0 outside, with half-cosine fades inside each span's ends; overlaps take the greater."""
-    mask = np.zeros(len(x))
-    fade = int(rate * fade_ms / 1000)
-    for start, end in spans:
-        rise = min(fade, end - start)
-        fall = end - max(end - fade, start + rise)
-        part = np.ones(end - start)
-        if rise > 0:
-            part[:rise] = (1 - np.cos(np.linspace(0, 1, rise) * np.pi)) / 2
-        if fall > 0:
-            part[-fall:] = (1 + np.cos(np.linspace(0, 1, fall) * np.pi)) / 2
-        mask[start:end] = np.maximum(mask[start:end], part)
-    return mask
-
-
-def energy_spans(x: np.ndarray, rate: int = dsp.RATE, frame_ms: float = 30, threshold_db: float = -45.0) -> list[tuple[int, int]]:
-    """Spans whose frames are louder than the threshold: a stand-in for a trained speech detector."""
-    size = max(1, int(rate * frame_ms / 1000))
-    n = len(x) // size
-    loud = 20 * np.log10(np.sqrt((x[: n * size].reshape(n, size) ** 2).mean(axis=1)) + 1e-8) > threshold_db if n else np.zeros(0, bool)
-    edges = np.flatnonzero(np.diff(np.concatenate([[0], loud.astype(int), [0]])))
-    return [(int(a) * size, min(int(b) * size, len(x))) for a, b in zip(edges[::2], edges[1::2])]
-
-
-def enhance_signal(x: np.ndarray, mode: str, rate: int = dsp.RATE, detect=energy_spans) -> np.ndarray:
-    """music: loudness and limit only. speech and podcast: suppress what isn't speech, EQ, gate, (speech) strip the ends,
-    compress, loudness, limit. Separation and denoising are models, not part of this."""
-    if mode == "music":
-        return dsp.limit_true_peak(dsp.normalise_loudness(x, -14.0, rate), rate=rate)
-    spans = detect(x, rate)
-    if spans:
-        x = x * (0.08 + 0.92 * speech_mask(x, spans, rate))
-    x = dsp.noise_gate(dsp.equalise(x, rate=rate), rate)
-    if mode == "speech" and spans:
-        x = strip_ends(x, spans[0][0], spans[-1][1], max(1, int(rate * 0.025)))
-    x = dsp.compress(x, mode, rate)
-    return dsp.limit_true_peak(dsp.normalise_loudness(x, -16.0, rate), rate=rate)
-
-
-def strip_ends(x: np.ndarray, start: int, end: int, fade: int) -> np.ndarray:
-    cut = x[start:end].copy()
-    if len(cut) > 2 * fade:
-        ramp = (1 - np.cos(np.linspace(0, 1, fade) * np.pi)) / 2
-        cut[:fade] *= ramp
-        cut[-fade:] *= ramp[::-1]
-    return cut
+#: Loudness of music and of speech, how far a podcast's music is turned down, and the stems' least power that counts.
+MUSIC_LUFS, SPEECH_LUFS, BED_DB, BED_RMS = -14.0, -16.0, -12.0, 1e-4
 
 
 def to_mono(channels: DataFrame, key: str, samples: str = "samples") -> DataFrame:
     """(key, samples): the mean over channels by position, of rows (key, channel, samples)."""
-    rows = channels.select(key, F.posexplode(samples).alias("pos", "x"))
-    mean = rows.groupBy(key, "pos").agg(F.avg(F.col("x").cast("double")).alias("x"))
-    joined = mean.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "x"))).alias("m"))
-    return joined.select(key, F.transform("m", lambda s: s["x"]).alias("samples"))
+    return fr.from_frames(fr.mixed(fr.to_frames(channels, [key], samples), [key], mean=True), [key])
 
 
-def enhance(tracks: DataFrame, mode: Column, rate: int = dsp.RATE, samples: str = "samples") -> DataFrame:
-    """``tracks`` with the signal enhanced by ``mode``, and snr_db, clipped and quality of the result.
+def music_bed(stems: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, frame, samples): the drums, bass and other stems of (keys, stem, frame, samples), turned down and summed.
 
-    Rows are split by mode, so each filter only runs over its own; loudness comes from the filter pass.
+    Only tracks whose drums or bass have an RMS above ``BED_RMS`` have a bed.
+    """
+    square = F.aggregate(F.transform("samples", lambda v: v * v), F.lit(0.0), lambda a, v: a + v)
+    power = stems.groupBy(*keys, "stem").agg(F.sum(square).alias("s"), F.sum(F.size("samples")).alias("n"))
+    loud = power.filter(F.col("stem").isin("drums", "bass") & (F.sqrt(F.col("s") / F.col("n")) > BED_RMS))
+    parts = stems.filter(F.col("stem").isin("drums", "bass", "other")).join(loud.select(*keys).distinct(), keys, "left_semi")
+    return fr.mixed(parts.withColumn("gain", F.lit(10 ** (BED_DB / 20))), keys)
+
+
+def with_bed(voice: DataFrame, bed: DataFrame, keys: list[str]) -> DataFrame:
+    """Frames of voice and bed summed over their common length; tracks without a bed stay as they are."""
+    has = bed.select(*keys).distinct().withColumn("_has", F.lit(True))
+    under = bed.select(*keys, "frame", F.col("samples").alias("_bed"))
+    rows = voice.join(has, keys, "left").join(under, [*keys, "frame"], "left")
+    n = F.least(F.size("samples"), F.coalesce(F.size("_bed"), F.lit(0)))
+    summed = F.zip_with(F.slice("samples", 1, n), F.slice("_bed", 1, n), lambda a, b: a + b)
+    x = F.when(F.col("_has").isNull(), F.col("samples")).otherwise(F.coalesce(summed, F.slice("samples", 1, 0)))
+    return rows.select(*[x.alias("samples") if c == "samples" else F.col(c) for c in voice.columns])
+
+
+def enhance(
+    raw: DataFrame, keys: list[str], rate: int = dsp.RATE, spans: DataFrame | None = None, stems: DataFrame | None = None, size: int = fr.FRAME
+) -> tuple[DataFrame, DataFrame]:
+    """(frames, report) of frames (keys, frame, samples, mode), where mode is the same in all frames of a track.
+
+    music: loudness and limit only. speech and podcast: suppress what isn't speech, EQ, gate; speech is stripped of its ends,
+    a podcast gets its music bed back; then compress, loudness, limit. The report is (keys, mode, snr_db, clipped, lufs,
+    quality): SNR is measured before compression, for music before anything. ``spans`` (keys, start, end) come from a speech
+    detector, else from the energy; ``stems`` (keys, stem, frame, samples) from a separator. Separation and denoising are
+    models, not part of this.
     """
-    marked = tracks.withColumn("mode", mode).withColumn("raw", sg.doubles(F.col(samples)))
-    parts = [
-        dsp.apply(marked.filter(F.col("mode") == m), lambda x, m=m: enhance_signal(x, m, rate), samples)
-        for m in ("music", "speech", "podcast")
-    ]
-    out = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    out = dsp.apply(out, lambda x: np.array([dsp.loudness(x, rate)]), samples, "loudness")
-    snr, clips = sg.snr_db(F.col("raw"), F.col(samples)), sg.clipped(F.col("raw"))
-    out = out.withColumn("snr_db", F.round(snr, 2)).withColumn("clipped", clips).withColumn("lufs", F.get("loudness", F.lit(0)))
-    return out.withColumn("quality", sg.quality(F.col("snr_db"), F.col("clipped"), F.col("lufs"))).drop("raw", "loudness")
+    modes = raw.groupBy(*keys).agg(F.first("mode").alias("mode"))
+    music, voice = raw.filter("mode = 'music'"), raw.filter("mode <> 'music'")
+    spans = fr.energy_spans(voice, keys, rate) if spans is None else spans
+    spans = stage(spans.select(*keys, "start", "end"), "spans")
+    quiet = fr.masked(voice.select(*keys, "frame", "samples", "mode"), keys, spans, rate=rate, size=size)
+    ends = spans.groupBy(*keys).agg(F.min("start").alias("first"), F.max("end").alias("last"))
+    held = quiet.join(ends, keys, "left").withColumns({c: F.when(F.col("mode") == "speech", F.col(c)) for c in ("first", "last")})
+    fade = max(1, int(rate * 0.025))
+    cleaned = fr.carried(
+        held, keys, lambda p: [*dsp.equaliser(rate=rate), dsp.Gate(rate), fr.strip(p["first"], p["last"], fade)], ["first", "last"], size
+    )
+    if stems is not None:
+        podcasts = stems.join(modes.filter("mode = 'podcast'").select(*keys), keys, "left_semi")
+        cleaned = with_bed(cleaned, music_bed(podcasts, keys), keys)
+    cleaned = stage(cleaned, "cleaned")
+    plain = music.select(*keys, "frame", "samples")
+    snr = fr.snr(raw, cleaned.unionByName(plain), keys)
+    pressed = fr.carried(cleaned.join(modes, keys), keys, lambda p: [dsp.Compressor(p["mode"], rate)], ["mode"], size)
+    pressed = fr.limited(stage(pressed, "pressed"), keys)
+    target = F.when(F.col("mode") == "music", MUSIC_LUFS).otherwise(SPEECH_LUFS)
+    both = pressed.unionByName(plain).join(modes, keys)
+    levelled = fr.normalised(both, keys, target, rate).select(*keys, "frame", "samples")
+    done = stage(fr.limited_true_peak(stage(levelled, "levelled"), keys, rate=rate), "enhanced")
+    told = modes.join(snr, keys, "left").join(fr.clipped(raw, keys), keys).join(fr.loudness(done, keys, rate).drop("n"), keys)
+    nothing = F.log10(F.lit(1e-10) / F.lit(1e-10)) * 10  # no common prefix: no signal over no difference
+    told = told.withColumn("snr_db", F.round(F.coalesce("snr_db", nothing), 2))
+    return done, told.withColumn("quality", sg.quality(F.col("snr_db"), F.col("clipped"), F.col("lufs")))

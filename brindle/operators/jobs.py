@@ -19,26 +19,45 @@ PERMANENT_ERRORS = ("ValueError", "TypeError", "AttributeError", "HTTPStatusErro
 PERMANENT_STATUS = (400, 401, 403, 404, 422)
 
 
-def submit(jobs: DataFrame, requests: DataFrame) -> DataFrame:
-    """Jobs after requests (id, recording_id, job_type, max_tags): active ones stay, finished ones start anew.
+def submit(
+    jobs: DataFrame, requests: DataFrame, now: Column | None = None, callback_url: str | None = None, changed: bool = False
+) -> DataFrame:
+    """Jobs after requests (id, recording_id, job_type, max_tags); with ``changed`` only the rows that differ.
 
-    Of several requests for one id the first by recording_id counts.
+    Active jobs stay. Finished ones start anew, with their own recording, address and creation time: their attempts, times,
+    result and error are reset and the request's type and ``max_tags`` taken, 0 as it is (``tags_limit`` reads it). Unknown
+    ids are new jobs with ``callback_url``, made ``now``. All columns of ``jobs`` are kept; a missing ``max_tags`` is 8. Of
+    several requests for one id the first by recording_id counts: the others find it active.
     """
     wanted = requests.groupBy("id").agg(F.min(F.struct("recording_id", "job_type", "max_tags")).alias("r"))
-    wanted = wanted.select(F.col("id").alias("rid"), "r.*")
-    wanted = wanted.toDF("rid", "r_recording", "r_type", "r_tags")
+    wanted = wanted.select(F.col("id").alias("rid"), F.col("r.recording_id").alias("r_recording"), F.col("r.job_type").alias("r_type"), F.col("r.max_tags").alias("r_tags"))
     joined = jobs.join(wanted, jobs["id"] == wanted["rid"], "full_outer")
-    again = F.col("rid").isNotNull() & (F.col("id").isNull() | F.col("status").isin(*TERMINAL))
-    tags = F.when(F.coalesce("r_tags", F.lit(0)) == 0, F.lit(8)).otherwise(F.col("r_tags"))
-    return joined.select(
-        F.coalesce("id", "rid").alias("id"),
-        F.when(again, F.col("r_recording")).otherwise(F.col("recording_id")).alias("recording_id"),
-        F.when(again, F.col("r_type")).otherwise(F.col("job_type")).alias("job_type"),
-        F.when(again, "pending").otherwise(F.col("status")).alias("status"),
-        F.when(again, F.lit(0)).otherwise(F.col("attempts")).alias("attempts"),
-        F.when(again, tags).otherwise(F.col("max_tags")).alias("max_tags"),
-        F.when(again, F.lit(False)).otherwise(F.col("callback_delivered")).alias("callback_delivered"),
-    )
+    new = F.col("id").isNull()
+    again = F.col("rid").isNotNull() & ~F.coalesce(F.col("status").isin(*ACTIVE), F.lit(False))
+    nothing = F.lit(None)
+    reset = {
+        "status": F.lit("pending"), "attempts": F.lit(0), "started_at": nothing, "completed_at": nothing, "error": nothing,
+        "result_json": nothing, "callback_delivered": F.lit(False), "job_type": F.col("r_type"),
+        "max_tags": F.coalesce("r_tags", F.lit(8)),
+    }
+    made = reset | {
+        "id": F.col("rid"), "recording_id": F.col("r_recording"), "callback_url": F.lit(callback_url),
+        "created_at": F.current_timestamp() if now is None else now, "skip_enhancement": F.lit(False),
+        "skip_transcription": F.lit(False),
+    }
+
+    def value(c: str) -> Column:
+        kind = jobs.schema[c].dataType
+        first = made.get(c, nothing).cast(kind)
+        return F.when(new, first).when(again, reset[c].cast(kind) if c in reset else F.col(c)).otherwise(F.col(c)).alias(c)
+
+    rows = joined.filter(new | again) if changed else joined
+    return rows.select(*[value(c) for c in jobs.columns])
+
+
+def tags_limit(max_tags: Column) -> Column:
+    """How many tags a job takes: 8 where nothing or 0 was asked for."""
+    return F.when(F.coalesce(max_tags, F.lit(0)) == 0, F.lit(8)).otherwise(max_tags)
 
 
 def recover(jobs: DataFrame) -> DataFrame:
@@ -74,15 +93,14 @@ def callback_outcome(http_status: Column) -> Column:
     )
 
 
-def callback_delays(attempts: int = CALLBACK_ATTEMPTS) -> Column:
-    """Seconds before each next attempt: min(2 * 2^k, 300)."""
-    steps = F.sequence(F.lit(0), F.lit(attempts - 1))
-    return F.transform(steps, lambda k: F.least(F.lit(2.0) * F.pow(F.lit(2.0), k), F.lit(300.0)))
+def callback_delay(attempts: Column) -> Column:
+    """Seconds before the next try of a callback that was tried ``attempts`` times: min(2 * 2^(attempts - 1), 300)."""
+    return F.least(F.pow(F.lit(2.0), F.greatest(attempts, F.lit(1))), F.lit(300.0))
 
 
-def fetch_delays(attempts: int = FETCH_ATTEMPTS) -> Column:
-    """Seconds between tries of a fetch: 3 * 2^k."""
-    return F.transform(F.sequence(F.lit(0), F.lit(attempts - 2)), lambda k: F.lit(3.0) * F.pow(F.lit(2.0), k))
+def fetch_delay(attempts: Column) -> Column:
+    """Seconds before the next try of a fetch that was tried ``attempts`` times: 3 * 2^(attempts - 1); null after the last."""
+    return F.when(attempts < FETCH_ATTEMPTS, F.pow(F.lit(2.0), F.greatest(attempts, F.lit(1)) - 1) * 3)
 
 
 def cancel(jobs: DataFrame, ids: DataFrame) -> DataFrame:

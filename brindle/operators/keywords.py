@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,24 +12,114 @@ from brindle.functions.text import let, tag_tokens, tokens, word_bounded
 from brindle.sources.vocabulary import Rule
 
 
-def rule_hits(text: Column, rules: list[Rule]) -> Column:
-    """array<struct<label, n, score>> of the tags whose rules match: score = min(1, 0.15 n + 0.4).
-
-    Of several rules of one tag the last that matches counts.
-    """
+#: Characters of a word, as at a rule's boundaries.
+WORD = r"[\p{L}\p{N}_]+"
+_PLAIN = re.compile(r"[^\\\[\](){}*+?^$.|]+")
+_TOKEN = re.compile(r"\w+")
+
+
+@dataclass(frozen=True)
+class _Plan:
+    """How a rule is matched: ``words`` alone say how often if ``simple``; else one of ``words`` as a word or of ``parts``
+    within the text must be there before the rule's expression is run, unless it must ``always`` be."""
+
+    pattern: str
+    simple: bool
+    words: tuple[str, ...]
+    parts: tuple[str, ...]
+    always: bool
+
+
+def plan_of(rule: Rule) -> _Plan:
+    """What every match of a rule's alternatives holds: an alternative without operators its longest word, one with dots as
+    its only operators its longest piece; for others nothing is known."""
+    words, parts, simple, always = [], [], True, False
+    for alternative in rule.pattern.lower().split("|"):
+        alternative = alternative.strip()
+        if alternative and _PLAIN.fullmatch(alternative):
+            tokens = _TOKEN.findall(alternative)
+            simple &= tokens == [alternative]
+            always |= not tokens
+            words += [max(tokens, key=len)] if tokens else []
+        else:
+            simple = False
+            pieces = alternative.split(".")
+            fine = all(not p or _PLAIN.fullmatch(p) for p in pieces) and any(pieces)
+            always |= not fine
+            parts += [max(pieces, key=len)] if fine else []
+    return _Plan(word_bounded(rule.pattern), simple, tuple(dict.fromkeys(words)), tuple(dict.fromkeys(parts)), always)
+
+
+def _read_once(text: Column, plans: list[_Plan]) -> Column:
+    """struct<low, words> of a text: lower-cased, and those of its words that some rule looks for, in one pass."""
     low = F.lower(F.coalesce(text, F.lit("")))
-    by_tag: dict[str, list[Column]] = {}
-    for r in rules:
-        by_tag.setdefault(r.tag, []).append(F.regexp_count(low, F.lit(word_bounded(r.pattern))))
+    wanted = list(dict.fromkeys(w for p in plans for w in p.words))
+    if not wanted:
+        return F.struct(low.alias("low"), F.array().cast("array<string>").alias("words"))
+
+    def words(t: Column) -> Column:
+        kept = F.filter(F.regexp_extract_all(t, F.lit(WORD), F.lit(0)), lambda w: w.isin(wanted))
+        return F.struct(t.alias("low"), kept.alias("words"))
+
+    return let(low, words)
+
+
+def _may_match(plan: _Plan, own: Column) -> Column:
+    if plan.always:
+        return F.lit(True)
+    found = F.exists(own["words"], lambda w: w.isin(list(plan.words))) if plan.words else F.lit(False)
+    for part in plan.parts:
+        found = found | F.contains(own["low"], F.lit(part))
+    return found
+
+
+def _count(plan: _Plan, own: Column) -> Column:
+    """How often a rule matches: words are counted, and only where its parts are there an expression is run."""
+    if plan.simple:
+        return F.size(F.filter(own["words"], lambda w: w.isin(list(plan.words))))
+    return F.when(_may_match(plan, own), F.regexp_count(own["low"], F.lit(plan.pattern))).otherwise(0)
+
+
+def _matches(plan: _Plan, own: Column) -> Column:
+    if plan.simple:
+        return F.exists(own["words"], lambda w: w.isin(list(plan.words)))
+    return _may_match(plan, own) & own["low"].rlike(plan.pattern)
 
-    def measured(tag: str, counts: list[Column]) -> Column:
+
+def _raw_score(n: Column) -> Column:
+    return F.least(F.lit(1.0), n * 0.15 + 0.4)
+
+
+def _tag_counts(own: Column, by_tag: dict[str, list[_Plan]]) -> Column:
+    """array<struct<label, n>>: each tag's matches, of several rules those of the last that matches; 0 for none."""
+
+    def measured(tag: str, plans: list[_Plan]) -> Column:
+        counts = [_count(p, own) for p in plans]
         n = counts[0] if len(counts) == 1 else F.coalesce(*[F.nullif(c, F.lit(0)) for c in reversed(counts)], F.lit(0))
         return F.struct(F.lit(tag).alias("label"), n.cast("long").alias("n"))
 
+    return F.array(*[measured(t, p) for t, p in by_tag.items()])
+
+
+def _by_tag(rules: list[Rule]) -> dict[str, list[_Plan]]:
+    out: dict[str, list[_Plan]] = {}
+    for r in rules:
+        out.setdefault(r.tag, []).append(plan_of(r))
+    return out
+
+
+def rule_hits(text: Column, rules: list[Rule]) -> Column:
+    """array<struct<label, n, score>> of the tags whose rules match: score = min(1, 0.15 n + 0.4).
+
+    Of several rules of one tag the last that matches counts. A text is read once for its words: rules of plain words are
+    counts of these, and the expression of any other rule runs only over texts that hold what its matches must.
+    """
     if not rules:
         return F.array().cast("array<struct<label: string, n: bigint, score: double>>")
-    hit = F.filter(F.array(*[measured(t, c) for t, c in by_tag.items()]), lambda r: r["n"] > 0)
-    score = lambda n: F.round(F.least(F.lit(1.0), n * 0.15 + 0.4), 4)
+    by_tag = _by_tag(rules)
+    own = _read_once(text, [p for plans in by_tag.values() for p in plans])
+    hit = F.filter(let(own, lambda x: _tag_counts(x, by_tag)), lambda r: r["n"] > 0)
+    score = lambda n: F.round(_raw_score(n), 4)
     return F.transform(hit, lambda r: F.struct(r["label"].alias("label"), r["n"].alias("n"), score(r["n"]).alias("score")))
 
 
@@ -39,27 +132,28 @@ def keyword_scores(docs: DataFrame, rules: list[Rule], key: str = "doc_id", text
 def segment_scores(
     docs: DataFrame, rules: list[Rule], key: str = "doc_id", text: str = "text", segments: str = "segments"
 ) -> DataFrame:
-    """(key, tag, score) from a text and its array of segment texts.
+    """(key, tag, score) from a text and its array of segment texts, one row for each tag that is hit in either.
 
-    Tags hit in a segment get 0.6 of the text's score and 0.4 of the share of segments with a hit; others keep the
-    text's score. Both parts come from one pass over each row, without a join.
+    A tag has the text's score by ``rule_hits``, 0 where no rule matches. One that is hit in a segment gets 0.6 of that and
+    0.4 of its density: the hits of all its rules, one for each rule and segment, over the number of segments.
     """
+    by_tag = _by_tag(rules)
+    plans = [p for found in by_tag.values() for p in found]
+    if not rules:
+        return docs.select(key, F.lit("").alias("tag"), F.lit(0.0).alias("score")).filter(F.lit(False))
     parts = F.coalesce(F.col(segments), F.array().cast("array<string>"))
-    n = F.greatest(F.size(parts), F.lit(1))
-    low = F.lower(F.coalesce(F.col(text), F.lit("")))
-
-    def measured(rule: Rule) -> Column:
-        pattern = word_bounded(rule.pattern)
-        hits = F.size(F.filter(parts, lambda s: F.lower(s).rlike(pattern)))
-        return F.struct(
-            F.lit(rule.tag).alias("tag"), F.regexp_count(low, F.lit(pattern)).alias("n"), hits.alias("hits")
-        )
-
-    per_rule = F.array(*[measured(r) for r in rules])
-    rows = docs.select(key, n.alias("segments"), F.explode(per_rule).alias("r")).filter("r.n > 0 OR r.hits > 0")
-    whole = F.when(F.col("r.n") > 0, F.least(F.lit(1.0), F.col("r.n") * 0.15 + 0.4)).otherwise(F.lit(0.0))
-    blended = F.round(whole * 0.6 + F.col("r.hits") / F.col("segments") * 0.4, 4)
-    return rows.select(key, "r.tag", F.when(F.col("r.hits") > 0, blended).otherwise(F.round(whole, 4)).alias("score"))
+    rows = docs.select(
+        key, F.greatest(F.size(parts), F.lit(1)).alias("segments"), _read_once(F.col(text), plans).alias("own"),
+        F.transform(parts, lambda s: _read_once(s, plans)).alias("parts"),
+    )
+    counts = _tag_counts(F.col("own"), by_tag)
+    hits_of = lambda plan: F.size(F.filter("parts", lambda s: _matches(plan, s)))
+    in_parts = [sum((hits_of(p) for p in found), F.lit(0)) for found in by_tag.values()]
+    both = F.zip_with(counts, F.array(*in_parts), lambda c, h: F.struct(c["label"].alias("tag"), c["n"].alias("n"), h.alias("hits")))
+    hit = rows.select(key, "segments", F.inline(both)).filter("n > 0 OR hits > 0")
+    whole = F.when(F.col("n") > 0, _raw_score(F.col("n"))).otherwise(F.lit(0.0))
+    blended = whole * 0.6 + F.col("hits") / F.col("segments") * 0.4
+    return hit.select(key, "tag", F.round(F.when(F.col("hits") > 0, blended).otherwise(whole), 4).alias("score"))
 
 
 def _has(hits: Column, label: Column) -> Column:

@@ -1,9 +1,9 @@
 """Lexicon phrases that stand anywhere in a text, upper and lower case alike.
 
 Few phrases are searched one by one inside the query's own code; more by an automaton that every Python worker builds
-once and that reads each text once, whatever the number of phrases; a lexicon too long for that is a table, dealt to
-shards, each of which meets blocks of the texts. All three give the same hits: a text's hits stand in the lexicon's
-order, repeated phrases are repeated hits, empty phrases hit nothing, and a null text has no hits.
+once and that reads each text once, whatever the number of phrases; a lexicon too long for that is a table, searched by an
+inverted index of its phrases' rarest grams. All three give the same hits: a text's hits stand in the lexicon's order,
+repeated phrases are repeated hits, empty phrases hit nothing, and a null text has no hits.
 """
 
 from __future__ import annotations
@@ -12,13 +12,18 @@ import hashlib
 from collections.abc import Iterator
 from functools import partial
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Phrases up to which they are searched one by one, phrases of a shard, and texts of a block.
-INLINE, SHARD, BLOCK = 24, 20_000, 4_000
+from brindle.functions.text import let
+from brindle.staging import stage
+
+#: Phrases up to which they are searched one by one, code points of a gram, and bits of the table of grams at most.
+INLINE, GRAM, MOST_BITS = 24, 8, 1 << 27
+_STEP, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
 class Automaton:
@@ -84,38 +89,102 @@ def lexicon_hits(text: Column, phrases: list[str]) -> Column:
     return F.array_compact(F.array(*[F.when(F.contains(own, F.lit(p)), F.lit(p)) for p in low if p]))
 
 
-def hits_table(docs: DataFrame, lexicon: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, pos, phrase) of every phrase of the table (pos, phrase) in every text, for lexicons of any length.
-
-    The lexicon is dealt to shards of about SHARD phrases and the texts to blocks of about BLOCK; every block meets
-    every shard in one task, so neither is ever whole in one place.
+def grams(points: np.ndarray, size: int) -> np.ndarray:
+    """A hash of each run of ``size`` code points, with the run's size in it."""
+    n = len(points) - size + 1
+    if n <= 0:
+        return np.empty(0, np.uint64)
+    value = np.full(n, size, np.uint64)
+    for i in range(size):
+        value = value * _STEP + points[i : i + n]
+    value ^= value >> np.uint64(29)
+    value *= _MIX
+    return value ^ (value >> np.uint64(32))
+
+
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+
+
+def _phrase_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(phrase, gram): the grams of each phrase, each once; one of all its code points where it has fewer than GRAM."""
+    for batch in batches:
+        at, found = [], []
+        for i, phrase in enumerate(batch.column(0).to_pylist()):
+            own = np.unique(grams(_points(phrase), min(GRAM, len(phrase))))
+            at.append(np.full(len(own), i))
+            found.append(own)
+        at, found = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (at, found))
+        phrases = batch.column(0).take(pa.array(at.astype(np.int64)))
+        yield pa.RecordBatch.from_arrays([phrases, pa.array(found.astype(np.uint64).view(np.int64))], names=["phrase", "gram"])
+
+
+def index_of(lexicon: DataFrame) -> DataFrame:
+    """(gram, size, phrase): each distinct lower-cased phrase under its rarest gram, the one that the fewest phrases have."""
+    phrases = lexicon.select(F.lower("phrase").alias("phrase")).filter("phrase <> ''").distinct()
+    all_grams = stage(phrases.mapInArrow(_phrase_grams, "phrase string, gram long"), "phrase_grams")
+    often = all_grams.groupBy("gram").agg(F.count("*").alias("n"))
+    rarest = F.min_by("gram", F.struct("n", F.xxhash64("gram"))).alias("gram")
+    held = all_grams.join(often, "gram").groupBy("phrase").agg(rarest)
+    return stage(held.select("gram", F.least(F.length("phrase"), F.lit(GRAM)).alias("size"), "phrase"), "phrase_index")
+
+
+def _filter_bits(index: DataFrame, phrases: int) -> tuple[np.ndarray, list[int]]:
+    """A table of bits with one for each gram of the index, and the grams' sizes. At most MOST_BITS bits, in one row a word."""
+    bits = 1 << max(10, min(MOST_BITS, 16 * max(phrases, 1)).bit_length() - 1)
+    place = F.col("gram").bitwiseAND(F.lit(bits - 1))
+    words = index.groupBy((place / 64).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(gram & 63 as int))")).alias("bits"))
+    table = np.zeros(bits // 64, np.uint64)
+    for r in words.collect():
+        table[r["w"]] = np.int64(r["bits"]).view(np.uint64)
+    return table, sorted(r["size"] for r in index.select("size").distinct().collect())
+
+
+def _text_grams(table: np.ndarray, sizes: list[int], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(_row, gram): the grams of each text for which the table has a bit, each once."""
+    mask, low, six = np.uint64(len(table) * 64 - 1), np.uint64(63), np.uint64(6)
+    for batch in batches:
+        rows, texts = batch.column(0).to_numpy(), batch.column(1)
+        at, found = [], []
+        for i in range(batch.num_rows):  # texts one by one, so that a very long one stays alone in memory
+            text = texts[i].as_py()
+            if not text:
+                continue
+            points = _points(text)
+            for size in sizes:
+                own = grams(points, size)
+                own = np.unique(own[(table[(own & mask) >> six] >> (own & low)) & np.uint64(1) > 0])
+                at.append(np.full(len(own), rows[i]))
+                found.append(own)
+        at, found = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (at, found))
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64)), pa.array(found.astype(np.uint64).view(np.int64))], names=["_row", "gram"])
+
+
+def with_hits(docs: DataFrame, lexicon: DataFrame, text: str = "text", name: str = "found") -> DataFrame:
+    """``docs`` with ``name``: array<struct<pos, phrase>> of the phrases (pos, phrase) that stand in the text, in their order.
+
+    For lexicons of any length: an inverted index holds each phrase under its rarest gram. A text emits only grams that the
+    index has, as ids of eight bytes; what they lead to is verified against the whole text. Neither texts nor phrases are
+    copied by the other's number, and the driver sees a table of bits of bounded size only. Phrases that repeat are repeated
+    hits, empty ones hit nothing, a null text has none.
     """
-    shards = max(1, -(-lexicon.count() // SHARD))
-    blocks = max(1, -(-docs.count() // BLOCK))
-    rows = docs.select(
-        F.col(key).alias("key"),
-        F.col(text).alias("text"),
-        F.pmod(F.xxhash64(F.col(key), F.col(text)), F.lit(blocks)).alias("block"),
-        F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"),
-    )
-    words = lexicon.select(
-        "pos",
-        F.lower("phrase").alias("phrase"),
-        F.pmod(F.xxhash64("phrase"), F.lit(shards)).cast("int").alias("shard"),
-        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"),
-    )
-    kind = dict((f.name, f.dataType.simpleString()) for f in rows.schema)["key"]
-
-    def match(left: pa.Table, right: pa.Table) -> pa.Table:
-        listed = right["phrase"].to_pylist()
-        found, at, n = Automaton([p or "" for p in listed]), [], []
-        for k, t in enumerate(left["text"].to_pylist()):
-            hits = found.hits(t)
-            at += hits
-            n += [k] * len(hits)
-        chosen = right.take(pa.array(at, pa.int64()))
-        return pa.table({"key": left["key"].take(pa.array(n, pa.int64())), "pos": chosen["pos"], "phrase": chosen["phrase"]})
-
-    place = lexicon.schema["pos"].dataType.simpleString()
-    grouped = rows.groupBy("block", "shard").cogroup(words.groupBy("block", "shard"))
-    return grouped.applyInArrow(match, f"key {kind}, pos {place}, phrase string").withColumnRenamed("key", key)
+    index = index_of(lexicon)
+    table, sizes = _filter_bits(index, index.count())
+    low = F.lower(text)
+    rows = docs.withColumn("_row", F.xxhash64(F.col(text)))
+    # Equal texts are searched once; texts of equal hash share candidates, which are verified for each.
+    texts = rows.select("_row", low.alias("_low")).filter("_low is not null")
+    found = texts.mapInArrow(partial(_text_grams, table, sizes), "_row long, gram long")
+    met = found.join(index.select("gram", "phrase"), "gram").select("_row", "phrase").distinct()
+    listed = lexicon.select("pos", F.lower("phrase").alias("phrase")).filter("phrase <> ''")
+    met = stage(met.join(listed, "phrase").groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("pos", "phrase"))).alias("_met")), "met")
+    joined = rows.join(met, "_row", "left")
+    kind = met.schema["_met"].dataType
+    own = let(low, lambda t: F.filter("_met", lambda p: F.contains(t, p["phrase"])))
+    return joined.withColumn(name, F.coalesce(own, F.array().cast(kind))).drop("_row", "_met")
+
+
+def hits_table(docs: DataFrame, lexicon: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, pos, phrase) of every phrase of the table (pos, phrase) in every text: ``with_hits`` as rows."""
+    found = with_hits(docs.select(key, text), lexicon, text, "_found")
+    return found.select(key, F.inline("_found"))

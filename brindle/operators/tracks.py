@@ -6,21 +6,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from brindle.functions.signal import CEILING
+from brindle.operators import frames
 
 
 def mix_tracks(tracks: DataFrame, recording: str, samples: str = "samples", gain: str = "gain") -> DataFrame:
     """(recording, samples): the tracks' sum by position, padded to the longest, scaled so that no peak passes 0.99.
 
-    Positions are summed as rows (recording, position), so a recording of any length or number of tracks is spread over
-    tasks and pre-aggregated; only the finished mix is put together again.
+    Frames of 65,536 samples are summed in their places, so a recording of any length or number of tracks is spread over
+    tasks and pre-aggregated; only the finished mix is put together again. ``operators.frames`` mixes without that.
     """
-    rows = tracks.select(recording, F.col(gain).alias("g"), F.posexplode(samples).alias("pos", "x"))
-    summed = rows.groupBy(recording, "pos").agg(F.sum(F.col("x").cast("double") * F.col("g")).alias("x"))
-    joined = summed.groupBy(recording).agg(F.array_sort(F.collect_list(F.struct("pos", "x"))).alias("m"))
-    mixed = joined.select(recording, F.transform("m", lambda s: s["x"]).alias("samples"))
-    top = F.array_max(F.transform("samples", lambda v: F.abs(v)))
-    scale = F.when(top > CEILING, F.lit(CEILING) / top).otherwise(F.lit(1.0))
-    return mixed.select(recording, F.transform("samples", lambda v: v * scale).alias("samples"))
+    rows = frames.to_frames(tracks.select(recording, F.col(gain).alias("gain"), samples), [recording, "gain"], samples)
+    mix = frames.limited(frames.mixed(rows, [recording]), [recording], CEILING)
+    return frames.from_frames(mix, [recording])
 
 
 def speech_intervals(

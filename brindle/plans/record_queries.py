@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import datetime as dt
+import math
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brindle.functions import dsp
 from brindle.functions import signal as sg
-from brindle.operators import jobs, tracks, transcripts
-from brindle.staging import table
+from brindle.operators import frames, jobs, outbox, tracks, transcripts
+from brindle.sources import versions
+from brindle.staging import scratch, table
+from brindle.streaming import delivery
 from brindle.streaming import events as ev
 
 QUERIES, SQL = {}, {}
@@ -85,7 +90,7 @@ _SNR = """10 * log10(greatest(list_avg(list_transform(e, lambda v: v * v)), 1e-1
 
 
 @query(f"""
-WITH p AS (SELECT vec_id, x[1:60] AS r, list_transform(x, lambda v: v * 0.9::DOUBLE)[1:60] AS e,
+WITH p AS (SELECT vec_id, x AS r, list_transform(x, lambda v: v * 0.9::DOUBLE) AS e,
   list_max(x) > 0.3 AS clips, -30.0 + vec_id % 25 AS lufs FROM {_waves()}),
 s AS (SELECT *, {_SNR} AS snr FROM p)
 SELECT vec_id, round(snr, 6) AS snr, round(greatest(0.0, least(1.0, greatest(0.0, (snr + 5) / 40)) * 0.6
@@ -93,8 +98,7 @@ SELECT vec_id, round(snr, 6) AS snr, round(greatest(0.0, least(1.0, greatest(0.0
 FROM s""")
 def snr_quality(spark, sf_dir):
     rows = waves(spark, sf_dir)
-    raw, enhanced = F.slice("samples", 1, 60), F.transform("samples", lambda v: v * 0.9)
-    rows = rows.withColumn("snr", sg.snr_db(raw, enhanced))
+    rows = rows.withColumn("snr", sg.snr_db(F.col("samples"), F.transform("samples", lambda v: v * 0.9)))
     lufs = F.lit(-30.0) + F.col("vec_id") % 25
     quality = sg.quality(F.col("snr"), F.array_max("samples") > 0.3, lufs)
     return rows.select("vec_id", F.round("snr", 6).alias("snr"), quality.alias("quality"))
@@ -178,42 +182,177 @@ def match_length(spark, sf_dir):
     )
 
 
-def _wave_report(df: DataFrame) -> DataFrame:
-    x = F.col("samples")
-    return df.select("vec_id", F.size(x).alias("n"), F.round(sg.peak(x), 6).alias("peak"), F.round(sg.rms(x), 6).alias("rms"))
+FRAME = 24  # samples of a frame here: tables' signals are short, and are to have several
 
 
-@query()
+def wave_frames(spark, sf_dir) -> DataFrame:
+    return frames.to_frames(waves(spark, sf_dir), ["vec_id"], size=FRAME)
+
+
+def _wave_report(rows: DataFrame) -> DataFrame:
+    """(vec_id, n, peak, rms) of frames."""
+    square = F.aggregate(F.transform("samples", lambda v: v * v), F.lit(0.0), lambda a, v: a + v)
+    top = F.coalesce(F.array_max(F.transform("samples", lambda v: F.abs(v))), F.lit(0.0))
+    met = rows.groupBy("vec_id").agg(F.sum(F.size("samples")).alias("n"), F.max(top).alias("peak"), F.sum(square).alias("s"))
+    rms = F.when(F.col("n") > 0, F.sqrt(F.col("s") / F.col("n"))).otherwise(0.0)
+    return met.select("vec_id", F.col("n").cast("long"), F.round("peak", 6).alias("peak"), F.round(rms, 6).alias("rms"))
+
+
+def _coefficient(ms: float, rate: int) -> str:
+    return f"{dsp.constant(ms, rate)!r}::DOUBLE"
+
+
+def _recursion(start: str, step: str, columns: str, then: str) -> str:
+    """SQL that steps through each signal's samples: ``start`` and ``step`` are the state's columns before the first sample
+    and after ``x[i]``; ``then`` selects from the steps ``r``."""
+    return f"""
+WITH RECURSIVE s AS (SELECT vec_id, x, len(x) AS total FROM {_waves()}),
+r AS (SELECT vec_id, 0 AS i, {start} FROM s
+  UNION ALL SELECT vec_id, i, {columns} FROM ({step})) {then}"""
+
+
+_REPORT = """SELECT vec_id, count(*) AS n, round(max(abs(y)), 6) AS peak, round(sqrt(avg(y * y)), 6) AS rms
+FROM r WHERE i > 0 GROUP BY vec_id"""
+_NEXT = "SELECT r.*, i + 1 AS k, x[i + 1] AS v FROM r JOIN s USING (vec_id) WHERE i < total"
+
+
+def _gate_sql(rate: int, threshold_db: float) -> str:
+    rise, fall = _coefficient(1, rate), _coefficient(150, rate)
+    follow = lambda p, v: f"CASE WHEN {v} > {p} THEN {rise} * {p} + (1 - {rise}) * {v} ELSE {fall} * {p} + (1 - {fall}) * {v} END"
+    step = f"""SELECT vec_id, k AS i, e, c, {follow("g", "h")} AS g, v FROM (
+      SELECT *, CASE WHEN c <= {int(rate * 0.05)} THEN 1::DOUBLE ELSE 0::DOUBLE END AS h FROM (
+        SELECT vec_id, k, v, g, e2 AS e, CASE WHEN e2 > pow(10, {threshold_db} / 20::DOUBLE) THEN 0 ELSE c + 1 END AS c FROM (
+          SELECT *, {follow("e", "abs(v)")} AS e2 FROM ({_NEXT}))))"""
+    start = "0::DOUBLE AS e, 1000000 AS c, 1::DOUBLE AS g, 0::DOUBLE AS y"
+    return _recursion(start, step, "e, c, g, v * g AS y", _REPORT)
+
+
+@query(_gate_sql(1000, -12.0))
 def noise_gate(spark, sf_dir):
-    return _wave_report(dsp.apply(waves(spark, sf_dir), lambda x: dsp.noise_gate(x, 1000, -12.0)))
+    out = frames.carried(wave_frames(spark, sf_dir), ["vec_id"], lambda p: [dsp.Gate(1000, -12.0)], size=FRAME)
+    return _wave_report(out)
 
 
-@query()
-def compressor(spark, sf_dir):
-    return _wave_report(dsp.apply(waves(spark, sf_dir), dsp.compress))
+def _compressor_sql() -> str:
+    threshold_db, ratio, makeup_db, attack, release = dsp.COMPRESSOR["speech"]
+    rise, fall = _coefficient(attack, dsp.RATE), _coefficient(release, dsp.RATE)
+    t = f"pow(10, {threshold_db} / 20::DOUBLE)"
+    step = f"""SELECT vec_id, k AS i, e, {fall} * g + (1 - {fall}) * h AS g, v FROM (
+      SELECT *, CASE WHEN e > {t} THEN ({t} + (e - {t}) / {ratio}::DOUBLE) / (e + 1e-12) ELSE 1::DOUBLE END AS h FROM (
+        SELECT vec_id, k, v, g, CASE WHEN abs(v) > e THEN {rise} * e + (1 - {rise}) * abs(v)
+          ELSE {fall} * e + (1 - {fall}) * abs(v) END AS e FROM ({_NEXT})))"""
+    loud = f"v * greatest(0, least(1, g)) * pow(10, {makeup_db} / 20::DOUBLE) AS y"
+    return _recursion("0::DOUBLE AS e, 0::DOUBLE AS g, 0::DOUBLE AS y", step, f"e, g, {loud}", _REPORT)
 
 
-@query()
+@query(_compressor_sql())
+def compressor(spark, sf_dir):
+    out = frames.carried(wave_frames(spark, sf_dir), ["vec_id"], lambda p: [dsp.Compressor()], size=FRAME)
+    return _wave_report(frames.limited(out, ["vec_id"]))
+
+
+def _sections_sql(sections: list, hold: bool, then: str, source: str = "") -> str:
+    """Second-order sections one after the other, as recursion over their states."""
+    step, carried = _NEXT, []
+    for n, (b, a) in enumerate(sections):
+        own = [f"p{n}", f"q{n}"]
+        b, a = ([f"{v / a[0]!r}::DOUBLE" for v in c] for c in (b, a))
+        y = f"{b[0]} * v + {own[0]}"
+        step = f"""SELECT * EXCLUDE ({own[0]}, {own[1]}, v, y{n}), {b[1]} * v - {a[1]} * y{n} + {own[1]} AS {own[0]},
+          {b[2]} * v - {a[2]} * y{n} AS {own[1]}, {f"greatest(-1, least(1, y{n}))" if hold else f"y{n}"} AS v
+          FROM (SELECT *, {y} AS y{n} FROM ({step}))"""
+        carried += own
+    listed = ", ".join(carried)
+    step = f"SELECT vec_id, k AS i, {listed}, v FROM ({step})"
+    start = ", ".join(f"0::DOUBLE AS {c}" for c in carried) + ", 0::DOUBLE AS y"
+    out = _recursion(start, step, f"{listed}, v AS y", then)
+    return out.replace(_waves(), source) if source else out
+
+
+def _peaking(kind: str, frequency: float, gain_db: float, q: float, rate: int) -> tuple[tuple, tuple]:
+    """A band's coefficients, by the cookbook's formulas."""
+    w = 2 * math.pi * frequency / rate
+    alpha, c = math.sin(w) / (2 * q), math.cos(w)
+    if kind == "peak":
+        a = 10 ** (gain_db / 40)
+        return (1 + alpha * a, -2 * c, 1 - alpha * a), (1 + alpha / a, -2 * c, 1 - alpha / a)
+    s = 1 + c if kind == "high" else 1 - c
+    return (s / 2, -s if kind == "high" else s, s / 2), (1 + alpha, -2 * c, 1 - alpha)
+
+
+@query(_sections_sql([_peaking(*band, dsp.RATE) for band in dsp.SPEECH_EQ], True, _REPORT))
 def eq_speech(spark, sf_dir):
-    return _wave_report(dsp.apply(waves(spark, sf_dir), dsp.equalise))
+    return _wave_report(frames.carried(wave_frames(spark, sf_dir), ["vec_id"], lambda p: dsp.equaliser(), size=FRAME))
 
 
-@query()
+LOUD_RATE, LOUD_TIMES = 4_000, 40
+
+
+def _k_sections(rate: int) -> list[tuple[list, list]]:
+    w = 2 * math.pi * 1500.0 / rate
+    amp, c = 10 ** (4.0 / 40), math.cos(w)
+    r = 2 * math.sqrt(amp) * math.sin(w) / (2 / math.sqrt(2))
+    b = [amp * (amp + 1 + (amp - 1) * c + r), -2 * amp * (amp - 1 + (amp + 1) * c), amp * (amp + 1 + (amp - 1) * c - r)]
+    a = [amp + 1 - (amp - 1) * c + r, 2 * (amp - 1 - (amp + 1) * c), amp + 1 - (amp - 1) * c - r]
+    w = 2 * math.pi * 38.0 / rate
+    c, alpha = math.cos(w), math.sin(w)
+    return [(b, a), ([(1 + c) / 2, -(1 + c), (1 + c) / 2], [1 + alpha, -2 * c, 1 - alpha])]
+
+
+_LEVEL = "-0.691 + 10 * log10(greatest({}, 1e-30))"
+_GATED = f"""SELECT vec_id, round(coalesce(-0.691 + 10 * log10(avg(p) FILTER (l > g)), -99), 4)::DOUBLE AS lufs FROM (
+  SELECT vec_id, p, CASE WHEN l >= -70 THEN l END AS l,
+    -0.691 + 10 * log10(avg(p) FILTER (l >= -70) OVER (PARTITION BY vec_id)) - 10 AS g
+  FROM (SELECT vec_id, p, {_LEVEL.format("p")} AS l FROM ({{}}))) GROUP BY vec_id"""
+
+
+@query(_sections_sql(
+    _k_sections(LOUD_RATE), False,
+    ", h AS (SELECT vec_id, (i - 1) // 400 AS hop, sum(y * y) AS s, count(*) AS n FROM r WHERE i > 0 GROUP BY ALL), "
+    "b AS (SELECT vec_id, sum(s) OVER w / 1600 AS p, count(*) OVER w AS c FROM h WHERE n = 400 "
+    "WINDOW w AS (PARTITION BY vec_id ORDER BY hop ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING)) "
+    + _GATED.format("SELECT vec_id, p FROM b WHERE c = 4"),
+    f"(SELECT vec_id, list_transform(generate_series(0, {64 * LOUD_TIMES - 1}), lambda i: embedding[i % 64 + 1]::DOUBLE "
+    "* CASE WHEN i >= 1500 THEN 0.01 ELSE 1 END) AS x FROM embeddings)",
+))
 def lufs(spark, sf_dir):
-    long = lambda x: np.tile(x, 700)
-    out = dsp.apply(waves(spark, sf_dir), lambda x: np.array([dsp.loudness(long(x))]))
-    return out.select("vec_id", F.round(F.get("samples", F.lit(0)), 4).alias("lufs"))
+    """Loudness of signals repeated to 2,560 samples, of which the last are quiet: blocks fall to the gate."""
+    longer = F.flatten(F.array_repeat("samples", LOUD_TIMES))
+    quiet = F.transform(longer, lambda v, i: F.when(i >= 1500, v * 0.01).otherwise(v))
+    rows = frames.to_frames(waves(spark, sf_dir).select("vec_id", quiet.alias("samples")), ["vec_id"], size=700)
+    return frames.loudness(rows, ["vec_id"], LOUD_RATE).select("vec_id", F.round("lufs", 4).alias("lufs"))
 
 
-@query()
+@query(_GATED.format(f"SELECT vec_id, abs(unnest(x)) * pow(10, -(vec_id % 5)) AS p FROM {_waves()}"))
+def loudness_gates(spark, sf_dir):
+    """The two gates over block powers, for which the samples stand."""
+    power = F.abs(F.col("v")) * F.pow(F.lit(10.0), -(F.col("vec_id") % 5))
+    rows = waves(spark, sf_dir).select("vec_id", F.explode("samples").alias("v")).select("vec_id", power.alias("power"))
+    return frames.gated_loudness(rows, ["vec_id"]).select("vec_id", F.round("lufs", 4).alias("lufs"))
+
+
+_SINC = "CASE WHEN t = 0 THEN 1 ELSE sin(pi() * t) / (pi() * t) END"
+
+
+@query(f"""
+WITH s AS (SELECT vec_id, x, unnest(generate_series(0, 4 * len(x) - 1)) AS j FROM {_waves()}),
+k AS (SELECT vec_id, j, x[a + 1] AS v, (a - j / 4::DOUBLE) * 0.99 AS t
+  FROM (SELECT vec_id, x, j, unnest(generate_series(greatest(0, j // 4 - 7), least(len(x) - 1, j // 4 + 8))) AS a FROM s)),
+y AS (SELECT vec_id, j, sum(CASE WHEN abs(t) < 6 THEN v * {_SINC} * pow(cos(pi() * t / 12), 2) * 0.99 ELSE 0 END) AS y FROM k GROUP BY ALL)
+SELECT vec_id, round(max(abs(y)), 6) AS true_peak FROM y GROUP BY vec_id""")
 def true_peak(spark, sf_dir):
-    out = dsp.apply(waves(spark, sf_dir), lambda x: np.array([dsp.true_peak(x)]))
-    return out.select("vec_id", F.round(F.get("samples", F.lit(0)), 6).alias("true_peak"))
+    out = frames.true_peaks(wave_frames(spark, sf_dir), ["vec_id"])
+    return out.select("vec_id", F.round("peak", 6).alias("true_peak"))
 
 
 @query()
 def splice(spark, sf_dir):
-    return _wave_report(dsp.apply(waves(spark, sf_dir), lambda x: dsp.splice(x, x[::-1][:40], 20, 50, 400)))
+    """The first forty samples, turned round, in place of the samples from 20 to 50."""
+    rows = waves(spark, sf_dir)
+    new = F.reverse(F.slice("samples", -40, 40))
+    cut = frames.to_frames(rows.select("vec_id", new.alias("new"), F.size("samples").alias("total"), "samples"), ["vec_id", "new", "total"], size=FRAME)
+    make = lambda p: [dsp.Splice(np.array(p["new"]), 20, 50, p["total"], 400)]
+    return _wave_report(frames.carried(cut, ["vec_id"], make, ["new", "total"], FRAME))
 
 
 # -- transcripts: an order's lines are words, a supplier's remainder by three is the segment
@@ -315,6 +454,28 @@ _JOBS = """(SELECT o_orderkey AS id, 'r' || o_custkey AS recording_id,
     AS callback_url FROM orders)"""
 
 
+_FULL_JOBS = f"""(SELECT j.*, 'pipeline' AS job_type, 8 AS max_tags, 'res' || id AS result_json, 'oops' AS error,
+  NULL::VARCHAR AS input_url, id % 2 = 0 AS skip_enhancement, FALSE AS skip_transcription,
+  CASE WHEN id % 6 = 0 THEN 'said' END AS existing_transcript, NULL::VARCHAR AS custom_tags, o_orderdate AS created_at,
+  CASE WHEN id % 3 > 0 THEN o_orderdate + INTERVAL 5 SECOND END AS started_at,
+  CASE WHEN id % 3 > 1 THEN o_orderdate + INTERVAL 65 SECOND END AS completed_at
+  FROM {_JOBS} j JOIN orders ON o_orderkey = id)"""
+NOW = "2001-02-03 04:05:06"
+
+
+def full_jobs(spark, sf_dir) -> DataFrame:
+    """The jobs with all columns of the job table."""
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").cast("timestamp").alias("created_at"))
+    later = lambda m, s: F.when(F.col("id") % 3 > m, F.col("created_at") + F.expr(f"INTERVAL {s} SECONDS"))
+    nothing = F.lit(None).cast("string")
+    return job_table(spark, sf_dir).join(orders, "id").withColumns(
+        {
+            "input_url": nothing, "skip_enhancement": F.col("id") % 2 == 0, "skip_transcription": F.lit(False), "custom_tags": nothing,
+            "existing_transcript": F.when(F.col("id") % 6 == 0, "said"), "started_at": later(0, 5), "completed_at": later(1, 65),
+        }
+    )
+
+
 def requests(spark, sf_dir) -> DataFrame:
     """One request for every second order, some for new ids, some twice."""
     rows = table(spark, sf_dir, "orders").filter("o_orderkey % 2 = 0")
@@ -326,19 +487,60 @@ def requests(spark, sf_dir) -> DataFrame:
     return once.unionByName(once.filter("id % 4 = 0").withColumn("recording_id", F.lit("q1")))
 
 
-@query(f"""
-WITH q AS (SELECT CASE WHEN o_orderkey % 10 = 0 THEN o_orderkey + 10000000 ELSE o_orderkey END AS id, o_orderkey % 3 AS tags
-  FROM orders WHERE o_orderkey % 2 = 0),
-w AS (SELECT id AS rid, CASE WHEN id % 4 = 0 THEN 'q1' ELSE 'q2' END AS rec, min(CASE WHEN tags = 0 THEN 8 ELSE tags END) AS tags
-  FROM q GROUP BY ALL),
-f AS (SELECT j.*, w.*, rid IS NOT NULL AND (id IS NULL OR status IN ('completed', 'failed', 'cancelled')) AS again
-  FROM {_JOBS} j FULL JOIN w ON j.id = w.rid)
-SELECT coalesce(id, rid) AS id, CASE WHEN again THEN rec ELSE recording_id END AS recording_id,
-  CASE WHEN again THEN 'tagging' ELSE 'pipeline' END AS job_type, CASE WHEN again THEN 'pending' ELSE status END AS status,
-  CASE WHEN again THEN 0 ELSE attempts END::INT AS attempts, CASE WHEN again THEN tags ELSE 8 END::INT AS max_tags,
-  CASE WHEN again THEN FALSE ELSE callback_delivered END AS callback_delivered FROM f""")
+_REQUESTS = """(SELECT id AS rid, CASE WHEN id % 4 = 0 THEN 'q1' ELSE 'q2' END AS rec, min(tags) AS tags FROM (
+  SELECT CASE WHEN o_orderkey % 10 = 0 THEN o_orderkey + 10000000 ELSE o_orderkey END AS id, o_orderkey % 3 AS tags
+  FROM orders WHERE o_orderkey % 2 = 0) GROUP BY ALL)"""
+#: What a finished job keeps, what starts anew, and what a new job has besides.
+_SUBMITTED = f"""
+SELECT coalesce(id, rid) AS id, CASE WHEN id IS NULL THEN rec ELSE recording_id END AS recording_id,
+  CASE WHEN hit THEN 'tagging' ELSE job_type END AS job_type, CASE WHEN hit THEN 'pending' ELSE status END AS status,
+  CASE WHEN hit THEN 0 ELSE attempts END::INT AS attempts, CASE WHEN hit THEN tags ELSE max_tags END::INT AS max_tags,
+  CASE WHEN hit THEN FALSE ELSE callback_delivered END AS callback_delivered,
+  CASE WHEN id IS NULL THEN 'https://x/hook' ELSE callback_url END AS callback_url,
+  CASE WHEN NOT hit THEN result_json END AS result_json, CASE WHEN NOT hit THEN error END AS error, input_url,
+  CASE WHEN id IS NULL THEN FALSE ELSE skip_enhancement END AS skip_enhancement,
+  CASE WHEN id IS NULL THEN FALSE ELSE skip_transcription END AS skip_transcription, existing_transcript, custom_tags,
+  CASE WHEN id IS NULL THEN TIMESTAMP '{NOW}' ELSE created_at END AS created_at,
+  CASE WHEN NOT hit THEN started_at END AS started_at, CASE WHEN NOT hit THEN completed_at END AS completed_at, hit
+FROM (SELECT j.*, w.*, rid IS NOT NULL AND (id IS NULL OR status NOT IN
+    ('pending', 'enhancing', 'transcribing', 'categorizing', 'moderating')) AS hit FROM {{jobs}} j FULL JOIN {_REQUESTS} w ON j.id = w.rid)"""
+
+
+@query(f"SELECT * EXCLUDE (hit) FROM ({_SUBMITTED.format(jobs=_FULL_JOBS)})")
 def submit_upsert(spark, sf_dir):
-    return jobs.submit(job_table(spark, sf_dir), requests(spark, sf_dir))
+    now = F.lit(NOW).cast("timestamp")
+    return jobs.submit(full_jobs(spark, sf_dir), requests(spark, sf_dir), now, "https://x/hook")
+
+
+_RECOVERED = "CASE WHEN status IN ('pending', 'enhancing') AND attempts < 3 THEN"
+
+
+@query(f"""
+WITH v1 AS {_FULL_JOBS}, v2 AS ({_SUBMITTED.format(jobs="v1")}),
+v3 AS (SELECT * REPLACE ({_RECOVERED} 'pending' ELSE status END AS status, {_RECOVERED} attempts + 1 ELSE attempts END::INT AS attempts),
+  status IN ('pending', 'enhancing') AND attempts < 3 AS back FROM v2),
+v4 AS (SELECT * REPLACE ('cancelled' AS status) FROM v3 WHERE id % 7 = 0 AND status IN ('pending', 'enhancing')),
+c AS (SELECT 1 AS version, id, status, attempts, recording_id, created_at FROM v1
+  UNION ALL SELECT 2, id, status, attempts, recording_id, created_at FROM v2 WHERE hit
+  UNION ALL SELECT 3, id, status, attempts, recording_id, created_at FROM v3 WHERE back
+  UNION ALL SELECT 4, id, status, attempts, recording_id, created_at FROM v4)
+SELECT version, id::VARCHAR AS id, status, attempts, recording_id, created_at,
+  version = max(version) OVER (PARTITION BY id) AS current FROM c""")
+def job_versions(spark, sf_dir):
+    """The stored job table after a load, requests, a recovery and cancellations: each version's rows, and which are current."""
+    store = versions.job_table(spark, scratch(spark, "jobs"))
+    asked = requests(spark, sf_dir).withColumn("id", F.col("id").cast("string"))
+    store.commit(0, full_jobs(spark, sf_dir).withColumn("id", F.col("id").cast("string")), whole=True)
+    now = F.lit(NOW).cast("timestamp")
+    store.update(lambda now_jobs: jobs.submit(now_jobs, asked, now, "https://x/hook", changed=True))
+    store.update(lambda now_jobs: jobs.recover(now_jobs.filter(F.col("status").isin(*jobs.ACTIVE) & (F.col("attempts") < jobs.MAX_ATTEMPTS))))
+    store.update(lambda now_jobs: jobs.cancel(now_jobs.filter("cast(id AS long) % 7 = 0 AND status IN ('pending', 'enhancing')"), now_jobs.select("id")))
+    last = store.read().select("id", F.col("status").alias("s"), F.col("attempts").alias("a"))
+    shown = store.changes().select(F.col(versions.VERSION).cast("int").alias("version"), "id", "status", "attempts", "recording_id", "created_at")
+    newest = store.changes().groupBy("id").agg(F.max(versions.VERSION).alias("newest"))
+    joined = shown.join(last, "id").join(newest, "id")
+    current = (F.col("version") == F.col("newest")) & (F.col("status") == F.col("s")) & (F.col("attempts") == F.col("a"))
+    return joined.select("version", "id", "status", "attempts", "recording_id", "created_at", current.alias("current"))
 
 
 @query(f"""
@@ -374,16 +576,43 @@ def cancel_jobs(spark, sf_dir):
     return jobs.cancel(rows, rows.filter("id % 7 = 0")).select("id", "status")
 
 
-@query("""
-SELECT 'callback' AS kind, k, least(2 * pow(2, k), 300)::DOUBLE AS seconds FROM (SELECT unnest(generate_series(0, 9))::INT AS k)
-UNION ALL SELECT 'fetch', k, (3 * pow(2, k))::DOUBLE FROM (SELECT unnest(generate_series(0, 3))::INT AS k)""")
+@query(f"""
+SELECT id, attempts, CASE WHEN attempts = 0 THEN 2 ELSE least(2 * pow(2, attempts - 1), 300) END::DOUBLE AS callback_seconds,
+  CASE WHEN attempts < 5 THEN 3 * pow(2, greatest(attempts, 1) - 1) END::DOUBLE AS fetch_seconds
+FROM (SELECT id, (id % 11)::INT AS attempts FROM {_JOBS})""")
 def callback_schedule(spark, sf_dir):
-    one = spark.range(1)
-    parts = [
-        one.select(F.lit(kind).alias("kind"), F.posexplode(delays).alias("k", "seconds"))
-        for kind, delays in (("callback", jobs.callback_delays()), ("fetch", jobs.fetch_delays()))
-    ]
-    return parts[0].unionByName(parts[1])
+    """When each job's callback and fetch are tried next, by the tries that it had."""
+    tries = (F.col("id") % 11).cast("int").alias("attempts")
+    return job_table(spark, sf_dir).select("id", tries).select(
+        "id", "attempts", jobs.callback_delay(F.col("attempts")).alias("callback_seconds"),
+        jobs.fetch_delay(F.col("attempts")).alias("fetch_seconds"),
+    )
+
+
+def _answer(url: str, payload: str) -> int:
+    """A receiver that takes some callbacks, is away for others, and refuses the rest."""
+    last = int(url[-1])
+    return 200 if last < 5 else 503 if last < 8 else 404
+
+
+@query(f"""
+SELECT id::VARCHAR AS id, CASE WHEN bad THEN 0 WHEN d BETWEEN 5 AND 7 THEN 4 ELSE 1 END::INT AS attempts,
+  CASE WHEN bad THEN 'invalid' WHEN d < 5 THEN 'delivered' WHEN d < 8 THEN 'waiting' ELSE 'failed' END AS state,
+  CASE WHEN bad THEN 0 WHEN d BETWEEN 5 AND 7 THEN 14 + 16 ELSE 2 END::BIGINT AS due_after, NOT bad AND d < 5 OR bad AS done
+FROM (SELECT id, id % 10 AS d, callback_url NOT LIKE 'http%' AS bad FROM {_JOBS}
+  WHERE status IN ('completed', 'failed') AND callback_url IS NOT NULL AND NOT callback_delivered)""")
+def callback_outbox(spark, sf_dir):
+    """The outbox after four batches, at the times when what wasn't taken is due again."""
+    box = outbox.outbox_table(spark, scratch(spark, "outbox"))
+    begin = dt.datetime(2001, 2, 3, 4, 5, 6, tzinfo=dt.UTC)
+    rows = job_table(spark, sf_dir)
+    box.update(lambda now: outbox.posted(rows, now, begin))
+    for seconds in (0, 2, 6, 14):
+        outbox.send_due(box, _answer, begin + dt.timedelta(seconds=seconds))
+    found = box.read()
+    done = outbox.delivered_jobs(rows, found).select(F.col("id").cast("string").alias("id"), F.lit(True).alias("done"))
+    after = F.unix_seconds("next_due") - F.unix_seconds(F.lit(begin))
+    return found.join(done, "id", "left").select("id", "attempts", "state", after.alias("due_after"), F.coalesce("done", F.lit(False)).alias("done"))
 
 
 @query("""
@@ -542,6 +771,41 @@ def bounded_buffer(spark, sf_dir):
     return out.select("user_id", "event_id", "place")
 
 
+def subscriptions(rows: DataFrame) -> DataFrame:
+    """Subscribers of the events' users: they join with their first view, the second of them leaves ten days later."""
+    who = F.concat(F.lit("s"), (F.col("event_id") % 3).cast("string"))
+    seen = rows.filter("event_type = 'view'").select(F.col("user_id").alias("job_id"), who.alias("subscriber"), F.col("ts").cast("timestamp").alias("ts"))
+    first = seen.groupBy("job_id", "subscriber").agg(F.min("ts").alias("joined"))
+    return first.withColumn("gone", F.when(F.col("subscriber") == "s1", F.col("joined") + F.expr("INTERVAL 10 DAYS")))
+
+
+@query("""
+WITH s AS (SELECT user_id AS job_id, 's' || event_id % 3 AS subscriber, min(ts) AS joined FROM events WHERE event_type = 'view' GROUP BY ALL)
+SELECT job_id, subscriber, count(*) AS n, min(ts)::TIMESTAMP AS first, max(ts)::TIMESTAMP AS last, sum(event_id)::BIGINT AS ids
+FROM events JOIN s ON job_id = user_id AND ts >= joined AND (subscriber <> 's1' OR ts <= joined + INTERVAL 10 DAY) GROUP BY ALL""")
+def fan_out(spark, sf_dir):
+    rows = table(spark, sf_dir, "events")
+    told = rows.select(F.col("user_id").alias("job_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("event"), F.col("event_id").cast("string").alias("payload"))
+    out = delivery.fan_out(told, subscriptions(rows)).groupBy("job_id", "subscriber")
+    return out.agg(F.count("*").alias("n"), F.min("ts").alias("first"), F.max("ts").alias("last"), F.sum(F.col("payload").cast("long")).alias("ids"))
+
+
+_STATUS = "['pending', 'enhancing', 'transcribing', 'moderating', 'categorizing', 'completed', 'failed', 'cancelled']"
+
+
+@query(f"""
+WITH e AS (SELECT user_id AS job_id, event_id, {_STATUS}[event_id * 5 % 8 + 1] AS after, event_id * 5 % 8 AS k,
+  lag(event_id * 5 % 8) OVER (PARTITION BY user_id ORDER BY event_id) AS b FROM events)
+SELECT job_id, event_id, {_STATUS}[b + 1] AS before, after FROM e
+WHERE NOT CASE WHEN b IS NULL THEN k = 0 WHEN k = 0 THEN b > 0 WHEN b >= 5 THEN FALSE WHEN k >= 6 THEN TRUE ELSE k > b END""")
+def illegal_steps(spark, sf_dir):
+    """Steps that the state machine doesn't know, of jobs whose states come in a scrambled order."""
+    names = F.array(*[F.lit(s) for s in (*delivery.STATES, "failed", "cancelled")])
+    status = F.get(names, (F.col("event_id") * 5 % 8).cast("int"))
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("job_id"), "event_id", status.alias("status"))
+    return delivery.illegal_steps(rows, ["event_id"])
+
+
 def job_events(rows: DataFrame) -> DataFrame:
     """Table events as job events: purchases end a job, the others are segments."""
     kinds = F.when(F.col("event_type") == "purchase", "pipeline_complete").otherwise("transcript_segment")
@@ -662,11 +926,15 @@ def per_track_results(spark, sf_dir):
 
 @query()
 def enhance_tracks(spark, sf_dir):
+    """A third each music, speech and podcasts; the latter with the next signals as drums and bass."""
     from brindle.operators.enhance import enhance
 
     mode = F.get(F.array(*map(F.lit, ("music", "speech", "podcast"))), (F.col("vec_id") % 3).cast("int"))
-    out = enhance(waves(spark, sf_dir), mode, 8000)
-    return out.select("vec_id", "mode", F.round("snr_db", 2).alias("snr_db"), "clipped", "quality")
+    rows = wave_frames(spark, sf_dir)
+    stem = F.when(F.col("vec_id") % 3 == 0, "drums").when(F.col("vec_id") % 3 == 1, "bass").otherwise("vocals")
+    stems = rows.withColumn("stem", stem).withColumn("vec_id", F.floor(F.col("vec_id") / 3) * 3 + 2)
+    _, report = enhance(rows.withColumn("mode", mode), ["vec_id"], 8000, stems=stems, size=FRAME)
+    return report.select("vec_id", "mode", "snr_db", "clipped", "quality")
 
 
 @query("""
@@ -702,7 +970,7 @@ def _realtime(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
     rows = table(spark, sf_dir, "conversations")
     a, b = F.col("conv_id"), F.col("turn")
     fault = F.when((a + b) % 11 == 0, "ValueError").when((a + b * 2) % 6 == 0, "RuntimeError")
-    said = F.slice(F.split(F.coalesce("text", F.lit("")), " "), F.lit(1), (b % 3).cast("int"))
+    said = F.filter(F.split(F.coalesce("text", F.lit("")), r"[.!?\n]+"), lambda s: F.trim(s) != "")
     of_tracks = rows.select(
         a.alias("job_id"), b.cast("string").alias("track_id"), b.alias("position"), ((a + b) % 7 == 0).alias("is_muted"),
         ((a + b) % 3 == 0).alias("is_enhanced"), ((a + b) % 5 == 0).alias("has_transcription"),
@@ -715,7 +983,7 @@ def _realtime(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
 _TURN_TRACKS = """(
   SELECT conv_id AS job_id, turn::VARCHAR AS track_id, turn AS pos, (conv_id + turn) % 7 = 0 AS muted, (conv_id + turn) % 3 = 0 AS enhanced,
     (conv_id + turn) % 5 = 0 AS transcribed, (conv_id * 5 + turn) % 4 = 1 AS failed,
-    string_split(coalesce(text, ''), ' ')[1:(turn % 3)] AS words,
+    list_filter(string_split_regex(coalesce(text, ''), '[.!?\n]+'), lambda s: trim(s) <> '') AS words,
     CASE WHEN (conv_id + turn) % 11 = 0 THEN 'ValueError' WHEN (conv_id + turn * 2) % 6 = 0 THEN 'RuntimeError' END AS fault
   FROM conversations)"""
 _TURN_SEGMENTS = f"""(

@@ -109,18 +109,52 @@ def keyword_tags(spark, sf_dir):
     return exploded(docs(spark, sf_dir), fusion.best_row(fused_rules(), 8), "score", "rank")
 
 
+#: Rules of which some share a tag: the last that matches a text gives the score, and all of them count in the segments.
+SHARED = [*RULES, Rule("hes|ther", "#Theory"), Rule("zzz", "#Action"), Rule("that.the|on the", "#Pointers"), Rule("ist", "#German")]
+_SHARED = _values([(k, _bounded(r.pattern), r.tag) for k, r in enumerate(SHARED)]) + " AS rules(pos, pattern, tag)"
+
+
 @query(f"""
 WITH s AS (SELECT doc_id, {_FOLD.format("text")} AS t FROM documents),
 p AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS seg FROM s),
-h AS (SELECT doc_id, tag, count(*) AS hits FROM p, {_RULES} WHERE regexp_matches(seg, pattern) GROUP BY ALL),
+h AS (SELECT doc_id, tag, count(*) AS hits FROM p, {_SHARED} WHERE regexp_matches(seg, pattern) GROUP BY ALL),
 n AS (SELECT doc_id, count(*) AS segments FROM p GROUP BY doc_id),
-k AS ({_SCORES})
-SELECT doc_id, tag, CASE WHEN hits IS NULL THEN score
-  ELSE round(coalesce(score, 0) * 0.6 + hits / segments * 0.4, 4) END AS score
+c AS (SELECT doc_id, tag, pos, len(regexp_extract_all(t, pattern)) AS n FROM s, {_SHARED}),
+k AS (SELECT doc_id, tag, least(1.0, arg_max(n, pos) * 0.15 + 0.4)::DOUBLE AS score FROM c WHERE n > 0 GROUP BY ALL)
+SELECT doc_id, tag, round(CASE WHEN hits IS NULL THEN score ELSE coalesce(score, 0) * 0.6 + hits / segments * 0.4 END, 4) AS score
 FROM k FULL JOIN h USING (doc_id, tag) JOIN n USING (doc_id)""")
 def segment_density(spark, sf_dir):
     rows = docs(spark, sf_dir).withColumn("segments", F.split("text", "\n", -1))
-    return keywords.segment_scores(rows, RULES)
+    return keywords.segment_scores(rows, SHARED)
+
+
+_SYLLABLES = ("th", "er", "on", "an", "re", "in", "ed", "at", "ou", "ti", "es", "ha", "ng", "is", "or", "st", "de", "la", "un", "das")
+
+
+def many_rules(rules: int = 42, alternatives: int = 24) -> list[Rule]:
+    """Rules of a vocabulary's full size: syllables put together by number, some as two words or with a dot."""
+    n = len(_SYLLABLES)
+
+    def word(i: int) -> str:
+        return _SYLLABLES[i % n] + _SYLLABLES[i * 7 // n % n] + (_SYLLABLES[i // 5 % n] if i % 3 == 0 else "")
+
+    def alternative(i: int) -> str:
+        return f"{word(i)} {word(i + 1)}" if i % 11 == 0 else f"{word(i)}.{word(i + 3)}" if i % 29 == 0 else word(i)
+
+    return [Rule("|".join(alternative(r * alternatives + k) for k in range(alternatives)), f"#Tag{r % 40}") for r in range(rules)]
+
+
+_MANY = _values([(k, _bounded(r.pattern), r.tag) for k, r in enumerate(many_rules())]) + " AS rules(pos, pattern, tag)"
+
+
+@query(f"""
+SELECT doc_id, tag, n, round(least(1.0, n * 0.15 + 0.4)::DOUBLE, 4) AS score FROM (
+  SELECT doc_id, tag, arg_max(n, pos)::BIGINT AS n FROM (
+    SELECT doc_id, tag, pos, len(regexp_extract_all({_FOLD.format("text")}, pattern)) AS n FROM documents, {_MANY})
+  WHERE n > 0 GROUP BY ALL)""")
+def keyword_many(spark, sf_dir):
+    """42 rules of about 1,000 alternatives, two of them for tags that have another."""
+    return keywords.keyword_scores(docs(spark, sf_dir), many_rules())
 
 
 _STOP = ", ".join("'" + w + "'" for w in dict.fromkeys(tx.STOP_WORDS))

@@ -59,6 +59,14 @@ def stage(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
     return found
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder's path in the shared folder, for a stored table that ends with the staged ones."""
+    path = f"{staging_root(spark)}/brindle-{uuid.uuid4().hex}"
+    _STAGED.append(path)
+    _LAST[:] = [spark]
+    return f"{path}/{name}"
+
+
 def unstage(df: DataFrame) -> None:
     """Delete a staged table that nothing will read again: what was made from it is staged itself."""
     path = _PATHS.pop(id(df), None)
@@ -90,9 +98,12 @@ def bounded_batches(spark: SparkSession, rows: int = 512) -> None:
         spark.conf.set(key, str(rows))
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """``df`` dealt out to all cores if its scan has fewer tasks than there are cores, as one small file has; else as it is."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
+def spread(df: DataFrame, most: int = 8) -> DataFrame:
+    """``df`` dealt out to some cores if it is one small file: a scan of fewer than ``most`` tasks and fewer than the cores.
+
+    A table of more tasks stays as it is, however many cores there are: its texts aren't shuffled.
+    """
+    cores = min(df.sparkSession.sparkContext.defaultParallelism, most)
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from brindle.functions import dsp
 from brindle.functions import signal as sg
 from brindle.functions import text as tx
-from brindle.operators import fusion, jobs, keywords, moderation, scorers, tracks, transcripts
+from brindle.operators import frames, fusion, jobs, keywords, moderation, scorers, tracks, transcripts
 from brindle.sources import recordings, vocabulary
 from brindle.sources.vocabulary import Rule, Vocabulary
 from brindle.streaming import events as ev
@@ -91,8 +91,6 @@ def test_lexicon_ways_agree(spark, monkeypatch):
         monkeypatch.setattr(lexicon, "INLINE", inline)
         got = df.select("doc_id", lexicon.lexicon_hits(F.col("text"), phrases).alias("h")).collect()
         assert sorted([(r[0], r[1]) for r in got], key=repr) == expected
-    monkeypatch.setattr(lexicon, "SHARD", 2)
-    monkeypatch.setattr(lexicon, "BLOCK", 2)
     got = [(r[0], r[2]) for r in lexicon.hits_table(df, words).collect()]
     assert sorted(got, key=repr) == sorted([(i, p) for i, ps in expected for p in ps], key=repr)
 
@@ -162,7 +160,7 @@ def test_submit_is_idempotent(spark):
     table = spark.createDataFrame([(1, "r", "p", "enhancing", 1, 8, False), (2, "r", "p", "cancelled", 3, 8, True)], kind)
     asked = spark.createDataFrame([(1, "q", "p", 4), (2, "q", "p", 0), (3, "q", "p", None)], "id long, recording_id string, job_type string, max_tags int")
     once = jobs.submit(table, asked)
-    assert sorted((r["id"], r["status"], r["attempts"], r["max_tags"]) for r in once.collect()) == [(1, "enhancing", 1, 8), (2, "pending", 0, 8), (3, "pending", 0, 8)]
+    assert sorted((r["id"], r["status"], r["attempts"], r["max_tags"]) for r in once.collect()) == [(1, "enhancing", 1, 8), (2, "pending", 0, 0), (3, "pending", 0, 8)]
     assert sorted(once.collect()) == sorted(jobs.submit(once, asked).select(once.columns).collect())
 
 
@@ -177,7 +175,7 @@ def test_mixing_ignores_track_order(spark):
 def test_envelope_matches_numpy(spark):
     x = np.random.RandomState(0).rand(64)
     got = one(spark, sg.envelope_end(F.lit(x.tolist()), 0.9, 0.99))
-    assert got == pytest.approx(dsp.envelope(x, 0.9, 0.99)[-1], abs=1e-12)
+    assert got == pytest.approx(dsp.Envelope(0.9, 0.99)(x)[-1], abs=1e-12)
 
 
 def test_signal_edges(spark):
@@ -191,23 +189,33 @@ def test_signal_edges(spark):
     assert one(spark, sg.suppress(F.lit([1.0, 1.0]), F.lit([0.0, 1.0]))) == pytest.approx([0.08, 1.0])
 
 
-def test_dsp():
+def filtered(x, *filters):
+    for f in filters:
+        x = f(x)
+    return x
+
+
+def test_dsp(spark):
     t = np.arange(44_100) / 44_100
     sine = 0.5 * np.sin(2 * math.pi * 997 * t)
-    assert dsp.loudness(sine) == pytest.approx(20 * math.log10(0.5) - 3.01, abs=0.3)
-    assert dsp.loudness(np.zeros(44_100)) == -99.0
-    level = dsp.loudness(dsp.normalise_loudness(sine))
-    assert level == pytest.approx(-16.0, abs=0.1)
-    assert dsp.true_peak(sine) == pytest.approx(0.5, abs=0.02)
-    assert np.abs(dsp.limit_true_peak(sine * 2)).max() <= 10 ** (-1 / 20) + 1e-9
+    rows = spark.createDataFrame([(1, sine.tolist()), (2, [0.0] * 44_100), (3, (sine * 2).tolist())], "k int, samples array<double>")
+    cut = frames.to_frames(rows, ["k"], size=10_000)
+    lufs = {r["k"]: r["lufs"] for r in frames.loudness(cut, ["k"]).collect()}
+    assert lufs[1] == pytest.approx(20 * math.log10(0.5) - 3.01, abs=0.3) and lufs[2] == -99.0
+    level = {r["k"]: r["lufs"] for r in frames.loudness(frames.normalised(cut, ["k"]), ["k"]).collect()}
+    assert level[1] == pytest.approx(-16.0, abs=0.1)
+    assert {r["k"]: r["peak"] for r in frames.true_peaks(cut, ["k"]).collect()}[1] == pytest.approx(0.5, abs=0.02)
+    held = {r["k"]: r["peak"] for r in frames.peaks(frames.limited_true_peak(cut, ["k"]), ["k"]).collect()}
+    assert held[3] <= 10 ** (-1 / 20) + 1e-9
     assert len(dsp.resample(sine, 44_100, 16_000)) == 16_000
-    gated = dsp.noise_gate(np.concatenate([sine[:4410] * 1e-5, sine[:4410]]))
+    gated = filtered(np.concatenate([sine[:4410] * 1e-5, sine[:4410]]), dsp.Gate())
     assert np.abs(gated[2000:4000]).max() < 1e-5 and np.abs(gated[-100:]).max() > 0.4
-    assert np.abs(dsp.compress(sine)).max() < 0.5 and np.abs(dsp.compress(np.ones(44_100))).max() <= 0.99
-    low = dsp.equalise(0.5 * np.sin(2 * math.pi * 20 * t))
+    assert np.abs(filtered(sine, dsp.Compressor())).max() < 0.5
+    assert np.abs(dsp.limit_peak(filtered(np.ones(44_100), dsp.Compressor()))).max() <= 0.99
+    low = filtered(0.5 * np.sin(2 * math.pi * 20 * t), *dsp.equaliser())
     assert np.abs(low[4410:]).max() < 0.05
     assert np.median(dsp.pitch_track(np.sin(2 * math.pi * 150 * np.arange(8000) / 16_000), 16_000)) == pytest.approx(150, abs=3)
-    out = dsp.splice(np.ones(1000), np.zeros(200), 400, 600, 1000)
+    out = filtered(np.ones(1000), dsp.Splice(np.zeros(200), 400, 600, 1000, 1000))
     assert len(out) == 1000 - 40 and out[0] == 1 and out[450] == 0
 
 
