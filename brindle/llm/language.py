@@ -27,10 +27,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from brindle.llm.text import wider
-from brindle.staging import bounded_batches
+from brindle.staging import bounded_batches, stage
 
-#: The labelled sample's bounds: rows of each language, and characters of a language. Longer rows come last.
-ROWS, CHARS = 48, 20_000
+#: The labelled sample's bounds: rows of each language, characters of a language, and of all languages together, by which
+#: each has fewer where very many labels occur. Longer rows come last.
+ROWS, CHARS, ALL_CHARS = 48, 20_000, 32_000_000
 PIECE = 256
 UNKNOWN, SEPARATOR, FIRST = 0, 1, 2
 #: States of pieces by languages that are stepped at once.
@@ -42,21 +43,23 @@ def sample(labelled: DataFrame, doc_id: str, text: str, lang: str) -> dict[str,
     rows = labelled.select(
         F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang")
     ).filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    shares = rows.groupBy("lang").agg((F.lit(4.0 * ROWS) / F.count("*")).alias("share"))
+    shares = stage(rows.groupBy("lang").agg((F.lit(4.0 * ROWS) / F.count("*")).alias("share")), "label_shares")
+    most = max(16, min(CHARS, ALL_CHARS // max(shares.count(), 1)))
     h = F.md5(F.concat(F.lit("lang:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
     unit = F.conv(F.substring(h, 1, 8), 16, 10).cast("double") / F.lit(2.0**32)
     best = Window.partitionBy("lang").orderBy(F.length("text") > CHARS, "h", "text")  # over a bounded number of rows
     few = (
-        rows.join(F.broadcast(shares), "lang")  # a row for each language
+        rows.join(shares, "lang")
         .withColumn("h", h)
         .filter(unit < F.col("share"))
         .withColumn("k", F.row_number().over(best))
-        .filter(F.col("k") <= ROWS)
-        .select("lang", "k", F.substring("text", 1, CHARS).alias("text"))
+        .withColumn("before", F.sum(F.length("text")).over(best.rowsBetween(Window.unboundedPreceding, -1)))
+        .filter((F.col("k") <= ROWS) & (F.coalesce("before", F.lit(0)) < most))
+        .select("lang", "k", F.substring("text", 1, most).alias("text"))
     )
     found: dict[str, str] = {}
     for r in sorted(few.collect(), key=lambda r: (r["lang"], r["k"])):
-        found[r["lang"]] = (found.get(r["lang"], "") + " " + r["text"])[:CHARS]
+        found[r["lang"]] = (found.get(r["lang"], "") + " " + r["text"])[:most]
     return found
 
 
@@ -301,13 +304,18 @@ def identify(
 ) -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score``: the language learned from ``labelled`` that fits the text best.
 
-    Columns of these names that ``docs`` has are replaced.
+    Columns of these names that ``docs`` has are replaced. Null texts, texts without a letter and, where no label was
+    learned, all texts are ``und`` with score 0.
 
     ``score`` is the second best language's entropy over the sum of the two best's: 0.5 for a tie, near 1 when sure.
     """
+    return _identified(docs, sample(labelled, doc_id, text, lang), text)
+
+
+def _identified(docs: DataFrame, learned: dict[str, str], text: str) -> DataFrame:
     spark = docs.sparkSession
     bounded_batches(spark)
-    model = spark.sparkContext.broadcast(sample(labelled, doc_id, text, lang))
+    model = spark.sparkContext.broadcast(learned)
     names = [c for c in docs.columns if c not in ("lang_pred", "score")]
     kept = docs.select(*names)
     schema = wider(kept.schema, lang_pred="string", score="double")
@@ -327,8 +335,14 @@ def identify(
 def keep_identified(
     docs: DataFrame, labelled: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang"
 ) -> DataFrame:
-    """The documents whose language can be told: those with ``und`` go. Columns as in ``docs``, whatever their names."""
+    """The documents whose language can be told: those with ``und`` go. Columns as in ``docs``, whatever their names.
+
+    Where no label was learned nothing can be told apart, and every document with a letter stays.
+    """
+    learned = sample(labelled, doc_id, text, lang)
+    if not learned:
+        return docs.filter(F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)))
     row = F.struct(*[F.col(c) for c in docs.columns]).alias("row")
-    found = identify(docs.select(row, F.col(text).alias(text)), labelled, doc_id, text, lang)
+    found = _identified(docs.select(row, F.col(text).alias(text)), learned, text)
     kept = found.filter("lang_pred <> 'und'")
     return kept.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])

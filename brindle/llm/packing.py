@@ -7,8 +7,8 @@ of two (1024 or 2048; at the end of a partition 64 to 512 as well). The cost of
 length, so its best beginning is the front of a monotone queue; beginnings a power of two away are looked up. Documents are dealt by ranges of doc_id; each partition is packed on its
 own, in blocks of BLOCK tokens whose open end goes on into the next block.
 
-A null text is empty and still has its end token; documents of equal id stand in the order of their texts, null ids come
-first; texts of any length are cut freely; an empty table gives no piece.
+A null text is empty and still has its end token; documents of equal id stand in the order of their texts and are told apart
+by ``copy``, which counts them from 0; null ids come first; texts of any length are cut freely; an empty table gives no piece.
 """
 
 from __future__ import annotations
@@ -31,8 +31,6 @@ LENGTH, END = 4096, 2
 SENTENCE_COST, INNER_COST, SHORT_COST = 8, 40, 24
 #: Tokens without a sentence's end after which inner cuts are offered, and how far apart.
 GAP, INNER_STEP = 64, 16
-#: Of sentences' ends in the same stretch of so many tokens, the last is offered.
-CLOSE = 12
 BLOCK = 1 << 18
 #: Words whose tokens a Python worker remembers.
 REMEMBERED = 1_200_000
@@ -128,8 +126,6 @@ def offered_cuts(sentences: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, n
     """Places at which documents that end at the places ``ends`` may be cut, rising, and their costs. ``sentences`` are
     the places after sentences' ends; what lies before 0 is packed already."""
     inside = np.setdiff1d(sentences[sentences > 0], np.concatenate([ends, ends - 1]), assume_unique=True)
-    if len(inside):
-        inside = inside[np.diff(inside // CLOSE, append=-1) != 0]
     places = np.concatenate([ends, inside])
     costs = np.where(np.arange(len(places)) < len(ends), 0, SENTENCE_COST)
     order = np.argsort(places, kind="stable")
@@ -211,25 +207,28 @@ class Packer:
     """Holds documents until a block is full and turns them into pieces."""
 
     def __init__(self, first_sequence: int) -> None:
-        self.docs: list[tuple[int | None, bytes, np.ndarray]] = []
+        self.docs: list[tuple[int | None, bytes, np.ndarray, int]] = []
+        self.last: tuple[int | None, int] = (None, -1)  # the last document's id, and how many of that id came before it
         self.used = 0  # tokens of the first document that are packed already
         self.held = 0
         self.sequence = first_sequence
 
     def add(self, doc_id: int | None, ids: bytes, sentences: np.ndarray) -> list[tuple]:
-        self.docs.append((doc_id, ids, sentences))
+        copy = self.last[1] + 1 if self.last[1] >= 0 and self.last[0] == doc_id else 0
+        self.last = (doc_id, copy)
+        self.docs.append((doc_id, ids, sentences, copy))
         self.held += len(ids) // 4
         return self.pack(False) if self.held >= BLOCK else []
 
     def pack(self, final: bool) -> list[tuple]:
-        """Pieces: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
+        """Pieces: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, copy."""
         if not self.docs:
             return []
-        sizes = np.array([len(ids) // 4 for _, ids, _ in self.docs])
+        sizes = np.array([len(ids) // 4 for _, ids, _, _ in self.docs])
         ends = np.cumsum(sizes) - self.used
         starts = (ends - sizes).tolist()
-        sentences = np.concatenate([x for _, _, x in self.docs]) + np.repeat(
-            starts, [len(x) for _, _, x in self.docs]
+        sentences = np.concatenate([x for _, _, x, _ in self.docs]) + np.repeat(
+            starts, [len(x) for _, _, x, _ in self.docs]
         )
         places, costs = offered_cuts(sentences.astype(np.int64), ends)
         if final:
@@ -239,12 +238,12 @@ class Packer:
         for cut in cuts:
             offset = 0
             while at < cut:
-                doc_id, ids, _ = self.docs[d]
+                doc_id, ids, _, copy = self.docs[d]
                 total = len(ids) // 4
                 take = min(cut, starts[d] + total) - at
                 own = at - starts[d]
                 crc = zlib.crc32(memoryview(ids)[4 * own : 4 * (own + take)])
-                pieces.append((doc_id, own, take, crc, total, self.sequence, offset))
+                pieces.append((doc_id, own, take, crc, total, self.sequence, offset, copy))
                 offset += take
                 at += take
                 if at == starts[d] + total:
@@ -256,7 +255,7 @@ class Packer:
         return pieces
 
 
-PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, copy long"
 _NAMES = [x.split()[0] for x in PIECES.split(",")]
 _TOKENS: dict[str, WordTokens] = {}
 

@@ -21,7 +21,6 @@ from __future__ import annotations
 
 import html
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -58,25 +57,31 @@ BAD_NAMES = frozenset(
 )
 #: Beginnings of longer names of the same kind, as in ``commentlist``; words that begin like them but are of another kind.
 BAD_STEMS = ("comment", "advert", "sponsor", "cookie", "breadcrumb", "sidebar", "newsletter", "navbar", "footer", "pagination")
-OTHER_NAMES = frozenset("commentary commentaries commentator footers".split())
+OTHER_NAMES = frozenset("commentary commentaries commentator commentable footers".split())
+#: Beginnings that decide whatever else a name has, and the words that turn such a name into its opposite.
+STRONG_STEMS = ("comment", "advert", "sponsor")
+OPPOSITES = frozenset("no non not without with has have open opened closed off enabled disabled free hide hidden".split())
 #: Names that good text overrules, and words that make known compounds with bad names.
 WEAK_NAMES = frozenset("notice notices alert banner header masthead search login share sharing social skip toolbar".split())
 PLAIN_NAMES = frozenset(
     "site page post entry article blog main top bottom left right primary secondary global sticky fixed area list section "
     "box bar block group container wrapper wrap inner outer row col column panel link links button buttons form item items "
-    "text title message thread posts stories".split()
+    "text title message thread posts stories articles news content user reader".split()
 )
 #: Elements without blocks inside, which the next block ends; those that end others of their kind.
 LEAF_TAGS = frozenset("p h1 h2 h3 h4 h5 h6 pre caption legend".split())
 ENDED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "tr": {"tr"}}
+ENDS = {t: [x for x, by in ENDED_BY.items() if t in by] for t in {t for by in ENDED_BY.values() for t in by}}
 #: How bad an element is: by a weak name, by a name, by its tag or hidden; or an article that a named element holds.
 GOOD, WEAK, NAMED, BAD, HELD = range(5)
 
 _NAME = re.compile(r"[a-zA-Z][a-zA-Z0-9:-]*")
 _STOP = re.compile(r"[>\"']")
 _ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+))?""")
-_ENDS = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I) for name in SKIPPED.split("|")}
+_ENDS = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in SKIPPED.split("|")}
 _HIDDEN = re.compile(r"display\s*:\s*none", re.I)
+#: Numbers of character references with leading zeros, and of more digits than any character has.
+_ZEROS, _TOO_HIGH = re.compile(r"&#([xX]?)0+(?=[0-9a-fA-F])"), re.compile(r"&#(?:[1-9]\d{7,}|[xX][1-9a-fA-F][0-9a-fA-F]{6,});?")
 _PARTS = re.compile(r"[^a-z0-9]+")
 _LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -105,7 +110,8 @@ def _badness(tag: str, attributes: str, in_article: bool) -> int:
                 named = {x for x in parts if x in BAD_NAMES or x.startswith(BAD_STEMS) and x not in OTHER_NAMES}
                 if "header" in parts and not in_article:
                     named = named | {"header"}
-                if named and parts <= named | PLAIN_NAMES:
+                strong = any(x.startswith(STRONG_STEMS) for x in named) and not parts & OPPOSITES
+                if strong or named and parts <= named | PLAIN_NAMES:
                     worst = max(worst, WEAK if named <= WEAK_NAMES else NAMED)
     return worst if tag in SECTION_TAGS or worst != WEAK else GOOD
 
@@ -162,22 +168,34 @@ def markup(page: str) -> Iterator[tuple[int, int, str, bool, str]]:
         if tag in _ENDS and not closing:
             if not attributes.endswith("/"):
                 last = _ENDS[tag].search(page, at)
-                at = last.end() if last else size
+                stop = page.find(">", last.end()) if last else -1  # without one here there is none later either
+                at = stop + 1 if stop >= 0 else size
             yield begin, at, "", False, ""
             continue
         yield begin, at, tag, closing, attributes
 
 
+def _decoded(text: str) -> str:
+    """Character references decoded; a number that no character has is U+FFFD, however long it is."""
+    if "&#" in text:
+        text = _TOO_HIGH.sub("\ufffd", _ZEROS.sub(r"&#\1", text))
+    return html.unescape(text)
+
+
 def blocks_of(page: str) -> list[Block]:
     """The page's blocks with some text, in page order."""
     found: list[Block] = []
     stack: list[tuple[str, int, bool, int]] = [("", GOOD, False, 0)]  # tag, how bad, in an article, section
     sections, text, linked, in_link, head, at = 1, [], 0, False, False, 0
 
-    opened: Counter = Counter()  # elements on the stack by name
+    opened: dict[str, list[int]] = {}  # places on the stack by name, rising
+    held: list[int] = [0]  # places of sections
 
     def cut(k: int) -> None:
-        opened.subtract(x[0] for x in stack[k:])
+        for name, *_ in reversed(stack[k:]):
+            opened[name].pop()
+            if name in SECTION_TAGS:
+                held.pop()
         del stack[k:]
 
     def add(piece: str) -> None:
@@ -189,7 +207,7 @@ def blocks_of(page: str) -> list[Block]:
 
     def close() -> None:
         nonlocal text, linked
-        plain = " ".join(html.unescape("".join(text)).split())
+        plain = " ".join(_decoded("".join(text)).split())
         if plain:
             _, bad, article, section = stack[-1]
             found.append(Block(plain, section, bad, article, min(1.0, linked / len(plain))))
@@ -213,13 +231,11 @@ def blocks_of(page: str) -> list[Block]:
                 continue
             if not ending:
                 while stack[-1][0] in LEAF_TAGS:
-                    opened[stack.pop()[0]] -= 1
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] in SECTION_TAGS:
-                        break
-                    if tag in ENDED_BY.get(stack[k][0], ()):
-                        cut(k)
-                        break
+                    cut(len(stack) - 1)
+                # the last open element that this one ends, unless a section has begun since
+                ended = max((opened[x][-1] for x in ENDS.get(tag, ()) if opened.get(x)), default=0)
+                if ended > held[-1]:
+                    cut(ended)
                 _, bad, article, section = stack[-1]
                 own = _badness(tag, attributes, article)
                 inside = article or tag in ARTICLE_TAGS
@@ -231,15 +247,14 @@ def blocks_of(page: str) -> list[Block]:
                     now = max(bad, own)
                 if now != bad or inside and not article:
                     section, sections = sections, sections + 1
+                opened.setdefault(tag, []).append(len(stack))
+                if tag in SECTION_TAGS:
+                    held.append(len(stack))
                 stack.append((tag, now, inside, section))
-                opened[tag] += 1
-            elif opened[tag]:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] == tag:
-                        cut(k)
-                        break
-                    if tag not in SECTION_TAGS and stack[k][0] in SECTION_TAGS:
-                        break
+            elif opened.get(tag):
+                last = opened[tag][-1]
+                if tag in SECTION_TAGS or last > held[-1]:
+                    cut(last)
     add(page[at:])
     close()
     other = any(b.article and b.bad == GOOD for b in found)
