@@ -6,11 +6,15 @@ own policy. A blank text is safe.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brindle.functions.text import blank, let, sentences, two_places, word_count
-from brindle.operators.lexicon import lexicon_hits
+from brindle.operators.lexicon import lexicon_hits, with_hits
+from brindle.sources.vocabulary import add_phrases
+from brindle.staging import stage
 
 # The labels of the toxicity scores and what a report calls them, and the intents' wording.
 TOXIC_LABELS = {
@@ -124,7 +128,7 @@ _MODEL = "struct<flagged: boolean, severity: string, intent: string, reason: str
 
 def moderate(
     docs: DataFrame, phrases: list[str], blocked: list[str] = (), scorer=None, key: str = "doc_id", text: str = "text",
-    carry: list[str] = (),
+    carry: list[str] = (), hits: str | None = None,
 ) -> DataFrame:
     """key, flagged, severity, intent, band, reason, categories, hits, learns for each row, and the columns ``carry``, in
     one pass.
@@ -137,13 +141,19 @@ def moderate(
     0.30): safe. middle (below 0.80): the model's verdict, held to known values; without one the lattice of intent and
     flag. high: always flagged, the severity by score, intent and reason the model's, or else harmful by its score.
 
+    ``hits`` names a column of phrases (array<string>) that were found already, as ``lexicon.with_hits`` does for lexicons of
+    any length.
+
     ``learns`` marks texts whose sentences a lexicon may learn: in the middle band a model that flags as harmful, or a
     flagged harmful intent of 0.70 or more; in the high band unless a model calls the intent safe. Never lexicon hits.
     """
     words = [w.strip().lower() for w in blocked if w.strip()]
-    marked = docs.withColumn("hits", lexicon_hits(F.col(text), [*phrases, *words]))
-    marked = marked.withColumn("blank", blank(F.col(text)))
+    found = lexicon_hits(F.col(text), [*phrases, *words])
+    if hits is not None:  # what a table's index found comes first
+        found = F.concat(F.coalesce(F.col(hits), F.array().cast("array<string>")), found)
+    marked = docs.withColumn("hits", found).withColumn("blank", blank(F.col(text)))
     if scorer is not None:
+        marked = stage(marked, "marked")  # both branches read it: phrases are searched once
         open_ = ~F.col("blank") & (F.size("hits") == 0)
         marked = marked.filter(~open_).unionByName(scorer(marked.filter(open_)), allowMissingColumns=True)
     for name, kind in (("scores", _SCORES), ("intent_scores", _SCORES), ("model", _MODEL)):
@@ -225,6 +235,33 @@ def learned_phrases(flagged: DataFrame, lexicon: DataFrame, text: str = "text")
     return found.filter(words.between(2, 10)).distinct().join(lexicon.select("phrase"), "phrase", "left_anti")
 
 
+def learn_epochs(
+    docs: DataFrame, lexicon: DataFrame, judge: Callable[[DataFrame], DataFrame], key: str = "doc_id", text: str = "text", most: int = 20
+) -> tuple[DataFrame, DataFrame, list[int]]:
+    """(lexicon, verdicts, rows judged in each epoch) once no text teaches a phrase any more.
+
+    ``docs`` has a unique ``key`` and the columns that ``judge`` reads; it gets them with ``hits`` (array<string>), the phrases
+    of the lexicon so far (pos, phrase), and gives ``moderate``'s rows. In an epoch the lexicon is fixed. After one, only the
+    texts that hold a phrase learned in it are judged again: no other verdict can have changed.
+    """
+    named = lambda rows, lex: with_hits(rows, lex, text, "hits").withColumn("hits", F.transform("hits", lambda h: h["phrase"]))
+    lexicon = stage(lexicon.select("pos", F.lower("phrase").alias("phrase")), "lexicon")
+    verdicts = stage(judge(named(docs, lexicon)), "verdicts")
+    judged, again = [docs.count()], verdicts
+    while len(judged) <= most:
+        teachers = docs.join(again.filter("learns").select(key), key, "left_semi")
+        fresh = learned_phrases(teachers, lexicon, text).orderBy("phrase")
+        fresh = stage(fresh.select(F.monotonically_increasing_id().alias("pos"), "phrase"), "learned")
+        if fresh.isEmpty():
+            return lexicon, verdicts, judged
+        lexicon = stage(add_phrases(lexicon, fresh), "lexicon")
+        touched = stage(with_hits(docs, fresh, text, "hits").filter(F.size("hits") > 0).drop("hits"), "touched")
+        again = stage(judge(named(touched, lexicon)), "again")
+        verdicts = stage(verdicts.join(again.select(key), key, "left_anti").unionByName(again), "verdicts")
+        judged.append(touched.count())
+    raise RuntimeError(f"texts still teach phrases after {most} epochs")
+
+
 def blocked_hits(text: Column, words: list[str]) -> Column:
     """array<string>: the words, as they are written, that stand somewhere in the text, case aside. A null text has none."""
     listed = F.array(*[F.lit(w) for w in words]).cast("array<string>")

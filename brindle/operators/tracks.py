@@ -56,3 +56,9 @@ def processing_summary(tracks: DataFrame, recording: str) -> DataFrame:
         F.count_if(F.col("is_enhanced")).alias("n_enhanced"),
         F.count_if(F.col("has_transcription")).alias("n_transcribed"),
     )
+
+
+def untranscribed(tracks: DataFrame, transcripts: DataFrame, keys: list[str]) -> DataFrame:
+    """Active tracks that have no transcript (keys, text) with something in it: those that are still to be transcribed."""
+    there = transcripts.filter(F.trim(F.coalesce("text", F.lit(""))) != "").select(*keys).distinct()
+    return tracks.filter(~F.coalesce("is_muted", F.lit(False))).join(there, keys, "left_anti")

@@ -822,6 +822,96 @@ def stream_fold(spark, sf_dir):
     return ev.fold_batch(job_events(table(spark, sf_dir, "events")))
 
 
+_LIVE_RULES = [("view|click", "#Looking"), ("cart", "#Buying"), ("signup|login", "#Joining"), ("zzz", "#Never")]
+_LIVE = ", ".join(f"({i}, '\\b(?:{p})\\b', '{t}')" for i, (p, t) in enumerate(_LIVE_RULES))
+
+
+@query(f"""
+WITH e AS (SELECT user_id AS job_id, event_type = 'purchase' AS last, ts, replace(event_type, '_', ' ') AS payload FROM events),
+f AS (SELECT job_id, min(ts) AS t FROM e WHERE last GROUP BY job_id),
+j AS (SELECT f.job_id, count(payload) AS n_segments, coalesce(string_agg(payload, ' ' ORDER BY ts, payload), '') AS transcript
+  FROM f LEFT JOIN (SELECT * FROM e WHERE NOT last) s ON s.job_id = f.job_id AND s.ts <= f.t GROUP BY f.job_id),
+r AS (SELECT job_id, tag, pos, least(1.0, len(regexp_extract_all(transcript, pattern)) * 0.15 + 0.4) AS score
+  FROM j, (VALUES {_LIVE}) AS v(pos, pattern, tag) WHERE regexp_matches(transcript, pattern))
+SELECT job_id, n_segments, coalesce(tags, '') AS tags FROM j LEFT JOIN (
+  SELECT job_id, string_agg(tag, ',' ORDER BY score DESC, pos) AS tags FROM r GROUP BY job_id) USING (job_id)""")
+def live_results(spark, sf_dir):
+    """Realtime jobs, folded and categorised; the stream of the same is tested to give the same."""
+    from brindle.plans.live import batch_results
+    from brindle.sources.vocabulary import Rule, Vocabulary
+
+    words = Vocabulary(["Shop"], [t for _, t in _LIVE_RULES], [Rule(p, t) for p, t in _LIVE_RULES])
+    rows = table(spark, sf_dir, "events")
+    kind = F.when(F.col("event_type") == "purchase", "pipeline_complete").otherwise("transcript_segment")
+    told = rows.select(F.col("user_id").alias("job_id"), kind.alias("event"), "ts", F.replace("event_type", F.lit("_"), F.lit(" ")).alias("payload"))
+    out = batch_results(told, words)
+    return out.select("job_id", "n_segments", F.array_join("result.tags", ",").alias("tags"))
+
+
+@query(f"""
+SELECT vec_id, round(list_sum(list_transform(x, lambda v, i: v * (0.08 + 0.92 * CASE WHEN i % 3 = 0 THEN 1 ELSE 0.25 END))), 6) AS quiet,
+  len(x[11:50])::BIGINT AS n, round(x[15] * (1 - cos(pi() * 4 / 7)) / 2, 6) AS faded, round(x[30], 6) AS kept FROM {_waves()}""")
+def suppress_strip(spark, sf_dir):
+    """Samples turned down outside a mask, and the ends cut off with fades of eight samples."""
+    mask = F.transform("samples", lambda v, i: F.when((i + 1) % 3 == 0, 1.0).otherwise(0.25))
+    cut = sg.strip_silence(F.col("samples"), F.lit(10), F.lit(50), 8)
+    rows = waves(spark, sf_dir).select("vec_id", sg.total(sg.suppress(F.col("samples"), mask)).alias("q"), cut.alias("cut"))
+    return rows.select(
+        "vec_id", F.round("q", 6).alias("quiet"), F.size("cut").cast("long").alias("n"), F.round(F.get("cut", F.lit(4)), 6).alias("faded"),
+        F.round(F.get("cut", F.lit(19)), 6).alias("kept"),
+    )
+
+
+@query(f"""
+SELECT l_orderkey, coalesce(n, 0)::BIGINT AS n_words, coalesce(p, 0)::DOUBLE AS confidence, coalesce(t, '') AS text
+FROM (SELECT DISTINCT l_orderkey FROM lineitem) LEFT JOIN (
+  SELECT l_orderkey, sum(n) AS n, round((sum(p) / sum(n))::DOUBLE, 4) AS p, string_agg(text, ' ' ORDER BY seg) AS t FROM (
+    SELECT l_orderkey, l_suppkey % 3 AS seg, count(*) AS n, sum(l_quantity / 50) AS p,
+      string_agg({_WORD}, ' ' ORDER BY l_linenumber, l_partkey, l_suppkey, {_WORD}, l_quantity, l_discount) AS text
+    FROM lineitem WHERE l_suppkey % 3 <> 2 GROUP BY ALL) GROUP BY l_orderkey) USING (l_orderkey)""")
+def transcript_lenient(spark, sf_dir):
+    """Cleaning that keeps improbable words and quiet segments."""
+    out = transcripts.transcripts(nested(words(spark, sf_dir)), strict=False)
+    return out.select("l_orderkey", "n_words", "confidence", "text")
+
+
+_ODD_LINES = """(SELECT c_custkey, CASE c_custkey % 6
+  WHEN 0 THEN '{"id": "c' || c_custkey || '", "title": "t", "tracks": [{"id": "x", "volume": 0.5}, {"id": "y"}], "other": 1}'
+  WHEN 1 THEN '{"id": "c' || c_custkey || '", "tracks": [' WHEN 2 THEN '{"title": "no id"}' WHEN 3 THEN '   '
+  WHEN 4 THEN '{"id": "c' || c_custkey || '", "tracks": null}' ELSE '[1, 2]' END AS line FROM customer)"""
+
+
+@query(f"""
+SELECT CASE c_custkey % 6 WHEN 0 THEN 'recording' WHEN 4 THEN 'recording' WHEN 2 THEN 'no id' ELSE 'malformed' END AS outcome,
+  count(*) AS n, sum(CASE WHEN c_custkey % 6 = 0 THEN 2 ELSE 0 END)::BIGINT AS tracks
+FROM {_ODD_LINES} WHERE c_custkey % 6 <> 3 GROUP BY 1""")
+def recording_rejects(spark, sf_dir):
+    """Good and bad JSON lines of recordings, written by the customers' number and read back."""
+    from brindle.sources.recordings import split_recordings
+
+    key = F.col("c_custkey")
+    begin = F.concat(F.lit('{"id": "c'), key.cast("string"), F.lit('", '))
+    line = (
+        F.when(key % 6 == 0, F.concat(begin, F.lit('"title": "t", "tracks": [{"id": "x", "volume": 0.5}, {"id": "y"}], "other": 1}')))
+        .when(key % 6 == 1, F.concat(begin, F.lit('"tracks": ['))).when(key % 6 == 2, F.lit('{"title": "no id"}'))
+        .when(key % 6 == 3, F.lit("   ")).when(key % 6 == 4, F.concat(begin, F.lit('"tracks": null}'))).otherwise("[1, 2]")
+    )
+    path = scratch(spark, "lines")
+    table(spark, sf_dir, "customer").select(line.alias("value")).write.text(path)
+    good, bad = split_recordings(spark, path)
+    rows = good.select(F.lit("recording").alias("outcome"), F.coalesce(F.when(F.size("tracks") >= 0, F.size("tracks")), F.lit(0)).alias("k"))
+    rows = rows.unionByName(bad.select(F.col("reason").alias("outcome"), F.lit(0).alias("k")))
+    return rows.groupBy("outcome").agg(F.count("*").alias("n"), F.sum("k").cast("long").alias("tracks"))
+
+
+@query("""
+SELECT conv_id, turn FROM conversations WHERE (conv_id + turn) % 4 <> 0 AND NOT (turn % 3 = 0 AND trim(coalesce(text, '')) <> '')""")
+def untranscribed_tracks(spark, sf_dir):
+    rows = _tracks(spark, sf_dir)
+    said = rows.filter("has_transcription").select("conv_id", "turn", "text")
+    return tracks.untranscribed(rows, said, ["conv_id", "turn"]).select("conv_id", "turn")
+
+
 # -- further records
 
 

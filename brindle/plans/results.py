@@ -101,6 +101,27 @@ def text_result(
     return out.otherwise(let(let(layers, scored), merged))
 
 
+def track_results(
+    tracks: DataFrame, recording: str, order: str, text: str = "text", result: str = "result", blocked: list[str] = ()
+) -> DataFrame:
+    """(recording, order, tags, categories, sentiment): each track's own part in ``recording_results``, without blocked words.
+
+    One row a track that isn't blank, so that a recording of very many tracks is never gathered.
+    """
+    words = [w.lower() for w in blocked]
+    r = F.col(result)
+    live = tracks.filter(~blank(F.col(text)))
+    return live.select(recording, order, _without(r["tags"], words).alias("tags"), r["categories"].alias("categories"), r["sentiment"].alias("sentiment"))
+
+
+def with_track_results(results: DataFrame, tracks: DataFrame, recording: str, order: str) -> DataFrame:
+    """``recording_results`` with ``per_track``, a map of ``track_results`` by track in their order; null for one track alone."""
+    entry = F.struct(F.col(order).alias("key"), F.struct("tags", "categories", "sentiment").alias("value"))
+    gathered = tracks.groupBy(recording).agg(F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("_map"))
+    joined = results.join(gathered, recording, "left")
+    return joined.withColumn("per_track", F.when(F.col("n_tracks") > 1, F.col("_map"))).drop("_map")
+
+
 def recording_results(
     tracks: DataFrame, recording: str, order: str, text: str = "text", result: str = "result",
     blocked: list[str] = (), auto: list[str] = (), k: int = 8,

@@ -6,11 +6,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.functions import text as tx
-from brindle.operators import fusion, keywords, moderation
+from brindle.operators import fusion, keywords, moderation, scorers
 from brindle.operators.lexicon import hits_table, lexicon_hits
 from brindle.sources import vocabulary
 from brindle.sources.vocabulary import Rule
-from brindle.staging import spread, table
+from brindle.staging import scratch, spread, table
 
 RULES = [
     Rule("ther|thon", "#Theory"), Rule("tion | er", "#Action"), Rule("der|die|das", "#German"), Rule("une|dans", "#French"),
@@ -746,6 +746,102 @@ def categorize_tracks(spark, sf_dir):
     return out.select("conv_id", F.struct("*").alias("r"), "n_tracks").select("conv_id", *_shown(F.col("r")), "n_tracks")
 
 
+@query(f"""
+SELECT conv_id, turn, CASE WHEN said THEN '#Talk' ELSE coalesce(tags, '') END AS tags,
+  CASE WHEN said THEN 'Poetry,Opera' ELSE categories END AS categories,
+  CASE WHEN said THEN 'negative' ELSE {_sentiment_sql("conv_id", "turn")} END AS sentiment
+FROM (SELECT doc_id, conv_id, turn, {_TRACK_SAID} AS said FROM {_TURNS} WHERE NOT {_BLANK})
+LEFT JOIN (SELECT doc_id, string_agg(tag, ',' ORDER BY rank) AS tags FROM ({_TRACKS}) WHERE NOT {_BLOCKED} GROUP BY doc_id) USING (doc_id)
+JOIN (SELECT doc_id, string_agg(category, ',' ORDER BY rank) AS categories FROM (
+    SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, pos, category) AS rank FROM ({_TRACK_TOPICS}))
+  WHERE rank = 1 OR score >= 0.35 AND rank <= 3 GROUP BY doc_id) USING (doc_id)
+WHERE conv_id IN (SELECT conv_id FROM {_TURNS} WHERE NOT {_BLANK} GROUP BY conv_id HAVING count(*) > 1)""")
+def categorize_per_track(spark, sf_dir):
+    """Each track's part in its recording's result, from the map that the result carries."""
+    from brindle.plans.results import recording_results, text_result, track_results, with_track_results
+
+    key, known = F.col("doc_id"), list(dict.fromkeys(CATEGORIES))
+    second = _scores_of([(c, share(key + k, 4)) for k, c in enumerate(known)], lambda k: F.lit(True))
+    model = _said((F.col("conv_id") + F.col("turn")) % 4 == 0, ["#Theory", "#Talk"], ["Poetry", "Opera"], "negative")
+    words = vocabulary.Vocabulary(CATEGORIES, TAGS, RULES)
+    result = text_result(F.col("text"), words, hits(), second, sentiment=_sentiment(F.col("conv_id"), F.col("turn")), model=model, k=4)
+    rows = _turns(spark, sf_dir).withColumn("result", result)
+    out = recording_results(rows, "conv_id", "turn", blocked=BLOCKED, k=4)
+    out = with_track_results(out, track_results(rows, "conv_id", "turn", blocked=BLOCKED), "conv_id", "turn")
+    each = out.select("conv_id", F.explode("per_track").alias("turn", "r"))
+    return each.select("conv_id", "turn", F.array_join("r.tags", ",").alias("tags"), F.array_join("r.categories", ",").alias("categories"), "r.sentiment")
+
+
+@query(f"""
+WITH l AS ({SQL["learn_phrases_epoch"]}), h AS (SELECT doc_id, count(*) AS n FROM documents JOIN l ON contains(lower(text), phrase) GROUP BY doc_id)
+SELECT doc_id, n, min(phrase) AS first FROM h JOIN documents USING (doc_id) JOIN l ON contains(lower(text), phrase) GROUP BY doc_id, n""")
+def learned_hits(spark, sf_dir):
+    """The texts that an epoch's learned phrases touch, by the lexicon's index: those that the next epoch judges again."""
+    learned = learn_phrases_epoch(spark, sf_dir).select(F.xxhash64("phrase").alias("pos"), "phrase")
+    found = hits_table(docs(spark, sf_dir), learned)
+    return found.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("phrase").alias("first"))
+
+
+@query("""
+WITH h AS (SELECT item_id AS pos, lower(text) AS phrase FROM benchmark),
+n AS (SELECT max(pos) + 1 AS n FROM h),
+a AS (SELECT phrase, min(pos) AS pos FROM (SELECT p_partkey AS pos, lower(trim(p_name)) AS phrase FROM part)
+  WHERE phrase <> '' AND phrase NOT IN (SELECT phrase FROM h) GROUP BY phrase),
+v AS (SELECT pos, phrase, 'harm' AS origin, pos % 5 = 0 AS gone FROM h UNION ALL SELECT pos + n, phrase, 'platform', FALSE FROM a, n)
+SELECT phrase, pos, origin, gone FROM v""")
+def lexicon_versions(spark, sf_dir):
+    """A stored lexicon after a load, an addition and a removal: what is in its last version, and what is gone."""
+    store = vocabulary.lexicon_store(spark, scratch(spark, "lexicon"))
+    vocabulary.store_phrases(store, lexicon(spark, sf_dir), "harm")
+    vocabulary.store_phrases(store, table(spark, sf_dir, "part").select(F.col("p_partkey").alias("pos"), F.col("p_name").alias("phrase")), "platform")
+    vocabulary.forget_phrases(store, lexicon(spark, sf_dir).filter("pos % 5 = 0"))
+    first = vocabulary.stored_phrases(store, 1).select("pos", "phrase", "origin")
+    gone = first.join(vocabulary.stored_phrases(store), "phrase", "left_anti").withColumn("gone", F.lit(True))
+    return vocabulary.stored_phrases(store).withColumn("gone", F.lit(False)).unionByName(gone).select("phrase", "pos", "origin", "gone")
+
+
+@query("""
+WITH h AS (SELECT item_id AS pos, lower(text) AS phrase FROM benchmark)
+SELECT pos, phrase, 'harm' AS origin FROM h
+UNION ALL SELECT p_partkey + (SELECT max(pos) + 1 FROM h), p_name, 'platform' FROM part""")
+def lexicon_union(spark, sf_dir):
+    """Both lexicons, harm first, duplicates kept."""
+    platform = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("pos"), F.col("p_name").alias("phrase"))
+    return vocabulary.union_lexicons(lexicon(spark, sf_dir), platform)
+
+
+_LINES = """(SELECT 0 AS k, 0 AS i, '[CATEGORIES]' AS line, TRUE AS head UNION ALL SELECT 1, row_number() OVER (ORDER BY c), c, FALSE
+    FROM (SELECT DISTINCT upper(s_name[1:1]) || s_name[2:] AS c FROM supplier)
+  UNION ALL SELECT 2, 0, '', TRUE UNION ALL SELECT 3, 0, '[TAGS]', TRUE
+  UNION ALL SELECT 4, row_number() OVER (ORDER BY c), c, FALSE FROM (SELECT DISTINCT '#' || r_name AS c FROM region)
+  UNION ALL SELECT 5, 0, '[KEYWORDS]', TRUE
+  UNION ALL SELECT 6, row_number() OVER (ORDER BY n_nationkey), lower(n_name) || '|a=b = #' || n_name, FALSE FROM nation)"""
+
+
+@query(f"""
+SELECT CASE WHEN k < 2 THEN 'CATEGORIES' WHEN k < 5 THEN 'TAGS' ELSE 'KEYWORDS' END AS section, pos, line
+FROM (SELECT k, line, head, row_number() OVER (ORDER BY k, i) - 1 AS pos FROM {_LINES}) WHERE NOT head""")
+def vocabulary_file(spark, sf_dir):
+    """A vocabulary that was written as a text file with sections, read back line by line."""
+    names = lambda t, c: [r[0] for r in table(spark, sf_dir, t).select(c.alias("c")).distinct().orderBy("c").collect()]
+    rules = [r[0] for r in table(spark, sf_dir, "nation").orderBy("n_nationkey").select("n_name").collect()]
+    made = vocabulary.Vocabulary(
+        names("supplier", F.col("s_name")), names("region", F.concat(F.lit("#"), F.col("r_name"))),
+        [Rule(f"{n.lower()}|a=b", f"#{n}") for n in rules],
+    )
+    path = scratch(spark, "vocabulary")
+    vocabulary.write_sections(spark, made, path)
+    return vocabulary.read_sections(spark, path).withColumn("pos", F.col("pos").cast("long"))
+
+
+@query("SELECT doc_id, least(length(coalesce(text, '')), 512)::BIGINT AS read, strlen(coalesce(text, '')[1:512])::BIGINT AS bytes FROM documents")
+def prefix_scores(spark, sf_dir):
+    """What a scorer that reads the first 512 characters sees of each text."""
+    count = scorers.batch_scorer(lambda: lambda texts: [len((t or "").encode()) for t in texts], "text", "bytes", "long", scorers.READ_CHARS["toxicity"])
+    read = F.length(F.substring(F.coalesce("text", F.lit("")), 1, scorers.READ_CHARS["toxicity"])).cast("long")
+    return count(docs(spark, sf_dir)).select("doc_id", read.alias("read"), "bytes")
+
+
 BANNED = ["Trash", "scum ", "LICENSE", "theory", "der"]
 _BANNED = ", ".join(f"'{w}'" for w in BANNED)
 

@@ -25,6 +25,19 @@ def read_recordings(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(RECORDING).json(path)
 
 
+def split_recordings(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(recordings, rejects): JSON lines that are recordings with an id, and (line, reason) of those that aren't.
+
+    Unknown keys are ignored, and values of the wrong type make a line malformed; blank lines are neither.
+    """
+    lines = spark.read.text(path).filter(F.trim("value") != "")
+    read = lines.select("value", F.from_json("value", RECORDING + ", _bad string", {"columnNameOfCorruptRecord": "_bad"}).alias("r"))
+    reason = F.when(F.col("r").isNull() | F.col("r._bad").isNotNull(), "malformed").when(F.col("r.id").isNull(), "no id")
+    marked = read.withColumn("reason", reason)
+    good = marked.filter("reason is null").select("r.id", "r.title", "r.tracks")
+    return good, marked.filter("reason is not null").select(F.col("value").alias("line"), "reason")
+
+
 def tracks_of(recordings: DataFrame) -> DataFrame:
     """One row per track with defaults filled in, in ``place`` by sort_order and then by position."""
     rows = recordings.select(F.col("id").alias("recording_id"), F.posexplode("tracks").alias("pos", "t"))

@@ -7,6 +7,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from brindle.sources.versions import VersionedTable
+
 #: Phrases that a lexicon may have where it becomes part of a plan; longer ones are refused.
 MAX_PHRASES = 20_000
 
@@ -64,6 +66,13 @@ def write_vocabulary(spark: SparkSession, vocabulary: Vocabulary, path: str) ->
     spark.createDataFrame(rows, "section string, pos int, line string").write.mode("overwrite").parquet(path)
 
 
+def write_sections(spark: SparkSession, vocabulary: Vocabulary, path: str) -> None:
+    """The vocabulary as a text file with sections, which ``read_sections`` reads; blank lines stand between them."""
+    rules = [f"{r.pattern} = {r.tag}" for r in vocabulary.rules]
+    lines = ["[CATEGORIES]", *vocabulary.categories, "", "[TAGS]", *vocabulary.tags, "[KEYWORDS]", *rules]
+    spark.createDataFrame([("\n".join(lines),)], "value string").coalesce(1).write.text(path)
+
+
 def phrases(lexicon: DataFrame) -> list[str]:
     """The lower-cased phrases of (pos, phrase), in order; duplicates stay."""
     rows = lexicon.select("pos", F.lower("phrase").alias("phrase")).orderBy("pos").limit(MAX_PHRASES + 1).collect()
@@ -72,6 +81,36 @@ def phrases(lexicon: DataFrame) -> list[str]:
     return [r["phrase"] for r in rows]
 
 
+LEXICON_SCHEMA = "phrase string, pos long, origin string, gone boolean"
+
+
+def lexicon_store(spark: SparkSession, path: str) -> VersionedTable:
+    """A stored lexicon: its versions are rows by phrase, and removed phrases are marked as gone."""
+    return VersionedTable(spark, path, LEXICON_SCHEMA, "phrase", {"gone": False})
+
+
+def stored_phrases(store: VersionedTable, version: int | None = None) -> DataFrame:
+    """(pos, phrase, origin) of a version's phrases."""
+    return store.read(version).filter("NOT gone").select("pos", "phrase", "origin")
+
+
+def store_phrases(store: VersionedTable, new: DataFrame, origin: str) -> int:
+    """The next version with the phrases of ``new`` (pos, phrase) that it lacks, after its last one."""
+
+    def change(now: DataFrame) -> DataFrame:
+        live = now.filter("NOT gone").select("pos", "phrase")
+        fresh = add_phrases(live, new).join(live.select("phrase"), "phrase", "left_anti")
+        return fresh.select("phrase", "pos", F.lit(origin).alias("origin"), F.lit(False).alias("gone"))
+
+    return store.update(change)
+
+
+def forget_phrases(store: VersionedTable, gone: DataFrame) -> int:
+    """The next version without the phrases of ``gone`` (phrase)."""
+    named = gone.select(F.lower("phrase").alias("phrase")).distinct()
+    return store.update(lambda now: now.filter("NOT gone").join(named, "phrase", "left_semi").withColumn("gone", F.lit(True)))
+
+
 def union_lexicons(harm: DataFrame, platform: DataFrame) -> DataFrame:
     """Both lexicons (pos, phrase), harm first, duplicates kept, with their origin."""
     n = harm.agg(F.coalesce(F.max("pos") + 1, F.lit(0))).first()[0]
