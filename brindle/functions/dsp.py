@@ -6,6 +6,7 @@ They are the helpers of ``operators.frames``, which gives them the frames of a t
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 import numpy as np
 
@@ -28,6 +29,21 @@ def constant(ms: float, rate: int = RATE) -> float:
     return math.exp(-1000.0 / (rate * ms))
 
 
+@lru_cache(256)
+def _matrices(b: tuple[float, ...], a: tuple[float, ...], m: int) -> tuple[np.ndarray, ...]:
+    """What a section does to a block of ``m`` samples: the block's own answer, the state's, and the state after it."""
+    step = np.array([[-a[1], 1.0], [-a[2], 0.0]])
+    into = np.array([b[1] - a[1] * b[0], b[2] - a[2] * b[0]])
+    powers = [np.eye(2)]
+    for _ in range(m):
+        powers.append(powers[-1] @ step)
+    answer = np.array([b[0], *[(powers[i] @ into)[0] for i in range(m - 1)]])
+    lag = np.arange(m)[:, None] - np.arange(m)[None, :]
+    direct = np.where(lag >= 0, answer[np.maximum(lag, 0)], 0.0).T
+    seen = np.array([p[0] for p in powers[:m]]).T
+    return direct, seen, np.array([powers[m - 1 - i] @ into for i in range(m)]), powers[m], step, into
+
+
 class Section:
     """A second-order recursive filter that goes on where the last samples ended.
 
@@ -37,19 +53,8 @@ class Section:
     BLOCK = 64
 
     def __init__(self, b: list[float], a: list[float], hold: bool = False) -> None:
-        m, self.hold = self.BLOCK, hold
-        step = np.array([[-a[1], 1.0], [-a[2], 0.0]])
-        into = np.array([b[1] - a[1] * b[0], b[2] - a[2] * b[0]])
-        powers = [np.eye(2)]
-        for _ in range(m):
-            powers.append(powers[-1] @ step)
-        answer = np.array([b[0], *[(powers[i] @ into)[0] for i in range(m - 1)]])
-        lag = np.arange(m)[:, None] - np.arange(m)[None, :]
-        self.direct = np.where(lag >= 0, answer[np.maximum(lag, 0)], 0.0).T
-        self.seen = np.array([p[0] for p in powers[:m]]).T
-        self.gather = np.array([powers[m - 1 - i] @ into for i in range(m)])
-        self.whole, self.step, self.into, self.first = powers[m], step, into, b[0]
-        self.state = np.zeros(2)
+        self.direct, self.seen, self.gather, self.whole, self.step, self.into = _matrices(tuple(b), tuple(a), self.BLOCK)
+        self.first, self.hold, self.state = b[0], hold, np.zeros(2)
 
     def __call__(self, x: np.ndarray) -> np.ndarray:
         n = len(x) // self.BLOCK

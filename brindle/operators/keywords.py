@@ -20,40 +20,45 @@ _TOKEN = re.compile(r"\w+")
 
 @dataclass(frozen=True)
 class _Plan:
-    """How a rule is matched: ``words`` alone say how often if ``simple``; else one of ``words`` as a word or of ``parts``
-    within the text must be there before the rule's expression is run, unless it must ``always`` be."""
+    """How a rule is matched. ``words`` are its alternatives of one word, which are counted as words of the text. The others
+    can only match where one of ``pairs`` (a word that stands alone, the literal around it) or of ``parts`` (a literal) is in
+    the text, or ``always`` may; only there the rule's expression is run."""
 
     pattern: str
-    simple: bool
     words: tuple[str, ...]
+    pairs: tuple[tuple[str, str], ...]
     parts: tuple[str, ...]
     always: bool
 
+    @property
+    def simple(self) -> bool:
+        return not (self.pairs or self.parts or self.always)
+
 
 def plan_of(rule: Rule) -> _Plan:
-    """What every match of a rule's alternatives holds: an alternative without operators its longest word, one with dots as
-    its only operators its longest piece; for others nothing is known."""
-    words, parts, simple, always = [], [], True, False
+    """What every match of a rule's alternatives holds: one without operators itself, and its longest word as a word; one with
+    dots as its only operators its longest piece; of others nothing is known."""
+    words, pairs, parts, always = [], [], [], False
     for alternative in rule.pattern.lower().split("|"):
         alternative = alternative.strip()
-        if alternative and _PLAIN.fullmatch(alternative):
-            tokens = _TOKEN.findall(alternative)
-            simple &= tokens == [alternative]
-            always |= not tokens
-            words += [max(tokens, key=len)] if tokens else []
+        pieces = alternative.split(".")
+        if alternative and _PLAIN.fullmatch(alternative) and (tokens := _TOKEN.findall(alternative)):
+            if tokens == [alternative]:
+                words.append(alternative)
+            else:
+                pairs.append((max(tokens, key=len), alternative))
+        elif len(pieces) > 1 and any(pieces) and all(not p or _PLAIN.fullmatch(p) for p in pieces):
+            parts.append(max(pieces, key=len))
         else:
-            simple = False
-            pieces = alternative.split(".")
-            fine = all(not p or _PLAIN.fullmatch(p) for p in pieces) and any(pieces)
-            always |= not fine
-            parts += [max(pieces, key=len)] if fine else []
-    return _Plan(word_bounded(rule.pattern), simple, tuple(dict.fromkeys(words)), tuple(dict.fromkeys(parts)), always)
+            always = True
+    once = lambda x: tuple(dict.fromkeys(x))
+    return _Plan(word_bounded(rule.pattern), once(words), once(pairs), once(parts), always)
 
 
 def _read_once(text: Column, plans: list[_Plan]) -> Column:
     """struct<low, words> of a text: lower-cased, and those of its words that some rule looks for, in one pass."""
     low = F.lower(F.coalesce(text, F.lit("")))
-    wanted = list(dict.fromkeys(w for p in plans for w in p.words))
+    wanted = list(dict.fromkeys(w for p in plans for w in (*p.words, *(w for w, _ in p.pairs))))
     if not wanted:
         return F.struct(low.alias("low"), F.array().cast("array<string>").alias("words"))
 
@@ -64,26 +69,37 @@ def _read_once(text: Column, plans: list[_Plan]) -> Column:
     return let(low, words)
 
 
-def _may_match(plan: _Plan, own: Column) -> Column:
+def _has_word(plan: _Plan, own: Column) -> Column:
+    return F.exists(own["words"], lambda w: w.isin(list(plan.words))) if plan.words else F.lit(False)
+
+
+def _needs_expression(plan: _Plan, own: Column) -> Column:
+    """Whether an alternative that isn't a word may match."""
     if plan.always:
         return F.lit(True)
-    found = F.exists(own["words"], lambda w: w.isin(list(plan.words))) if plan.words else F.lit(False)
+    found = F.lit(False)
+    if plan.pairs:  # the words are few and read already; the literals are looked for only where one is there
+        literal = F.lit(False)
+        for _, whole in plan.pairs:
+            literal = literal | F.contains(own["low"], F.lit(whole))
+        found = F.exists(own["words"], lambda w: w.isin([w for w, _ in plan.pairs])) & literal
     for part in plan.parts:
         found = found | F.contains(own["low"], F.lit(part))
     return found
 
 
 def _count(plan: _Plan, own: Column) -> Column:
-    """How often a rule matches: words are counted, and only where its parts are there an expression is run."""
+    """How often a rule matches: its words are counted, unless another alternative may match, which runs the expression."""
+    n = F.size(F.filter(own["words"], lambda w: w.isin(list(plan.words)))) if plan.words else F.lit(0)
     if plan.simple:
-        return F.size(F.filter(own["words"], lambda w: w.isin(list(plan.words))))
-    return F.when(_may_match(plan, own), F.regexp_count(own["low"], F.lit(plan.pattern))).otherwise(0)
+        return n
+    return F.when(_needs_expression(plan, own), F.regexp_count(own["low"], F.lit(plan.pattern))).otherwise(n)
 
 
 def _matches(plan: _Plan, own: Column) -> Column:
     if plan.simple:
-        return F.exists(own["words"], lambda w: w.isin(list(plan.words)))
-    return _may_match(plan, own) & own["low"].rlike(plan.pattern)
+        return _has_word(plan, own)
+    return _has_word(plan, own) | (_needs_expression(plan, own) & own["low"].rlike(plan.pattern))
 
 
 def _raw_score(n: Column) -> Column:

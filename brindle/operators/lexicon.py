@@ -21,8 +21,10 @@ from pyspark.sql import functions as F
 from brindle.functions.text import let
 from brindle.staging import stage
 
-#: Phrases up to which they are searched one by one, code points of a gram, and bits of the table of grams at most.
-INLINE, GRAM, MOST_BITS = 24, 8, 1 << 27
+#: Phrases up to which they are searched one by one, and up to which a table of them is an automaton in each worker.
+INLINE, LISTED = 24, 20_000
+#: Code points of a gram, and bits of the table of grams at most.
+GRAM, MOST_BITS = 8, 1 << 27
 _STEP, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -160,14 +162,35 @@ def _text_grams(table: np.ndarray, sizes: list[int], batches: Iterator[pa.Record
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64)), pa.array(found.astype(np.uint64).view(np.int64))], names=["_row", "gram"])
 
 
-def with_hits(docs: DataFrame, lexicon: DataFrame, text: str = "text", name: str = "found") -> DataFrame:
+def _table_search(rows: list, kind: str):
+    """A function of texts: the phrases of (pos, phrase) rows, by an automaton that every Python worker builds once."""
+    listed = sorted(((r["pos"], (r["phrase"] or "").lower()) for r in rows), key=lambda r: (r[0] is not None, r[0], r[1]))
+    phrases = [p for _, p in listed]
+    key = hashlib.md5(repr(listed).encode("utf-8", "replace")).hexdigest()
+
+    def search(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            found = automaton(phrases, key)
+            yield texts.map(lambda t: [{"pos": listed[k][0], "phrase": listed[k][1]} for k in found.hits(t)])
+
+    @F.pandas_udf(f"array<struct<pos: {kind}, phrase: string>>")
+    def search_udf(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        return search(batches)
+
+    return search_udf
+
+
+def with_hits(docs: DataFrame, lexicon: DataFrame, text: str = "text", name: str = "found", most: int = LISTED) -> DataFrame:
     """``docs`` with ``name``: array<struct<pos, phrase>> of the phrases (pos, phrase) that stand in the text, in their order.
 
-    For lexicons of any length: an inverted index holds each phrase under its rarest gram. A text emits only grams that the
+    For lexicons of any length: up to ``most`` phrases are searched by an automaton, beyond that an inverted index holds each phrase under its rarest gram. A text emits only grams that the
     index has, as ids of eight bytes; what they lead to is verified against the whole text. Neither texts nor phrases are
     copied by the other's number, and the driver sees a table of bits of bounded size only. Phrases that repeat are repeated
     hits, empty ones hit nothing, a null text has none.
     """
+    few = lexicon.select("pos", "phrase").limit(most + 1).collect()
+    if len(few) <= most:
+        return docs.withColumn(name, _table_search(few, lexicon.schema["pos"].dataType.simpleString())(F.col(text)))
     index = index_of(lexicon)
     table, sizes = _filter_bits(index, index.count())
     low = F.lower(text)
@@ -184,7 +207,7 @@ def with_hits(docs: DataFrame, lexicon: DataFrame, text: str = "text", name: str
     return joined.withColumn(name, F.coalesce(own, F.array().cast(kind))).drop("_row", "_met")
 
 
-def hits_table(docs: DataFrame, lexicon: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def hits_table(docs: DataFrame, lexicon: DataFrame, key: str = "doc_id", text: str = "text", most: int = LISTED) -> DataFrame:
     """(key, pos, phrase) of every phrase of the table (pos, phrase) in every text: ``with_hits`` as rows."""
-    found = with_hits(docs.select(key, text), lexicon, text, "_found")
+    found = with_hits(docs.select(key, text), lexicon, text, "_found", most)
     return found.select(key, F.inline("_found"))
