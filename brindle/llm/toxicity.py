@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brindle.llm.text import wider
-from brindle.staging import bounded_batches
+from brindle.staging import bounded_batches, stage
 
 #: Bounds of the fit: labelled rows, and terms.
 FIT_ROWS, TERMS = 8192, 4000
@@ -185,11 +185,10 @@ def fit(
 ) -> dict:
     """The lexicon's parts, learned from the labelled rows; its size is bounded by TERMS and FIT_ROWS."""
     bounded_batches(docs.sparkSession)
-    rows = _labelled(docs, labels, doc_id, text, label).persist()
+    rows = stage(_labelled(docs, labels, doc_id, text, label), "fit_rows")
     sizes = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
     toxic, clean = sizes.get(1, 0), sum(v for k, v in sizes.items() if k != 1)
     if not toxic:
-        rows.unpersist()
         return {"terms": {}, "exceptions": exceptions, "slope": 0.0, "offset": -30.0}
     odds = F.log((F.col("toxic") + 0.5) / F.lit(toxic + 1.0)) - F.log((F.col("clean") + 0.5) / F.lit(clean + 1.0))
     found = (
@@ -216,7 +215,6 @@ def fit(
             yield pa.RecordBatch.from_pydict({"x": pa.array(x, pa.float64()), "y": pa.array(y, pa.float64())})
 
     pairs = rows.mapInArrow(features, "x double, y double").collect()  # at most FIT_ROWS
-    rows.unpersist()
     slope, offset = _logistic(np.array([p["x"] for p in pairs]), np.array([p["y"] for p in pairs]))
     return model | {"slope": slope, "offset": offset}
 
