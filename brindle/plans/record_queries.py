@@ -285,6 +285,11 @@ def eq_speech(spark, sf_dir):
     return _wave_report(frames.carried(wave_frames(spark, sf_dir), ["vec_id"], lambda p: dsp.equaliser(), size=FRAME))
 
 
+@query(_sections_sql([_peaking(*band, dsp.RATE) for band in dsp.MUSIC_EQ], True, _REPORT))
+def eq_music(spark, sf_dir):
+    return _wave_report(frames.carried(wave_frames(spark, sf_dir), ["vec_id"], lambda p: dsp.equaliser(dsp.MUSIC_EQ), size=FRAME))
+
+
 LOUD_RATE, LOUD_TIMES = 4_000, 40
 
 
@@ -345,6 +350,46 @@ def true_peak(spark, sf_dir):
     return out.select("vec_id", F.round("peak", 6).alias("true_peak"))
 
 
+@query(f"""
+WITH s AS (SELECT vec_id, x, unnest(generate_series(0, ceil(len(x) * 3 / 2::DOUBLE)::BIGINT - 1)) AS j FROM {_waves()}),
+k AS (SELECT vec_id, j, x[a + 1] AS v, (a - j * 2 / 3::DOUBLE) * 0.99 AS t
+  FROM (SELECT vec_id, x, j, unnest(generate_series(greatest(0, j * 2 // 3 - 7), least(len(x) - 1, j * 2 // 3 + 8))) AS a FROM s)),
+y AS (SELECT vec_id, j, sum(CASE WHEN abs(t) < 6 THEN v * {_SINC} * pow(cos(pi() * t / 12), 2) * 0.99 ELSE 0 END) AS y FROM k GROUP BY ALL)
+SELECT vec_id, count(*) AS n, round(max(abs(y)), 6) AS peak, round(sqrt(avg(y * y)), 6) AS rms FROM y GROUP BY vec_id""")
+def resample_signal(spark, sf_dir):
+    out = frames.carried(wave_frames(spark, sf_dir), ["vec_id"], lambda p: [dsp.Resampler(400, 600)], size=FRAME)
+    return _wave_report(out)
+
+
+_RISE = "(1 - cos(pi() * {} / 7)) / 2"
+
+
+@query(f"""
+WITH s AS (SELECT vec_id, unnest(x) AS v, generate_subscripts(x, 1) - 1 AS p, 10 + vec_id % 5 AS a, 40 AS b FROM {_waves()}),
+y AS (SELECT vec_id, v * (0.08 + 0.92 * CASE WHEN vec_id % 3 = 0 THEN 1 WHEN p < a OR p >= b THEN 0 WHEN p < a + 8 THEN {_RISE.format("(p - a)")}
+  WHEN p >= b - 8 THEN {_RISE.format("(b - 1 - p)")} ELSE 1 END) AS y FROM s)
+SELECT vec_id, count(*) AS n, round(max(abs(y)), 6) AS peak, round(sqrt(avg(y * y)), 6) AS rms FROM y GROUP BY vec_id""")
+def vad_suppress(spark, sf_dir):
+    """Signals turned down outside their speech, with fades of eight samples; every third has no speech and stays."""
+    start = (10 + F.col("vec_id") % 5).cast("long")
+    spans = table(spark, sf_dir, "embeddings").filter("vec_id % 3 <> 0").select("vec_id", start.alias("start"), F.lit(40).cast("long").alias("end"))
+    return _wave_report(frames.masked(wave_frames(spark, sf_dir), ["vec_id"], spans, rate=400, size=FRAME))
+
+
+@query(f"""
+WITH s AS (SELECT vec_id, x, list_reverse(x)[1:20] AS w, unnest(generate_series(0, 47)) AS p FROM {_waves()}),
+y AS (SELECT vec_id, CASE WHEN p < 12 THEN x[p + 1] WHEN p < 20 THEN x[p + 1] * (19 - p) / 7 + w[p - 11] * (p - 12) / 7
+  WHEN p < 34 THEN coalesce(w[p - 11], 0) WHEN p < 42 THEN x[p + 17] * (p - 34) / 7 ELSE x[p + 17] END AS y FROM s)
+SELECT vec_id, count(*) AS n, round(max(abs(y)), 6) AS peak, round(sqrt(avg(y * y)), 6) AS rms FROM y GROUP BY vec_id""")
+def splice_padded(spark, sf_dir):
+    """The last twenty samples, turned round and padded, in place of the samples from 20 to 50."""
+    rows = waves(spark, sf_dir)
+    new = F.reverse(F.slice("samples", -20, 20))
+    cut = frames.to_frames(rows.select("vec_id", new.alias("new"), F.size("samples").alias("total"), "samples"), ["vec_id", "new", "total"], size=FRAME)
+    make = lambda p: [dsp.Splice(np.array(p["new"]), 20, 50, p["total"], 400)]
+    return _wave_report(frames.carried(cut, ["vec_id"], make, ["new", "total"], FRAME))
+
+
 @query()
 def splice(spark, sf_dir):
     """The first forty samples, turned round, in place of the samples from 20 to 50."""
