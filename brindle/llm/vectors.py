@@ -65,8 +65,8 @@ def _units(rows: list | pa.ListArray) -> np.ndarray:
 class Points:
     """Reference points for each dimension that occurs: of the sample, filled up with random directions."""
 
-    def __init__(self, sampled: list, count: int):
-        self.count, self.known = count, {}
+    def __init__(self, sampled: list, count: int, least: int):
+        self.count, self.least, self.known = count, least, {}
         by_size: dict[int, list] = {}
         for row in sampled:
             by_size.setdefault(len(row), []).append(row)
@@ -74,7 +74,7 @@ class Points:
             self.known[size] = spread_points(_units(rows), self._most(size))
 
     def _most(self, size: int) -> int:
-        return max(NEAREST, min(self.count, SAMPLE_NUMBERS // max(size, 1)))
+        return max(self.least, min(self.count, SAMPLE_NUMBERS // max(size, 1)))
 
     def of(self, size: int) -> np.ndarray:
         if size not in self.known:
@@ -135,11 +135,12 @@ def _balls(described: DataFrame, threshold: float) -> DataFrame:
 # ---- inverted lists ----------------------------------------------------------------------------------------------------
 
 
-def _postings(described: DataFrame, order: np.ndarray, shared: int) -> DataFrame:
-    """(lst, cid, ball, mult, vec, ranks): a row for each of the rarest reference points; ``ranks`` are all, rarest first."""
+def _postings(described: DataFrame, order: np.ndarray, rarest: int) -> DataFrame:
+    """(grp, dim, lst, cid, ball, mult, vec, ranks): a row for each of the rarest reference points; ``ranks`` are all, rarest
+    first."""
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in described.schema).replace("near ", "ranks ", 1)
     ranked = described.mapInArrow(partial(_ranked, order), schema)
-    posted = F.explode(F.slice("ranks", 1, NEAREST - shared + 1)).alias("lst")
+    posted = F.explode(F.slice("ranks", 1, rarest)).alias("lst")
     return ranked.select("grp", "dim", posted, "cid", "ball", "mult", "vec", "ranks")
 
 
@@ -263,8 +264,6 @@ def near_duplicates(
     """
     if not 1 <= shared <= nearest or not 0 < threshold <= 1:
         raise ValueError("shared must be from 1 to nearest, threshold above 0 and at most 1")
-    if nearest != NEAREST:
-        raise ValueError(f"vectors are described by {NEAREST} reference points")
     spark = vectors.sparkSession
     bounded_batches(spark, 2_048)
     rows = vectors.select("vec_id", F.col("label").alias("grp"), F.col("embedding").cast("array<double>").alias("vec64"), F.col("embedding").alias("vec"))
@@ -276,9 +275,9 @@ def near_duplicates(
     classes = stage(alike.select("grp", "vec", "mult", "least", F.size("vec").alias("dim"), F.monotonically_increasing_id().alias("cid")), "classes")
     count = pivots or int(min(MOST_PIVOTS, max(LEAST_PIVOTS, classes.count() // 256)))
     largest = classes.agg(F.max("dim")).first()[0] or 1
-    bound = max(NEAREST, min(SAMPLE_FACTOR * count, SAMPLE_NUMBERS // largest))
+    bound = max(nearest, min(SAMPLE_FACTOR * count, SAMPLE_NUMBERS // largest))
     sample = [r[0] for r in classes.select("vec", "cid").orderBy(F.xxhash64("cid"), "cid").limit(bound).select("vec").collect()]
-    points = Points(sample, count)
+    points = Points(sample, count, nearest)
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in classes.schema) + ", near array<int>"
     described = stage(classes.drop("least").mapInArrow(partial(_described, points, nearest), schema.replace("least bigint, ", "")), "described")
     described = stage(_balls(described, threshold), "balls")
@@ -289,7 +288,7 @@ def near_duplicates(
         frequency[r["p"]] = r["count"]
     order = np.empty(most, np.int64)
     order[np.argsort(frequency, kind="stable")] = np.arange(most)
-    posted = _postings(described, order, shared)
+    posted = _postings(described, order, nearest - shared + 1)
     key = ["grp", "dim", "lst", "lo", "hi"]
     blocked = _blocked(posted, block)
     found = stage(blocked.groupBy(*key).applyInArrow(lambda table: _verified(threshold, shared, table), _LINKS), "links")

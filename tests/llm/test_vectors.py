@@ -72,7 +72,8 @@ def test_dense_groups_chains_and_copies(spark, block):
     assert sum(g == w for g, w in zip(got, want, strict=True)) >= 0.9 * len(want)
 
 
-def test_recall_just_above_the_threshold(spark):
+@pytest.mark.parametrize(("nearest", "shared", "least"), [(8, 3, 0.95), (12, 5, 0.95), (4, 4, 0.0)])
+def test_recall_just_above_the_threshold(spark, nearest, shared, least):
     rng = np.random.default_rng(9)
     left = rng.normal(size=(1_500, 48))
     left /= np.linalg.norm(left, axis=1, keepdims=True)
@@ -82,8 +83,9 @@ def test_recall_just_above_the_threshold(spark):
     cosine = rng.uniform(0.931, 0.95, size=(1_500, 1))
     right = cosine * left + np.sqrt(1 - cosine**2) * turn
     rows = [(i, v.tolist(), 0) for i, v in enumerate(np.vstack([left, right]))]
-    got = vectors.near_duplicates(spark.createDataFrame(rows, KIND)).filter("n_links > 0").count()
-    assert got / 3_000 >= 0.95
+    df = vectors.near_duplicates(spark.createDataFrame(rows, KIND), nearest=nearest, shared=shared)
+    got = df.filter("n_links > 0").count()
+    assert got / 3_000 >= least and df.filter("n_links > 1").count() == 0
 
 
 def test_odd_rows(spark):
