@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from brindle.staging import stage
@@ -31,17 +31,19 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     """(node, comp) for each node of the edges (u, v): the least node that it reaches.
 
-    Alternates large and small stars until the edges stay the same; every round is a staged table. Nulls, loops and
-    repeated edges are dropped.
+    Alternates large and small stars until the edges stay the same; every star is a staged table, and what tells its edges
+    from the last ones is summed up while it is written. Nulls, loops and repeated edges are dropped.
     """
     now = stage(edges.select("u", "v").dropna().filter("u <> v").distinct(), "edges")
     mark = None
     for _ in range(rounds):
-        now = stage(_star(_star(now, True), False), "edges")
-        found = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(found) == mark:
+        large, seen = stage(_star(now, True), "star"), Observation()
+        total = F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("total")
+        now = stage(_star(large, False).observe(seen, F.count(F.lit(1)).alias("n"), total), "edges")
+        found = (seen.get["n"], seen.get["total"])
+        if found == mark:
             break
-        mark = tuple(found)
+        mark = found
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     own = now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("comp"))
