@@ -142,7 +142,7 @@ def block_then_limit(scored: DataFrame, words: list[str], k: int = 8, key: str =
 
 def new_labels(found: DataFrame, known: DataFrame, label: str) -> DataFrame:
     """Rows of ``found`` whose label the vocabulary ``known`` (label) lacks."""
-    return found.join(F.broadcast(known.select(label).distinct()), label, "left_anti")
+    return found.join(known.select(label).distinct(), label, "left_anti")
 
 
 def merge_tracks(tracks: DataFrame, recording: str, order: str, key: str = "doc_id", label: str = "tag") -> DataFrame:

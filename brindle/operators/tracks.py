@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from brindle.functions.signal import CEILING
+from brindle.functions.signal import CEILING, peak
 from brindle.operators import frames
 
 
@@ -16,8 +16,10 @@ def mix_tracks(tracks: DataFrame, recording: str, samples: str = "samples", gain
     tasks and pre-aggregated; only the finished mix is put together again. ``operators.frames`` mixes without that.
     """
     rows = frames.to_frames(tracks.select(recording, F.col(gain).alias("gain"), samples), [recording, "gain"], samples)
-    mix = frames.limited(frames.mixed(rows, [recording]), [recording], CEILING)
-    return frames.from_frames(mix, [recording])
+    mix = frames.from_frames(frames.mixed(rows, [recording]), [recording])
+    top = peak(F.col("samples"))
+    scale = F.when(top > CEILING, F.lit(CEILING) / top).otherwise(F.lit(1.0))
+    return mix.select(recording, F.transform("samples", lambda v: v * scale).alias("samples"))
 
 
 def speech_intervals(
