@@ -49,7 +49,8 @@ def test_weights_are_the_sample_s_log_odds(spark):
     (term,) = model["terms"]
     assert term == " vile"
     assert model["terms"][term] == pytest.approx(math.log(8.5 / 9) - math.log(0.5 / 33))
-    x = np.array([math.sqrt(model["terms"][term] / math.log2(4 + 5))] * 8 + [0.0] * 32)
+    spaces = [toxicity.fold(t).count(" ") for _, t in rows[:8]]
+    x = np.array([math.sqrt(model["terms"][term] / math.log2(4 + n)) for n in spaces] + [0.0] * 32)
     p = 1 / (1 + np.exp(-(model["slope"] * x + model["offset"])))
     assert p[:8].min() > 0.5 > p[8:].max()
     # the curve is where the likelihood with its small ridge is greatest
