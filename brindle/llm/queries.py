@@ -190,4 +190,19 @@ SELECT doc_id, size, source_size, target,
 FROM d JOIN z ON d.source IS NOT DISTINCT FROM z.source
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_quality_rules": _OP1, "op8_mixing": _OP8}
+_OP11 = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0 AND list_count(embedding) = len(embedding)
+    AND len(list_filter(embedding, lambda x: NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), l AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b
+  ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.93
+), r AS (SELECT vec_id AS a, vec_id AS c FROM embeddings UNION SELECT r.a, l.b FROM r JOIN l ON r.c = l.a),
+c AS (SELECT a AS vec_id, min(c) AS component_id FROM r GROUP BY a),
+n AS (SELECT a AS vec_id, count(*) AS n FROM l GROUP BY a)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings JOIN c USING (vec_id) LEFT JOIN n USING (vec_id)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_quality_rules": _OP1, "op8_mixing": _OP8, "op11_embedding_dedup": _OP11}
