@@ -67,14 +67,16 @@ def enhance(
     if stems is not None:
         podcasts = stems.join(modes.filter("mode = 'podcast'").select(*keys), keys, "left_semi")
         cleaned = with_bed(cleaned, music_bed(podcasts, keys), keys)
-    cleaned = stage(cleaned, "cleaned")
-    plain = music.select(*keys, "frame", "samples")
-    snr = fr.snr(raw, cleaned.unionByName(plain), keys)
+    # Voice and music meet in a staged table: Spark takes a union of two branches dealt out by track for one dealt out so
+    # itself, and a join with it can then find unequal numbers of partitions.
+    voiced = cleaned.withColumn("plain", F.lit(False))
+    both = stage(voiced.unionByName(music.select(*keys, "frame", "samples", F.lit(True).alias("plain"))), "cleaned")
+    cleaned, plain = (both.filter(c).drop("plain") for c in (~F.col("plain"), F.col("plain")))
+    snr = fr.snr(raw, both.drop("plain"), keys)
     pressed = fr.carried(cleaned.join(modes, keys), keys, lambda p: [dsp.Compressor(p["mode"], rate)], ["mode"], size)
     pressed = fr.limited(stage(pressed, "pressed"), keys)
     target = F.when(F.col("mode") == "music", MUSIC_LUFS).otherwise(SPEECH_LUFS)
-    both = pressed.unionByName(plain).join(modes, keys)
-    levelled = fr.normalised(both, keys, target, rate).select(*keys, "frame", "samples")
+    levelled = fr.normalised(pressed.unionByName(plain).join(modes, keys), keys, target, rate).select(*keys, "frame", "samples")
     done = stage(fr.limited_true_peak(stage(levelled, "levelled"), keys, rate=rate), "enhanced")
     told = modes.join(snr, keys, "left").join(fr.clipped(raw, keys), keys).join(fr.loudness(done, keys, rate).drop("n"), keys)
     nothing = F.log10(F.lit(1e-10) / F.lit(1e-10)) * 10  # no common prefix: no signal over no difference

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from brindle.functions import dsp
 from brindle.functions.signal import CEILING
+from brindle.staging import stage
 
 FRAME = 65_536
 #: Frames that a mixing task holds before it passes their sums on.
@@ -261,7 +262,7 @@ def loudness(frames: DataFrame, keys: list[str], rate: int = dsp.RATE) -> DataFr
     hop = block // 4
     if hop * 4 != block:
         raise ValueError("400 ms must be a multiple of four samples")
-    sums = scanned(frames, keys, _hop_sums(hop, rate), "hop long, power double, raw double, n long")
+    sums = stage(scanned(frames, keys, _hop_sums(hop, rate), "hop long, power double, raw double, n long"), "hops")  # read thrice
     whole = sums.groupBy(*keys).agg(F.sum("raw").alias("raw"), F.sum("n").alias("n"))
     hops = sums.filter("hop is not null")
     next_four = Window.partitionBy(*keys).orderBy("hop").rowsBetween(0, 3)
