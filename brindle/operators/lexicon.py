@@ -18,13 +18,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brindle.functions.text import let
-from brindle.staging import stage
+from brindle.staging import bounded_batches, stage
 
 #: Phrases up to which they are searched one by one, and up to which a table of them is an automaton in each worker.
 INLINE, LISTED = 24, 20_000
-#: Code points of a gram, and bits of the table of grams at most.
-GRAM, MOST_BITS = 8, 1 << 27
+#: Code points of a gram, the longest that fits a phrase; buckets in which grams are counted; bits of their table at most.
+GRAMS, BUCKETS, MOST_BITS = (32, 16, 8), 1 << 16, 1 << 27
 _STEP, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -93,12 +92,15 @@ def lexicon_hits(text: Column, phrases: list[str]) -> Column:
 
 def grams(points: np.ndarray, size: int) -> np.ndarray:
     """A hash of each run of ``size`` code points, with the run's size in it."""
-    n = len(points) - size + 1
-    if n <= 0:
+    if size < 1 or len(points) < size:
         return np.empty(0, np.uint64)
-    value = np.full(n, size, np.uint64)
-    for i in range(size):
-        value = value * _STEP + points[i : i + n]
+    power = lambda k: np.uint64(pow(int(_STEP), k, 1 << 64))
+    value, done = points, 1
+    for bit in bin(size)[3:]:  # a run is two of half its size, and one more code point if the size is odd
+        value, done = value[:-done] * power(done) + value[done:], done * 2
+        if bit == "1":
+            value, done = value[: len(points) - done] * _STEP + points[done:], done + 1
+    value = value + np.uint64(size * int(power(size)) & 0xFFFFFFFFFFFFFFFF)
     value ^= value >> np.uint64(29)
     value *= _MIX
     return value ^ (value >> np.uint64(32))
@@ -108,43 +110,65 @@ def _points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
 
 
-def _phrase_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(phrase, gram): the grams of each phrase, each once; one of all its code points where it has fewer than GRAM."""
+def _gram_size(length: int) -> int:
+    """The size of a phrase's grams: the longest of GRAMS that it has room for, or all of it."""
+    return next((g for g in GRAMS if g <= length), length)
+
+
+def _bucket_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(bucket, n): how many grams of a partition's phrases fall into each bucket of their hashes."""
+    n = np.zeros(BUCKETS, np.int64)
     for batch in batches:
-        at, found = [], []
-        for i, phrase in enumerate(batch.column(0).to_pylist()):
-            own = np.unique(grams(_points(phrase), min(GRAM, len(phrase))))
-            at.append(np.full(len(own), i))
-            found.append(own)
-        at, found = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (at, found))
-        phrases = batch.column(0).take(pa.array(at.astype(np.int64)))
-        yield pa.RecordBatch.from_arrays([phrases, pa.array(found.astype(np.uint64).view(np.int64))], names=["phrase", "gram"])
+        for phrase in batch.column(0).to_pylist():
+            np.add.at(n, np.unique(grams(_points(phrase), _gram_size(len(phrase)))) & np.uint64(BUCKETS - 1), 1)
+    own = np.flatnonzero(n)
+    yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(n[own])], names=["bucket", "n"])
+
+
+def _rarest_grams(often: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(gram, size, phrase, places): each phrase under its gram of the emptiest bucket."""
+    for batch in batches:
+        phrases, chosen, sizes = batch.column(0).to_pylist(), [], []
+        for phrase in phrases:
+            sizes.append(_gram_size(len(phrase)))
+            own = np.unique(grams(_points(phrase), sizes[-1]))
+            chosen.append(own[np.argmin(often[own & np.uint64(BUCKETS - 1)])])
+        found = pa.array(np.array(chosen, np.uint64).view(np.int64))
+        yield pa.RecordBatch.from_arrays([found, pa.array(sizes, pa.int32()), *batch.columns], names=["gram", "size", *batch.schema.names])
 
 
 def index_of(lexicon: DataFrame) -> DataFrame:
-    """(gram, size, phrase): each distinct lower-cased phrase under its rarest gram, the one that the fewest phrases have."""
-    phrases = lexicon.select(F.lower("phrase").alias("phrase")).filter("phrase <> ''").distinct()
-    all_grams = stage(phrases.mapInArrow(_phrase_grams, "phrase string, gram long"), "phrase_grams")
-    often = all_grams.groupBy("gram").agg(F.count("*").alias("n"))
-    rarest = F.min_by("gram", F.struct("n", F.xxhash64("gram"))).alias("gram")
-    held = all_grams.join(often, "gram").groupBy("phrase").agg(rarest)
-    return stage(held.select("gram", F.least(F.length("phrase"), F.lit(GRAM)).alias("size"), "phrase"), "phrase_index")
+    """(gram, size, phrase, places): each distinct lower-cased phrase of (pos, phrase) under a gram that few phrases have.
+
+    Which are few is told by counts in BUCKETS buckets, so that no phrase is copied by the number of its grams.
+    """
+    low = lexicon.select("pos", F.lower("phrase").alias("phrase")).filter("phrase <> ''")
+    phrases = stage(low.groupBy("phrase").agg(F.collect_list(F.struct("pos")).alias("places")), "phrases")
+    counts = phrases.select("phrase").mapInArrow(_bucket_counts, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    often = np.zeros(BUCKETS, np.int64)
+    often[counts["bucket"].to_numpy()] = counts["n"].to_numpy()
+    kind = phrases.schema["places"].dataType.simpleString()
+    return stage(phrases.mapInArrow(partial(_rarest_grams, often), f"gram long, size int, phrase string, places {kind}"), "phrase_index")
 
 
 def _filter_bits(index: DataFrame, phrases: int) -> tuple[np.ndarray, list[int]]:
-    """A table of bits with one for each gram of the index, and the grams' sizes. At most MOST_BITS bits, in one row a word."""
-    bits = 1 << max(10, min(MOST_BITS, 16 * max(phrases, 1)).bit_length() - 1)
-    place = F.col("gram").bitwiseAND(F.lit(bits - 1))
-    words = index.groupBy((place / 64).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(gram & 63 as int))")).alias("bits"))
-    table = np.zeros(bits // 64, np.uint64)
-    for r in words.collect():
-        table[r["w"]] = np.int64(r["bits"]).view(np.uint64)
+    """A table of bits with two for each gram of the index, and the grams' sizes. At most MOST_BITS bits, in one row a word."""
+    bits = 1 << max(10, min(MOST_BITS, 64 * max(phrases, 1)).bit_length() - 1)
+    halves = index.select(F.explode(F.array(F.col("gram"), F.shiftrightunsigned("gram", 32))).alias("half"))
+    place = halves.select(F.col("half").bitwiseAND(F.lit(bits - 1)).alias("place"))
+    words = place.groupBy((F.col("place") / 64).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(place & 63 as int))")).alias("bits"))
+    table, told = np.zeros(bits // 64, np.uint64), words.toArrow()
+    table[told["w"].to_numpy()] = told["bits"].to_numpy().view(np.uint64)
     return table, sorted(r["size"] for r in index.select("size").distinct().collect())
 
 
 def _text_grams(table: np.ndarray, sizes: list[int], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(_row, gram): the grams of each text for which the table has a bit, each once."""
-    mask, low, six = np.uint64(len(table) * 64 - 1), np.uint64(63), np.uint64(6)
+    """(_row, gram): the grams of each text for which the table has both bits, each once."""
+    mask, low, six, half = np.uint64(len(table) * 64 - 1), np.uint64(63), np.uint64(6), np.uint64(32)
+
+    def held(own: np.ndarray) -> np.ndarray:
+        return (table[(own & mask) >> six] >> (own & low)) & np.uint64(1) > 0
+
     for batch in batches:
         rows, texts = batch.column(0).to_numpy(), batch.column(1)
         at, found = [], []
@@ -155,7 +179,8 @@ def _text_grams(table: np.ndarray, sizes: list[int], batches: Iterator[pa.Record
             points = _points(text)
             for size in sizes:
                 own = grams(points, size)
-                own = np.unique(own[(table[(own & mask) >> six] >> (own & low)) & np.uint64(1) > 0])
+                own = own[held(own)]
+                own = np.unique(own[held(own >> half)])
                 at.append(np.full(len(own), rows[i]))
                 found.append(own)
         at, found = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (at, found))
@@ -188,23 +213,31 @@ def with_hits(docs: DataFrame, lexicon: DataFrame, text: str = "text", name: str
     copied by the other's number, and the driver sees a table of bits of bounded size only. Phrases that repeat are repeated
     hits, empty ones hit nothing, a null text has none.
     """
-    few = lexicon.select("pos", "phrase").limit(most + 1).collect()
+    bounded_batches(docs.sparkSession)
+    lexicon = stage(lexicon.select("pos", "phrase"), "lexicon")  # what makes it is run once
+    few = lexicon.limit(most + 1).collect()
     if len(few) <= most:
         return docs.withColumn(name, _table_search(few, lexicon.schema["pos"].dataType.simpleString())(F.col(text)))
     index = index_of(lexicon)
     table, sizes = _filter_bits(index, index.count())
     low = F.lower(text)
     rows = docs.withColumn("_row", F.xxhash64(F.col(text)))
-    # Equal texts are searched once; texts of equal hash share candidates, which are verified for each.
+    # Equal texts share their candidates; texts of equal hash do so too, and they are verified for each.
     texts = rows.select("_row", low.alias("_low")).filter("_low is not null")
-    found = texts.mapInArrow(partial(_text_grams, table, sizes), "_row long, gram long")
-    met = found.join(index.select("gram", "phrase"), "gram").select("_row", "phrase").distinct()
-    listed = lexicon.select("pos", F.lower("phrase").alias("phrase")).filter("phrase <> ''")
-    met = stage(met.join(listed, "phrase").groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("pos", "phrase"))).alias("_met")), "met")
+    found = texts.mapInArrow(partial(_text_grams, table, sizes), "_row long, gram long").distinct()
+    met = found.join(index.select("gram", "phrase", "places"), "gram")
+    each = F.transform("places", lambda p: F.struct(p["pos"].alias("pos"), F.col("phrase").alias("phrase")))
+    met = met.groupBy("_row").agg(F.array_sort(F.flatten(F.collect_list(each))).alias("_met"))
     joined = rows.join(met, "_row", "left")
     kind = met.schema["_met"].dataType
-    own = let(low, lambda t: F.filter("_met", lambda p: F.contains(t, p["phrase"])))
-    return joined.withColumn(name, F.coalesce(own, F.array().cast(kind))).drop("_row", "_met")
+
+    @F.pandas_udf("array<int>")
+    def verified(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for lows, listed in batches:
+            yield pd.Series([None if ps is None else [k for k, p in enumerate(ps) if p in t] for t, ps in zip(lows, listed, strict=True)])
+
+    sure = F.transform(verified(low, F.transform("_met", lambda p: p["phrase"])), lambda k: F.get("_met", k))
+    return joined.withColumn(name, F.coalesce(sure, F.array().cast(kind))).drop("_row", "_met")
 
 
 def hits_table(docs: DataFrame, lexicon: DataFrame, key: str = "doc_id", text: str = "text", most: int = LISTED) -> DataFrame:

@@ -28,3 +28,33 @@ def test_enhancement_joins_by_shuffle_where_no_side_is_small(spark, conf):
     small = rows()
     conf("spark.sql.autoBroadcastJoinThreshold", "-1")
     assert rows() == small
+
+
+def test_index_finds_phrases_of_all_lengths(spark):
+    import random
+
+    from brindle.operators import lexicon as lx
+
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdé") for _ in range(rng.randint(1, 6)))
+    texts = [" ".join(word() for _ in range(rng.randint(0, 120))) for _ in range(60)]
+    texts += [texts[0], texts[1].upper(), "", None]
+    phrases = [t[a : a + n] for t in texts[:60] for n in (1, 5, 7, 8, 9, 15, 16, 31, 32, 33, 70) if len(t) > n for a in [rng.randrange(len(t) - n)]]
+    phrases += [p[:-1] + "z" for p in phrases[::3]] + phrases[:5] + ["", None]
+    rows = [(k % 400 if k % 7 else None, p) for k, p in enumerate(phrases)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    table = spark.createDataFrame(rows + rows[:3], "pos long, phrase string")
+    told = lx.hits_table(docs, table, most=0)
+    key = lambda r: (r[0], r[1] is not None, r[1] or 0, r[2])
+    expected = [(d, pos, p.lower()) for d, t in enumerate(texts) if t for pos, p in rows + rows[:3] if p and p.lower() in t.lower()]
+    assert sorted(map(tuple, told.collect()), key=key) == sorted(expected, key=key)
+
+
+def test_index_copies_no_phrase_by_its_grams(spark):
+    from brindle.operators import lexicon as lx
+
+    table = spark.createDataFrame([(k, f"the same beginning of a phrase and then {k * 7919}") for k in range(50)], "pos long, phrase string")
+    index = lx.index_of(table)
+    assert index.count() == 50
+    assert index.select("gram").distinct().count() > 25  # not all under the grams that they share
+    assert {r["size"] for r in index.collect()} == {32}
