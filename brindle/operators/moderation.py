@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from brindle.functions.text import blank, let, sentences, two_places, word_count
 from brindle.operators.lexicon import lexicon_hits, with_hits
 from brindle.sources.vocabulary import add_phrases
-from brindle.staging import stage
+from brindle.staging import bounded_batches, stage
 
 # The labels of the toxicity scores and what a report calls them, and the intents' wording.
 TOXIC_LABELS = {
@@ -147,6 +147,7 @@ def moderate(
     ``learns`` marks texts whose sentences a lexicon may learn: in the middle band a model that flags as harmful, or a
     flagged harmful intent of 0.70 or more; in the high band unless a model calls the intent safe. Never lexicon hits.
     """
+    bounded_batches(docs.sparkSession)  # a worker holds a batch of texts as Arrow and as strings
     words = [w.strip().lower() for w in blocked if w.strip()]
     found = lexicon_hits(F.col(text), [*phrases, *words])
     if hits is not None:  # what a table's index found comes first

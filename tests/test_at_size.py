@@ -58,3 +58,9 @@ def test_index_copies_no_phrase_by_its_grams(spark):
     assert index.count() == 50
     assert index.select("gram").distinct().count() > 25  # not all under the grams that they share
     assert {r["size"] for r in index.collect()} == {32}
+
+
+def test_moderation_bounds_its_batches_of_texts(spark, conf):
+    conf("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    assert q.QUERIES["moderation_bands"](spark, SF).count() > 0
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 512
