@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brindle.llm.graph import components
-from brindle.staging import bounded_batches, stage
+from brindle.staging import bounded_batches, stage, stage_counted
 
 REGISTERS, BASE, OFFSET = 256, 1.001, 4000
 BANDS, ROWS = 96, 8
@@ -191,9 +191,10 @@ def _bands(nodes: DataFrame) -> DataFrame:
     return nodes.select("node", "sketch").mapInArrow(run, "band long, node long")
 
 
-def _sized(df: DataFrame) -> DataFrame:
-    """A staged table, with the hint to broadcast it if it is short."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+def _sized(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a staged table, with the hint to broadcast it if it is short."""
+    staged, seen = stage_counted(df, name)
+    return F.broadcast(staged) if seen["n"] <= BROADCAST_ROWS else staged
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -203,9 +204,9 @@ def confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Dat
     the other, so a hub's group needs no memory and its parts go to different tasks.
     """
     pairs = pairs.withColumn("part", F.pmod(F.col("v"), F.lit(HUB_PARTS)).cast("int"))
-    pairs = stage(pairs, "pairs")
-    hubs = _sized(stage(pairs.select("u", "part").distinct(), "hubs"))
-    members = texts.join(_sized(pairs), texts["node"] == pairs["v"]).withColumn("role", F.lit(1))
+    pairs = _sized(pairs, "pairs")
+    hubs = _sized(pairs.select("u", "part").distinct(), "hubs")
+    members = texts.join(pairs, texts["node"] == pairs["v"]).withColumn("role", F.lit(1))
     centres = texts.join(hubs, texts["node"] == hubs["u"]).withColumn("role", F.lit(0))
     columns = ["u", "part", "role", "node", "n", "sketch", "text"]
     rows = centres.select(*columns).unionByName(members.select(*columns))
@@ -256,7 +257,7 @@ def connect(shared: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
             .filter("a <> b")
             .select("band", F.col("t.node").alias("hub"), F.col("t.comp").alias("hub_comp"))
         )
-        placed = stage(placed.join(stage(mixed, "mixed"), "band"), "placed")
+        placed = stage(placed.join(_sized(mixed, "mixed"), "band"), "placed")
         if turn >= HUB_ROUNDS:
             apart = placed.select("node").distinct().count()
             if turn == MOST_ROUNDS or apart <= FEW or last is not None and apart > 0.9 * last:
@@ -266,7 +267,7 @@ def connect(shared: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
         best = F.max(F.struct("k", "hub"))["hub"].alias("u")
         found = confirm(counts.groupBy("node").agg(best).select("u", F.col("node").alias("v")), texts, width, percent)
         links = found if links is None else links.unionByName(found)
-        comps = stage(components(links), "comps")
+        comps = _sized(components(links), "comps")
     links = links.unionByName(compare_families(placed, texts, width, percent))
     return stage(components(links), "comps")
 
@@ -278,18 +279,14 @@ def compare_families(placed: DataFrame, texts: DataFrame, width: int, percent: i
     registers first, estimates and confirms, and skips pairs that its links so far (and the known components) connect.
     """
     families = components(placed.select(F.col("node").alias("u"), F.col("hub").alias("v")))
-    families = stage(families.withColumnRenamed("comp", "family"), "families")
+    families = _sized(families.withColumnRenamed("comp", "family"), "families")
     sizes = families.groupBy("family").agg(F.ceil(F.count("*") / F.lit(float(BLOCK))).cast("int").alias("blocks"))
     own = placed.groupBy("node").agg(F.min("comp").alias("comp")).join(families, "node").join(sizes, "family")
     own = own.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     own = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = stage(
-        own.select(
-            "family", "node", "comp", "own", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two")
-        ),
-        "dealt",
-    ).withColumnRenamed("node", "v")
-    rows = texts.join(_sized(dealt), texts["node"] == dealt["v"])
+    one, two = F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two")
+    dealt = _sized(own.select("family", F.col("node").alias("v"), "comp", "own", one, two), "dealt")
+    rows = texts.join(dealt, texts["node"] == dealt["v"])
 
     def compare(block: pa.Table) -> pa.Table:
         rows_ = sorted(
@@ -351,7 +348,7 @@ def _judged(docs: DataFrame, width: int, percent: int, doc_id: str, text: str) -
     degrees = stage(shared.groupBy("node").agg(F.sum(F.col("k") - 1).alias("degree")), "degrees")
     shared = stage(shared.join(degrees, "node").select("band", "node", "degree"), "shared")
     involved = stage(degrees.select("node").join(nodes, "node"), "involved")
-    keys = _sized(stage(involved.select("first", "mark", "node"), "keys"))
+    keys = _sized(involved.select("first", "mark", "node"), "keys")
     rows = docs.select(_key(doc_id).alias("first"), F.xxhash64(text).alias("mark"), F.col(text).alias("text"))
     comps = connect(shared, _texts_of(rows, keys, involved, width), width, percent)
     labels = nodes.select("node", "first", "mark").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
@@ -418,7 +415,7 @@ def drop_near_duplicates(
     rows, keys = found.agg(F.count("*"), F.count_distinct("doc_id", "mark")).first()
     dropped = found.filter("NOT stays").distinct()
     dropped = dropped.select(F.col("doc_id").alias("_dropped_id"), F.col("mark").alias("_dropped_mark"))
-    dropped = _sized(stage(dropped, "dropped"))
+    dropped = _sized(dropped, "dropped")
     own, mark = _key(doc_id), F.xxhash64(text)
     out = docs.join(dropped, (own == dropped["_dropped_id"]) & (mark == dropped["_dropped_mark"]), "left_anti")
     if rows == keys:

@@ -11,11 +11,14 @@ import contextlib
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 _STAGED: list[str] = []
 _PATHS: dict[int, str] = {}
 _LAST: list[SparkSession] = []
+#: Tasks that write a short table, and its rows to each from so many tasks on.
+FEWEST_TASKS, ROWS_A_TASK = 12, 100_000
 
 
 @atexit.register
@@ -59,6 +62,17 @@ def stage(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
     return found
 
 
+def stage_counted(df: DataFrame, name: str, *sums: Column) -> tuple[DataFrame, dict]:
+    """``stage``, and the number of rows, n, and other named sums of them, which are taken while they are written."""
+    seen = Observation()
+    return stage(df.observe(seen, F.count(F.lit(1)).alias("n"), *sums), name), seen.get
+
+
+def short(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, at most so many rows of ids and counts, in no more partitions than they are worth."""
+    return df.coalesce(max(FEWEST_TASKS, -(-rows // ROWS_A_TASK)))
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder's path in the shared folder, for a stored table that ends with the staged ones."""
     path = f"{staging_root(spark)}/brindle-{uuid.uuid4().hex}"

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from brindle import staging
 from brindle.llm import brown, fingerprints, fmindex, graph, language, mixing, neardup, packing, pages, quality, substrings, toxicity
 from brindle.llm.queries import tokenizer_path
 
@@ -138,6 +139,33 @@ def test_components(spark):
     assert all(got[i] == 0 for i in range(51)) and got[101] == 100 and got[200] == got[175] == 150
 
 
+def test_few_edges_are_written_by_few_tasks(spark, monkeypatch):
+    """However many partitions shuffles have; with the star's neighbours broadcast and shuffled alike."""
+    edges = spark.createDataFrame([(i, i + 1) for i in range(100) if i % 5 != 4], "u long, v long")
+    files = {}
+
+    def noted(df, name, codec=None, write=staging.stage):
+        found = write(df, name, codec)
+        files.setdefault(name, []).append(len(found.inputFiles()))
+        return found
+
+    for module in (staging, graph):
+        monkeypatch.setattr(module, "stage", noted, raising=False)
+    own = {"spark.sql.shuffle.partitions": "20", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in own}
+    try:
+        for k, v in own.items():
+            spark.conf.set(k, v)
+        for rows in (graph.BROADCAST_ROWS, 0):
+            monkeypatch.setattr(graph, "BROADCAST_ROWS", rows)
+            got = {r["node"]: r["comp"] for r in graph.components(edges).collect()}
+            assert got == {i: i // 5 * 5 for i in range(100)}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert max(files["star"] + files["least"]) <= staging.FEWEST_TASKS
+
+
 def test_fm_index_counts():
     rng = np.random.RandomState(2)
     text = np.append(rng.randint(1, 6, 5000), 0)
