@@ -21,13 +21,16 @@ _TOKEN = re.compile(r"\w+")
 @dataclass(frozen=True)
 class _Plan:
     """How a rule is matched. ``words`` are its alternatives of one word, which are counted as words of the text. The others
-    can only match where one of ``pairs`` (a word that stands alone, the literal around it) or of ``parts`` (a literal) is in
-    the text, or ``always`` may; only there the rule's expression is run."""
+    can only match where one of ``pairs`` (a word that stands alone, the literal around it), of ``dotted`` (two words about a
+    dot: both stand alone, or one word is both about a letter) or of ``loose`` (a literal) is in the text, or ``always`` may;
+    only there the rule's expression is run. ``parts`` are the literals of all alternatives with dots."""
 
     pattern: str
     words: tuple[str, ...]
     pairs: tuple[tuple[str, str], ...]
+    dotted: tuple[tuple[str, str], ...]
     parts: tuple[str, ...]
+    loose: tuple[str, ...]
     always: bool
 
     @property
@@ -36,9 +39,10 @@ class _Plan:
 
 
 def plan_of(rule: Rule) -> _Plan:
-    """What every match of a rule's alternatives holds: one without operators itself, and its longest word as a word; one with
-    dots as its only operators its longest piece; of others nothing is known."""
-    words, pairs, parts, always = [], [], [], False
+    """What every match of a rule's alternatives holds: one without operators itself, and its longest word as a word; one of
+    two words about a dot both as words or as one; another with dots as its only operators its longest piece; of others nothing
+    is known."""
+    words, pairs, dotted, parts, loose, always = [], [], [], [], [], False
     for alternative in rule.pattern.lower().split("|"):
         alternative = alternative.strip()
         pieces = alternative.split(".")
@@ -49,24 +53,38 @@ def plan_of(rule: Rule) -> _Plan:
                 pairs.append((max(tokens, key=len), alternative))
         elif len(pieces) > 1 and any(pieces) and all(not p or _PLAIN.fullmatch(p) for p in pieces):
             parts.append(max(pieces, key=len))
+            if len(pieces) == 2 and all(map(_TOKEN.fullmatch, pieces)):
+                dotted.append((pieces[0], pieces[1]))
+            else:
+                loose.append(parts[-1])
         else:
             always = True
     once = lambda x: tuple(dict.fromkeys(x))
-    return _Plan(word_bounded(rule.pattern), once(words), once(pairs), once(parts), always)
+    return _Plan(word_bounded(rule.pattern), once(words), once(pairs), once(dotted), once(parts), once(loose), always)
+
+
+def _one_word(dotted: list[tuple[str, str]]) -> str:
+    """The expression of words that hold both pieces of one of ``dotted`` about a letter."""
+    return r"\A(?:" + "|".join(f"{a}.{b}" for a, b in dotted) + r")\z"
 
 
 def _read_once(text: Column, plans: list[_Plan]) -> Column:
-    """struct<low, words> of a text: lower-cased, and those of its words that some rule looks for, in one pass."""
+    """struct<low, words, joined> of a text: lower-cased, those of its words that some rule looks for, and those that are both
+    pieces of a dotted alternative about a letter; in one pass."""
     low = F.lower(F.coalesce(text, F.lit("")))
-    wanted = list(dict.fromkeys(w for p in plans for w in (*p.words, *(w for w, _ in p.pairs))))
+    dotted = list(dict.fromkeys(d for p in plans for d in p.dotted))
+    wanted = list(dict.fromkeys(w for p in plans for w in (*p.words, *(w for w, _ in p.pairs), *(w for d in p.dotted for w in d))))
+    none = F.array().cast("array<string>")
     if not wanted:
-        return F.struct(low.alias("low"), F.array().cast("array<string>").alias("words"))
+        return F.struct(low.alias("low"), none.alias("words"), none.alias("joined"))
+    sizes = sorted({len(a) + 1 + len(b) for a, b in dotted})
 
-    def words(t: Column) -> Column:
-        kept = F.filter(F.regexp_extract_all(t, F.lit(WORD), F.lit(0)), lambda w: w.isin(wanted))
-        return F.struct(t.alias("low"), kept.alias("words"))
+    def kept(own: Column) -> Column:
+        words = F.filter(own["all"], lambda w: w.isin(wanted))
+        joined = F.filter(own["all"], lambda w: F.length(w).isin(sizes) & w.rlike(_one_word(dotted))) if dotted else none
+        return F.struct(own["low"].alias("low"), words.alias("words"), joined.alias("joined"))
 
-    return let(low, words)
+    return let(let(low, lambda t: F.struct(t.alias("low"), F.regexp_extract_all(t, F.lit(WORD), F.lit(0)).alias("all"))), kept)
 
 
 def _has_word(plan: _Plan, own: Column) -> Column:
@@ -83,7 +101,11 @@ def _needs_expression(plan: _Plan, own: Column) -> Column:
         for _, whole in plan.pairs:
             literal = literal | F.contains(own["low"], F.lit(whole))
         found = F.exists(own["words"], lambda w: w.isin([w for w, _ in plan.pairs])) & literal
-    for part in plan.parts:
+    if plan.dotted:
+        found = found | F.exists(own["joined"], lambda w: w.rlike(_one_word(list(plan.dotted))))
+    for a, b in plan.dotted:
+        found = found | (F.array_contains(own["words"], a) & F.array_contains(own["words"], b))
+    for part in plan.loose:
         found = found | F.contains(own["low"], F.lit(part))
     return found
 

@@ -102,3 +102,13 @@ def test_plans_of_rules():
     assert keywords.plan_of(Rule("apache.license|x", "t")).parts == ("license",)
     assert keywords.plan_of(Rule("colou?r", "t")).always and keywords.plan_of(Rule("a|", "t")).always
     assert re.fullmatch(r"\W+", "...") and keywords.plan_of(Rule("...", "t")).always
+
+
+def test_dotted_words_are_no_literals(spark):
+    """An expression runs where both words or their one word stand, not wherever the longer piece does."""
+    plan = keywords.plan_of(Rule("the.there|x.y z|other", "t"))
+    assert plan.dotted == (("the", "there"),) and plan.loose == ("y z",)
+    texts = [("their theretofore", False), ("the other", False), ("there the", True), ("theXthere", True), ("theXthere_", False), ("xy zz", True)]
+    own = keywords._read_once(F.col("text"), [plan])
+    got = spark.createDataFrame(texts, "text string, needs boolean").select("needs", keywords._needs_expression(plan, own).alias("got"))
+    assert all(r["needs"] == r["got"] for r in got.collect())
