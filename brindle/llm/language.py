@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from brindle.llm.text import wider
+from brindle.llm.text import alone, wider
 from brindle.staging import bounded_batches, stage
 
 #: The labelled sample's bounds: rows of each language, characters of a language, and of all languages together, by which
@@ -285,14 +285,16 @@ class Automata:
         return result
 
 
-_MODEL: list = [None, None]
+_MODEL: dict = {}
 
 
 def _automata(texts: dict[str, str]) -> Automata:
     """Built once in each Python worker."""
-    if _MODEL[0] != texts:
-        _MODEL[:] = [texts, Automata(texts)]
-    return _MODEL[1]
+    made = alone(_MODEL)
+    if made.get("texts") != texts:
+        made.clear()
+        made.update(texts=texts, automata=Automata(texts))
+    return made["automata"]
 
 
 def identify(

@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brindle.llm.graph import components
+from brindle.llm.text import alone
 from brindle.staging import bounded_batches, stage, stage_counted
 
 REGISTERS, BASE, OFFSET = 256, 1.001, 4000
@@ -64,15 +65,16 @@ def shingles(text: str | None, width: int) -> np.ndarray:
     words = (text or "").encode("utf-8", "replace").lower().split()
     if not words:
         return np.zeros(0, np.uint64)
-    found = list(map(_KNOWN.get, words))
+    known = alone(_KNOWN)
+    found = list(map(known.get, words))
     if None in found:
-        if len(_KNOWN) > REMEMBERED:
-            _KNOWN.clear()
+        if len(known) > REMEMBERED:
+            known.clear()
         for k, v in enumerate(found):
             if v is None:
                 found[k] = xxhash.xxh64_intdigest(words[k])
                 if len(words[k]) <= 64:
-                    _KNOWN[words[k]] = found[k]
+                    known[words[k]] = found[k]
     h = np.array(found, np.uint64)
     n = max(1, len(h) - width + 1)
     out = h[:n].copy()

@@ -25,6 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from brindle.llm.text import alone
 from brindle.staging import bounded_batches
 
 LENGTH, END = 4096, 2
@@ -262,9 +263,10 @@ _TOKENS: dict[str, WordTokens] = {}
 
 def word_tokens(path: str) -> WordTokens:
     """Made once in each Python worker, and kept from task to task."""
-    if path not in _TOKENS:
-        _TOKENS[path] = WordTokens(path)
-    return _TOKENS[path]
+    made = alone(_TOKENS)
+    if path not in made:
+        made[path] = WordTokens(path)
+    return made[path]
 
 
 def _together(texts: Iterable[str | None]) -> Iterator[list[str | None]]:

@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brindle.llm.fmindex import FMIndex
+from brindle.llm.text import alone
 from brindle.staging import bounded_batches, stage
 
 WINDOW, GRAM = 20, 5
@@ -54,15 +55,16 @@ def words_of(text: str | None) -> list[bytes]:
 
 def grams(words: list[bytes]) -> np.ndarray:
     """64-bit hashes of the GRAM-word grams at each place."""
-    found = list(map(_KNOWN.get, words))
+    known = alone(_KNOWN)
+    found = list(map(known.get, words))
     if None in found:
-        if len(_KNOWN) > REMEMBERED:
-            _KNOWN.clear()
+        if len(known) > REMEMBERED:
+            known.clear()
         for k, v in enumerate(found):
             if v is None:
                 found[k] = xxhash.xxh64_intdigest(words[k])
                 if len(words[k]) <= 64:
-                    _KNOWN[words[k]] = found[k]
+                    known[words[k]] = found[k]
     h = np.array(found, np.uint64)
     n = len(h) - GRAM + 1
     out = h[:n].copy()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -9,6 +10,18 @@ from pyspark.sql.types import StructType
 #: White space of the word rule, as a Java and as a DuckDB regular expression class body.
 SPACE = r"\x20\x09-\x0D"
 WORD = rf"[^{SPACE}]+"
+_KEPT: list[dict] = []
+
+
+def alone(kept: dict) -> dict:
+    """``kept``, what an operator keeps in a Python worker from task to task. Workers serve one operator after the other, so
+    what another one kept in this worker is dropped."""
+    if not _KEPT or _KEPT[0] is not kept:
+        for other in _KEPT:
+            other.clear()
+        _KEPT[:] = [kept]
+        pa.default_memory_pool().release_unused()
+    return kept
 
 
 def let(value: Column, body) -> Column:
