@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from brindle.staging import short, stage_counted
 
-#: Rows up to which a star's least neighbours are broadcast; longer tables are joined by a shuffle.
-BROADCAST_ROWS = 500_000
+#: Rows up to which a star's least neighbours are broadcast, which stay in each executor until the driver collects its
+#: garbage; longer tables are joined by a shuffle.
+BROADCAST_ROWS = 100_000
 
 
 def _star(edges: DataFrame, rows: int, large: bool) -> DataFrame:

@@ -37,8 +37,9 @@ BANDS, ROWS = 96, 8
 HORIZON = 12.0
 #: Estimates below the threshold by more than this aren't confirmed.
 MARGIN = 0.15
-#: Rows up to which a table of ids is broadcast; longer ones are joined by a shuffle.
-BROADCAST_ROWS = 500_000
+#: Rows up to which a table of ids is broadcast, some 8 MB in each executor for each join, which stay there until the
+#: driver collects its garbage; longer ones are joined by a shuffle.
+BROADCAST_ROWS = 100_000
 #: A hub's comparisons are dealt to so many parts.
 HUB_PARTS = 32
 #: Rounds of comparisons with hubs: at least, and at most while more than FEW nodes are apart in a shared band and the
