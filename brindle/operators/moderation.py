@@ -228,12 +228,21 @@ def worst_of_tracks(verdicts: DataFrame, recording: str, order: str) -> DataFram
     return verdicts.groupBy(recording).agg(best).select(recording, "v.*")
 
 
+def taught(text: Column) -> Column:
+    """array<string>: a text's sentences of 2 to 10 words, each once."""
+    return F.array_distinct(F.filter(sentences(text), lambda s: word_count(s).between(2, 10)))
+
+
 def learned_phrases(flagged: DataFrame, lexicon: DataFrame, text: str = "text") -> DataFrame:
     """(phrase): sentences of 2 to 10 words of the texts that may be learned from (``learns`` of ``moderate``) and that
     the lexicon (phrase) lacks. One epoch's additions."""
-    found = flagged.select(F.explode(sentences(F.col(text))).alias("phrase"))
-    words = word_count(F.col("phrase"))
-    return found.filter(words.between(2, 10)).distinct().join(lexicon.select("phrase"), "phrase", "left_anti")
+    return unknown_phrases(flagged.select(taught(F.col(text)).alias("taught")), lexicon)
+
+
+def unknown_phrases(rows: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """(phrase): those of the lists ``taught`` that the lexicon (phrase) lacks, each once."""
+    found = rows.select(F.explode("taught").alias("phrase")).distinct()
+    return found.join(lexicon.select("phrase"), "phrase", "left_anti")
 
 
 def learn_epochs(
