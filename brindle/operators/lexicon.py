@@ -178,6 +178,16 @@ def _rarest_grams(often: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Itera
         yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*batch.schema.names, "gram", "size", "at"])
 
 
+def _packed(often: np.ndarray, columns: list[str], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(packed): columns of a partition's ``_rarest_grams`` as one compressed Arrow stream."""
+    rows, sink = list(_rarest_grams(often, batches)), pa.BufferOutputStream()
+    if rows:
+        table = pa.Table.from_batches(rows).select(columns).combine_chunks()
+        with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            out.write_table(table)
+        yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()])], names=["packed"])
+
+
 def _lowered(lexicon: DataFrame) -> DataFrame:
     return lexicon.select("pos", F.lower("phrase").alias("phrase")).filter("phrase <> ''")
 
@@ -197,10 +207,10 @@ def index_of(lexicon: DataFrame) -> DataFrame:
 
 
 class Index:
-    """Phrases (pos, phrase, at) by their grams. Where a text has one, its phrases are compared with the text byte by byte."""
+    """Phrases (phrase, at; pos, where hits are asked for) by their grams. Where a text has one, its phrases are compared with the text byte by byte."""
 
     def __init__(self, table: pa.Table) -> None:
-        self.pos, phrases, at = (pa.concat_arrays(table[c].chunks) if table.num_rows else pa.array([], table.schema.field(c).type) for c in ("pos", "phrase", "at"))
+        self.pos, phrases, at = (pa.concat_arrays(table[c].chunks) if c in table.schema.names else None for c in ("pos", "phrase", "at"))
         data, self.ends = _strings(phrases)
         self.phrases = pa.Array.from_buffers(pa.large_string(), len(phrases), [None, pa.py_buffer(self.ends), pa.py_buffer(data)])
         self.eights, self.at, self.by_size = _eights(data), at.to_numpy(), {}
@@ -291,8 +301,7 @@ def _index(key: str, shared) -> Index:
     """The index that a broadcast table makes, built once in each Python worker; the last one is kept."""
     if key not in _INDEXED:
         _INDEXED.clear()
-        with pa.ipc.open_stream(shared.value) as told:
-            _INDEXED[key] = Index(told.read_all())
+        _INDEXED[key] = Index(pa.concat_tables([pa.ipc.open_stream(x).read_all() for x in shared.value]))
         pa.default_memory_pool().release_unused()
     return _INDEXED[key]
 
@@ -300,29 +309,32 @@ def _index(key: str, shared) -> Index:
 def _searches(lexicon: DataFrame, made: str, kind: str) -> list[Callable[[Column], Column]]:
     """Functions of a lower-cased text, one for each shard of (pos, phrase): what ``Index.made`` gives for it, a ``kind``.
 
-    A shard has at most SHARD phrases and some SHARD_BYTES bytes and is broadcast, compressed. No text is shuffled and no
-    hit is written: each shard costs one more reading of the texts instead.
+    A shard has some SHARD phrases or SHARD_BYTES bytes at most; the driver gets it compressed and broadcasts it. No text is
+    shuffled and no hit is written: each shard costs one more reading of the texts instead.
     """
     low, context = _lowered(lexicon), lexicon.sparkSession.sparkContext
     n, size = low.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("phrase")), F.lit(0))).first()
+    if not n:
+        return [lambda text: F.array().cast(kind) if made == "hits" else F.lit(None).cast(kind)]
+    columns = ["pos", "phrase", "at"] if made == "hits" else ["phrase", "at"]
     shards, often = max(1, -(-n // SHARD), -(-size // SHARD_BYTES)), _gram_counts(low)
 
-    def search(k: int) -> Callable[[Column], Column]:
+    def search(k: int) -> Callable[[Column], Column] | None:
         part = low.filter(F.pmod(F.xxhash64("phrase", "pos"), F.lit(shards)) == k)
-        told, sink = _with_grams(part, often).select("pos", "phrase", "at").toArrow(), pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, told.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-            out.write_table(told)
-        key, shared = uuid.uuid4().hex, context.broadcast(sink.getvalue().to_pybytes())
+        packed = part.mapInArrow(partial(_packed, often, columns), "packed binary").collect()
+        if not packed:
+            return None
+        key, shared = uuid.uuid4().hex, context.broadcast([bytes(r["packed"]) for r in packed])
 
         @F.arrow_udf(kind)
         def search_udf(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            found = getattr(_index(key, shared), made)
+            found = getattr(_index(key, shared), made)  # by one index to the end of the task, whatever others are built
             for texts in batches:
                 yield found(texts)
 
         return search_udf.asNondeterministic()  # else filters on what it gives run it once more
 
-    return [search(k) for k in range(shards)]
+    return [found for k in range(shards) if (found := search(k)) is not None]
 
 
 def _table_search(rows: list, kind: str):

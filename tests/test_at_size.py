@@ -1,6 +1,7 @@
 """What larger tables do to a plan, shown on small ones."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from brindle.plans import queries as q
 
@@ -118,6 +119,9 @@ def test_shards_of_a_lexicon_give_its_hits(spark, monkeypatch):
     assert len(rows) == len(texts)
     assert sorted(((r["doc_id"], *h) for r in rows for h in r["found"]), key=key) == sorted(expected, key=key)
     assert all([key((0, *h)) for h in r["found"]] == sorted(key((0, *h)) for h in r["found"]) for r in rows)
+    nothing = table.select("pos", F.lit("").alias("phrase"))
+    assert lx.hit_counts(docs, nothing).count() == lx.hit_counts(docs, table.limit(0)).count() == lx.hits_table(docs, nothing, most=0).count() == 0
+    assert all(r["found"] == [] for r in lx.with_hits(docs, nothing, most=0).collect())
     counts = {r["doc_id"]: (r["n"], r["first"]) for r in lx.hit_counts(docs, table).collect()}
     for k in range(31):
         own = [p for d, _, p in expected if d == k]
