@@ -209,10 +209,12 @@ def index_of(lexicon: DataFrame) -> DataFrame:
 class Index:
     """Phrases (phrase, at; pos, where hits are asked for) by their grams. Where a text has one, its phrases are compared with the text byte by byte."""
 
-    def __init__(self, table: pa.Table) -> None:
-        self.pos, phrases, at = (pa.concat_arrays(table[c].chunks) if c in table.schema.names else None for c in ("pos", "phrase", "at"))
+    def __init__(self, tables: Iterator[pa.Table]) -> None:
+        parts = [{c: t[c].chunks for c in t.schema.names} for t in tables]
+        self.pos, phrases, at = (pa.concat_arrays([x for p in parts for x in p.pop(c)]) if c in parts[0] else None for c in ("pos", "phrase", "at"))
         data, self.ends = _strings(phrases)
-        self.phrases = pa.Array.from_buffers(pa.large_string(), len(phrases), [None, pa.py_buffer(self.ends), pa.py_buffer(data)])
+        n, phrases = len(phrases), None  # data has them
+        self.phrases = pa.Array.from_buffers(pa.large_string(), n, [None, pa.py_buffer(self.ends), pa.py_buffer(data)])
         self.eights, self.at, self.by_size = _eights(data), at.to_numpy(), {}
         sizes, places = _gram_sizes(np.diff(self.ends)), self.ends[:-1] + self.at
         for size in np.unique(sizes).tolist():
@@ -301,7 +303,7 @@ def _index(key: str, shared) -> Index:
     """The index that a broadcast table makes, built once in each Python worker; the last one is kept."""
     if key not in _INDEXED:
         _INDEXED.clear()
-        _INDEXED[key] = Index(pa.concat_tables([pa.ipc.open_stream(x).read_all() for x in shared.value]))
+        _INDEXED[key] = Index(pa.ipc.open_stream(x).read_all() for x in shared.value)
         pa.default_memory_pool().release_unused()
     return _INDEXED[key]
 

@@ -93,7 +93,7 @@ def test_index_compares_bytes_across_slices_and_blocks(monkeypatch):
     texts = [t and t.lower() for t in texts]
     phrases = [(k, p.lower()) for k, p in phrases if p]
     rows = pa.RecordBatch.from_pydict({"pos": pa.array([k for k, _ in phrases], pa.int64()), "phrase": [p for _, p in phrases]})
-    index = lx.Index(pa.Table.from_batches(lx._rarest_grams(np.zeros(lx.BUCKETS, np.int64), iter([rows]))))
+    index = lx.Index([pa.Table.from_batches(lx._rarest_grams(np.zeros(lx.BUCKETS, np.int64), iter(part))) for part in ([rows[:100]], [rows[100:]])])
     column = pa.array(["cut off", *texts])[1:]
     told = [(k, h["pos"], h["phrase"]) for k, hits in enumerate(index.hits(column).to_pylist()) for h in hits]
     assert told == found_plainly(texts, phrases) and len(told) > 1000
